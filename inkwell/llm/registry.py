@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
+from .url_filter import OP9_SQL, op9_url_filter
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_warc": op3_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op9_url_filter": OP9_SQL,
+}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
+from .language_id import op7_language_id
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
+from .simhash import op6_simhash
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import OP3_SQL, op3_warc
 
@@ -11,6 +14,9 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_warc": op3_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .language_id import op7_language_id
+from .lm_scoring import op4_lm_scoring
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash
@@ -13,6 +14,7 @@ from .warc import OP3_SQL, op3_warc
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_warc": op3_warc,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .language_id import op7_language_id
+from .line_dedup import op10_line_dedup
 from .lm_scoring import op4_lm_scoring
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {

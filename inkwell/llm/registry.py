@@ -9,11 +9,13 @@ from .lm_scoring import op4_lm_scoring
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash
+from .suffix_dedup import op2_suffix_dedup
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,

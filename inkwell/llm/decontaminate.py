@@ -204,3 +204,10 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: contaminated documents go. Rows with equal ids (or none) go if one of them is contaminated."""
+    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("inkwell_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("inkwell_gone")), "left_anti")

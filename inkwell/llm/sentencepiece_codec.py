@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -90,7 +91,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             rows: list[list] = [[] for _ in range(5 if keep else 3)]
             for n, ids, text in codec.encode_batch([x or "" for x in batch.column(1).to_pylist()]):
                 row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
-                for column, x in zip(rows, row + ([list(map(int, ids.split())), text] if keep else []), strict=True):
+                for column, x in zip(rows, row + ([np.fromstring(ids, np.int32, sep=" "), text] if keep else []), strict=True):
                     column.append(x)
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=False))], names=schema.names)
@@ -104,3 +105,10 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: ids and digests of every document that is left."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts
+from . import accounts, documents
 
-MODULES = (accounts,)
+MODULES = (accounts, documents)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

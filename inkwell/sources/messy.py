@@ -39,7 +39,7 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.substring(F.translate("text", NL, " "), 1, WORDS)
     heads = [F.concat(*(w if p is W else F.lit(p) for p in parts)) for parts in HEADS]
     head = reduce(lambda c, i: c.when(F.col("doc_id") % len(HEADS) == i, heads[i]), range(len(HEADS)), F)
-    body = F.when(F.col("doc_id") % len(HEADS) == 5, F.replace("text", F.lit(NL), F.lit("\nAcme Report\n"))).otherwise(F.col("text"))
+    body = F.when(F.col("doc_id") % len(HEADS) == 5, F.replace("text", F.lit(". "), F.lit(".\n"))).otherwise(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(head, body).alias("text"))
 
 
@@ -48,6 +48,6 @@ def quote(x: str) -> str:
 
 
 _CASES = " ".join(f"WHEN {i} THEN " + " || ".join("w" if p is W else quote(p) for p in parts) for i, parts in enumerate(HEADS))
-MESSY_SQL = f"""messy AS (SELECT doc_id, (CASE doc_id % {len(HEADS)} {_CASES} END) || CASE WHEN doc_id % {len(HEADS)} = 5 THEN replace(t, '{NL}', '{NL}Acme Report{NL}') ELSE t END AS text
+MESSY_SQL = f"""messy AS (SELECT doc_id, (CASE doc_id % {len(HEADS)} {_CASES} END) || CASE WHEN doc_id % {len(HEADS)} = 5 THEN replace(t, '. ', '.{NL}') ELSE t END AS text
   FROM (SELECT doc_id, text AS t, substr(replace(text, '{NL}', ' '), 1, {WORDS}) AS w FROM documents))"""
 LINES_SQL = MESSY_SQL + f""", lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, '{NL}') AS l FROM messy))"""

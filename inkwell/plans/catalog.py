@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, documents, structure
+from . import accounts, documents, extraction, structure
 
-MODULES = (accounts, documents, structure)
+MODULES = (accounts, documents, structure, extraction)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, entries binary"
 #: Entries a task gathers before it packs them, and the number that a bucket is planned for.
-PACK, BUCKET = 1 << 20, 1 << 20
+PACK, BUCKET = 1 << 19, 1 << 18
 
 
 def n_buckets(entries: int) -> int:

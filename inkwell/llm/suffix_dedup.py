@@ -36,7 +36,7 @@ BLOCK = 1 << 20
 #: Prefix length at which names need no further recursion: a power of 3 beyond SIZE.
 DEEP = 81
 
-ENTRY = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1")])
+ENTRY = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("left", "<u2"), ("right", "<u2")])
 
 
 def suffix_order(t: np.ndarray, covered: int = 1) -> np.ndarray:
@@ -48,9 +48,15 @@ def suffix_order(t: np.ndarray, covered: int = 1) -> np.ndarray:
     # sampled suffixes: starts that are 1 or 2 modulo 3 (a start behind the end stands in where n is 1 modulo 3)
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate((ones, twos))
-    order = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
-    x = sample[order]
-    step = np.r_[True, (s[x[1:]] != s[x[:-1]]) | (s[x[1:] + 1] != s[x[:-1] + 1]) | (s[x[1:] + 2] != s[x[:-1] + 2])]
+    top = int(s.max()) + 1
+    if top < 1 << 21:  # a triple fits a 64-bit number
+        triple = (s[sample] * top + s[sample + 1]) * top + s[sample + 2]
+        order = np.argsort(triple)
+        step = np.r_[True, np.diff(triple[order]) != 0]
+    else:
+        order = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
+        x = sample[order]
+        step = np.r_[True, (s[x[1:]] != s[x[:-1]]) | (s[x[1:] + 1] != s[x[:-1] + 1]) | (s[x[1:] + 2] != s[x[:-1] + 2])]
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(step)
     if not step.all() and 3 * covered < DEEP:
@@ -61,14 +67,16 @@ def suffix_order(t: np.ndarray, covered: int = 1) -> np.ndarray:
     # the others are ordered by their first symbol and the rank of what follows it
     others = np.arange(0, n, 3)
     wide = len(sampled) + 2
-    others = others[np.argsort(s[others] * wide + rank[others + 1], kind="stable")]
+    others = others[np.argsort(s[others] * wide + rank[others + 1])]
     # merge: how many others come before each sampled suffix; by one symbol and a rank, or by two symbols and a rank
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.zeros(n + 4, np.int64)
     before[first] = np.searchsorted(s[others] * wide + rank[others + 1], s[first] * wide + rank[first + 1])
-    pairs = lambda i: s[i] * (s.max() + 1) + s[i + 1]
-    known = np.unique(np.concatenate((pairs(others), pairs(second))))
-    key = lambda i: np.searchsorted(known, pairs(i)) * wide + rank[i + 2]
+    if top * top * wide < 1 << 62:
+        key = lambda i: (s[i] * top + s[i + 1]) * wide + rank[i + 2]
+    else:
+        known = np.unique(np.concatenate([s[i] * top + s[i + 1] for i in (others, second)]))
+        key = lambda i: np.searchsorted(known, s[i] * top + s[i + 1]) * wide + rank[i + 2]
     before[second] = np.searchsorted(key(others), key(second))
     out = np.empty(len(sampled) + len(others), np.int64)
     mine = np.maximum.accumulate(before[sampled]) + np.arange(len(sampled))
@@ -101,11 +109,12 @@ def repeated(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [hit[a:b] - s for a, b, s in zip(cut, np.r_[cut[1:], len(hit)], begin, strict=True)]
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window, number of windows less one) of a text's contexts in order."""
+def anchors(data: bytes) -> tuple[np.ndarray, ...]:
+    """(hash of the anchor, first window, number of windows less one, hashes of the K bytes before and behind the anchor, 0 where
+    there are fewer) of a text's contexts in order."""
     n = len(data) - SIZE + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + (words[8:] ^ (words[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -120,7 +129,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least, span = better(least[: len(least) - span], least[span:]), 2 * span
     least = better(least[:n], least[WINDOWS - span : WINDOWS - span + n])
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return h[least[first]], first, np.diff(np.r_[first, n]) - 1
+    at = least[first]
+    before, behind = np.where(at >= K, h[at - K], 0), np.where(at + K < len(h), h[np.minimum(at + K, len(h) - 1)], 0)
+    return h[at], first, np.diff(np.r_[first, n]) - 1, before, behind
 
 
 def contexts(rows: DataFrame, count: int) -> DataFrame:
@@ -129,10 +140,11 @@ def contexts(rows: DataFrame, count: int) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for row, doc, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h, first, more = anchors(data)
+                h, first, more, before, behind = anchors(data)
                 if len(h):
                     out = np.empty(len(h), ENTRY)
                     out["anchor"], out["row"], out["doc"], out["start"], out["more"] = h & np.uint64(0xFFFFFFFF), row, doc, first, more
+                    out["left"], out["right"] = before >> np.uint64(48), behind >> np.uint64(48)
                     out["context"] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + more + SIZE).tolist(), strict=True)]
                     yield ((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out
 
@@ -154,8 +166,20 @@ def resolve(packed: DataFrame) -> DataFrame:
             group = np.cumsum(new_anchor) - 1
             start = np.flatnonzero(new_anchor)
             several = (np.add.reduceat(new_context.astype(np.int64), start) > 1) & (np.minimum.reduceat(e["doc"], start) < np.maximum.reduceat(e["doc"], start))
-            chosen = later | several[group]
-            e, later = e[chosen], later[chosen]
+            # a string of SIZE bytes around an anchor of K holds the K bytes before or the K bytes behind it, so a context can
+            # share one only with a context of its anchor that has equal bytes there
+            chosen = np.flatnonzero(~later & several[group])
+            partner = np.zeros(len(chosen), bool)
+            for side in ("left", "right"):
+                key = (group[chosen] << 16) | e[side][chosen]
+                order = np.lexsort((e["context"][chosen], key))
+                k, c = key[order], e["context"][chosen][order]
+                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                mixed = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first) if len(first) else first
+                partner[order] |= np.repeat(mixed, np.diff(np.r_[first, len(k)]))
+            take = later.copy()
+            take[chosen[partner]] = True
+            e, later = e[take], later[take]
             number = (np.int64(bucket) << np.int64(32)) | e["anchor"].astype(np.int64)
             for i in range(0, len(e), 1 << 16):
                 x, whole = e[i : i + (1 << 16)], later[i : i + (1 << 16)]
@@ -164,15 +188,23 @@ def resolve(packed: DataFrame) -> DataFrame:
     return by_bucket(packed).mapInArrow(run, "row long, doc long, start long, more int, open long")
 
 
+def lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lengths of a column of lists of structs of numbers, and the structs' fields one after the other."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return sizes, [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
+
+
 def cut_out(asked: DataFrame) -> DataFrame:
     """The open contexts with their bytes: (open, row, doc, start, context). asked: row, doc, text, want (array of open, start, more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, doc, data, want in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(want)
-                columns = [[w["open"] for w in want], [row] * n, [doc] * n, [w["start"] for w in want], [data[w["start"] : w["start"] + w["more"] + SIZE] for w in want]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.binary()], strict=True)], names=["open", "row", "doc", "start", "context"])
+            sizes, (number, start, more) = lists(batch.column(3))
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            texts = batch.column(2).to_pylist()
+            parts = [texts[i][a:b] for i, a, b in zip(owner.tolist(), start.tolist(), (start + more + SIZE).tolist(), strict=True)]
+            row, doc = (batch.column(i).to_numpy()[owner] for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(row), pa.array(doc), pa.array(start), pa.array(parts, pa.binary())], names=["open", "row", "doc", "start", "context"])
 
     return asked.mapInArrow(run, "open long, row long, doc long, start long, context binary")
 
@@ -215,10 +247,14 @@ def strip(marked: DataFrame, keep: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, data, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out, at_mark = [], 0
+            sizes, (starts, more) = lists(batch.column(2))
+            ends = starts + more + SIZE
+            for doc, data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes.tolist(), strict=True):
                 kept, at, spans = [], 0, 0
-                for start, end in sorted((m["start"], m["start"] + m["more"] + SIZE) for m in marks or ()):
+                marks = slice(at_mark, at_mark + n)
+                at_mark += n
+                for start, end in sorted(zip(starts[marks].tolist(), ends[marks].tolist(), strict=True)):
                     if start > at or not spans:
                         kept.append(data[at:start])
                         spans += 1

@@ -37,6 +37,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.col("key") if docs.columns == ["key", "id", "text"] else F.monotonically_increasing_id().alias("key")
+    return docs.select(key, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
 def build_index(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index of the terms in ``vocabulary`` (sorted): one row per segment with its documents' row keys, ids, word counts and first
     positions, the terms found (numbers in the vocabulary), and their postings one after the other, ``bounds`` between them."""
@@ -71,8 +76,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id"
         if ids:
             yield segment()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, INDEX), "postings")
+    return stored(numbered(docs, id_col, text_col).mapInArrow(run, INDEX), "postings")
 
 
 class Phrases:
@@ -170,6 +174,7 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     words; items without words are in no result; a null item id is named ``null``; repeated items count once. Repeated
     documents and null ids keep their rows; an empty table of tests gives zeros. The tests are read in blocks of BLOCK_ITEMS; documents in segments of whole texts.
     """
+    out_col = id_col
     named = tests.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text).alias("text")).where("text is not null").distinct()
 
     def blocks() -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -183,6 +188,8 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
         if block:
             yield block
 
+    if named.count() > BLOCK_ITEMS:  # results of several blocks meet by row number, which has to stay
+        docs, id_col, text_col = stored(numbered(docs, id_col, text_col), "numbered"), "id", "text"
     found, n_blocks = None, 0
     for block in blocks():
         vocabulary = sorted({w for _, x in block for w in x})
@@ -198,7 +205,7 @@ def contamination(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
         found = found.groupBy("key").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.transform(whole, lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near")).alias("near"))
     ids = F.array_join(F.array_sort(F.array_distinct("items")), ",")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
-    out = found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.size(F.array_distinct("near")).cast("long").alias("n_near"))
+    out = found.select(F.col("id").alias(out_col), "n_words", hit.alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), F.size(F.array_distinct("near")).cast("long").alias("n_near"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -170,12 +170,12 @@ def resolve(packed: DataFrame) -> DataFrame:
             # share one only with a context of its anchor that has equal bytes there
             chosen = np.flatnonzero(~later & several[group])
             partner = np.zeros(len(chosen), bool)
-            for side in ("left", "right"):
+            for side in ("left", "right") if len(chosen) else ():
                 key = (group[chosen] << 16) | e[side][chosen]
                 order = np.lexsort((e["context"][chosen], key))
                 k, c = key[order], e["context"][chosen][order]
                 first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                mixed = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first) if len(first) else first
+                mixed = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)
                 partner[order] |= np.repeat(mixed, np.diff(np.r_[first, len(k)]))
             take = later.copy()
             take[chosen[partner]] = True

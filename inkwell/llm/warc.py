@@ -38,18 +38,17 @@ RECORD = "id long, payload_bytes long, payload_digest string, record_type string
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
     """Rows (id, url, body, digest, kind, refers_to). Of equal payloads of REVISIT_BYTES or more the row with the smallest id is
-    the response (null ids last; of rows with one id, the first in the table), the others revisit it.
+    the response (all such rows where the id is repeated; null ids come last), the others revisit it.
 
     Only (digest, smallest id, count) is grouped, with partial sums in each task; the bodies go through one join by digest, in
     which AQE splits a digest that holds many rows.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     rows = rows.select("*", F.sha2("body", 256).alias("digest"))
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
-    first = rows.where(F.octet_length("body") >= REVISIT_BYTES).groupBy(F.col("digest").alias("digest_")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = rows.where(F.octet_length("body") >= REVISIT_BYTES).groupBy(F.col("digest").alias("digest_")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = rows.join(first, F.col("digest") == F.col("digest_"), "left")
-    again = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
-    return met.select("id", "url", "body", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first.id")).alias("refers_to"))
+    again = F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return met.select("id", "url", "body", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def record(page: int | None, url: str | None, body: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:

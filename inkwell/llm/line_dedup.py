@@ -31,6 +31,7 @@ BLOCK = 2000
 #: Wanted lines are broadcast up to this number (8 bytes each); beyond it the join shuffles.
 BROADCAST_LINES = 1_000_000
 
+PLACES = 1 << (4 * np.arange(8))
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
 
 
@@ -99,8 +100,8 @@ def probes(n: int, k: int = MAX_EDITS) -> list[tuple[int, int, int, int, bool]]:
 def signature(line: str) -> int:
     """Counts of the characters in 8 classes, modulo 16, 4 bits each. An edit changes at most two counts by one."""
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount(((c * np.uint32(2654435761)) >> np.uint32(29)).astype(np.intp), minlength=8) & 15
-    return int((n << (4 * np.arange(8))).sum())
+    n = np.bincount((c * np.uint32(2654435761)) >> np.uint32(29), minlength=8) & 15
+    return int(n @ PLACES)
 
 
 def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
@@ -115,7 +116,7 @@ def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, text_hash, no, line, a, b): lines of MIN_CHARS characters or more that have a word, with two 64-bit hashes."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    rows = rows.where((F.length("line") >= MIN_CHARS) & (F.translate("line", BLANKS, "") != ""))
+    rows = rows.where((F.length("line") >= MIN_CHARS) & (F.btrim("line", F.lit(BLANKS)) != ""))
     return rows.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
@@ -123,23 +124,26 @@ def postings(docs: DataFrame, text_col: str, count: int) -> DataFrame:
     """Packed index and probe entries of all lines, each distinct line of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list] = {}
+        plans: dict[int, tuple[list, list]] = {}
+        digest = xxhash.xxh3_64_intdigest
 
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 seen = {x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
-                keys, sigs, refs, owns = [], [], [], []
+                keys, owns, each = [], [], []
                 for line in seen:
                     n = len(line)
                     if n not in plans:
-                        plans[n] = probes(n)
-                    keys += [xxhash.xxh3_64_intdigest(line[s:e].encode(), m * 16 + i) for m, i, s, e, _ in plans[n]]
-                    owns += [own for *_, own in plans[n]]
-                    sigs += [signature(line)] * len(plans[n])
-                    refs += [xxhash.xxh64_intdigest(line.encode(), 42)] * len(plans[n])
+                        plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in probes(n)], [own for *_, own in probes(n)]
+                    plan, own = plans[n]
+                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
+                    owns += own
+                    each.append(len(plan))
                 h = np.array(keys, np.uint64)
                 out = np.empty(len(h), ENTRY)
-                out["key"], out["sig"], out["ref"], out["index"] = h & np.uint64(0xFFFFFFFF), sigs, np.array(refs, np.uint64).view(np.int64), owns
+                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), owns
+                out["sig"] = np.repeat(np.array([signature(x) for x in seen], np.uint32), each)
+                out["ref"] = np.repeat(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in seen], np.uint64).view(np.int64), each)
                 yield ((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out
 
         yield from pack(entries())
@@ -270,9 +274,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stored(line_classes(docs, id_col, text_col), "line-classes").select("a", "b", F.struct("doc", "text_hash", "no").alias("kept"), "near")
     places = lines_of(docs, id_col, text_col).drop("line").join(classes, ["a", "b"]).where(F.struct("doc", "text_hash", "no") != F.col("kept"))
     # a removed line equal to its class's first line is an exact copy; all others of a class with several lines count as near
-    drops = places.distinct().groupBy("doc", "text_hash").agg(F.collect_list("no").alias("inkwell_drop"), F.count_if(~F.col("near")).alias("inkwell_exact"), F.count_if("near").alias("inkwell_near"))
+    drops = places.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "near")).alias("d"))
+    near = F.size(F.filter("d", lambda x: x.near)).cast("long")
+    drops = drops.select("doc", "text_hash", F.transform("d", lambda x: x.no).alias("inkwell_drop"), (F.size("d") - near).alias("inkwell_exact"), near.alias("inkwell_near"))
     drops = drops.withColumnsRenamed({"doc": "inkwell_doc", "text_hash": "inkwell_hash"})
-    met = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("inkwell_doc")) & (F.xxhash64(text_col) == F.col("inkwell_hash")), "left")
+    met = docs.join(drops.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("inkwell_doc")) & (F.xxhash64(text_col) == F.col("inkwell_hash")), "left")
     parts = F.split(text_col, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("inkwell_drop"))
     text = F.when(F.col("inkwell_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))

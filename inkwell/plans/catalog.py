@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, documents, extraction, streams, structure
+from . import accounts, documents, extraction, streams, structure, structured
 
-MODULES = (accounts, documents, structure, extraction, streams)
+MODULES = (accounts, documents, structure, extraction, structured, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

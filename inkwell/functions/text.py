@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space that the text rules mean by \\s, for use inside a character class.
-WS = " \t\n\x0b\x0c\r   -     　﻿"
+WS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Characters that show nothing.
-INVISIBLE = "​‌‍﻿­"
+INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
 NBSP = "\u00a0"
 #: Full-width letters and digits and what they become.
 WIDE = "".join(chr(c) for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1))

@@ -27,7 +27,7 @@ ESCAPED_TABLE = rf"(?i)&lt;(table|tr|td)([{WS}]|&gt;)"
 REPLACED = "�"
 LATIN_CJK = "[æðþý][\x80-\xbf]|ç[\x80-\xbf]{2}"
 #: Code points that read well: CJK and its punctuation, full-width, printable Latin, punctuation, kana, Hangul, arrows, shapes.
-SOUND = "[一-鿿㐀-䶿　-〿＀-￯ -~ -ÿ -⁯℀-⅏぀-ヿ가-힯←-⇿■-◿]"
+SOUND = "[\u4e00-\u9fff\u3400-\u4dbf\u3000-\u303f\uff00-\uffef -~\u00a0-\u00ff\u2000-\u206f\u2100-\u214f\u3040-\u30ff\uac00-\ud7af\u2190-\u21ff\u25a0-\u25ff]"
 ASTRAL = "[𐀀-􏿿]"
 LINEAR = r"▒|_\(|\^\("
 INLINE_MATH = r"[$][^$\n ][^$\n]*[$]"

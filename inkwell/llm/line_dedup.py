@@ -264,7 +264,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows and columns with the repeated lines taken out of ``text``, and inkwell_lines, inkwell_exact and inkwell_near: its
-    lines, and those removed as exact copies and as near-duplicates.
+    lines, and those removed as exact copies and as near-duplicates; inkwell_kept_in: the documents that keep the first lines of
+    their classes, sorted.
 
     A line (between newlines) of MIN_CHARS characters or more that has a word goes unless it is the first of its class, by document
     id, then text hash, then line number; a null id comes first. Shorter and blank lines stay. Rows with the same id and
@@ -274,22 +275,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stored(line_classes(docs, id_col, text_col), "line-classes").select("a", "b", F.struct("doc", "text_hash", "no").alias("kept"), "near")
     places = lines_of(docs, id_col, text_col).drop("line").join(classes, ["a", "b"]).where(F.struct("doc", "text_hash", "no") != F.col("kept"))
     # a removed line equal to its class's first line is an exact copy; all others of a class with several lines count as near
-    drops = places.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "near")).alias("d"))
+    drops = places.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "near", F.col("kept.doc").alias("kept"))).alias("d"))
     near = F.size(F.filter("d", lambda x: x.near)).cast("long")
-    drops = drops.select("doc", "text_hash", F.transform("d", lambda x: x.no).alias("inkwell_drop"), (F.size("d") - near).alias("inkwell_exact"), near.alias("inkwell_near"))
+    drops = drops.select("doc", "text_hash", F.transform("d", lambda x: x.no).alias("inkwell_drop"), (F.size("d") - near).alias("inkwell_exact"), near.alias("inkwell_near"), F.array_sort(F.array_distinct(F.transform("d", lambda x: x.kept))).alias("inkwell_kept_in"))
     drops = drops.withColumnsRenamed({"doc": "inkwell_doc", "text_hash": "inkwell_hash"})
     met = docs.join(drops.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("inkwell_doc")) & (F.xxhash64(text_col) == F.col("inkwell_hash")), "left")
     parts = F.split(text_col, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("inkwell_drop"))
     text = F.when(F.col("inkwell_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    counts = {"inkwell_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "inkwell_exact": F.coalesce("inkwell_exact", F.lit(0)), "inkwell_near": F.coalesce("inkwell_near", F.lit(0))}
+    counts = {"inkwell_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "inkwell_exact": F.coalesce("inkwell_exact", F.lit(0)), "inkwell_near": F.coalesce("inkwell_near", F.lit(0)), "inkwell_kept_in": F.coalesce("inkwell_kept_in", F.array().cast("array<bigint>"))}
     out = met.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(x.alias(n) for n, x in counts.items()))
     return out.withColumn("inkwell_lines", F.when(F.col("inkwell_lines") < 0, 0).otherwise(F.col("inkwell_lines")))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("inkwell_lines").alias("n_lines"), F.col("inkwell_exact").alias("n_exact"), F.col("inkwell_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("inkwell_lines").alias("n_lines"), F.col("inkwell_exact").alias("n_exact"), F.col("inkwell_near").alias("n_near"), F.col("inkwell_kept_in").alias("kept_in"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

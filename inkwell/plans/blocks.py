@@ -32,7 +32,7 @@ def health_regressions(spark, sf):
 
 
 def script_runs(spark, sf):
-    return B.script_runs(messy(spark, sf).select(F.col("doc_id").alias("id"), F.left("text", F.lit(300)).alias("text")).where(F.col("text").rlike(f"[{CJK}]")))
+    return B.script_runs(messy(spark, sf).select(F.col("doc_id").alias("id"), F.col("text")))
 
 
 def character_sets(spark, sf):
@@ -149,7 +149,7 @@ ORACLES = {
     "health_confidence": "SELECT CASE WHEN event_id % 7 = 0 OR user_id % 5 = 0 THEN 'low' WHEN user_id % 3 > 0 THEN 'medium' ELSE 'high' END AS confidence, count(*) AS n FROM events GROUP BY 1",
     "health_regressions": """WITH r AS (SELECT event_id, user_id % 12 AS host, ts, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 9 END AS m FROM events),
       b AS (SELECT *, last_value(CASE WHEN m > 0 THEN m END IGNORE NULLS) OVER (PARTITION BY host ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) SELECT event_id, host, before FROM b WHERE m = 0 AND before >= 5""",
-    "script_runs": f"""WITH {MESSY_SQL}, a AS (SELECT doc_id AS id, regexp_extract_all(left(text, 300), '[{CJK}]+|[^{CJK}]+') AS l FROM messy WHERE regexp_matches(left(text, 300), '[{CJK}]')) SELECT id, unnest(range(0, len(l))) AS place, unnest(l) AS run FROM a""",
+    "script_runs": f"""WITH {MESSY_SQL}, a AS (SELECT doc_id AS id, regexp_extract_all(text, '[{CJK}]+|[^{CJK}]+') AS l FROM messy) SELECT id, unnest(range(0, len(l))) AS place, unnest(l) AS run FROM a""",
     "character_sets": "WITH a AS (SELECT DISTINCT lang, unnest(list_distinct(string_split(text, ''))) AS c FROM documents) SELECT lang, count(*) AS n, max(c) AS last FROM a WHERE c <> '' GROUP BY 1",
     "bounding_boxes": "SELECT l_returnflag, l_linestatus, min(l_quantity) AS x0, min(l_discount) AS y0, max(l_quantity + l_linenumber) AS x1, max(l_discount + l_tax) AS y1 FROM lineitem GROUP BY 1, 2",
     "image_sizes": f"""WITH a AS (SELECT p_partkey, p_size * 30 - 90 AS w0, p_size * 17 AS h0 FROM part), b AS (SELECT p_partkey, CASE WHEN w0 > 0 THEN w0 ELSE {B.DEFAULT_SIZE[0]} END AS w, CASE WHEN w0 > 0 AND h0 > 0 THEN h0 ELSE {B.DEFAULT_SIZE[1]} END AS h FROM a)

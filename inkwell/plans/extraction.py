@@ -56,7 +56,7 @@ def normal_roles(spark, sf):
 
 
 def merge_adjacent(spark, sf):
-    rows = _messages(spark, sf).withColumn("role", F.when(F.col("role") == "system", "user").otherwise(F.col("role"))).where("turn % 3 <> 1")
+    rows = _messages(spark, sf).withColumn("role", F.when((F.col("role") == "system") | (F.col("turn") % 3 == 1), "user").otherwise(F.col("role")))
     return X.merge_adjacent(rows)
 
 
@@ -79,7 +79,7 @@ def chatdoc_qa(spark, sf):
 
 
 def demote_headings(spark, sf):
-    return _marked(spark, sf).where("turn % 3 > 0").select("conv_id", "turn", F.left(X.demote(F.col("text"), 2), F.lit(40)).alias("head"))
+    return _marked(spark, sf).select("conv_id", "turn", X.demote(F.col("text"), 2).alias("text"))
 
 
 def conversation_markdown(spark, sf):
@@ -197,13 +197,13 @@ ORACLES = {
       u AS (SELECT id, place, regexp_replace(CASE WHEN regexp_extract(token, '({X.LINK})', 1) <> '' THEN regexp_extract(token, '({X.LINK})', 1) ELSE token END, '{X.NOISE.replace(chr(39), chr(39) * 2)}', '') AS url FROM k) SELECT * FROM u WHERE regexp_matches(url, '{X.URL_START}')""",
     "normal_roles": """WITH a AS (SELECT lower(CASE WHEN turn % 5 = 4 THEN 'Model' WHEN turn % 7 = 6 THEN 'critic' ELSE role END) AS x FROM conversations),
       b AS (SELECT CASE WHEN x IN ('user', 'human') THEN 'user' WHEN x IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant' WHEN x IN ('system', 'tool', 'function') THEN NULL ELSE 'unknown' END AS r FROM a) SELECT r, count(*) AS n FROM b WHERE r IS NOT NULL GROUP BY 1""",
-    "merge_adjacent": f"""WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role, text FROM conversations WHERE turn % 3 <> 1), b AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS s FROM a),
+    "merge_adjacent": f"""WITH a AS (SELECT conv_id, turn, CASE WHEN role = 'system' OR turn % 3 = 1 THEN 'user' ELSE role END AS role, text FROM conversations), b AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS s FROM a),
       c AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS part FROM b) SELECT conv_id, part, role, count(*) AS turns, string_agg(text, '{NL}{NL}' ORDER BY turn) AS content FROM c GROUP BY 1, 2, 3""",
     "chatdoc_dialogue": f"""WITH {MARKED} SELECT conv_id, md5(string_agg('### ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'AI' ELSE 'Message' END || '{NL}{NL}' || {demoted(Q.trim("text"), 2)}, '{NL}{NL}' ORDER BY turn)) AS markdown FROM m GROUP BY 1""",
     "chatdoc_article": f"""WITH {MARKED}, a AS (SELECT conv_id, turn, CASE WHEN regexp_matches({Q.trim("text")}, '(?m)^#[{WS}]') THEN {demoted(Q.trim("text"), 1)} ELSE {Q.trim("text")} END AS p FROM m WHERE role = 'assistant') SELECT conv_id, md5(string_agg(p, '{NL}{NL}' ORDER BY turn)) AS markdown FROM a WHERE p <> '' GROUP BY 1""",
     "chatdoc_qa": f"""WITH {MARKED}, a AS (SELECT conv_id, arg_min({Q.trim("text")}, turn) FILTER (WHERE role = 'user') AS q, arg_min({Q.trim("text")}, turn) FILTER (WHERE role = 'assistant') AS a FROM m GROUP BY 1)
       SELECT conv_id, md5(concat_ws('{NL}{NL}', '## Question{NL}{NL}' || q, '## Answer{NL}{NL}' || {demoted("a", 1)})) AS markdown FROM a""",
-    "demote_headings": f"WITH {MARKED} SELECT conv_id, turn, left({demoted('text', 2)}, 40) AS head FROM m WHERE turn % 3 > 0",
+    "demote_headings": f"WITH {MARKED} SELECT conv_id, turn, {demoted('text', 2)} AS text FROM m",
     "conversation_markdown": f"""WITH {MARKED}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m), b AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '### User' WHEN 'assistant' THEN '### AI' ELSE '### Message' END || ' (' || n || '){NL}{NL}' || {Q.trim("text")}, '{NL}{NL}' ORDER BY turn) AS body FROM n GROUP BY 1)
       SELECT conv_id, md5('# ' || CASE WHEN conv_id % 4 = 0 THEN 'Conversation' ELSE 'Talk ' || conv_id END || '{NL}{NL}> Source: shared link, imported 2024-01-31{NL}{NL}' || body) AS markdown FROM b""",
     "last_answer": """WITH a AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT a.conv_id, a.turn, (SELECT max(c.turn) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn AND c.role = 'user') AS question FROM a""",

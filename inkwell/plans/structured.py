@@ -55,10 +55,35 @@ def encoding_candidates(spark, sf):
     return O.encoding_candidates(messy(spark, sf), F.col("text").rlike(LATIN_CJK))
 
 
-QUERIES = {f.__name__: f for f in (share_messages, embedded_json, doc_settings, stack_hash, navigation_junk, stats_report, encoding_candidates)}
+#: A fixed value: the test key of tickets.
+KEY = b"not a secret"
 
 
+def export_tickets(spark, sf):
+    e = read(spark, sf, "customer")
+    return e.select("c_custkey", O.tickets(F.concat(F.lit('{"u":'), F.col("c_custkey").cast("string"), F.lit("}")), KEY).alias("ticket"))
+
+
+def json_messages(spark, sf):
+    """Messages of three shapes in nested JSON, one in seven broken."""
+    c = read(spark, sf, "conversations")
+    one = F.to_json(F.struct(F.struct(F.col("role").alias("role")).alias("author"), F.struct(F.array("text").alias("parts")).alias("content")))
+    two, three = F.to_json(F.struct("role", "text")), F.to_json(F.struct("role", F.col("text").alias("content")))
+    item = F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, two).otherwise(three)
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("j")))), lambda s: s.j), ",")
+    rows = c.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit('{"a": 1, "data": {"items": [['), items, F.lit("]]"), F.when(F.col("conv_id") % 7 == 3, "").otherwise("}}")).alias("json"))
+    return O.json_messages(rows).select("id", "path", "role", "content")
+
+
+QUERIES = {f.__name__: f for f in (share_messages, embedded_json, doc_settings, stack_hash, navigation_junk, stats_report, encoding_candidates, export_tickets, json_messages)}
+
+
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
 ORACLES = {
+    "export_tickets": f"""WITH p AS (SELECT c_custkey, encode('{{"u":' || c_custkey || '}}') AS m FROM customer)
+      SELECT c_custkey, to_base64(m) || '.' || to_base64(unhex(sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || m))))) AS ticket FROM p""",
+    "json_messages": f"""WITH n AS (SELECT conv_id AS id, role, {Q.trim("text")} AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE conv_id % 7 <> 3)
+      SELECT id, '.000001.000000.000000.' || lpad(k::VARCHAR, 6, '0') AS path, role, content FROM n WHERE role <> 'system' AND content <> ''""",
     "share_messages": f"""WITH m AS (SELECT conv_id, turn, role, 'hm' AS think, {Q.trim("text")} AS content FROM conversations WHERE role <> 'system' AND {Q.trim("text")} <> ''), c AS (SELECT DISTINCT conv_id FROM conversations),
       e AS (SELECT c.conv_id, CASE WHEN conv_id % 11 = 5 THEN 'not_json' WHEN conv_id % 7 = 0 THEN 'refused' WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.conv_id = c.conv_id) THEN 'empty' END AS error FROM c)
       SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY turn) - 1 AS ord, role, content, NULL::VARCHAR AS error FROM m JOIN e USING (conv_id) WHERE e.error IS NULL UNION ALL SELECT conv_id, 0, NULL, NULL, error FROM e WHERE error IS NOT NULL""",

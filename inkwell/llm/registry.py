@@ -6,6 +6,7 @@ from .decontaminate import op8_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .lm_scoring import op4_lm_scoring
+from .oracles import OP2_SQL, OP8_SQL
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash
@@ -27,7 +28,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }

@@ -124,17 +124,18 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {k: out[k] for k in sorted(out)}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: the id, the columns named in ``keep``, lang_pred, score (cosine with the best prototype, 0 at least).
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per document: the id, the columns named in ``keep``, lang_pred, score (cosine with the best prototype, 0 at least); ``names``
+    gives the last two other names, for inputs that have such columns.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Of equal cosines the first language
     by name wins. Only the text is looked at. Repeated rows, null ids and very long texts are rows like any other.
     """
-    names = list(prototypes)
-    matrix = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]) if names else np.empty((0, DIMENSIONS))
+    languages = list(prototypes)
+    matrix = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in languages]) if languages else np.empty((0, DIMENSIONS))
     dimensions = matrix.shape[1]
     kept = docs.select(id_col, *keep, text_col)
-    schema = kept.drop(text_col).schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.drop(text_col).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(dimensions)
@@ -143,10 +144,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 codes, counts = space.grams(text or "")
                 best, score = UNDETERMINED, 0.0
-                if len(codes) and len(names):
+                if len(codes) and languages:
                     v = space.bundle(codes, counts).astype(np.float64)
                     cos = np.round(matrix @ v / (np.linalg.norm(v) or 1), 12)
-                    best, score = names[int(cos.argmax())], min(1.0, max(0.0, float(cos.max())))
+                    best, score = languages[int(cos.argmax())], min(1.0, max(0.0, float(cos.max())))
                 langs.append(best)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
@@ -168,7 +169,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: learns from the documents' own labels outside the held-out fold and keeps what has a language."""
     prototypes = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     columns = docs.columns
-    judged = identify(docs.withColumn("inkwell_text", F.col("text")), prototypes, text_col="inkwell_text", keep=tuple(c for c in columns if c != "doc_id"))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*columns)
+    judged = identify(docs.withColumn("inkwell_text", F.col("text")), prototypes, text_col="inkwell_text", keep=tuple(c for c in columns if c != "doc_id"), names=("inkwell_lang", "inkwell_score"))
+    return judged.where((F.col("inkwell_lang") != UNDETERMINED) & (F.col("inkwell_score") >= MIN_SCORE)).select(*columns)
 
 

@@ -33,10 +33,12 @@ K = 16
 WINDOWS = SIZE - K + 1
 #: Context bytes that are sorted at once; an anchor's contexts stay together.
 BLOCK = 1 << 20
+#: Documents within which a task thins out equal contexts before they are dealt.
+THIN = 1024
 #: Prefix length at which names need no further recursion: a power of 3 beyond SIZE.
 DEEP = 81
 
-ENTRY = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("left", "<u2"), ("right", "<u2")])
+ENTRY = np.dtype([("anchor", "<u4"), ("context", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("left", "<u2"), ("right", "<u2"), ("known", "u1")])
 
 
 def suffix_order(t: np.ndarray, covered: int = 1) -> np.ndarray:
@@ -137,16 +139,30 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
 def contexts(rows: DataFrame, count: int) -> DataFrame:
     """Packed contexts of all texts by their anchor. rows: row, doc, text (binary)."""
 
+    def thin(bucket: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Copies of a context that a smaller document here has too are known; they are dealt by their row, so that a context that many
+        documents share doesn't fill its anchor's bucket."""
+        order = np.lexsort((e["doc"], e["context"], e["anchor"]))
+        x = e[order]
+        head = np.flatnonzero(np.r_[True, (x["context"][1:] != x["context"][:-1]) | (x["anchor"][1:] != x["anchor"][:-1])])
+        later = order[x["doc"] > np.repeat(x["doc"][head], np.diff(np.r_[head, len(x)]))]
+        e["known"][later] = 1
+        bucket[later] = e["row"][later] % count
+        return bucket, e
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
+        for batch in (b.slice(i, THIN) for b in batches for i in range(0, b.num_rows, THIN)):
+            held = []
             for row, doc, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h, first, more, before, behind = anchors(data)
                 if len(h):
-                    out = np.empty(len(h), ENTRY)
+                    out = np.zeros(len(h), ENTRY)
                     out["anchor"], out["row"], out["doc"], out["start"], out["more"] = h & np.uint64(0xFFFFFFFF), row, doc, first, more
                     out["left"], out["right"] = before >> np.uint64(48), behind >> np.uint64(48)
                     out["context"] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + more + SIZE).tolist(), strict=True)]
-                    yield ((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out
+                    held.append((((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out))
+            if held:
+                yield thin(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return rows.mapInArrow(lambda batches: pack(entries(batches)), SCHEMA)
 
@@ -155,8 +171,19 @@ def resolve(packed: DataFrame) -> DataFrame:
     """Rows (row, doc, start, more, open): contexts that a smaller document has too (open null), and those of the smallest document
     where an anchor has several contexts and documents (open: a number of the anchor)."""
 
+    def marks(e: np.ndarray, whole: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+        number = (np.int64(bucket) << np.int64(32)) | e["anchor"].astype(np.int64)
+        for i in range(0, len(e), 1 << 16):
+            x, part = e[i : i + (1 << 16)], slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["doc"]), pa.array(x["start"].astype(np.int64)), pa.array(x["more"].astype(np.int32)), pa.array(number[part], mask=whole[part])], names=["row", "doc", "start", "more", "open"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, e in buckets(batches, ENTRY):
+            known = e["known"] == 1
+            yield from marks(e[known], np.ones(int(known.sum()), bool), bucket)
+            e = e[~known]
+            if not len(e):
+                continue
             e = e[np.lexsort((e["doc"], e["context"], e["anchor"]))]
             new_anchor = np.r_[True, e["anchor"][1:] != e["anchor"][:-1]]
             new_context = new_anchor | np.r_[True, e["context"][1:] != e["context"][:-1]]
@@ -180,10 +207,7 @@ def resolve(packed: DataFrame) -> DataFrame:
             take = later.copy()
             take[chosen[partner]] = True
             e, later = e[take], later[take]
-            number = (np.int64(bucket) << np.int64(32)) | e["anchor"].astype(np.int64)
-            for i in range(0, len(e), 1 << 16):
-                x, whole = e[i : i + (1 << 16)], later[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["doc"]), pa.array(x["start"].astype(np.int64)), pa.array(x["more"].astype(np.int32)), pa.array(number[i : i + (1 << 16)], mask=whole)], names=["row", "doc", "start", "more", "open"])
+            yield from marks(e, later, bucket)
 
     return by_bucket(packed).mapInArrow(run, "row long, doc long, start long, more int, open long")
 

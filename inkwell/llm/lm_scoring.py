@@ -4,144 +4,253 @@ A model of the target documents and one of the background (all documents) share
 in their counts. A token's loss difference is its log loss under the target model less that under the background
 model; a document's score is the mean over its tokens, so lower means closer to the target (Moore and Lewis, 2010).
 
-Tokens are code points: the most frequent ones of the corpus have ids of their own, others share the id 0, so a trigram is one
-of VOCABULARY^3 numbers and both models are arrays of known size, however large the corpus is. Counts cover all documents.
+Tokens are words (A-Z lower-cased, split at ASCII blanks), the models bigrams over a vocabulary of a stated size. The counts of
+unigrams are arrays of that size; those of bigrams grow with the corpus and stay distributed:
+
+1. every document is stored as token ids, in blocks of about BLOCK tokens;
+2. each block posts its distinct bigrams with their counts, dealt by bigram: a bigram has one posting a block, however common it is;
+3. the counts are added up, and each block is sent those of its bigrams whose counts other blocks have changed;
+4. each block scores its documents.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-#: Ids: 0 for other code points, 1 for the document's start, the rest by frequency.
-VOCABULARY = 128
+#: Ids of two bytes: 0 for words outside the vocabulary, 1 for the document's start, the rest by frequency.
+VOCABULARY = 1 << 16
 OTHER, START = 0, 1
-#: Code points of a text that are counted or scored at once.
-PART = 1 << 20
-
-
-def tokens(text: str, ids: np.ndarray) -> np.ndarray:
-    """Ids of a text behind two start tokens. ``ids``: token id by code point."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate(([START, START], ids[c])).astype(np.int32)
+#: Longer words (in bytes) are outside the vocabulary, so its size in bytes is bounded.
+LONGEST_WORD = 64
+#: Dirichlet smoothing: a bigram's count gains so many times its token's unigram probability, which has one added to each count.
+PRIOR = 50
+#: Tokens of a block, and bigram postings that a bucket is planned for.
+BLOCK, BUCKET = 1 << 21, 1 << 20
+#: Distinct words a task counts before it hands the counts on.
+KEPT_WORDS = 1 << 20
 
 
-def trigrams(t: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Numbers of the trigrams that end in each token of the text, PART at a time."""
-    for at in range(2, len(t), PART):
-        end = min(at + PART, len(t))
-        yield (t[at - 2 : end - 2] * size + t[at - 1 : end - 1]) * size + t[at:end]
+def words(text: bytes | None) -> list[bytes]:
+    """bytes.lower() changes A-Z only; bytes.split() parts at ASCII blanks."""
+    return (text or b"").lower().split()
 
 
-def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> np.ndarray:
-    """Token id by code point, from the frequencies of all code points of all texts (ties: the smaller code point first)."""
+def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
+    """Ids of the most frequent words of all texts (ties: the smaller word in bytes first). The driver gets ``size`` words at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0x110000, np.int64)
+        counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-                if len(c):
-                    part = np.bincount(c)
-                    counts[: len(part)] += part
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["c", "n"])
+                counts.update(words(text))
+                if len(counts) >= KEPT_WORDS:
+                    yield emit(counts)
+                    counts = Counter()
+        yield emit(counts)
 
-    found = docs.select(text_col).mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "c").limit(size - 2).collect()
-    ids = np.zeros(0x110000, np.uint8 if size <= 256 else np.uint32)
-    for i, r in enumerate(top):
-        ids[r["c"]] = i + 2
-    return ids
+    def emit(counts: Counter[bytes]) -> pa.RecordBatch:
+        kept = [w for w in counts if len(w) <= LONGEST_WORD]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([counts[w] for w in kept], pa.int64())], names=["w", "n"])
 
+    found = docs.select(F.encode(F.col(text_col), "UTF-8")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "w").limit(size - 2).collect()
+    return {bytes(r["w"]): i for i, r in enumerate(top, 2)}
 
-def count_models(docs: DataFrame, target: str, ids: np.ndarray, text_col: str = "text", size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram counts (target, background) over all rows; ``target``: a boolean column. Each task counts its rows into two arrays
-    and returns what isn't zero; Spark adds these by trigram. The driver gets size^3 sums at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sums = [np.zeros(size**3, np.int32) for _ in range(2)], 0
+def tokenised(docs: DataFrame, targets: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+    """Stored rows (block, id, wanted, tokens): each document's token ids, two bytes each. Token ids are joined with the targets, not texts."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
         for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part in trigrams(tokens(text or "", ids), size):
-                    g, n = np.unique(part, return_counts=True)
-                    seen[1][g] += n
-                    if wanted:
-                        seen[0][g] += n
-                    sums += len(part)
-                if sums > 1 << 30:  # before a 32-bit count can overflow
-                    yield emit(seen)
-                    seen, sums = [np.zeros(size**3, np.int32) for _ in range(2)], 0
-        yield emit(seen)
-
-    def emit(seen: list[np.ndarray]) -> pa.RecordBatch:
-        at = np.flatnonzero(seen[1])
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at], pa.int64()) for x in seen)], names=["g", "t", "b"])
-
-    rows = docs.select(F.col(text_col), F.col(target)).mapInArrow(run, "g int, t long, b long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    got = rows.toArrow()
-    out = np.zeros((2, size**3), np.int64)
-    for k, name in enumerate(("t", "b")):
-        out[k, got["g"].to_numpy()] = got[name].to_numpy()
-    return out[0], out[1]
-
-
-def log_model(counts: np.ndarray, size: int = VOCABULARY) -> np.ndarray:
-    """Natural log probability of every trigram's last token: Witten-Bell interpolation of trigram, bigram, unigram and uniform."""
-    tri = counts.reshape(size * size, size).astype(np.float64)
-    bi = tri.reshape(size, size, size).sum(axis=0)
-    uni = bi.sum(axis=0)
-
-    def mix(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        return np.where(total > 0, (c + kinds * lower) / np.maximum(total + kinds, 1), lower)
-
-    p = mix(uni, np.full(size, 1 / size))
-    p = mix(bi, p[None, :])
-    p = mix(tri, np.tile(p, (size, 1)))
-    return np.log(p).astype(np.float32).reshape(-1)
-
-
-def score(docs: DataFrame, target_counts: np.ndarray, background_counts: np.ndarray, ids: np.ndarray, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """One row per document: id, n_tokens, target_loss, background_loss (nats a token), score (their difference, in nats a
-    token). A null or empty text has no tokens and null losses. Rows are as in the input, repeated ones and null ids included."""
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast((log_model(target_counts, size), log_model(background_counts, size), ids))  # 8 * size^3 bytes
+            out = [np.fromiter((get(w, OTHER) for w in words(text)), "<u2").tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "tokens"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            blocks = []
+            for size in (len(x) // 2 for x in batch.column(2).to_pylist()):
+                if held and held + size > BLOCK:
+                    block, held = block + 1, 0
+                held += size
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], names=["block", "id", "wanted", "tokens"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    coded = rows.mapInArrow(encode, f"id {kind}, tokens binary")
+    wanted = targets.select(F.col(targets.columns[0]).alias("target_id")).dropna().distinct()
+    marked = coded.join(wanted, F.col("id") == F.col("target_id"), "left").select("id", F.col("target_id").isNotNull().alias("wanted"), "tokens")
+    return stored(marked.mapInArrow(deal, f"block long, id {kind}, wanted boolean, tokens binary"), "lm-tokens")
+
+
+def grams(tokens: np.ndarray) -> np.ndarray:
+    """Bigrams that end in each token, the first one behind START: history << 16 | token."""
+    t = tokens.astype(np.uint32)
+    return np.concatenate((np.array([START], np.uint32), t[:-1])) << np.uint32(16) | t if len(t) else t
+
+
+def counted(parts: list[np.ndarray], wanted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in order, and their counts in the target and in all documents."""
+    g, b = np.unique(np.concatenate(parts), return_counts=True)
+    t = np.zeros(len(g), np.int64)
+    if any(wanted):
+        at, n = np.unique(np.concatenate([p for p, w in zip(parts, wanted, strict=True) if w]), return_counts=True)
+        t[np.searchsorted(g, at)] = n
+    return g, t, b.astype(np.int64)
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each block; rows of a block follow each other."""
+    at, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["block"] != at:
+                yield at, held
+                held = []
+            at = row["block"]
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def unigrams(base: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+    """Array [target or background, as a token or as a history, id] of counts over all documents: ``size`` rows for the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background, token = models.value
+        sums = np.zeros((4, size), np.int64)
+        for batch in batches:
+            for wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = np.frombuffer(data, "<u2")
+                if len(t):
+                    token, history = np.bincount(t, minlength=size), np.bincount(t[:-1], minlength=size)
+                    history[START] += 1
+                    for k in (0, 2) if wanted else (2,):
+                        sums[k] += token
+                        sums[k + 1] += history
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(s[at]) for s in sums)], names=["i", *names])
+
+    names = ["target", "target_history", "background", "background_history"]
+    rows = base.select("wanted", "tokens").mapInArrow(run, "i int, " + ", ".join(f"{n} long" for n in names))
+    got = rows.groupBy("i").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    out = np.zeros((4, size), np.int64)
+    for k, n in enumerate(names):
+        out[k, got["i"].to_numpy()] = got[n].to_numpy()
+    return out.reshape(2, 2, size)
+
+
+def corpus_counts(base: DataFrame, total: int) -> DataFrame:
+    """Rows (block, grams, target, background): for each block those of its bigrams that other blocks hold too, with the counts over all blocks."""
+    n_buckets = max(8, -(-total // BUCKET))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in by_block(batches):
+            parts = [grams(np.frombuffer(r["tokens"], "<u2")) for r in rows]
+            if not sum(map(len, parts)):
+                continue
+            g, t, b = counted(parts, [r["wanted"] for r in rows])
+            bucket = ((g * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(n_buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            g, t, b, bucket = g[order], t[order], b[order], bucket[order]
+            at, first = np.unique(bucket, return_index=True)
+            cuts = list(zip(first, [*first[1:], len(g)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([block] * len(at), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (g.astype("<u4"), t.astype("<u4"), b.astype("<u4")))], names=["bucket", "block", *fields])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                t = tokens(text or "", token)
-                n, a, b = len(t) - 2, 0.0, 0.0
-                for g in trigrams(t, size):
-                    a -= float(target[g].sum(dtype=np.float64))
-                    b -= float(background[g].sum(dtype=np.float64))
-                rows.append((n, a / n, b / n, (a - b) / n) if n else (0, None, None, None))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.float64()] * 3], strict=True))], names=schema.names)
-
-    kept = docs.select(id_col, text_col)
-    schema = kept.drop(text_col).schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double")
-    return kept.mapInArrow(run, schema)
+            for row in batch.to_pylist():
+                if held and row["bucket"] != at:
+                    yield from answers(held)
+                    held = []
+                at = row["bucket"]
+                held.append(row)
+        if held:
+            yield from answers(held)
+
+    def answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        g = np.concatenate([np.frombuffer(r["grams"], "<u4") for r in rows])
+        kinds, at = np.unique(g, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([np.frombuffer(r[f], "<u4") for r in rows]), len(kinds)).astype("<i8") for f in fields[1:]]
+        shared = np.bincount(at, minlength=len(kinds)) > 1
+        out, i = [], 0
+        for r in rows:
+            j = i + len(r["grams"]) // 4
+            mine = at[i:j][shared[at[i:j]]]
+            if len(mine):
+                out.append((r["block"], kinds[mine].astype("<u4").tobytes(), *(s[mine].tobytes() for s in sums)))
+            i = j
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["block", *fields])
+
+    fields = ["grams", "target", "background"]
+    wire = ", ".join(f"{f} binary" for f in fields)
+    posted = base.select("block", "wanted", "tokens").mapInArrow(post, f"bucket int, block long, {wire}")
+    return posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, f"block long, {wire}")
+
+
+def losses(g: np.ndarray, count: np.ndarray, token: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """Log loss, in nats, of each bigram's token under one model."""
+    v, w = g >> np.uint32(16), g & np.uint32(0xFFFF)
+    low = (token[w] + 1) / (token.sum() + len(token))
+    return -np.log((count + PRIOR * low) / (history[v] + PRIOR))
+
+
+def score(base: DataFrame, counts: DataFrame, singles: np.ndarray, id_col: str) -> DataFrame:
+    """Scores each block's documents with its own bigram counts, replaced by those of all blocks where ``counts`` has them."""
+    ones = base.sparkSession.sparkContext.broadcast(singles)  # 32 bytes a word of the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_block(batches):
+            docs, sent = [r for r in rows if r["tokens"] is not None], [r for r in rows if r["tokens"] is None]
+            parts = [grams(np.frombuffer(r["tokens"], "<u2")) for r in docs]
+            sizes = np.array([len(p) for p in parts])
+            found = [np.full(len(docs), np.nan) for _ in range(2)]
+            if sizes.sum():
+                g, *count = counted(parts, [r["wanted"] for r in docs])
+                for r in sent:
+                    at = np.searchsorted(g, np.frombuffer(r["grams"], "<u4"))
+                    for c, f in zip(count, ("target", "background"), strict=True):
+                        c[at] = np.frombuffer(r[f], "<i8")
+                at = np.searchsorted(g, np.concatenate(parts))
+                full = np.flatnonzero(sizes)
+                first = np.r_[0, np.cumsum(sizes[full])[:-1]]
+                for k in range(2):
+                    found[k][full] = np.add.reduceat(losses(g, count[k], *ones.value[k])[at], first) / sizes[full]
+            a, b = found
+            columns = [pa.array([r["id"] for r in docs], ids), pa.array(sizes, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (a, b, a - b))]
+            if docs:
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    schema = base.select(F.col("id").alias(id_col)).schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double")
+    ids = base.select("id").limit(0).toArrow().schema.field("id").type
+    both = base.unionByName(counts, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores all documents against the target made up by the ids in ``targets`` (one column, of any size; repeated and null ids
-    count once and not at all). Without targets, or with an empty table, both models are the uniform one for the target and the
-    corpus for the background."""
-    wanted = targets.select(F.col(targets.columns[0]).alias("inkwell_id")).dropna().distinct().withColumn("wanted", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("inkwell_doc"), F.col(text_col).alias("text")).join(wanted, F.col("inkwell_doc") == F.col("inkwell_id"), "left")
-    ids = shared_vocabulary(docs, text_col)
-    target, background = count_models(marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted")), "wanted", ids)
-    return score(docs, target, background, ids, id_col, text_col)
+    """One row per document: id, n_tokens, target_loss, background_loss (nats a token), score (their difference).
+
+    ``targets``: ids of the target's documents (one column, of any size; repeated ids count once, null ids not at all). Without targets
+    the target's model is the uniform one. A null, empty or blank text has no tokens and null losses. Repeated rows and null ids
+    are rows like any other, and each counts in the models; very long texts are a block of their own; other columns aren't read.
+    An empty table gives an empty result."""
+    base = tokenised(docs, targets, shared_vocabulary(docs, text_col), id_col, text_col)
+    singles = unigrams(base)
+    return score(base, corpus_counts(base, int(singles[1, 0].sum())), singles, id_col)
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

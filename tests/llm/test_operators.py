@@ -125,29 +125,31 @@ def test_op4_prefers_the_target(spark, docs, empty):
     assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
 
 
-def test_op4_losses_match_a_plain_model(spark):
-    """Counts and smoothing, recomputed with dictionaries."""
-    texts = {1: "abab", 2: "abcabc", 3: "zz"}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(1,)], "doc_id long")).collect()}
-    ids = lm_scoring.shared_vocabulary(df)
-    v = lm_scoring.VOCABULARY
-
-    def loss(train, text):
-        grams = [tuple(t[i : i + 3]) for x in train for t in [[1, 1] + [int(ids[ord(c)]) for c in x]] for i in range(len(x))]
-
-        def p(context, w, n):
-            seen = [g for g in grams if g[3 - n : 2] == context] if n > 1 else grams
-            kinds, total = len({g[2] for g in seen}), len(seen)
-            lower = p(context[1:], w, n - 1) if n > 1 else 1 / v
-            return (sum(g[2] == w for g in seen) + kinds * lower) / (total + kinds) if total else lower
-
-        t = [1, 1] + [int(ids[ord(c)]) for c in text]
-        return -sum(np.log(p((t[i], t[i + 1]), t[i + 2], 3)) for i in range(len(text))) / len(text)
-
-    for d, t in texts.items():
-        assert got[d]["target_loss"] == pytest.approx(loss([texts[1]], t), rel=1e-4)
-        assert got[d]["background_loss"] == pytest.approx(loss(list(texts.values()), t), rel=1e-4)
+@pytest.mark.parametrize(("block", "vocabulary"), [(1 << 21, 1 << 16), (4, 1 << 16), (4, 5)])
+def test_op4_losses_match_a_plain_model(spark, block, vocabulary, monkeypatch):
+    """Counts and smoothing, recomputed with dictionaries; small blocks share bigrams, a small vocabulary leaves words out."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)
+    make = lm_scoring.shared_vocabulary
+    monkeypatch.setattr(lm_scoring, "shared_vocabulary", lambda df, text_col: make(df, text_col, vocabulary))
+    texts = [(1, "a b A\tb"), (2, "a b c a b c"), (3, "zz"), (None, "a b"), (4, "b a b a b a " * 5), (5, "a b a b"), (5, "a b a b"), (6, None), (7, " \n"), (8, "x" * 70 + " a"), (9, "É é a")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = rows(lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(1,), (5,), (8,), (None,), (77,)], "doc_id long")), "doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    ids = make(df, "text", vocabulary)
+    coded = [(d, [ids.get(w, 0) for w in (t or "").encode().lower().split()]) for d, t in texts]
+
+    def loss(train, t):
+        grams = [g for x in train for g in zip([1, *x], x, strict=False)]
+        p = lambda v, w: (grams.count((v, w)) + lm_scoring.PRIOR * (sum(g[1] == w for g in grams) + 1) / (len(grams) + lm_scoring.VOCABULARY)) / (sum(g[0] == v for g in grams) + lm_scoring.PRIOR)
+        return -sum(np.log(p(v, w)) for v, w in zip([1, *t], t, strict=False)) / len(t)
+
+    want = []
+    for d, t in coded:
+        a, b = (loss([x for i, x in coded if i in (1, 5, 8)], t), loss([x for _, x in coded], t)) if t else (None, None)
+        want.append((d, len(t), a, b, a - b if t else None))
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=str), strict=True):
+        assert g[:2] == w[:2]
+        assert g[2:] == pytest.approx(w[2:], rel=1e-9, abs=1e-12) if w[2] is not None else g[2:] == w[2:]
 
 
 def test_op5_matches_brute_force(docs, empty):

@@ -15,7 +15,7 @@ unigrams are arrays of that size; those of bigrams grow with the corpus and stay
 
 from __future__ import annotations
 
-from collections import Counter
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,6 @@ LONGEST_WORD = 64
 PRIOR = 50
 #: Tokens of a block, and bigram postings that a bucket is planned for.
 BLOCK, BUCKET = 1 << 21, 1 << 20
-#: Distinct words a task counts before it hands the counts on.
-KEPT_WORDS = 1 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -46,24 +44,10 @@ def words(text: bytes | None) -> list[bytes]:
 
 def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
     """Ids of the most frequent words of all texts (ties: the smaller word in bytes first). The driver gets ``size`` words at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-                if len(counts) >= KEPT_WORDS:
-                    yield emit(counts)
-                    counts = Counter()
-        yield emit(counts)
-
-    def emit(counts: Counter[bytes]) -> pa.RecordBatch:
-        kept = [w for w in counts if len(w) <= LONGEST_WORD]
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([counts[w] for w in kept], pa.int64())], names=["w", "n"])
-
-    found = docs.select(F.encode(F.col(text_col), "UTF-8")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "w").limit(size - 2).collect()
-    return {bytes(r["w"]): i for i, r in enumerate(top, 2)}
+    lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
+    found = docs.select(F.explode(F.split(lower, r"[\x09-\x0D\x20]+")).alias("w")).where(F.octet_length("w").between(1, LONGEST_WORD))
+    top = found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size - 2).collect()
+    return {r["w"].encode(): i for i, r in enumerate(top, 2)}
 
 
 def tokenised(docs: DataFrame, targets: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:

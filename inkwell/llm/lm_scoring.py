@@ -34,7 +34,7 @@ LONGEST_WORD = 64
 #: Dirichlet smoothing: a bigram's count gains so many times its token's unigram probability, which has one added to each count.
 PRIOR = 50
 #: Tokens of a block, and bigram postings that a bucket is planned for.
-BLOCK, BUCKET = 1 << 21, 1 << 20
+BLOCK, BUCKET = 1 << 20, 1 << 19
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -43,11 +43,20 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids of the most frequent words of all texts (ties: the smaller word in bytes first). The driver gets ``size`` words at most."""
+    """Ids of the words of all texts that are frequent enough, the most frequent first (ties: by text). The least frequency is the
+    smallest for which all words that have it fit into ``size``. The driver gets ``size`` words at most."""
     lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
     found = docs.select(F.explode(F.split(lower, r"[\x09-\x0D\x20]+")).alias("w")).where(F.octet_length("w").between(1, LONGEST_WORD))
-    top = found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size - 2).collect()
-    return {r["w"].encode(): i for i, r in enumerate(top, 2)}
+    counts = stored(found.groupBy("w").agg(F.count("*").alias("n")), "lm-words")
+    # how many words have each count: as many rows as the counts differ, and only as many as there can be ids
+    least, room = None, size - 2
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = counts.where(F.col("n") >= least).collect() if least else []
+    return {r["w"].encode(): i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["w"])), 2)}
 
 
 def tokenised(docs: DataFrame, targets: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:

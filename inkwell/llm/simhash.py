@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored, table
+from .near_copies import near_copies
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -157,11 +158,11 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays.
+    """Pipeline stage: of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
 
     An id goes if any of its rows is in a group with a smaller id; rows with equal ids stay or go together. Rows without an id go
     where their group has an id, and stay otherwise.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
+    groups = near_copies(docs.select("doc_id", "text"))
     gone = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("inkwell_gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("inkwell_gone")), "left_anti")

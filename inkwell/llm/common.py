@@ -16,15 +16,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that local sessions without spark.checkpoint.dir use, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset a local session gets a temporary folder, and a cluster
+    an error: its executors don't share the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
+        found = _LOCAL[context.applicationId]
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as df's columns (whatever their case) leave it no other way."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
@@ -33,17 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph ``edges`` (a, b): rows (node, component), the smallest node of each.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every round re-hangs each node's
     neighbours on the smallest node it sees, so a path of length n takes about log n rounds. No node's neighbours are
     collected: the minimum is a partial aggregate and the join back is split by AQE where a node is hot.
-    Each round is stored in the shared folder. Nodes without an edge do not appear; a self loop counts as none.
+    Each round is stored in the shared folder. Nodes without an edge do not appear; a self loop counts as none. Nodes are of any type
+    that has an order.
     """
     now = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: neighbours above u hang on the smallest node around u (u included)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -58,4 +80,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,10 +1,15 @@
 """Operator 10: line deduplication by a segment-partition edit join.
 
-Lines within edit distance MAX_EDITS of each other are near-duplicates. A line cut into MAX_EDITS + 1 segments has a segment
-that such a partner holds unchanged near the same place (pigeonhole). Every line is indexed under (its length, segment number,
-segment) and probes the indexes of its own and slightly smaller lengths with the substrings at which the segment may
-start (multi-match-aware selection; Li et al., Pass-Join, 2011). Pairs that meet are verified by a banded bit-parallel
-edit distance. Lines and their near-duplicates form classes; the first line of a class in document order is kept.
+Lines whose edit distance is at most edits(n), n being the length of the shorter one, are near-duplicates. A line is cut into
+edits(n) + 1 segments, so such a partner holds one of them unchanged near the same place (pigeonhole). Pairs that meet are
+verified by a banded bit-parallel edit distance. Lines and their near-duplicates form classes; the first line of a class in
+document order is kept.
+
+* Lines below LONG characters: every line is indexed under (its length, segment number, segment) and probes the indexes of its own
+  and slightly smaller lengths with the substrings at which the segment may start (multi-match-aware selection; Li et al., Pass-Join, 2011).
+* Longer lines have thresholds for which these substrings would be too many (their number grows with the cube of the threshold). Each of
+  their segments is indexed under its anchor, the least hash among the first WINDOW strings of K bytes in it, and a line probes with the
+  anchors of all its stretches of that length, among which is that of any segment it holds; length and place are compared.
 """
 
 from __future__ import annotations
@@ -15,15 +20,21 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, components, stored, table
-from .packed import SCHEMA, buckets, by_bucket, n_buckets, pack
+from .common import BLANKS, components, fresh, stored
+from .packed import SCHEMA, Deal
 
+#: Edits allowed below LONG characters; from there on one for each SHARE characters.
 MAX_EDITS = 2
-#: Lines with fewer characters than this are never removed: they repeat by chance.
+SHARE, LONG = 64, 192
+#: Lines with fewer characters have no near-duplicates, only exact copies: their segments are too short to tell anything.
 MIN_CHARS = 20
+#: Anchors of long lines. The first segment of a line of LONG characters or more has (LONG - 3) / 4 characters at least.
+K, WINDOW = 16, 32
+#: Bytes of long lines whose anchors are found at once.
+CHUNK = 1 << 22
 #: Lists longer than this are compared as groups (see grouped_links) instead of as pairs.
 PAIRWISE = 64
 #: Lines of a group that one task compares with each other.
@@ -32,7 +43,15 @@ BLOCK = 2000
 BROADCAST_LINES = 1_000_000
 
 PLACES = 1 << (4 * np.arange(8))
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("n", "<u4"), ("at", "<u4"), ("index", "u1")])
+
+
+def edits(n: int) -> int:
+    return MAX_EDITS if n < LONG else n // SHARE
+
+
+def edits_of(n: np.ndarray) -> np.ndarray:
+    return np.where(n < LONG, MAX_EDITS, n // SHARE).astype(np.int64)
 
 
 def within(a: str, b: str, k: int = MAX_EDITS) -> bool:
@@ -104,7 +123,7 @@ def signature(line: str) -> int:
     return int(n @ PLACES)
 
 
-def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, k: np.ndarray | int = MAX_EDITS) -> np.ndarray:
     """Whether two signatures allow a distance of at most k."""
     total = np.zeros(np.broadcast(a, b).shape, np.int64)
     for i in range(8):
@@ -113,75 +132,137 @@ def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
     return total <= 2 * k
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, text_hash, no, line, a, b): lines of MIN_CHARS characters or more that have a word, with two 64-bit hashes."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    rows = rows.where((F.length("line") >= MIN_CHARS) & (F.btrim("line", F.lit(BLANKS)) != ""))
-    return rows.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two entries allow their lines to be near-duplicates: lengths, places (in bytes, up to 4 a character) and signatures."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    k = edits_of(np.minimum(n, m))
+    near = (np.abs(n - m) <= k) & (np.abs(x["at"].astype(np.int64) - y["at"]) <= 4 * k)
+    return near & (x["ref"] != y["ref"]) & ((x["index"] | y["index"]) == 1) & alike(x["sig"], y["sig"], k)
 
 
-def postings(docs: DataFrame, text_col: str, count: int) -> DataFrame:
-    """Packed index and probe entries of all lines, each distinct line of a batch once."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc, text_hash, no, line, a, b): lines that have a word, with two 64-bit hashes."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
+    return rows.where(F.btrim("line", F.lit(BLANKS)) != "").select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+
+
+def anchored(data: list[bytes], chars: list[int]) -> tuple[np.ndarray, ...]:
+    """(hash, line, place in bytes, whether a segment's own) of the anchors of long lines: all that a line probes with."""
+    size = np.array([len(x) for x in data])
+    begin = np.r_[0, np.cumsum(size + 1)[:-1]]
+    text = b"\n".join(data) + b"\n" * (K + WINDOW)
+    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + (words[8:] ^ (words[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    # the least (hash, place) of each WINDOW strings; places break ties, so the leftmost of equal strings wins
+    bits = np.uint64(len(h).bit_length())
+    least, span = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
+    while span < WINDOW:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    # a stretch of WINDOW strings lies in one line if it starts this far from the line's end
+    line = np.repeat(np.arange(len(data)), np.maximum(size - (K + WINDOW - 2), 0))
+    first = np.cumsum(np.r_[0, np.maximum(size - (K + WINDOW - 2), 0)])[:-1]
+    start = np.arange(len(line)) - first[line] + begin[line]
+    at = least[start]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (line[1:] != line[:-1])])
+    line, at = line[new], at[new]
+    # segments start at every (k + 1)th part of a line's characters
+    lead = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    rank = np.searchsorted(lead, begin)
+    parts = edits_of(np.array(chars)) + 1
+    owner = np.repeat(np.arange(len(data)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, parts])[:-1], parts)
+    own = np.unique(least[lead[rank[owner] + number * np.array(chars)[owner] // parts[owner]]])
+    return h[at], line, at - begin[line], np.isin(at, own)
+
+
+def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
+    """Packed index and probe entries of all lines of MIN_CHARS characters or more, each distinct line of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[list, list]] = {}
         digest = xxhash.xxh3_64_intdigest
 
+        def plan_of(n: int) -> tuple[list, list]:
+            if n not in plans:
+                found = [x for x in probes(n) if x[0] < LONG]
+                plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in found], [own for *_, own in found]
+            return plans[n]
+
+        def packed(h: np.ndarray, lines: list[str], data: list[bytes], of: np.ndarray, place: np.ndarray | int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = np.empty(len(h), ENTRY)
+            out["key"], out["at"], out["index"] = h & np.uint64(0xFFFFFFFF), place, own
+            out["n"] = np.array([len(x) for x in lines], np.uint32)[of]
+            out["sig"] = np.array([signature(x) for x in lines], np.uint32)[of]
+            out["ref"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in data], np.uint64).view(np.int64)[of]
+            return ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
+
+        def short(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            keys, owns, each = [], [], []
+            for line in lines:
+                plan, own = plan_of(len(line))
+                keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
+                owns += own
+                each.append(len(plan))
+            return packed(np.array(keys, np.uint64), lines, [x.encode() for x in lines], np.repeat(np.arange(len(lines)), each), 0, np.array(owns, bool))
+
+        def long(lines: list[str], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            h, of, place, own = anchored(data, [len(x) for x in lines])
+            return packed(h * np.uint64(0x9E3779B97F4A7C15), lines, data, of, place, own)
+
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                seen = {x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
-                keys, owns, each = [], [], []
-                for line in seen:
-                    n = len(line)
-                    if n not in plans:
-                        plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in probes(n)], [own for *_, own in probes(n)]
-                    plan, own = plans[n]
-                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
-                    owns += own
-                    each.append(len(plan))
-                h = np.array(keys, np.uint64)
-                out = np.empty(len(h), ENTRY)
-                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), owns
-                out["sig"] = np.repeat(np.array([signature(x) for x in seen], np.uint32), each)
-                out["ref"] = np.repeat(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in seen], np.uint64).view(np.int64), each)
-                yield ((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out
-
-        yield from pack(entries())
+                seen = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)})
+                # lines just beyond LONG may be within MAX_EDITS of one just below it
+                if lines := [x for x in seen if len(x) < LONG + MAX_EDITS]:
+                    yield short(lines)
+                held, data, size = [], [], 0
+                for x in seen:
+                    if len(x) >= LONG:
+                        held.append(x)
+                        data.append(x.encode())
+                        size += len(data[-1])
+                        if size >= CHUNK:
+                            yield long(held, data)
+                            held, data, size = [], [], 0
+                if held:
+                    yield long(held, data)
+
+        yield from deal.pack(entries())
 
     return docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, SCHEMA)
 
 
-def candidates(packed: DataFrame) -> DataFrame:
-    """Rows (a, b, gid): pairs of lines that meet under a key and whose signatures allow it (gid null), or, for lists longer than
-    PAIRWISE, the lines a of the list gid (b null)."""
+def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
+    """Rows (a, b, gid): pairs of lines that meet under a key and whose entries allow it (gid null), or, for lists longer than
+    PAIRWISE, the lines a of the list gid (b null). A list ends where the lengths of its lines lie too far apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, e in buckets(batches, ENTRY):
-            e = e[np.argsort(e["key"], kind="stable")]
-            first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
+        for bucket, e in deal.buckets(batches):
+            e = e[np.lexsort((e["n"], e["key"]))]
+            n = e["n"].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, (e["key"][1:] != e["key"][:-1]) | (np.diff(n) > edits_of(n[:-1]))])
             last = np.r_[first[1:], len(e)]
             left, right, group, member = [], [], [], []
             two = first[last - first == 2]
             x, y = e[two], e[two + 1]
-            good = (x["ref"] != y["ref"]) & ((x["index"] | y["index"]) == 1) & alike(x["sig"], y["sig"])
+            good = may_link(x, y)
             left.append(x["ref"][good])
             right.append(y["ref"][good])
             for i in np.flatnonzero(last - first > 2):
-                refs, at = np.unique((run := e[first[i] : last[i]])["ref"], return_index=True)
-                if len(refs) < 2:
+                one = e[first[i] : last[i]]
+                if not one["index"].any():
                     continue
-                own = np.zeros(len(refs), bool)
-                own[np.searchsorted(refs, run["ref"][run["index"] == 1])] = True
-                if not own.any():
-                    continue
-                if len(refs) > PAIRWISE:
-                    group.append(np.full(len(refs), (bucket << 32) | int(run["key"][0]), np.int64))
+                if len(one) <= PAIRWISE:
+                    p, q = np.nonzero(np.triu(may_link(one[:, None], one[None, :]), 1))
+                    left.append(one["ref"][p])
+                    right.append(one["ref"][q])
+                elif len(refs := np.unique(one["ref"])) > 1:
+                    name = xxhash.xxh64_intdigest(f"{bucket} {one['key'][0]} {one['n'][0]}") >> 1
+                    group.append(np.full(len(refs), name, np.int64))
                     member.append(refs)
-                    continue
-                sig = run["sig"][at]
-                p, q = np.nonzero(np.triu((own[:, None] | own[None, :]) & alike(sig[:, None], sig[None, :]), 1))
-                left.append(refs[p])
-                right.append(refs[q])
             a, b = np.concatenate(left), np.concatenate(right)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             n, m = pairs.shape[1], sum(map(len, member))
@@ -189,20 +270,34 @@ def candidates(packed: DataFrame) -> DataFrame:
             none = np.arange(n + m) >= n
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=none), pa.array(columns[2], mask=~none)], names=["a", "b", "gid"])
 
-    return by_bucket(packed).mapInArrow(run, "a long, b long, gid long")
+    return deal.rows(posted).mapInArrow(run, "a long, b long, gid long")
+
+
+def linked(a: str, b: str) -> bool:
+    return within(a, b, edits(min(len(a), len(b))))
+
+
+#: Links between lines, each named by both of its hashes (the candidates know one of them).
+LINKS = "a struct<a:long,b:long>, b struct<a:long,b:long>"
+
+
+def names(pairs: list[tuple[tuple[int, int], tuple[int, int]]]) -> pa.RecordBatch:
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array([{"a": p[i][0], "b": p[i][1]} for p in pairs], kind) for i in range(2)], names=["a", "b"])
 
 
 def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are within MAX_EDITS."""
+    """The pairs whose texts are near-duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            if good := [((a, a2), (b, b2)) for a, a2, b, b2, x, y in rows if linked(x, y)]:
+                yield names(good)
 
-    x = texts.select(F.col("a").alias("a"), F.col("line").alias("x"))
-    y = texts.select(F.col("a").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x = texts.select("a", F.col("b").alias("a2"), F.col("line").alias("x"))
+    y = texts.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("line").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "a2", "b", "b2", "x", "y").mapInArrow(run, LINKS)
 
 
 def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -211,41 +306,44 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     A list is dealt into blocks of about BLOCK lines, and a task compares one pair of blocks. It skips pairs that its earlier
     links connect, so a list of variants of one line takes about one comparison a line."""
 
-    def connect(rows: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        sig = np.array([signature(x) for _, x in rows], np.uint32)
+    def connect(rows: list[tuple[int, int, str]]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+        sig, size = np.array([signature(x) for *_, x in rows], np.uint32), np.array([len(x) for *_, x in rows])
         label = np.arange(len(rows))
-        for u in range(len(rows)):
-            open_ = np.flatnonzero(alike(sig[:u], sig[u]) & (label[:u] != label[u]))
+        for u in range(1, len(rows)):
+            k = edits_of(np.minimum(size[:u], size[u]))
+            open_ = np.flatnonzero((np.abs(size[:u] - size[u]) <= k) & (label[:u] != label[u]) & alike(sig[:u], sig[u], k))
             while len(open_):
                 v = open_[0]
-                if within(rows[v][1], rows[u][1]):
-                    yield rows[v][0], rows[u][0]
+                if linked(rows[v][2], rows[u][2]):
+                    yield rows[v][:2], rows[u][:2]
                     label[label == label[u]] = label[v]
                     open_ = open_[1:][label[open_[1:]] != label[u]]
                 else:
                     open_ = open_[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
         for _, group in groupby(rows, key=lambda r: r[:3]):
             if found := list(connect([r[3:] for r in group])):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield names(found)
 
     sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "gid").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.select("gid", "a", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a").join(texts.select("a", "line"), "a")
-    return dealt.select("gid", "i", "j", "a", "line").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a").mapInArrow(run, "a long, b long")
+    dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a").join(texts, "a")
+    return dealt.select("gid", "i", "j", "a", "b", "line").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a", "b").mapInArrow(run, LINKS)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct line that occurs more than once or has a near-duplicate: a, b (its hashes), doc, text_hash, no (the place
     of its class's first line), near (the class has several distinct lines)."""
     lines = lines_of(docs, id_col, text_col)
-    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"))
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"), F.first(F.length("line")).alias("size"))
     first = stored(first, "lines")
-    packed = postings(docs, text_col, n_buckets(first.count() * 12))
-    found = stored(candidates(packed), "line-candidates")
+    # entries: 12 for a short line; the anchors of WINDOW strings lie (WINDOW + 1) / 2 bytes apart
+    expected = F.when(F.col("size") < MIN_CHARS, 0).when(F.col("size") < LONG, 12).otherwise(2 * F.col("size") / (WINDOW + 1))
+    deal = Deal(int(first.agg(F.coalesce(F.sum(expected), F.lit(0))).first()[0]), ENTRY)
+    found = stored(candidates(postings(docs, text_col, deal), deal), "line-candidates")
     pairs, members = found.where("gid is null").select("a", "b").distinct(), found.where("gid is not null").select("gid", "a").distinct()
     wanted = stored(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct(), "lines-wanted")
     small = wanted.count() <= BROADCAST_LINES
@@ -253,8 +351,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = stored(texts, "line-texts")
     links = pair_links(pairs, texts).union(grouped_links(members, texts))
     parts = components(links)
-    parts = stored(parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct(), "line-parts")
-    named = first.join(parts, F.col("a") == F.col("node"), "left")
+    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
+    parts = stored(parts.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "component"), "line-parts")
+    named = first.join(parts, ["a", "b"], "left")
     single = named.where("component is null and n > 1").select("a", "b", "first", F.lit(False).alias("near"))
     group = named.where("component is not null").select("a", "b", "first", "component")
     head = group.groupBy("component").agg(F.min("first").alias("first"))
@@ -262,39 +361,50 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return single.unionByName(near).select("a", "b", "first.doc", "first.text_hash", "first.no", "near")
 
 
+#: The columns that dedup_lines adds.
+ADDED = ("inkwell_lines", "inkwell_exact", "inkwell_near", "inkwell_kept_in")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows and columns with the repeated lines taken out of ``text``, and inkwell_lines, inkwell_exact and inkwell_near: its
     lines, and those removed as exact copies and as near-duplicates; inkwell_kept_in: the documents that keep the first lines of
-    their classes, sorted.
+    their classes, sorted. Where the input has a column of such a name, the added one gets underscores behind it.
 
-    A line (between newlines) of MIN_CHARS characters or more that has a word goes unless it is the first of its class, by document
-    id, then text hash, then line number; a null id comes first. Shorter and blank lines stay. Rows with the same id and
+    A line (between newlines) that has a word goes unless it is the first of its class, by document id, then text hash, then line
+    number; a null id comes first. Blank lines stay; lines below MIN_CHARS characters go as exact copies only. Rows with the same id and
     text are one document: all of them keep or lose the same lines. A null text stays null and has 0 lines; a text that loses all its
-    lines becomes empty.
+    lines becomes empty. Texts and lines of any length are read whole; an empty table gives an empty result.
     """
     classes = stored(line_classes(docs, id_col, text_col), "line-classes").select("a", "b", F.struct("doc", "text_hash", "no").alias("kept"), "near")
     places = lines_of(docs, id_col, text_col).drop("line").join(classes, ["a", "b"]).where(F.struct("doc", "text_hash", "no") != F.col("kept"))
     # a removed line equal to its class's first line is an exact copy; all others of a class with several lines count as near
-    drops = places.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("no", "near", F.col("kept.doc").alias("kept"))).alias("d"))
-    near = F.size(F.filter("d", lambda x: x.near)).cast("long")
-    drops = drops.select("doc", "text_hash", F.transform("d", lambda x: x.no).alias("inkwell_drop"), (F.size("d") - near).alias("inkwell_exact"), near.alias("inkwell_near"), F.array_sort(F.array_distinct(F.transform("d", lambda x: x.kept))).alias("inkwell_kept_in"))
-    drops = drops.withColumnsRenamed({"doc": "inkwell_doc", "text_hash": "inkwell_hash"})
-    met = docs.join(drops.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("inkwell_doc")) & (F.xxhash64(text_col) == F.col("inkwell_hash")), "left")
-    parts = F.split(text_col, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("inkwell_drop"))
-    text = F.when(F.col("inkwell_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    counts = {"inkwell_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"), "inkwell_exact": F.coalesce("inkwell_exact", F.lit(0)), "inkwell_near": F.coalesce("inkwell_near", F.lit(0)), "inkwell_kept_in": F.coalesce("inkwell_kept_in", F.array().cast("array<bigint>"))}
-    out = met.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(x.alias(n) for n, x in counts.items()))
-    return out.withColumn("inkwell_lines", F.when(F.col("inkwell_lines") < 0, 0).otherwise(F.col("inkwell_lines")))
+    doc, digest, drop, exact, near, kept_in = fresh(docs, "doc", "text_hash", "drop", "exact", "near", "kept_in")
+    drops = places.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(digest)).agg(F.collect_set(F.struct("no", "near", F.col("kept.doc").alias("kept"))).alias("d"))
+    n_near = F.size(F.filter("d", lambda x: x.near)).cast("long")
+    drops = drops.select(doc, digest, F.transform("d", lambda x: x.no).alias(drop), (F.size("d") - n_near).alias(exact), n_near.alias(near), F.array_sort(F.array_distinct(F.transform("d", lambda x: x.kept))).alias(kept_in))
+    # the build side has one row a document, of its line numbers; the hash join spares a sort of all texts
+    met = docs.join(drops.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(digest)), "left")
+
+    def left(text: Column) -> Column:
+        parts = F.split(text, "\n", -1)
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop)), lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left(F.col(text_col)))
+    n_lines = F.coalesce(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1, F.lit(0)).cast("long")
+    counts = [n_lines, F.coalesce(exact, F.lit(0)), F.coalesce(near, F.lit(0)), F.coalesce(kept_in, F.array().cast("array<bigint>"))]
+    return met.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(x.alias(n) for n, x in zip(fresh(docs, *ADDED), counts, strict=True)))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    from .common import table
+
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("inkwell_lines").alias("n_lines"), F.col("inkwell_exact").alias("n_exact"), F.col("inkwell_near").alias("n_near"), F.col("inkwell_kept_in").alias("kept_in"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated lines; n_chars, where there is one, follows the text."""
+    """Pipeline stage: the documents without repeated lines; n_chars, where there is one, follows the text. Rows and columns, with
+    whatever names, stay as dedup_lines says; an empty table stays empty."""
     out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

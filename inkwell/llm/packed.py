@@ -11,15 +11,59 @@ from pyspark.sql import DataFrame
 SCHEMA = "bucket int, entries binary"
 #: Entries a task gathers before it packs them, and the number that a bucket is planned for.
 PACK, BUCKET = 1 << 19, 1 << 18
-
-
-def n_buckets(entries: int) -> int:
-    """Buckets for so many entries in all: their number follows the input, their size doesn't."""
-    return max(8, -(-entries // BUCKET))
-
-
-def pack(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """parts: (bucket of each entry, entries as a structured array)."""
+#: Up to so many buckets tasks pack entries for each bucket at once. A task's entries fill that many rows however few they are, so
+#: with more buckets entries are dealt in two steps, by groups of buckets first.
+DIRECT = 4096
+
+
+class Deal:
+    """How many entries of a type are dealt into buckets: their number follows that of the entries, their size doesn't."""
+
+    def __init__(self, entries: int, dtype: np.dtype):
+        self.count = max(8, -(-entries // BUCKET))
+        self.in_two = self.count > DIRECT
+        #: The entry type as it travels: in two steps each entry carries its bucket.
+        self.dtype = np.dtype([*dtype.descr, ("bucket_", "<i4")]) if self.in_two else dtype
+
+    def address(self, bucket: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What to pack: the entries under their buckets, or under groups of about the square root of all buckets."""
+        if not self.in_two:
+            return bucket, entries
+        out = np.empty(len(entries), self.dtype)
+        for f in entries.dtype.names:
+            out[f] = entries[f]
+        out["bucket_"] = bucket
+        return bucket // np.int32(self.count**0.5), out
+
+    def pack(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """parts: (bucket of each entry, entries as a structured array)."""
+        return packed(self.address(*part) for part in parts)
+
+    def regroup(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (unpack(data, self.dtype) for batch in batches for data in batch.column(1).to_pylist())
+        return packed((e["bucket_"], e) for e in parts)
+
+    def rows(self, posted: DataFrame) -> DataFrame:
+        """The packed rows with each bucket whole in one partition and sorted."""
+        if self.in_two:
+            posted = posted.repartition("bucket").mapInArrow(self.regroup, SCHEMA)
+        return posted.repartition("bucket").sortWithinPartitions("bucket")
+
+    def buckets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Whole buckets from rows that come sorted by bucket."""
+        at, held = None, []
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and b != at:
+                    yield at, np.concatenate(held)
+                    held = []
+                at = b
+                held.append(unpack(data, self.dtype))
+        if held:
+            yield at, np.concatenate(held)
+
+
+def packed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -49,22 +93,3 @@ def unpack(data: bytes, dtype: np.dtype) -> np.ndarray:
         out[f] = np.frombuffer(data, dtype[f], n, at)
         at += n * dtype[f].itemsize
     return out
-
-
-def by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("bucket").sortWithinPartitions("bucket")
-
-
-def buckets(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
-    """Whole buckets from rows that come sorted by bucket."""
-    at, held = None, []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            b = batch.column(0)[i].as_py()
-            if held and b != at:
-                yield at, np.concatenate(held)
-                held = []
-            at = b
-            held.append(unpack(batch.column(1)[i].as_py(), dtype))
-    if held:
-        yield at, np.concatenate(held)

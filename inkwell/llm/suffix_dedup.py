@@ -11,7 +11,12 @@ A byte goes if it lies in a string of SIZE bytes that also starts in a document
    Neighbours in that order whose first SIZE bytes are equal form a class, and the class's smallest document keeps its string.
 4. Marks return to their documents.
 
-Steps 1 and 2 are an exact filter: what they leave out occurs in one document only or is already marked.
+Steps 1 and 2 are an exact filter: what they leave out occurs in one document only or is already marked. An anchor that very many
+contexts have (found in a sample of the documents, which decides about the cost only) isn't used: its windows are contexts of their
+own, each its own anchor, so that no task gets all that surrounds a common string.
+
+Documents are known by id and a hash of their text throughout, never by a place in a scan, so results do not depend on how files are
+split or on which executors are there.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .packed import SCHEMA, buckets, by_bucket, n_buckets, pack
+from .packed import SCHEMA, Deal
 
 SIZE = 50
 K = 16
@@ -35,6 +40,8 @@ WINDOWS = SIZE - K + 1
 BLOCK = 1 << 20
 #: Documents within which a task thins out equal contexts before they are dealt.
 THIN = 1024
+#: One document in SAMPLE is looked at for hot anchors, those with about HOT contexts or more in all, of which tasks are sent MOST at most.
+SAMPLE, HOT, MOST = 64, 1 << 16, 1 << 22
 #: Prefix length at which names need no further recursion: a power of 3 beyond SIZE.
 DEEP = 81
 
@@ -121,23 +128,35 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + (words[8:] ^ (words[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    least = np.arange(len(h), dtype=np.int32)
-
-    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(h[a] <= h[b], a, b)
-
-    span = 1
+    # sliding minimum of (hash, place): the leftmost of equal strings wins, as equal windows must agree
+    bits = np.uint64(len(h).bit_length())
+    least, span = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * span <= WINDOWS:
-        least, span = better(least[: len(least) - span], least[span:]), 2 * span
-    least = better(least[:n], least[WINDOWS - span : WINDOWS - span + n])
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[:n], least[WINDOWS - span : WINDOWS - span + n]) & np.uint64((1 << int(bits)) - 1)
+    least = least.astype(np.int64)
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     at = least[first]
     before, behind = np.where(at >= K, h[at - K], 0), np.where(at + K < len(h), h[np.minimum(at + K, len(h) - 1)], 0)
     return h[at], first, np.diff(np.r_[first, n]) - 1, before, behind
 
 
-def contexts(rows: DataFrame, count: int) -> DataFrame:
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Hashes of the anchors of very many contexts, sorted. rows: row, doc, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(data)[0].view(np.int64))], names=["h"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc", "row"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, HOT // SAMPLE))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST).toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def contexts(rows: DataFrame, deal: Deal) -> DataFrame:
     """Packed contexts of all texts by their anchor. rows: row, doc, text (binary)."""
+    hot = rows.sparkSession.sparkContext.broadcast(hot_anchors(rows))
 
     def thin(bucket: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Copies of a context that a smaller document here has too are known; they are dealt by their row, so that a context that many
@@ -147,27 +166,41 @@ def contexts(rows: DataFrame, count: int) -> DataFrame:
         head = np.flatnonzero(np.r_[True, (x["context"][1:] != x["context"][:-1]) | (x["anchor"][1:] != x["anchor"][:-1])])
         later = order[x["doc"] > np.repeat(x["doc"][head], np.diff(np.r_[head, len(x)]))]
         e["known"][later] = 1
-        bucket[later] = e["row"][later] % count
+        bucket[later] = e["row"][later] % deal.count
         return bucket, e
 
+    def located(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), h & np.uint64(0xFFFFFFFF)
+
+    def of_text(row: int, doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        h, first, more, before, behind = anchors(data)
+        single = np.empty(0, np.int64)
+        if len(hot.value) and len(h):
+            common = hot.value[np.minimum(np.searchsorted(hot.value, h), len(hot.value) - 1)] == h
+            single = np.concatenate([np.empty(0, np.int64), *(np.arange(a, a + n + 1) for a, n in zip(first[common], more[common], strict=True))])
+            h, first, more, before, behind = (x[~common] for x in (h, first, more, before, behind))
+        out = np.zeros(len(h) + len(single), ENTRY)
+        out["row"], out["doc"] = row, doc
+        whole, alone = out[: len(h)], out[len(h) :]
+        bucket, whole["anchor"] = located(h)
+        whole["start"], whole["more"], whole["left"], whole["right"] = first, more, before >> np.uint64(48), behind >> np.uint64(48)
+        whole["context"] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + more + SIZE).tolist(), strict=True)]
+        if len(single):
+            names = np.array([divmod(xxhash.xxh3_128_intdigest(data[a : a + SIZE]), 1 << 64) for a in single.tolist()], np.uint64)
+            place, alone["anchor"] = located(names[:, 0])
+            alone["start"], alone["context"], bucket = single, names[:, 1], np.r_[bucket, place]
+        return bucket, out
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in (b.slice(i, THIN) for b in batches for i in range(0, b.num_rows, THIN)):
-            held = []
-            for row, doc, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h, first, more, before, behind = anchors(data)
-                if len(h):
-                    out = np.zeros(len(h), ENTRY)
-                    out["anchor"], out["row"], out["doc"], out["start"], out["more"] = h & np.uint64(0xFFFFFFFF), row, doc, first, more
-                    out["left"], out["right"] = before >> np.uint64(48), behind >> np.uint64(48)
-                    out["context"] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (first + more + SIZE).tolist(), strict=True)]
-                    held.append((((h >> np.uint64(32)) % np.uint64(count)).astype(np.int32), out))
+            held = [of_text(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             if held:
                 yield thin(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.mapInArrow(lambda batches: pack(entries(batches)), SCHEMA)
+    return deal.rows(rows.mapInArrow(lambda batches: deal.pack(entries(batches)), SCHEMA))
 
 
-def resolve(packed: DataFrame) -> DataFrame:
+def resolve(packed: DataFrame, deal: Deal) -> DataFrame:
     """Rows (row, doc, start, more, open): contexts that a smaller document has too (open null), and those of the smallest document
     where an anchor has several contexts and documents (open: a number of the anchor)."""
 
@@ -178,7 +211,7 @@ def resolve(packed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["doc"]), pa.array(x["start"].astype(np.int64)), pa.array(x["more"].astype(np.int32)), pa.array(number[part], mask=whole[part])], names=["row", "doc", "start", "more", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, e in buckets(batches, ENTRY):
+        for bucket, e in deal.buckets(batches):
             known = e["known"] == 1
             yield from marks(e[known], np.ones(int(known.sum()), bool), bucket)
             e = e[~known]
@@ -209,7 +242,7 @@ def resolve(packed: DataFrame) -> DataFrame:
             e, later = e[take], later[take]
             yield from marks(e, later, bucket)
 
-    return by_bucket(packed).mapInArrow(run, "row long, doc long, start long, more int, open long")
+    return packed.mapInArrow(run, "row long, doc long, start long, more int, open long")
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -234,7 +267,7 @@ def cut_out(asked: DataFrame) -> DataFrame:
 
 
 def settle(open_: DataFrame) -> DataFrame:
-    """Windows of open contexts that a smaller document has too, as (row, start, more)."""
+    """Windows of open contexts that a smaller document has too, as (row, doc, start, more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -242,15 +275,16 @@ def settle(open_: DataFrame) -> DataFrame:
         def block() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            rows, starts, more = [], [], []
-            for (_, row, _, start, _), at in zip(held, repeated([h[4] for h in held], np.array([h[2] for h in held], np.int64)), strict=True):
+            rows, docs, starts, more = [], [], [], []
+            for (_, row, doc, start, _), at in zip(held, repeated([h[4] for h in held], np.array([h[2] for h in held], np.int64)), strict=True):
                 if len(at):
                     first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
                     last = np.r_[first[1:], len(at)] - 1
                     rows += [row] * len(first)
+                    docs += [doc] * len(first)
                     starts += (start + at[first]).tolist()
                     more += (at[last] - at[first]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(more, pa.int32())], names=["row", "start", "more"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (rows, docs, starts)), pa.array(more, pa.int32())], names=["row", "doc", "start", "more"])
 
         size = 0
         for batch in batches:
@@ -262,7 +296,7 @@ def settle(open_: DataFrame) -> DataFrame:
                 size += len(row[4])
         yield from block()
 
-    return open_.repartition("open").sortWithinPartitions("open").mapInArrow(run, "row long, start long, more int")
+    return open_.repartition("open").sortWithinPartitions("open").mapInArrow(run, "row long, doc long, start long, more int")
 
 
 def strip(marked: DataFrame, keep: bool) -> DataFrame:
@@ -297,19 +331,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``keep`` also the kept bytes.
 
     Null and empty texts have no bytes. Matches never cross documents or use what lies between two rows. Rows with equal ids don't remove
-    each other's bytes, as neither id is smaller; a null id is smaller than all others. Texts of any length are read whole.
+    each other's bytes, as neither id is smaller; a null id is smaller than all others. Texts of any length are read whole. Repeated rows
+    each give a row. Other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    sized = rows.select("row", F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.encode(text, "UTF-8").alias("text"))
+    sized = rows.select("row", "doc", "text")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    marks = stored(resolve(contexts(sized, n_buckets(2 * total // (WINDOWS + 1)))), "marks")
-    want = marks.where("open is not null").groupBy("row").agg(F.collect_list(F.struct("open", "start", "more")).alias("want"))
-    asked = want.withColumnRenamed("row", "row_").join(sized, F.col("row_").eqNullSafe(F.col("row"))).select("row", "doc", "text", "want")
+    deal = Deal(2 * total // (WINDOWS + 1), ENTRY)
+    marks = stored(resolve(contexts(sized, deal), deal), "marks")
+    want = marks.where("open is not null").groupBy("row", "doc").agg(F.collect_set(F.struct("open", "start", "more")).alias("want"))
+    asked = sized.join(want, ["row", "doc"]).select("row", "doc", "text", "want")
     edges = stored(settle(cut_out(asked)), "marks")
-    spans = marks.where("open is null").select("row", "start", "more").unionByName(edges)
-    spans = spans.groupBy(F.col("row").alias("row_")).agg(F.collect_list(F.struct("start", "more")).alias("marks"))
-    marked = rows.join(spans, F.col("row_").eqNullSafe(F.col("row")), "left").select(F.col("doc").alias("id"), "text", "marks")
-    return strip(marked, keep).withColumnRenamed("id", id_col)
+    spans = marks.where("open is null").select("row", "doc", "start", "more").unionByName(edges)
+    spans = spans.groupBy("row", "doc").agg(F.collect_set(F.struct("start", "more")).alias("marks"))
+    return strip(rows.join(spans, ["row", "doc"], "left").select("id", "text", "marks"), keep).withColumnRenamed("id", id_col)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -115,27 +115,50 @@ def distance(a, b):
     return p[-1]
 
 
-def line_dedup(rows, edits=2, least=20):
+def line_dedup(rows, least=20, share=64):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     key = lambda d, t, n: ((d is not None, d or 0), signed(xxhash.xxh64_intdigest(t.encode(), 42)), n)
+    edits = lambda x, y: max(2, min(len(x), len(y)) // share)
     places = collections.defaultdict(set)
     for d, t in rows:
         for n, x in enumerate((t or "").split("\n") if t is not None else []):
-            if len(x) >= least and x.strip(BLANKS):
+            if x.strip(BLANKS):
                 places[x].add(key(d, t, n))
     lines = list(places)
-    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= edits and distance(lines[i], lines[j]) <= edits]
+    long = [i for i, x in enumerate(lines) if len(x) >= least]
+    pairs = [(i, j) for i in long for j in long if j < i and abs(len(lines[i]) - len(lines[j])) <= edits(lines[i], lines[j]) and near(lines[i], lines[j], edits(lines[i], lines[j]))]
     part = dict(zip(lines, groups(len(lines), pairs), strict=True))
     first, size = {}, collections.Counter(part.values())
     for x in lines:
         first[part[x]] = min(min(places[x]), first.get(part[x], ((True, 1 << 62), 0, 0)))
     out = []
     for d, t in rows:
-        kept, exact, near = [], 0, 0
+        kept, exact, close = [], 0, 0
         for n, x in enumerate(t.split("\n") if t is not None else []):
             if x in part and first[part[x]] != key(d, t, n):
-                exact, near = (exact, near + 1) if size[part[x]] > 1 else (exact + 1, near)
+                exact, close = (exact, close + 1) if size[part[x]] > 1 else (exact + 1, close)
             else:
                 kept.append(x)
-        out.append((d, len(t.split("\n")) if t is not None else 0, exact, near, sha("\n".join(kept))))
+        out.append((d, len(t.split("\n")) if t is not None else 0, exact, close, sha("\n".join(kept))))
     return out
+
+
+def near(a, b, k):
+    """Whether the distance is at most k, from the characters' counts where these rule it out."""
+    x, y = collections.Counter(a), collections.Counter(b)
+    return sum((x - y).values()) <= k and sum((y - x).values()) <= k and distance(a, b) <= k
+
+
+def jaccard_groups(rows, size=5):
+    """Smallest id of each row's component over pairs whose sets of shingles have a similarity of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    part = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    least = collections.defaultdict(list)
+    for p, (d, _) in zip(part, rows, strict=True):
+        if d is not None:
+            least[p].append(d)
+    return [(d, min(least[p], default=None)) for (d, _), p in zip(rows, part, strict=True)]

@@ -10,7 +10,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkwell.llm import decontaminate, language_id, line_dedup, lm_scoring, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filter, warc
+from inkwell.llm import decontaminate, language_id, line_dedup, lm_scoring, packed, quality_rules, sentencepiece_codec, simhash, suffix_dedup, url_filter, warc
 from inkwell.llm.common import components, shared_dir
 
 from . import brute
@@ -80,8 +80,30 @@ def test_op1_chunks_of_any_text(texts):
         assert (n, ids, text) == (len(want), " ".join(map(str, want)), codec.sp.decode(want))
 
 
-def test_op2_matches_brute_force(docs):
-    assert rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(brute.repeats(ROWS))
+FOUND2 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize(("sample", "hot", "buckets"), [(64, 1 << 16, 4096), (1, 2, 4096), (1, 1 << 16, 4)])
+def test_op2_matches_brute_force(docs, empty, sample, hot, buckets, monkeypatch):
+    """Also with every anchor that has two contexts posted window by window, and with buckets dealt in two steps."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(packed, "DIRECT", buckets)
+    assert rows(suffix_dedup.remove_repeats(docs), *FOUND2) == expect(brute.repeats(ROWS))
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_op2_after_a_change_of_partitioning(spark, tmp_path):
+    """Rows are known by id and content: another split of the files between its jobs and the result's changes nothing."""
+    data = [(i, t) for i, (_, t) in enumerate(ROWS) if t] * 3
+    spark.createDataFrame(data, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "2")
+    try:
+        got = suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        assert rows(got, *FOUND2) == expect(brute.repeats(data))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 @settings(max_examples=200, deadline=None)
@@ -287,6 +309,36 @@ def test_op10_matches_brute_force(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_op10_long_lines(spark):
+    """Edits grow with the length, on both sides of the limit between the two indexes; characters of several bytes; repeated text."""
+    from pyspark.sql import functions as F
+
+    def edited(x, n):
+        x = list(x)
+        for _ in range(n):
+            i = random.randrange(len(x))
+            x[i : i + 1] = random.choice([["#"], [], [x[i], "é"]])
+        return "".join(x)
+
+    lines = []
+    for size in (60, 185, 190, 192, 194, 256, 400, 700):
+        base = (prose(400, "abcdefghij" if size % 4 else "éaü中bcd") + "x" * size)[:size]
+        lines += [base, *(edited(base, n) for n in (1, 2, 3, 4, 6, size // 64, size // 64 + 1, 2 * (size // 64 + 1)))]
+    lines += ["ab " * 100, "ab " * 100 + "c", "ab " * 102, "ab " * 120, "z" * 300, "z" * 304, "z" * 305, "z" * 330]
+    data = list(enumerate(lines)) + [(500, "menu\nmenu\n\nmenu"), (501, "menu\nmenus\n")]
+    random.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df).withColumn("sha", F.sha2("text", 256))
+    assert found_lines(got) == expect(brute.line_dedup(data))
+
+
+def test_op10_names_that_clash(spark):
+    taken = "doc text_hash drop exact near kept_in inkwell_lines inkwell_exact inkwell_near inkwell_kept_in line no a b d n size first component".split()
+    df = spark.createDataFrame([(1, "same\nline", *range(len(taken))), (2, "line\nother", *range(len(taken)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in taken))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2]["text"] == "other" and got[2]["inkwell_exact_"] == 1 and got[2]["inkwell_exact"] == taken.index("inkwell_exact")
+
+
 def test_op10_groups_of_variants(spark, tmp_path):
     """Hundreds of variants of one line, which go through the grouped comparison, dealt into several blocks."""
     from pyspark.sql import functions as F

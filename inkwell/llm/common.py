@@ -54,6 +54,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(spark: SparkSession, wanted: int) -> list[int]:
+    """First arguments of a repartition into ``wanted`` parts where that is more than the session's setting; none otherwise, so that
+    the setting holds and small parts are joined at run time."""
+    return [wanted] if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph ``edges`` (a, b): rows (node, component), the smallest node of each.
 

@@ -4,37 +4,44 @@ A model of the target documents and one of the background (all documents) share
 in their counts. A token's loss difference is its log loss under the target model less that under the background
 model; a document's score is the mean over its tokens, so lower means closer to the target (Moore and Lewis, 2010).
 
-Tokens are words (A-Z lower-cased, split at ASCII blanks), the models bigrams over a vocabulary of a stated size. The counts of
-unigrams are arrays of that size; those of bigrams grow with the corpus and stay distributed:
-
-1. every document is stored as token ids, in blocks of about BLOCK tokens;
-2. each block posts its distinct bigrams with their counts, dealt by bigram: a bigram has one posting a block, however common it is;
-3. the counts are added up, and each block is sent those of its bigrams whose counts other blocks have changed;
+Tokens are words (A-Z lower-cased, split at ASCII blanks), known by a 64-bit hash; the vocabulary is that of all documents, however
+many words it has, and no word or count goes to the driver. The models are bigrams over unigrams over a uniform distribution, each
+smoothed by the next with a Dirichlet prior:
+
+1. documents are stored in blocks of about BLOCK tokens: a block's distinct words, and its documents as numbers of these;
+2. each block posts its distinct bigrams, tokens and histories with their counts, dealt by key: one posting a block and key,
+   however common the key is; with more than FAN blocks groups of blocks are added up first;
+3. the counts are added up, and each block is sent those of its keys whose counts other blocks have changed;
 4. each block scores its documents.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import spread, stored, table
 
-#: Ids of two bytes: 0 for words outside the vocabulary, 1 for the document's start, the rest by frequency.
-VOCABULARY = 1 << 16
-OTHER, START = 0, 1
-#: Longer words (in bytes) are outside the vocabulary, so its size in bytes is bounded.
-LONGEST_WORD = 64
-#: Dirichlet smoothing: a bigram's count gains so many times its token's unigram probability, which has one added to each count.
-PRIOR = 50
-#: Tokens of a block, and bigram postings that a bucket is planned for.
+#: The history of a document's first token.
+START = 0x5354415254
+#: Dirichlet priors: a bigram's count gains so many times its token's unigram probability, and a token's so many times the uniform one.
+PRIOR, LOW_PRIOR = 50, 1000
+#: The uniform distribution's probability.
+UNIFORM = 1 / (1 << 20)
+#: Tokens of a block, and postings that a bucket is planned for.
 BLOCK, BUCKET = 1 << 20, 1 << 19
+#: Blocks whose postings of a bucket meet in one task.
+FAN = 4096
+#: Target ids are broadcast up to this number (8 bytes each for numbers); beyond it the join shuffles.
+BROADCAST_TARGETS = 1_000_000
+
+POSTED = "bucket int, block long, keys binary, target binary, background binary"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -42,195 +49,211 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def shared_vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids of the words of all texts that are frequent enough, the most frequent first (ties: by text). The least frequency is the
-    smallest for which all words that have it fit into ``size``. The driver gets ``size`` words at most."""
-    lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    found = docs.select(F.explode(F.split(lower, r"[\x09-\x0D\x20]+")).alias("w")).where(F.octet_length("w").between(1, LONGEST_WORD))
-    counts = stored(found.groupBy("w").agg(F.count("*").alias("n")), "lm-words")
-    # how many words have each count: as many rows as the counts differ, and only as many as there can be ids
-    least, room = None, size - 2
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["n"]
-    top = counts.where(F.col("n") >= least).collect() if least else []
-    return {r["w"].encode(): i for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["w"])), 2)}
-
-
-def tokenised(docs: DataFrame, targets: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """Stored rows (block, id, wanted, tokens): each document's token ids, two bytes each. Token ids are joined with the targets, not texts."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
-        for batch in batches:
-            out = [np.fromiter((get(w, OTHER) for w in words(text)), "<u2").tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["id", "tokens"])
+def in_blocks(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows (block, ids, wanted, sizes, words, tokens, n_tokens, n_wanted): the documents of a block with their numbers of tokens,
+    the hashes of the block's distinct words, and all tokens as their numbers."""
+    block_tokens = BLOCK
+    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    id_type = rows.select("id").limit(0).toArrow().schema.field("id").type
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
+        block, held = TaskContext.get().partitionId() << 32, []
+
+        def whole() -> pa.RecordBatch:
+            ids, wanted, tokens = zip(*held, strict=True)
+            sizes = np.array([len(t) for t in tokens], np.int32)
+            known, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            values = [block, list(ids), list(wanted), sizes, known.tobytes(), at.astype("<u4").tobytes(), int(sizes.sum()), int(sizes[np.array(wanted)].sum())]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["block", "ids", "wanted", "sizes", "words", "tokens", "n_tokens", "n_wanted"])
+
+        size = 0
         for batch in batches:
-            blocks = []
-            for size in (len(x) // 2 for x in batch.column(2).to_pylist()):
-                if held and held + size > BLOCK:
-                    block, held = block + 1, 0
-                held += size
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], names=["block", "id", "wanted", "tokens"])
+            for key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                t = np.fromiter(map(xxhash.xxh3_64_intdigest, words(text)), "<u8")
+                if held and size + len(t) > block_tokens:
+                    yield whole()
+                    block, held, size = block + 1, [], 0
+                held.append((key, wanted, t))
+                size += len(t)
+        if held:
+            yield whole()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    coded = rows.mapInArrow(encode, f"id {kind}, tokens binary")
     wanted = targets.select(F.col(targets.columns[0]).alias("target_id")).dropna().distinct()
-    marked = coded.join(wanted, F.col("id") == F.col("target_id"), "left").select("id", F.col("target_id").isNotNull().alias("wanted"), "tokens")
-    return stored(marked.mapInArrow(deal, f"block long, id {kind}, wanted boolean, tokens binary"), "lm-tokens")
+    small = wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
+    marked = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("target_id"), "left").select("id", "text", F.col("target_id").isNotNull().alias("wanted"))
+    return stored(marked.mapInArrow(deal, f"block long, ids array<{kind}>, wanted array<boolean>, sizes array<int>, words binary, tokens binary, n_tokens long, n_wanted long"), "lm-blocks")
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Block:
+    """The keys of a block (of bigrams, tokens and histories, sorted and distinct) with its own counts; ``places``: where each token's
+    three keys are."""
+
+    def __init__(self, sizes: np.ndarray, wanted: np.ndarray, known: bytes, tokens: bytes):
+        hashes, at = np.frombuffer(known, "<u8"), np.frombuffer(tokens, "<u4").astype(np.int64)
+        first = np.cumsum(np.r_[0, sizes])[:-1][sizes > 0]
+        before = np.r_[0, at[:-1]] + 1
+        before[first] = 0
+        pairs, pair = np.unique(before * (len(hashes) + 1) + at, return_inverse=True)
+        v, w = np.divmod(pairs, len(hashes) + 1)
+        histories = np.r_[np.uint64(START), hashes]
+        every = np.concatenate([mixed(mixed(histories[v], 1) + hashes[w], 2), mixed(hashes, 3), mixed(histories, 4)])
+        self.keys, place = np.unique(every, return_inverse=True)
+        self.places = [place[pair], place[len(pairs) + at], place[len(pairs) + len(hashes) + before]]
+        here = np.repeat(wanted, sizes)
+        self.target, self.background = (sum(np.bincount(p, x, len(self.keys)) for p in self.places).astype(np.int64) for x in (here.astype(np.float64), np.ones(len(at))))
 
 
-def grams(tokens: np.ndarray) -> np.ndarray:
-    """Bigrams that end in each token, the first one behind START: history << 16 | token."""
-    t = tokens.astype(np.uint32)
-    return np.concatenate((np.array([START], np.uint32), t[:-1])) << np.uint32(16) | t if len(t) else t
+def block_of(batch: pa.RecordBatch, i: int) -> Block:
+    """Of a row (sizes, wanted, words, tokens)."""
+    sizes, wanted = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2))
+    return Block(sizes.astype(np.int64), wanted.astype(bool), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
 
 
-def counted(parts: list[np.ndarray], wanted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams in order, and their counts in the target and in all documents."""
-    g, b = np.unique(np.concatenate(parts), return_counts=True)
-    t = np.zeros(len(g), np.int64)
-    if any(wanted):
-        at, n = np.unique(np.concatenate([p for p, w in zip(parts, wanted, strict=True) if w]), return_counts=True)
-        t[np.searchsorted(g, at)] = n
-    return g, t, b.astype(np.int64)
+def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """In the order of the keys, so a bucket's keys lie together in a block's."""
+    return (((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of each block; rows of a block follow each other."""
+def posted(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = block_of(batch.select(range(1, 5)), i)
+                at, first = np.unique(bucket_of(b.keys, n_buckets), return_index=True)
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(b.keys)], strict=True))
+                parts = [[x[i:j].tobytes() for i, j in cuts] for x in (b.keys, b.target.astype("<i8"), b.background.astype("<i8"))]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), batch.column(0)[i].as_py())), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "block", "keys", "target", "background"])
+
+    return blocks.select("block", "sizes", "wanted", "words", "tokens").mapInArrow(run, POSTED)
+
+
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other and are equal in their first n columns: (these, the rows' other columns)."""
     at, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["block"] != at:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if held and row[:n] != at:
                 yield at, held
                 held = []
-            at = row["block"]
-            held.append(row)
+            at = row[:n]
+            held.append(row[n:])
     if held:
         yield at, held
 
 
-def unigrams(base: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Array [target or background, as a token or as a history, id] of counts over all documents: ``size`` rows for the driver."""
+def added(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of rows (.., keys, target, background), each entry's place among them, and the sums."""
+    kinds, at = np.unique(np.concatenate([np.frombuffer(r[-3], "<u8") for r in rows]), return_inverse=True)
+    sums = [np.zeros(len(kinds), np.int64) for _ in range(2)]
+    for total, k in zip(sums, (-2, -1), strict=True):
+        np.add.at(total, at, np.concatenate([np.frombuffer(r[k], "<i8") for r in rows]))
+    return kinds, at, sums
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, size), np.int64)
-        for batch in batches:
-            for wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = np.frombuffer(data, "<u2")
-                if len(t):
-                    token, history = np.bincount(t, minlength=size), np.bincount(t[:-1], minlength=size)
-                    history[START] += 1
-                    for k in (0, 2) if wanted else (2,):
-                        sums[k] += token
-                        sums[k + 1] += history
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(s[at]) for s in sums)], names=["i", *names])
-
-    names = ["target", "target_history", "background", "background_history"]
-    rows = base.select("wanted", "tokens").mapInArrow(run, "i int, " + ", ".join(f"{n} long" for n in names))
-    got = rows.groupBy("i").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    out = np.zeros((4, size), np.int64)
-    for k, n in enumerate(names):
-        out[k, got["i"].to_numpy()] = got[n].to_numpy()
-    return out.reshape(2, 2, size)
-
-
-def corpus_counts(base: DataFrame, total: int) -> DataFrame:
-    """Rows (block, grams, target, background): for each block those of its bigrams that other blocks hold too, with the counts over all blocks."""
-    n_buckets = max(8, -(-total // BUCKET))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in by_block(batches):
-            parts = [grams(np.frombuffer(r["tokens"], "<u2")) for r in rows]
-            if not sum(map(len, parts)):
-                continue
-            g, t, b = counted(parts, [r["wanted"] for r in rows])
-            bucket = ((g * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(n_buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            g, t, b, bucket = g[order], t[order], b[order], bucket[order]
-            at, first = np.unique(bucket, return_index=True)
-            cuts = list(zip(first, [*first[1:], len(g)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([block] * len(at), pa.int64()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (g.astype("<u4"), t.astype("<u4"), b.astype("<u4")))], names=["bucket", "block", *fields])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["bucket"] != at:
-                    yield from answers(held)
-                    held = []
-                at = row["bucket"]
-                held.append(row)
-        if held:
-            yield from answers(held)
 
-    def answers(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        g = np.concatenate([np.frombuffer(r["grams"], "<u4") for r in rows])
-        kinds, at = np.unique(g, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([np.frombuffer(r[f], "<u4") for r in rows]), len(kinds)).astype("<i8") for f in fields[1:]]
+def corpus_counts(posts: DataFrame, n_blocks: int, n_buckets: int) -> DataFrame:
+    """Rows (bucket, block, places, target, background): for each posting its keys (by their places in it) that other blocks hold
+    too, with the counts over all blocks."""
+    wire = "bucket int, block long, places binary, target binary, background binary"
+    fields = ["bucket", "block", "places", "target", "background"]
+    fan = FAN
+    parts = spread(posts.sparkSession, n_buckets // 4)
+
+    def answers(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        kinds, at, sums = added(rows)
         shared = np.bincount(at, minlength=len(kinds)) > 1
         out, i = [], 0
-        for r in rows:
-            j = i + len(r["grams"]) // 4
-            mine = at[i:j][shared[at[i:j]]]
-            if len(mine):
-                out.append((r["block"], kinds[mine].astype("<u4").tobytes(), *(s[mine].tobytes() for s in sums)))
-            i = j
+        for block, keys, *_ in rows:
+            mine = at[i : i + len(keys) // 8]
+            i += len(mine)
+            if len(places := np.flatnonzero(shared[mine])):
+                out.append((bucket, block, places.astype("<u4").tobytes(), *(s[mine[places]].tobytes() for s in sums)))
         if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["block", *fields])
-
-    fields = ["grams", "target", "background"]
-    wire = ", ".join(f"{f} binary" for f in fields)
-    posted = base.select("block", "wanted", "tokens").mapInArrow(post, f"bucket int, block long, {wire}")
-    return posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, f"block long, {wire}")
-
-
-def losses(g: np.ndarray, count: np.ndarray, token: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Log loss, in nats, of each bigram's token under one model."""
-    v, w = g >> np.uint32(16), g & np.uint32(0xFFFF)
-    low = (token[w] + 1) / (token.sum() + len(token))
-    return -np.log((count + PRIOR * low) / (history[v] + PRIOR))
-
-
-def score(base: DataFrame, counts: DataFrame, singles: np.ndarray, id_col: str) -> DataFrame:
-    """Scores each block's documents with its own bigram counts, replaced by those of all blocks where ``counts`` has them."""
-    ones = base.sparkSession.sparkContext.broadcast(singles)  # 32 bytes a word of the vocabulary
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=fields)
+
+    if n_blocks <= fan:
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (bucket,), rows in runs(batches, 1):
+                yield from answers(bucket, rows)
+
+        return posts.repartition(*parts, "bucket").sortWithinPartitions("bucket").mapInArrow(add, wire)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, of), rows in runs(batches, 2):
+            kinds, _, sums = added(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([of], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (kinds, *sums))], names=["bucket", "block", "keys", "target", "background"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's blocks have the group's counts, replaced by those from above."""
+        for (bucket, _), rows in runs(batches, 2):
+            rows, sent = [r[:4] for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
+            kinds, at, sums = added(rows)
+            known = np.bincount(at, minlength=len(kinds)) > 1
+            for *_, places, target, background in ((r[4], r[2], r[3]) for r in sent):
+                places = np.frombuffer(places, "<u4")
+                known[places] = True
+                for s, x in zip(sums, (target, background), strict=True):
+                    s[places] = np.frombuffer(x, "<i8")
+            out, i = [], 0
+            for block, keys, *_ in rows:
+                mine = at[i : i + len(keys) // 8]
+                i += len(mine)
+                if len(places := np.flatnonzero(known[mine])):
+                    out.append((bucket, block, places.astype("<u4").tobytes(), *(s[mine[places]].tobytes() for s in sums)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 3], strict=True)], names=fields)
+
+    posts = stored(posts, "lm-posts")
+    n_groups = -(-n_blocks // fan)
+    of = F.pmod(F.xxhash64("block"), F.lit(n_groups)).alias("of")
+    dealt = posts.select("bucket", of, "block", "keys", "target", "background")
+    sums = stored(dealt.repartition(*parts, "bucket", "of").sortWithinPartitions("bucket", "of").mapInArrow(group, POSTED), "lm-groups")
+    above = corpus_counts(sums, n_groups, n_buckets).withColumnRenamed("block", "of")
+    both = dealt.unionByName(above, allowMissingColumns=True).select("bucket", "of", "block", "keys", "target", "background", "places")
+    return both.repartition(*parts, "bucket", "of").sortWithinPartitions("bucket", "of").mapInArrow(settle, wire)
+
+
+def score(blocks: DataFrame, counts: DataFrame, totals: tuple[int, int], n_buckets: int, id_col: str) -> DataFrame:
+    """Scores each block's documents with its own counts, replaced by those of all blocks where ``counts`` has them."""
+    base = blocks.select(F.col("ids").getItem(0).alias(id_col))
+    schema = base.schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double")
+    id_type = base.limit(0).toArrow().schema.field(id_col).type
+    prior, low_prior, uniform = PRIOR, LOW_PRIOR, UNIFORM
+
+    def scored(ids: list, sizes: np.ndarray, b: Block, sent: list[tuple]) -> pa.RecordBatch:
+        count = [b.target, b.background]
+        first = np.searchsorted(bucket_of(b.keys, n_buckets), np.arange(n_buckets))
+        for bucket, places, *values in sent:
+            at = first[bucket] + np.frombuffer(places, "<u4")
+            for c, x in zip(count, values, strict=True):
+                c[at] = np.frombuffer(x, "<i8")
+        full = np.flatnonzero(sizes)
+        start = np.cumsum(np.r_[0, sizes[full]])[:-1]
+        found = [np.full(len(ids), np.nan) for _ in range(2)]
+        if len(full):
+            for out, c, total in zip(found, count, totals, strict=True):
+                pair, token, history = (c[p] for p in b.places)
+                low = (token + low_prior * uniform) / (total + low_prior)
+                out[full] = np.add.reduceat(-np.log((pair + prior * low) / (history + prior)), start) / sizes[full]
+        columns = [pa.array(ids, id_type), pa.array(sizes), *(pa.array(x, pa.float64(), from_pandas=True) for x in (*found, found[0] - found[1]))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_block(batches):
-            docs, sent = [r for r in rows if r["tokens"] is not None], [r for r in rows if r["tokens"] is None]
-            parts = [grams(np.frombuffer(r["tokens"], "<u2")) for r in docs]
-            sizes = np.array([len(p) for p in parts])
-            found = [np.full(len(docs), np.nan) for _ in range(2)]
-            if sizes.sum():
-                g, *count = counted(parts, [r["wanted"] for r in docs])
-                for r in sent:
-                    at = np.searchsorted(g, np.frombuffer(r["grams"], "<u4"))
-                    for c, f in zip(count, ("target", "background"), strict=True):
-                        c[at] = np.frombuffer(r[f], "<i8")
-                at = np.searchsorted(g, np.concatenate(parts))
-                full = np.flatnonzero(sizes)
-                first = np.r_[0, np.cumsum(sizes[full])[:-1]]
-                for k in range(2):
-                    found[k][full] = np.add.reduceat(losses(g, count[k], *ones.value[k])[at], first) / sizes[full]
-            a, b = found
-            columns = [pa.array([r["id"] for r in docs], ids), pa.array(sizes, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in (a, b, a - b))]
-            if docs:
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    schema = base.select(F.col("id").alias(id_col)).schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double")
-    ids = base.select("id").limit(0).toArrow().schema.field("id").type
-    both = base.unionByName(counts, allowMissingColumns=True)
+        for _, rows in runs(batches, 1):
+            sent = [r[5:] for r in rows if r[0] is None]
+            for ids, wanted, sizes, known, tokens, *_ in (r for r in rows if r[0] is not None):
+                sizes = np.array(sizes, np.int64)
+                yield scored(ids, sizes, Block(sizes, np.array(wanted, bool), known, tokens), sent)
+
+    both = blocks.select("block", "ids", "wanted", "sizes", "words", "tokens").unionByName(counts, allowMissingColumns=True)
+    both = both.select("block", "ids", "wanted", "sizes", "words", "tokens", "bucket", "places", "target", "background")
     return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
@@ -241,9 +264,11 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     the target's model is the uniform one. A null, empty or blank text has no tokens and null losses. Repeated rows and null ids
     are rows like any other, and each counts in the models; very long texts are a block of their own; other columns aren't read.
     An empty table gives an empty result."""
-    base = tokenised(docs, targets, shared_vocabulary(docs, text_col), id_col, text_col)
-    singles = unigrams(base)
-    return score(base, corpus_counts(base, int(singles[1, 0].sum())), singles, id_col)
+    blocks = in_blocks(docs, targets, id_col, text_col)
+    n_blocks, background, target = (x or 0 for x in blocks.agg(F.count("*"), F.sum("n_tokens"), F.sum("n_wanted")).first())
+    n_buckets = max(8, -(-background // BUCKET))
+    counts = corpus_counts(posted(blocks, n_buckets), n_blocks, n_buckets)
+    return score(blocks, counts, (target, background), n_buckets, id_col)
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 SCHEMA = "bucket int, entries binary"
 #: Entries a task gathers before it packs them, and the number that a bucket is planned for.
 PACK, BUCKET = 1 << 19, 1 << 18
@@ -47,7 +49,7 @@ class Deal:
         """The packed rows with each bucket whole in one partition and sorted."""
         if self.in_two:
             posted = posted.repartition("bucket").mapInArrow(self.regroup, SCHEMA)
-        return posted.repartition("bucket").sortWithinPartitions("bucket")
+        return posted.repartition(*spread(posted.sparkSession, self.count // 8), "bucket").sortWithinPartitions("bucket")
 
     def buckets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         """Whole buckets from rows that come sorted by bucket."""

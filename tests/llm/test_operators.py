@@ -249,15 +249,25 @@ def test_op7_held_out_accuracy(spark):
 ITEMS = [(1, PASSAGE), (2, " ".join(BASE[1].split()[5:25])), (None, "one"), (3, None), (4, "..."), (2, " ".join(BASE[1].split()[5:25])), (5, "nowhere to be found in any of the texts here at all my friend truly")]
 
 
-@pytest.mark.parametrize("block", [1, 100])
-def test_op8_matches_brute_force(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
-    tests = spark.createDataFrame([(*i, 0) for i in ITEMS], "item_id long, text string, key int")
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_op8_matches_brute_force(spark, docs, empty, sent, monkeypatch):
+    """With the index of the tests' terms and with that of all terms."""
+    monkeypatch.setattr(decontaminate, "SENT_TERMS", sent)
+    tests = spark.createDataFrame([(*i, 0, "w") for i in ITEMS], "item_id long, text string, key int, name string")
     got = decontaminate.contamination(docs, tests)
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expect(brute.contamination(ROWS, ITEMS))
-    if block > 1:
-        assert decontaminate.contamination(empty, tests).count() == 0
-        assert {r["n_hit"] for r in decontaminate.contamination(docs, tests.limit(0)).collect()} == {0}
+    assert decontaminate.contamination(empty, tests).count() == 0
+    assert {r["n_hit"] for r in decontaminate.contamination(docs, tests.limit(0)).collect()} == {0}
+
+
+def test_op8_shared_passages(spark):
+    """Tests that occur in many documents, and one that lies across two of their passages."""
+    texts = [prose(30, "abc") for _ in range(6)]
+    data = [(i, " ".join(random.choice(texts) for _ in range(3))) for i in range(60)]
+    items = [(i, " ".join(t.split()[random.randint(0, 5) :])) for i, t in enumerate(texts)] + [(9, " ".join(texts[0].split()[-8:] + texts[1].split()[:8]))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expect(brute.contamination(data, items))
 
 
 def test_op8_proximity(spark):

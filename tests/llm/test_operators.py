@@ -196,22 +196,27 @@ def test_op6_matches_brute_force(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("pairwise", [0, 10_000])
-def test_op6_both_ways_through_a_posting_list(pairwise, monkeypatch):
+@pytest.mark.parametrize(("expected", "pairwise"), [(64, 64), (0, 64), (2, 4), (64, 1), (0, 0)])
+def test_op6_links_at_every_depth(spark, expected, pairwise, monkeypatch):
+    """Short and long lists, posted under one to five positions; clusters that share most bytes and fingerprints far apart."""
+    monkeypatch.setattr(simhash, "EXPECTED", expected)
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     rng = np.random.default_rng(5)
-    free = rng.choice(1 << 24, 300, replace=False).astype(np.uint64)
-    free = np.unique(np.concatenate([free, free[:100] ^ np.uint64(0b10001), free[:50] ^ np.uint64(0x900000)]))
-    mask = simhash.MASKS[0]
-    spare = [8 * p + i for p in range(8) if not (mask >> (8 * p)) & 1 for i in range(8)]
-    fps = np.zeros(len(free), np.uint64)
-    for k, b in enumerate(spare):
-        fps |= ((free >> np.uint64(k)) & np.uint64(1)) << np.uint64(b)
-    fps |= np.uint64(0x1234567890ABCDEF & mask)
-    a, b = simhash.forest(fps, mask)
-    at = {int(x): i for i, x in enumerate(fps)}
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    fps = [0, *base.tolist()]
+    for x in base[:12].tolist():
+        for bits in (1, 2, 3, 3, 3, 4, 5):
+            for b in rng.choice(64, bits, replace=False).tolist():
+                x ^= 1 << b
+            fps.append(x)
+    core = int(base[20])
+    fps += [core ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 24, (120, 2)) if a != b]
+    fps = np.unique(np.array(fps, np.uint64))
+    df = spark.createDataFrame([(simhash.signed(int(x)),) for x in fps], "fp long")
+    edges = [(r["a"], r["b"]) for r in simhash.links(df, len(fps)).collect()]
+    at = {simhash.signed(int(x)): i for i, x in enumerate(fps)}
     pairs = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)]
-    assert brute.groups(len(fps), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == brute.groups(len(fps), pairs)
+    assert brute.groups(len(fps), [(at[a], at[b]) for a, b in edges]) == brute.groups(len(fps), pairs)
 
 
 def test_components_of_a_long_path_and_a_star(spark):

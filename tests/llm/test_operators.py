@@ -161,7 +161,8 @@ def test_op4_losses_match_a_plain_model(spark, block, fan, monkeypatch):
     def loss(train, t):
         grams = [g for x in train for g in zip([None, *x], x, strict=False)]
         low = lambda w: (sum(g[1] == w for g in grams) + lm_scoring.LOW_PRIOR * lm_scoring.UNIFORM) / (len(grams) + lm_scoring.LOW_PRIOR)
-        p = lambda v, w: (grams.count((v, w)) + lm_scoring.PRIOR * low(w)) / (sum(g[0] == v for g in grams) + lm_scoring.PRIOR)
+        seen = lambda v: sum(v in x[i : i + 1] for x in train for i in range(len(x))) if v else sum(map(bool, train))
+        p = lambda v, w: (grams.count((v, w)) + lm_scoring.PRIOR * low(w)) / (seen(v) + lm_scoring.PRIOR)
         return -sum(np.log(p(v, w)) for v, w in zip([None, *t], t, strict=False)) / len(t)
 
     want = []

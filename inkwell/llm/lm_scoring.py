@@ -52,22 +52,24 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """Numbers below 256 ** width, their lowest bytes first, which compresses better than number after number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, as many as the largest needs, the lowest first, and compressed: in skewed planes few bits are left."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    data = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def from_planes(data: bytes, n: int) -> np.ndarray:
+def widened(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of narrow()."""
     out = np.zeros((n, 8), np.uint8)
     if n:
-        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+        plain = pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd", asbytes=True)
+        out[:, : data[0]] = np.frombuffer(plain, np.uint8).reshape(-1, n).T
     return out.reshape(-1).view("<u8")
 
 
-def narrow(x: np.ndarray) -> bytes:
-    return planes(x, max(1, (int(x.max()).bit_length() + 7) // 8)) if len(x) else b""
-
-
 def key_bytes(keys: np.ndarray) -> bytes:
     """Sorted keys: their number, the first one, and the steps from each to the next."""
     return len(keys).to_bytes(8, "little") + keys[:1].tobytes() + narrow(np.diff(keys))
@@ -79,7 +81,7 @@ def key_count(data: bytes) -> int:
 
 def keys_from(data: bytes) -> np.ndarray:
     n = key_count(data)
-    return np.cumsum(np.r_[np.frombuffer(data, "<u8", 1, 8), from_planes(data[16:], n - 1)], dtype=np.uint64)
+    return np.cumsum(np.r_[np.frombuffer(data, "<u8", 1, 8), widened(data[16:], n - 1)], dtype=np.uint64)
 
 
 def in_blocks(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,7 +135,7 @@ class Block:
     and history are (-1: the document's start)."""
 
     def __init__(self, sizes: np.ndarray, wanted: np.ndarray, known: bytes, tokens: bytes):
-        hashes, at = np.frombuffer(known, "<u8"), from_planes(tokens, int(sizes.sum())).astype(np.int64)
+        hashes, at = np.frombuffer(known, "<u8"), widened(tokens, int(sizes.sum())).astype(np.int64)
         before = np.r_[0, at[:-1]] + 1
         before[np.cumsum(np.r_[0, sizes])[:-1][sizes > 0]] = 0
         pairs, pair = np.unique(before * (len(hashes) + 1) + at, return_inverse=True)
@@ -189,7 +191,7 @@ def added(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     kinds, at = np.unique(np.concatenate([keys_from(r[-3]) for r in rows]), return_inverse=True)
     sums = [np.zeros(len(kinds), np.int64) for _ in range(2)]
     for total, k in zip(sums, (-2, -1), strict=True):
-        np.add.at(total, at, np.concatenate([from_planes(r[k], key_count(r[-3])) for r in rows]).astype(np.int64))
+        np.add.at(total, at, np.concatenate([widened(r[k], key_count(r[-3])) for r in rows]).astype(np.int64))
     return kinds, at, sums
 
 
@@ -209,7 +211,7 @@ def answers(bucket: int, rows: list[tuple], known: np.ndarray, at: np.ndarray, s
 def told(places: bytes, values: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Places and counts of an answer."""
     at = np.flatnonzero(np.unpackbits(np.frombuffer(places, np.uint8)))
-    return at, [from_planes(x, len(at)).astype(np.int64) for x in values]
+    return at, [widened(x, len(at)).astype(np.int64) for x in values]
 
 
 def corpus_counts(posts: DataFrame, n_blocks: int, n_buckets: int) -> DataFrame:

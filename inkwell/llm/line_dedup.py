@@ -1,15 +1,10 @@
 """Operator 10: line deduplication by a segment-partition edit join.
 
-Lines whose edit distance is at most edits(n), n being the length of the shorter one, are near-duplicates. A line is cut into
-edits(n) + 1 segments, so such a partner holds one of them unchanged near the same place (pigeonhole). Pairs that meet are
-verified by a banded bit-parallel edit distance. Lines and their near-duplicates form classes; the first line of a class in
-document order is kept.
-
-* Lines below LONG characters: every line is indexed under (its length, segment number, segment) and probes the indexes of its own
-  and slightly smaller lengths with the substrings at which the segment may start (multi-match-aware selection; Li et al., Pass-Join, 2011).
-* Longer lines have thresholds for which these substrings would be too many (their number grows with the cube of the threshold). Each of
-  their segments is indexed under its anchor, the least hash among the first WINDOW strings of K bytes in it, and a line probes with the
-  anchors of all its stretches of that length, among which is that of any segment it holds; length and place are compared.
+Lines within edit distance MAX_EDITS of each other are near-duplicates. A line cut into MAX_EDITS + 1 segments has a segment
+that such a partner holds unchanged near the same place (pigeonhole). Every line is indexed under (its length, segment number,
+segment) and probes the indexes of its own and slightly smaller lengths with the substrings at which the segment may
+start (multi-match-aware selection; Li et al., Pass-Join, 2011). Pairs that meet are verified by a banded bit-parallel
+edit distance. Lines and their near-duplicates form classes; the first line of a class in document order is kept.
 """
 
 from __future__ import annotations
@@ -26,15 +21,9 @@ from pyspark.sql import functions as F
 from .common import BLANKS, components, fresh, stored
 from .packed import SCHEMA, Deal
 
-#: Edits allowed below LONG characters; from there on one for each SHARE characters.
 MAX_EDITS = 2
-SHARE, LONG = 64, 192
 #: Lines with fewer characters have no near-duplicates, only exact copies: their segments are too short to tell anything.
 MIN_CHARS = 20
-#: Anchors of long lines. The first segment of a line of LONG characters or more has (LONG - 3) / 4 characters at least.
-K, WINDOW = 16, 32
-#: Bytes of long lines whose anchors are found at once.
-CHUNK = 1 << 22
 #: Lists longer than this are compared as groups (see grouped_links) instead of as pairs.
 PAIRWISE = 64
 #: Lines of a group that one task compares with each other.
@@ -43,15 +32,7 @@ BLOCK = 2000
 BROADCAST_LINES = 1_000_000
 
 PLACES = 1 << (4 * np.arange(8))
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("n", "<u4"), ("at", "<u4"), ("index", "u1")])
-
-
-def edits(n: int) -> int:
-    return MAX_EDITS if n < LONG else n // SHARE
-
-
-def edits_of(n: np.ndarray) -> np.ndarray:
-    return np.where(n < LONG, MAX_EDITS, n // SHARE).astype(np.int64)
+ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
 
 
 def within(a: str, b: str, k: int = MAX_EDITS) -> bool:
@@ -123,7 +104,7 @@ def signature(line: str) -> int:
     return int(n @ PLACES)
 
 
-def alike(a: np.ndarray, b: np.ndarray, k: np.ndarray | int = MAX_EDITS) -> np.ndarray:
+def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
     """Whether two signatures allow a distance of at most k."""
     total = np.zeros(np.broadcast(a, b).shape, np.int64)
     for i in range(8):
@@ -133,11 +114,8 @@ def alike(a: np.ndarray, b: np.ndarray, k: np.ndarray | int = MAX_EDITS) -> np.n
 
 
 def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether two entries allow their lines to be near-duplicates: lengths, places (in bytes, up to 4 a character) and signatures."""
-    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    k = edits_of(np.minimum(n, m))
-    near = (np.abs(n - m) <= k) & (np.abs(x["at"].astype(np.int64) - y["at"]) <= 4 * k)
-    return near & (x["ref"] != y["ref"]) & ((x["index"] | y["index"]) == 1) & alike(x["sig"], y["sig"], k)
+    """Whether two entries allow their lines to be near-duplicates."""
+    return (x["ref"] != y["ref"]) & ((x["index"] | y["index"]) == 1) & alike(x["sig"], y["sig"])
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,38 +124,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.btrim("line", F.lit(BLANKS)) != "").select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def anchored(data: list[bytes], chars: list[int]) -> tuple[np.ndarray, ...]:
-    """(hash, line, place in bytes, whether a segment's own) of the anchors of long lines: all that a line probes with."""
-    size = np.array([len(x) for x in data])
-    begin = np.r_[0, np.cumsum(size + 1)[:-1]]
-    text = b"\n".join(data) + b"\n" * (K + WINDOW)
-    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + (words[8:] ^ (words[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    # the least (hash, place) of each WINDOW strings; places break ties, so the leftmost of equal strings wins
-    bits = np.uint64(len(h).bit_length())
-    least, span = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
-    while span < WINDOW:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    least = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    # a stretch of WINDOW strings lies in one line if it starts this far from the line's end
-    line = np.repeat(np.arange(len(data)), np.maximum(size - (K + WINDOW - 2), 0))
-    first = np.cumsum(np.r_[0, np.maximum(size - (K + WINDOW - 2), 0)])[:-1]
-    start = np.arange(len(line)) - first[line] + begin[line]
-    at = least[start]
-    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (line[1:] != line[:-1])])
-    line, at = line[new], at[new]
-    # segments start at every (k + 1)th part of a line's characters
-    lead = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-    rank = np.searchsorted(lead, begin)
-    parts = edits_of(np.array(chars)) + 1
-    owner = np.repeat(np.arange(len(data)), parts)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, parts])[:-1], parts)
-    own = np.unique(least[lead[rank[owner] + number * np.array(chars)[owner] // parts[owner]]])
-    return h[at], line, at - begin[line], np.isin(at, own)
-
-
 def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
     """Packed index and probe entries of all lines of MIN_CHARS characters or more, each distinct line of a batch once."""
 
@@ -185,50 +131,24 @@ def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
         plans: dict[int, tuple[list, list]] = {}
         digest = xxhash.xxh3_64_intdigest
 
-        def plan_of(n: int) -> tuple[list, list]:
-            if n not in plans:
-                found = [x for x in probes(n) if x[0] < LONG]
-                plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in found], [own for *_, own in found]
-            return plans[n]
-
-        def packed(h: np.ndarray, lines: list[str], data: list[bytes], of: np.ndarray, place: np.ndarray | int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            out = np.empty(len(h), ENTRY)
-            out["key"], out["at"], out["index"] = h & np.uint64(0xFFFFFFFF), place, own
-            out["n"] = np.array([len(x) for x in lines], np.uint32)[of]
-            out["sig"] = np.array([signature(x) for x in lines], np.uint32)[of]
-            out["ref"] = np.array([xxhash.xxh64_intdigest(x, 42) for x in data], np.uint64).view(np.int64)[of]
-            return ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
-
-        def short(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            keys, owns, each = [], [], []
-            for line in lines:
-                plan, own = plan_of(len(line))
-                keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
-                owns += own
-                each.append(len(plan))
-            return packed(np.array(keys, np.uint64), lines, [x.encode() for x in lines], np.repeat(np.arange(len(lines)), each), 0, np.array(owns, bool))
-
-        def long(lines: list[str], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            h, of, place, own = anchored(data, [len(x) for x in lines])
-            return packed(h * np.uint64(0x9E3779B97F4A7C15), lines, data, of, place, own)
-
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                seen = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)})
-                # lines just beyond LONG may be within MAX_EDITS of one just below it
-                if lines := [x for x in seen if len(x) < LONG + MAX_EDITS]:
-                    yield short(lines)
-                held, data, size = [], [], 0
-                for x in seen:
-                    if len(x) >= LONG:
-                        held.append(x)
-                        data.append(x.encode())
-                        size += len(data[-1])
-                        if size >= CHUNK:
-                            yield long(held, data)
-                            held, data, size = [], [], 0
-                if held:
-                    yield long(held, data)
+                seen = {x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
+                keys, owns, each = [], [], []
+                for line in seen:
+                    n = len(line)
+                    if n not in plans:
+                        plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in probes(n)], [own for *_, own in probes(n)]
+                    plan, own = plans[n]
+                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
+                    owns += own
+                    each.append(len(plan))
+                h = np.array(keys, np.uint64)
+                out = np.empty(len(h), ENTRY)
+                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), owns
+                out["sig"] = np.repeat(np.array([signature(x) for x in seen], np.uint32), each)
+                out["ref"] = np.repeat(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in seen], np.uint64).view(np.int64), each)
+                yield ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
 
         yield from deal.pack(entries())
 
@@ -237,13 +157,12 @@ def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
 
 def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
     """Rows (a, b, gid): pairs of lines that meet under a key and whose entries allow it (gid null), or, for lists longer than
-    PAIRWISE, the lines a of the list gid (b null). A list ends where the lengths of its lines lie too far apart."""
+    PAIRWISE, the lines a of the list gid (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, e in deal.buckets(batches):
-            e = e[np.lexsort((e["n"], e["key"]))]
-            n = e["n"].astype(np.int64)
-            first = np.flatnonzero(np.r_[True, (e["key"][1:] != e["key"][:-1]) | (np.diff(n) > edits_of(n[:-1]))])
+        for _, e in deal.buckets(batches):
+            e = e[np.argsort(e["key"], kind="stable")]
+            first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
             last = np.r_[first[1:], len(e)]
             left, right, group, member = [], [], [], []
             two = first[last - first == 2]
@@ -260,7 +179,8 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
                     left.append(one["ref"][p])
                     right.append(one["ref"][q])
                 elif len(refs := np.unique(one["ref"])) > 1:
-                    name = xxhash.xxh64_intdigest(f"{bucket} {one['key'][0]} {one['n'][0]}") >> 1
+                    # lists of the same lines, as those of a class of variants, are one
+                    name = xxhash.xxh64_intdigest(refs.tobytes()) >> 1
                     group.append(np.full(len(refs), name, np.int64))
                     member.append(refs)
             a, b = np.concatenate(left), np.concatenate(right)
@@ -273,10 +193,6 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
     return deal.rows(posted).mapInArrow(run, "a long, b long, gid long")
 
 
-def linked(a: str, b: str) -> bool:
-    return within(a, b, edits(min(len(a), len(b))))
-
-
 #: Links between lines, each named by both of its hashes (the candidates know one of them).
 LINKS = "a struct<a:long,b:long>, b struct<a:long,b:long>"
 
@@ -292,7 +208,7 @@ def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            if good := [((a, a2), (b, b2)) for a, a2, b, b2, x, y in rows if linked(x, y)]:
+            if good := [((a, a2), (b, b2)) for a, a2, b, b2, x, y in rows if within(x, y)]:
                 yield names(good)
 
     x = texts.select("a", F.col("b").alias("a2"), F.col("line").alias("x"))
@@ -307,14 +223,13 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     links connect, so a list of variants of one line takes about one comparison a line."""
 
     def connect(rows: list[tuple[int, int, str]]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-        sig, size = np.array([signature(x) for *_, x in rows], np.uint32), np.array([len(x) for *_, x in rows])
+        sig = np.array([signature(x) for *_, x in rows], np.uint32)
         label = np.arange(len(rows))
         for u in range(1, len(rows)):
-            k = edits_of(np.minimum(size[:u], size[u]))
-            open_ = np.flatnonzero((np.abs(size[:u] - size[u]) <= k) & (label[:u] != label[u]) & alike(sig[:u], sig[u], k))
+            open_ = np.flatnonzero(alike(sig[:u], sig[u]) & (label[:u] != label[u]))
             while len(open_):
                 v = open_[0]
-                if linked(rows[v][2], rows[u][2]):
+                if within(rows[v][2], rows[u][2]):
                     yield rows[v][:2], rows[u][:2]
                     label[label == label[u]] = label[v]
                     open_ = open_[1:][label[open_[1:]] != label[u]]
@@ -338,11 +253,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per distinct line that occurs more than once or has a near-duplicate: a, b (its hashes), doc, text_hash, no (the place
     of its class's first line), near (the class has several distinct lines)."""
     lines = lines_of(docs, id_col, text_col)
-    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"), F.first(F.length("line")).alias("size"))
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"), F.first(F.length("line") >= MIN_CHARS).alias("joined"))
     first = stored(first, "lines")
-    # entries: 12 for a short line; the anchors of WINDOW strings lie (WINDOW + 1) / 2 bytes apart
-    expected = F.when(F.col("size") < MIN_CHARS, 0).when(F.col("size") < LONG, 12).otherwise(2 * F.col("size") / (WINDOW + 1))
-    deal = Deal(int(first.agg(F.coalesce(F.sum(expected), F.lit(0))).first()[0]), ENTRY)
+    deal = Deal(12 * first.where("joined").count(), ENTRY)
     found = stored(candidates(postings(docs, text_col, deal), deal), "line-candidates")
     pairs, members = found.where("gid is null").select("a", "b").distinct(), found.where("gid is not null").select("gid", "a").distinct()
     wanted = stored(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct(), "lines-wanted")

@@ -115,10 +115,9 @@ def distance(a, b):
     return p[-1]
 
 
-def line_dedup(rows, least=20, share=64):
+def line_dedup(rows, least=20, edits=2):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     key = lambda d, t, n: ((d is not None, d or 0), signed(xxhash.xxh64_intdigest(t.encode(), 42)), n)
-    edits = lambda x, y: max(2, min(len(x), len(y)) // share)
     places = collections.defaultdict(set)
     for d, t in rows:
         for n, x in enumerate((t or "").split("\n") if t is not None else []):
@@ -126,7 +125,7 @@ def line_dedup(rows, least=20, share=64):
                 places[x].add(key(d, t, n))
     lines = list(places)
     long = [i for i, x in enumerate(lines) if len(x) >= least]
-    pairs = [(i, j) for i in long for j in long if j < i and abs(len(lines[i]) - len(lines[j])) <= edits(lines[i], lines[j]) and near(lines[i], lines[j], edits(lines[i], lines[j]))]
+    pairs = [(i, j) for i in long for j in long if j < i and abs(len(lines[i]) - len(lines[j])) <= edits and near(lines[i], lines[j], edits)]
     part = dict(zip(lines, groups(len(lines), pairs), strict=True))
     first, size = {}, collections.Counter(part.values())
     for x in lines:

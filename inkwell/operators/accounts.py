@@ -37,7 +37,7 @@ def newest_per_class(histories: DataFrame, cap: int = 10) -> DataFrame:
 
 def export_bundle(profiles: DataFrame, histories: DataFrame) -> DataFrame:
     """Per account its saved documents, newest first, as one JSON array; accounts without any get ``[]``."""
-    item = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"title":"'), F.col("title"), F.lit('"}'))
+    item = F.to_json(F.struct("id", "title"))
     grouped = histories.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k"), F.col("id").alias("i"), item.alias("j")))).alias("l"))
     bundle = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x.j), ","), F.lit("]"))
     return profiles.select("id").join(grouped, F.col("id") == F.col("user_id"), "left").select("id", F.coalesce(bundle, F.lit("[]")).alias("histories"))

@@ -28,7 +28,8 @@ CAPS = r"^[A-Z][A-Z0-9 \t&,'.-]{2,59}\z"
 #: Heading prefixes in order: pattern, level, type.
 PREFIXES = [
     ("^第[一二三四五六七八九十百千万0-9]+[章节篇部分]", 2, "chap"),
-    (r"(?i)^(section|subsection)[ \t]+[0-9]+([.][0-9]+)?", 3, "ensec"),
+    (r"(?i)^section[ \t]+[0-9]+([.][0-9]+)?", 3, "ensec"),
+    (r"(?i)^subsection[ \t]+[0-9]+([.][0-9]+)?", 2, "ensec"),
     (r"(?i)^(chapter|part)[ \t]+[0-9]+", 2, "ensec"),
     ("^[一二三四五六七八九十]+、", 3, "zh"),
     (rf"^[IVX]{{1,6}}[.][ \t]+[A-Z{CJK}]", 3, "roman"),
@@ -168,18 +169,31 @@ def setext(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text", new).where("text IS NOT NULL").select("doc_id", "line_no", "text")
 
 
+#: Narrow punctuation, its wide form, and the blanks behind it that go too, in order.
+PUNCTUATION = ((",", "，", r"[ \t]*"), (".", "。", ""), (";", "；", ""), (":", "：", ""), ("?", "？", ""), ("!", "！", ""))
+#: Inline code, links, images, tags and URLs, which stay as they are.
+PROTECTED = rf"(`[^`]*`|!?\[[^\]]*\]\([^)]*\)|<[^> \t]+>|(?:https?://|www\.)[^ \t<>\x22\x27{CJK}，。；：！？）】》」』、…—–·]+)"
+
+
 def polish(x: Column) -> Column:
     """Typography of one segment: no invisible characters, narrow letters and digits, a space between CJK and Latin, wide punctuation
-    between CJK characters."""
+    behind a CJK character where another or the segment's end follows."""
     x = F.replace(F.translate(F.regexp_replace(x, f"[{INVISIBLE}]", ""), WIDE, NARROW), F.lit("　"), F.lit(" "))
     x = F.regexp_replace(F.regexp_replace(x, f"([{CJK}])([a-zA-Z0-9])", "$1 $2"), f"([a-zA-Z0-9])([{CJK}])", "$1 $2")
     x = F.regexp_replace(x, rf"([{CJK}])[ \t]+([，。！？；：、）】》」』\]])", "$1$2")
     x = F.regexp_replace(x, rf"([（【《「『])[ \t]+([{CJK}])", "$1$2")
-    for narrow, wide in ((",", "，"), ("!", "！"), ("?", "？"), (";", "；"), (":", "："), (".", "。")):
-        x = F.regexp_replace(x, rf"([{CJK}])[ \t]*[{narrow}][ \t]*([{CJK}])", f"$1{wide}$2")
+    for narrow, wide, behind in PUNCTUATION:
+        x = F.regexp_replace(x, rf"([{CJK}])[ \t]*[{narrow}]{behind}(?=[{CJK}]|\z)", f"$1{wide}")
     return x
 
 
+def polished(line: Column) -> Column:
+    """A line with its segments between protected spans polished; of blanks at its end two stay if there are two or more."""
+    spans = F.regexp_extract_all(line, F.lit(PROTECTED), F.lit(0))
+    parts = F.zip_with(F.transform(F.split(line, PROTECTED, -1), polish), spans, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.regexp_replace(F.regexp_replace(F.array_join(parts, ""), r"[ \t]{2,}\z", "  "), r"(^|[^ \t])[ \t]\z", "$1")
+
+
 def typography(docs: DataFrame) -> DataFrame:
     rows = with_fences(lines(docs), "ticks").where("NOT in_fence").where(~F.col("line").rlike(TABLE_ROW) & F.col("line").rlike(f"[{CJK}{INVISIBLE}{WIDE}　]"))
-    return rows.withColumn("text", trim_end(polish(F.col("line")))).where("text <> line").select("doc_id", "line_no", "text")
+    return rows.withColumn("text", polished(F.col("line"))).where("text <> line").select("doc_id", "line_no", "text")

@@ -233,7 +233,7 @@ ORACLES = {
       SELECT p.*, u.*, (SELECT count(*) FROM histories) AS histories_total, round(1000.0 * exports_user / nullif(exports_anon + exports_user, 0)) / 10 AS conversion FROM p, u""",
     "usage_daily": f"WITH {S.USAGE_SQL} {DAILY}",
     "history_cap10": f"WITH {S.HISTORIES_SQL} SELECT * FROM (SELECT id, user_id, is_draft, row_number() OVER (PARTITION BY user_id, is_draft ORDER BY created_at DESC, id DESC) AS rn FROM histories) WHERE rn <= 10",
-    "export_bundle": f"""WITH {S.PROFILES_SQL}, {S.HISTORIES_SQL}, g AS (SELECT user_id, string_agg('{{"id":' || id || ',"title":"' || title || '"}}', ',' ORDER BY created_at DESC, id) AS l FROM histories GROUP BY 1)
+    "export_bundle": f"""WITH {S.PROFILES_SQL}, {S.HISTORIES_SQL}, g AS (SELECT user_id, string_agg(to_json(struct_pack(id := id, title := title))::VARCHAR, ',' ORDER BY created_at DESC, id) AS l FROM histories GROUP BY 1)
       SELECT p.id, coalesce('[' || g.l || ']', '[]') AS histories FROM profiles p LEFT JOIN g ON g.user_id = p.id""",
     "role_permissions": f"WITH {S.PROFILES_SQL}, {HELD} SELECT p.id, p.role, a.action FROM profiles p JOIN held h ON h.role = p.role JOIN actions a ON a.permission = h.permission WHERE p.status = 'active'",
     "config_map": f"""WITH c AS (SELECT * FROM {values(list(CONFIG.items()), "key, value")}), v AS (SELECT key, try_cast(value AS BIGINT) AS n, value FROM c)

@@ -98,8 +98,8 @@ def message_stats(spark, sf):
 
 
 def distinct_sources(spark, sf):
-    rows = read(spark, sf, "pages").select((F.col("page_id") % 20).alias("conv_id"), F.col("page_id").alias("place"), F.when(F.col("page_id") % 9 == 0, "mailto:x").otherwise(F.regexp_extract("url", "^([^/]*//[^/]*)", 1)).alias("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("site").alias("text"))
-    return X.sources(rows, limit=5)
+    rows = read(spark, sf, "pages").select(F.expr("page_id DIV 100").alias("conv_id"), F.col("page_id").alias("place"), F.when(F.col("page_id") % 9 == 0, "mailto:x").otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 2 == 0, "").otherwise("site").alias("text"))
+    return X.sources(rows)
 
 
 def first_heading(spark, sf):
@@ -208,9 +208,9 @@ ORACLES = {
       SELECT conv_id, md5('# ' || CASE WHEN conv_id % 4 = 0 THEN 'Conversation' ELSE 'Talk ' || conv_id END || '{NL}{NL}> Source: shared link, imported 2024-01-31{NL}{NL}' || body) AS markdown FROM b""",
     "last_answer": """WITH a AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT a.conv_id, a.turn, (SELECT max(c.turn) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn AND c.role = 'user') AS question FROM a""",
     "message_stats": f"""WITH {MARKED} SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE role = 'user') AS users, count(*) FILTER (WHERE role = 'assistant') AS assistants, sum({Q.count("text", "(?m)^#+ ")})::BIGINT AS headings FROM m GROUP BY 1""",
-    "distinct_sources": """WITH a AS (SELECT page_id % 20 AS conv_id, page_id AS place, CASE WHEN page_id % 9 = 0 THEN 'mailto:x' ELSE regexp_extract(url, '^([^/]*//[^/]*)', 1) END AS url, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'site' END AS text FROM pages),
+    "distinct_sources": """WITH a AS (SELECT page_id // 100 AS conv_id, page_id AS place, CASE WHEN page_id % 9 = 0 THEN 'mailto:x' ELSE url END AS url, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'site' END AS text FROM pages),
       b AS (SELECT conv_id, url, min(place) AS place, arg_min(text, place) AS text FROM a WHERE regexp_matches(url, '(?i)^https?:') GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, url) AS n FROM b)
-      SELECT conv_id, n, '[' || coalesce(nullif(text, ''), url) || '](' || url || ')' AS link FROM c WHERE n <= 5""",
+      SELECT conv_id, n, '[' || coalesce(nullif(text, ''), url) || '](' || url || ')' AS link FROM c WHERE n <= 50""",
     "first_heading": f"WITH {HEAD}, {FIRST} SELECT * FROM fh",
     "safe_filename": f"""WITH {HEAD}, {FIRST} SELECT m.doc_id, coalesce(nullif({safe("CASE WHEN m.doc_id % 5 = 0 THEN 'a/b: ' || left(m.text, 70) || ' ..' END")}, ''), nullif({safe("fh.heading")}, ''), 'Document-2024-01-31') AS name FROM messy m LEFT JOIN fh USING (doc_id)""",
     "history_title": f"""WITH {MESSY_SQL}, a AS (SELECT doc_id, list_filter(list_transform(string_split(text, '{NL}'), lambda x: {Q.trim(f"regexp_replace(regexp_replace(x, '^#{{1,6}}[{WS}]+', ''), '[*`>]', '', 'g')")}), lambda x: x <> '')[1] AS t FROM messy)

@@ -21,7 +21,9 @@ _COLS = f"list_filter(list_transform(regexp_split_to_array({Q.trim('line')}, '\\
 def _polish(x: str) -> str:
     x = f"replace(translate(regexp_replace({x}, '[{INVISIBLE}]', '', 'g'), '{WIDE}', '{NARROW}'), '　', ' ')"
     steps = [(f"([{CJK}])([a-zA-Z0-9])", r"\1 \2"), (f"([a-zA-Z0-9])([{CJK}])", r"\1 \2"), (rf"([{CJK}])[ \t]+([，。！？；：、）】》」』\]])", r"\1\2"), (rf"([（【《「『])[ \t]+([{CJK}])", r"\1\2")]
-    steps += [(rf"([{CJK}])[ \t]*[{n}][ \t]*([{CJK}])", rf"\1{w}\2") for n, w in ((",", "，"), ("!", "！"), ("?", "？"), (";", "；"), (":", "："), (".", "。"))]
+    # no look-ahead here: a second pass takes the places whose first character the first pass has used, a third those at the end
+    for n, w, behind in T.PUNCTUATION:
+        steps += [(rf"([{CJK}])[ \t]*[{n}]{behind}([{CJK}])", rf"\1{w}\2")] * 2 + [(rf"([{CJK}])[ \t]*[{n}]{behind}$", rf"\1{w}")]
     for pattern, new in steps:
         x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
     return x
@@ -61,5 +63,8 @@ ORACLES = {
     "setext": f"""WITH {HEAD}, a AS (SELECT *, coalesce(lag(line) OVER ({_ROWS}), '') AS p, coalesce(lead(line) OVER ({_ROWS}), '') AS n FROM f),
       b AS (SELECT doc_id, line_no, CASE WHEN {Q.trim("line")} <> '' AND {_PLAIN} AND NOT regexp_matches({Q.trim_start("line")}, '^[#>]') AND NOT regexp_matches(line, '^[{WS}]*={{2,}}[{WS}]*$') AND regexp_matches(n, '^[{WS}]*={{2,}}[{WS}]*$') THEN '# ' || {Q.trim("line")}
         WHEN regexp_matches(line, '^[{WS}]*[—―]{{3,}}[{WS}]*$') AND ({Q.trim("p")} = '' OR {Q.trim("n")} = '') THEN '---' END AS text FROM a WHERE NOT in_fence) SELECT * FROM b WHERE text IS NOT NULL""",
-    "typography": f"""WITH {OUT}, a AS (SELECT *, {Q.trim_end(_polish("line"))} AS text FROM o WHERE NOT regexp_matches(line, '{T.TABLE_ROW}') AND regexp_matches(line, '[{CJK}{INVISIBLE}{WIDE}　]')) SELECT doc_id, line_no, text FROM a WHERE text <> line""",
+    "typography": f"""WITH {OUT}, a AS (SELECT *, regexp_split_to_array(line, '{T.PROTECTED.replace("(", "(?:", 1)}') AS s, regexp_extract_all(line, '{T.PROTECTED}') AS p
+        FROM o WHERE NOT regexp_matches(line, '{T.TABLE_ROW}') AND regexp_matches(line, '[{CJK}{INVISIBLE}{WIDE}　]')),
+      b AS (SELECT *, array_to_string(list_transform(s, lambda x, i: {_polish("x")} || coalesce(p[i], '')), '') AS t FROM a),
+      c AS (SELECT doc_id, line_no, line, regexp_replace(regexp_replace(t, '[ \\t]{{2,}}$', '  '), '(^|[^ \\t])[ \\t]$', '\\1') AS text FROM b) SELECT doc_id, line_no, text FROM c WHERE text <> line""",
 }

@@ -12,7 +12,7 @@ def docs(spark, *texts):
 
 
 REPAIRS = [
-    ("##标题", "## 标题"), ("a `code", "a `code`"), ("这是**加粗的文字", "这是**加粗的文字**"), ("请支付 $100 后发货，优惠 $20。", "请支付 $100 后发货，优惠 $20。"), ("根据 $E=mc^2 可知", "根据 $E=mc^2 可知$"), ("一个独立的$符号", "一个独立的$符号"),
+    ("##标题", "## 标题"), ("a `code", "a `code`"), ("河上**有一座桥", "河上**有一座桥**"), ("苹果卖 $7 一斤，梨卖 $5。", "苹果卖 $7 一斤，梨卖 $5。"), ("根据 $E=mc^2 可知", "根据 $E=mc^2 可知$"), ("一个独立的$符号", "一个独立的$符号"),
     ("| 名称 | 值 |\n|---|---|\n| 甲", "| 名称 | 值 |\n|---|---|\n| 甲 | |"), ("| lone", "| lone"), ("前文\n\n$$\nx = 1", "前文\n\n$$\nx = 1\n$$"), ("```python\nx = 1", "```python\nx = 1\n```"), ("$$\n\\text{价格 $5 与} x^2\n$$", "$$\n\\text{价格 $5 与} x^2\n$$"), ("", ""),
 ]
 
@@ -44,22 +44,22 @@ def test_page_numbers(spark, line, noise):
     assert (structure.page_number_noise(docs(spark, line)).count() == 1) == noise
 
 
-@pytest.mark.parametrize(("text", "want"), [("This is a commu-\nnication tool", "This is a communication tool"), ("via e-\nmail please", "via e-mail please"), ("这是一段没有标点的\n中文续行内容", "这是一段没有标点的中文续行内容"), ("one two\nthree", "one two three")])
+@pytest.mark.parametrize(("text", "want"), [("Along the ware-\nhouse walls", "Along the warehouse walls"), ("by e-\npost today", "by e-post today"), ("河边的老船停在浅水里\n一直没有人来", "河边的老船停在浅水里一直没有人来"), ("one two\nthree", "one two three")])
 def test_rejoin(spark, text, want):
     assert [r["text"] for r in structure.paragraph_rejoin(docs(spark, text)).collect()] == [want]
 
 
 def test_headings_and_bullets(spark):
-    rows = docs(spark, "摘  要\nAbstract", "CONCLUSION AND FUTURE WORK\nPDF", "□ 待办\n☑ 完成\n• item", "text\n=====", "I. Introduction\n第一章 x\n1.2 y")
-    assert sorted(r["heading"] for r in structure.keyword_headings(rows).collect()) == ["## Abstract", "## 摘要"]
-    assert [r["heading"] for r in structure.caps_headings(rows).collect()] == ["### CONCLUSION AND FUTURE WORK"]
-    assert sorted(r["text"] for r in structure.bullets(rows).collect()) == ["- [ ] 待办", "- [x] 完成", "- item"]
+    rows = docs(spark, "结  论\nReferences", "RESULTS OF THE SURVEY\nPDF", "□ 浇水\n☑ 扫地\n• broom", "text\n=====", "I. Introduction\n第一章 x\n1.2 y")
+    assert sorted(r["heading"] for r in structure.keyword_headings(rows).collect()) == ["## References", "## 结论"]
+    assert [r["heading"] for r in structure.caps_headings(rows).collect()] == ["### RESULTS OF THE SURVEY"]
+    assert sorted(r["text"] for r in structure.bullets(rows).collect()) == ["- [ ] 浇水", "- [x] 扫地", "- broom"]
     assert [r["text"] for r in structure.setext(rows).collect()] == ["# text"]
     assert sorted(r["type"] for r in structure.heading_prefixes(rows.where("doc_id = 4")).collect()) == ["chap", "dot2", "roman"]
 
 
 def test_formulas(spark):
-    got = sorted(tuple(r) for r in formulas.formulas(docs(spark, "行内 $a+b$ 与块级\n\n$$\\frac{1}{2}$$\n$c$", "价格为 $5 与 $10 之间")).collect())
+    got = sorted(tuple(r) for r in formulas.formulas(docs(spark, "先写 $a+b$ 再另起\n\n$$\\frac{1}{2}$$\n$c$", "价格为 $5 与 $10 之间")).collect())
     assert got == [(0, 1, False, "a+b"), (0, 3, True, "\\frac{1}{2}"), (0, 4, False, "c")]
 
 
@@ -95,3 +95,22 @@ def test_lockout_counts_only_what_came_before(spark):
     rows = rows.withColumn("created_at", F.to_timestamp_ntz("t"))
     got = accounts.lockouts(rows, limit=5).collect()
     assert sorted(r["id"] for r in got) == [5, 6]
+
+
+TYPOGRAPHY = [("山,水,云", "山，水，云"), ("风来!", "风来！"), ("看 `山,水` 和山,水", "看 `山,水` 和山，水"), ("见[山,水](http://a/山,水)吗?", "见[山,水](http://a/山,水)吗？"), ("雨  ", None), ("雨 ", "雨"), ("雨,  ", "雨，"), ("用ab写", "用 ab 写")]
+
+
+def test_typography(spark):
+    got = {r["doc_id"]: r["text"] for r in structure.typography(docs(spark, *(a for a, _ in TYPOGRAPHY))).collect()}
+    assert [got.get(i) for i in range(len(TYPOGRAPHY))] == [b for _, b in TYPOGRAPHY]
+
+
+def test_heading_levels(spark):
+    got = structure.heading_prefixes(docs(spark, "Section 4 Boats\nSubsection 4.1 Oars\nChapter 2")).orderBy("line_no").collect()
+    assert [r["level"] for r in got] == [3, 2, 2]
+
+
+def test_export_bundle_escapes(spark):
+    saved = spark.createDataFrame([(1, 7, 'a "quoted" \\ title', "2024-01-01 00:00:00")], "id long, user_id long, title string, created_at string")
+    got = accounts.export_bundle(spark.createDataFrame([(7,), (8,)], "id long"), saved).orderBy("id").collect()
+    assert [r["histories"] for r in got] == ['[{"id":1,"title":"a \\"quoted\\" \\\\ title"}]', "[]"]

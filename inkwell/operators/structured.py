@@ -106,23 +106,3 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
 def tickets(payload: Column, key: bytes) -> Column:
     """base64(payload).base64(HMAC of the payload)."""
     return F.concat(F.base64(F.encode(payload, "UTF-8")), F.lit("."), F.base64(hmac_sha256(payload, key)))
-
-
-def json_messages(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """Messages found anywhere in JSON of any shape, to a depth: id, path, role, content, in the order of path. rows: id, json.
-
-    A node with a role (its own or its author's) is a message if it has text: its parts joined, its text, or its content. Every level is one
-    lateral variant_explode over the level before; JSON that doesn't parse has no nodes, and objects' fields come in key order.
-    """
-    level = rows.select("id", F.lit("").alias("path"), F.try_parse_json("json").alias("v")).where("v IS NOT NULL")
-    nodes = level
-    for _ in range(depth):
-        child = level.alias("t").lateralJoin(level.sparkSession.tvf.variant_explode(F.col("t.v").outer()).alias("e"))
-        level = child.select(F.col("t.id").alias("id"), F.concat("t.path", F.lit("."), F.lpad(F.col("e.pos").cast("string"), 6, "0")).alias("path"), F.col("e.value").alias("v"))
-        nodes = nodes.unionByName(level)
-    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
-    parts = F.array_join(F.filter(F.coalesce(get("$.content.parts", "array<string>"), get("$.parts", "array<string>")), lambda x: x.isNotNull()), "\n\n")
-    text = F.coalesce(parts, get("$.content.text"), get("$.text"), F.when(F.schema_of_variant(get("$.content", "variant")) == "STRING", get("$.content")))
-    raw = F.coalesce(get("$.author.role"), get("$.role"))
-    found = nodes.select("id", "path", F.when(raw.isNotNull(), role(raw)).alias("role"), trim(text).alias("content"))
-    return found.where("role IS NOT NULL AND content <> ''")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, blocks, documents, extraction, streams, structure, structured
+from . import accounts, blocks, documents, extraction, repair, streams, structure, structured
 
-MODULES = (accounts, documents, structure, extraction, structured, blocks, streams)
+MODULES = (accounts, documents, structure, extraction, structured, blocks, repair, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

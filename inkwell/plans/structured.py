@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import embedded as E
 from ..operators import structured as O
 from ..operators.documents import LATIN_CJK
 from ..sources.messy import NL, messy
@@ -72,7 +73,7 @@ def json_messages(spark, sf):
     item = F.when(F.col("turn") % 3 == 0, one).when(F.col("turn") % 3 == 1, two).otherwise(three)
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("j")))), lambda s: s.j), ",")
     rows = c.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit('{"a": 1, "data": {"items": [['), items, F.lit("]]"), F.when(F.col("conv_id") % 7 == 3, "").otherwise("}}")).alias("json"))
-    return O.json_messages(rows).select("id", "path", "role", "content")
+    return E.json_messages(rows).select("id", "path", "role", "content")
 
 
 QUERIES = {f.__name__: f for f in (share_messages, embedded_json, doc_settings, stack_hash, navigation_junk, stats_report, encoding_candidates, export_tickets, json_messages)}

@@ -3,12 +3,11 @@ available and leaves the result in a table, so a batch query can be held against
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of sf_dir as a stream of files."""
@@ -19,8 +18,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over all that is there (trigger availableNow) and reads its result back from the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
-    path = f"{root.rstrip('/')}/inkwell/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
 
     def sink(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure replaces its own folder; complete mode replaces the whole result

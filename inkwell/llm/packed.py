@@ -42,7 +42,7 @@ class Deal:
         return packed(self.address(*part) for part in parts)
 
     def regroup(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (unpack(data, self.dtype) for batch in batches for data in batch.column(1).to_pylist())
+        parts = (unpack(data.as_buffer(), self.dtype) for batch in batches for data in batch.column(1))
         return packed((e["bucket_"], e) for e in parts)
 
     def rows(self, posted: DataFrame) -> DataFrame:
@@ -55,12 +55,13 @@ class Deal:
         """Whole buckets from rows that come sorted by bucket."""
         at, held = None, []
         for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # a batch can hold much of a task's bytes, so rows are read where they lie
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held and b != at:
                     yield at, np.concatenate(held)
                     held = []
                 at = b
-                held.append(unpack(data, self.dtype))
+                held.append(unpack(data.as_buffer(), self.dtype))
         if held:
             yield at, np.concatenate(held)
 
@@ -88,7 +89,7 @@ def packed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
         yield from flush()
 
 
-def unpack(data: bytes, dtype: np.dtype) -> np.ndarray:
+def unpack(data: pa.Buffer, dtype: np.dtype) -> np.ndarray:
     n, at = len(data) // dtype.itemsize, 0
     out = np.empty(n, dtype)
     for f in dtype.names:

@@ -37,7 +37,9 @@ SIZE = 50
 K = 16
 WINDOWS = SIZE - K + 1
 #: Context bytes that are sorted at once; an anchor's contexts stay together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Windows of a text that are looked at together.
+PART = 1 << 17
 #: Documents within which a task thins out equal contexts before they are dealt.
 THIN = 1024
 #: One document in SAMPLE is looked at for hot anchors, those with about HOT contexts or more in all, of which tasks are sent MOST at most.
@@ -118,27 +120,43 @@ def repeated(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [hit[a:b] - s for a, b, s in zip(cut, np.r_[cut[1:], len(hit)], begin, strict=True)]
 
 
+def hashed(words: np.ndarray, at: slice | np.ndarray, behind: slice | np.ndarray) -> np.ndarray:
+    """Hashes of strings of K bytes from their two halves, which start at these places."""
+    h = words[at] * np.uint64(0x9E3779B97F4A7C15)
+    second = words[behind]
+    h += (second ^ (second >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     """(hash of the anchor, first window, number of windows less one, hashes of the K bytes before and behind the anchor, 0 where
-    there are fewer) of a text's contexts in order."""
+    there are fewer) of a text's contexts in order. PART windows are looked at together, so that a long text needs no more memory."""
     n = len(data) - SIZE + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + (words[8:] ^ (words[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    # sliding minimum of (hash, place): the leftmost of equal strings wins, as equal windows must agree
-    bits = np.uint64(len(h).bit_length())
-    least, span = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
-    while 2 * span <= WINDOWS:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    least = np.minimum(least[:n], least[WINDOWS - span : WINDOWS - span + n]) & np.uint64((1 << int(bits)) - 1)
-    least = least.astype(np.int64)
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    at = least[first]
-    before, behind = np.where(at >= K, h[at - K], 0), np.where(at + K < len(h), h[np.minimum(at + K, len(h) - 1)], 0)
-    return h[at], first, np.diff(np.r_[first, n]) - 1, before, behind
+    firsts, places, bits = [], [], np.uint64((PART + WINDOWS).bit_length())
+    for begin in range(0, n, PART):
+        m = min(PART, n - begin)
+        end = begin + m + WINDOWS - 1
+        # sliding minimum of (hash, place): the leftmost of equal strings wins, as equal windows must agree
+        h = hashed(words, slice(begin, end), slice(begin + 8, end + 8))
+        least, span = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
+        while 2 * span <= WINDOWS:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        least = np.minimum(least[:m], least[WINDOWS - span : WINDOWS - span + m]) & np.uint64((1 << int(bits)) - 1)
+        new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        firsts.append(new + begin)
+        places.append(least[new].astype(np.int64) + begin)
+    first, at = np.concatenate(firsts), np.concatenate(places)
+    new = np.r_[True, at[1:] != at[:-1]]  # a context may reach from one part into the next
+    first, at = first[new], at[new]
+    before = np.where(at >= K, hashed(words, np.maximum(at - K, 0), np.maximum(at - K, 0) + 8), 0)
+    last = len(data) - K
+    behind = np.where(at + K <= last, hashed(words, np.minimum(at + K, last), np.minimum(at + K, last) + 8), 0)
+    return hashed(words, at, at + 8), first, np.diff(np.r_[first, n]) - 1, before, behind
 
 
 def hot_anchors(rows: DataFrame) -> np.ndarray:

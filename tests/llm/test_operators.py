@@ -93,6 +93,12 @@ def test_op2_matches_brute_force(docs, empty, sample, hot, buckets, monkeypatch)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("part", [7, 40])
+def test_op2_looks_at_texts_in_parts(docs, part, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    assert rows(suffix_dedup.remove_repeats(docs), *FOUND2) == expect(brute.repeats(ROWS))
+
+
 def test_op2_after_a_change_of_partitioning(spark, tmp_path):
     """Rows are known by id and content: another split of the files between its jobs and the result's changes nothing."""
     data = [(i, t) for i, (_, t) in enumerate(ROWS) if t] * 3

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import BLANKS, components, fresh, stored
 from .packed import SCHEMA, Deal
 
@@ -299,8 +300,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = docs.join(drops.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(digest)), "left")
 
     def left(text: Column) -> Column:
-        parts = F.split(text, "\n", -1)
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop)), lambda i: F.get(parts, i)), "\n")
+        # the text is split once, not for each line that stays
+        kept = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
+        return let(F.split(text, "\n", -1), lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n"))
 
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left(F.col(text_col)))
     n_lines = F.coalesce(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1, F.lit(0)).cast("long")

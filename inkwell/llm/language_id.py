@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -96,7 +96,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """Prototypes by language from all rows with a text and a language.
 
     Each task adds up the n-gram counts of its rows by language and bundles them into one vector a language; Spark adds these by
-    (language, dimension). The driver gets dimensions x languages sums, whatever the size of the corpus."""
+    (language, dimension). The driver gets dimensions x languages sums, whatever the size of the corpus. Repeated rows count each; an
+    empty table, or one without labels, gives no prototypes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dimensions), {}
@@ -166,10 +167,12 @@ MIN_SCORE = 0.05
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: learns from the documents' own labels outside the held-out fold and keeps what has a language."""
+    """Pipeline stage: learns from the documents' own labels outside the held-out fold and keeps what has a language.
+
+    Null, empty and letterless texts go; repeated rows and null ids are judged like any other; an empty table stays empty. Other columns
+    come through unchanged, whatever their names."""
     prototypes = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     columns = docs.columns
-    judged = identify(docs.withColumn("inkwell_text", F.col("text")), prototypes, text_col="inkwell_text", keep=tuple(c for c in columns if c != "doc_id"), names=("inkwell_lang", "inkwell_score"))
-    return judged.where((F.col("inkwell_lang") != UNDETERMINED) & (F.col("inkwell_score") >= MIN_SCORE)).select(*columns)
-
-
+    text, lang, score = fresh(docs, "text_read", "lang_found", "score_found")
+    judged = identify(docs.withColumn(text, F.col("text")), prototypes, text_col=text, keep=tuple(c for c in columns if c != "doc_id"), names=(lang, score))
+    return judged.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*columns)

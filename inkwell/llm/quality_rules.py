@@ -2,7 +2,7 @@
 
 Every rule is evaluated once per document; the ledger holds its failure bits and the measurements behind them. A policy is
 a named version: a mask of the rules that drop a document. Applying a policy, or comparing policies, is bit arithmetic on the ledger
-and never touches the text again; ablations are one aggregation over the masks. DataFrame functions only.
+and never touches the text again; ablations are bitwise aggregates over the masks. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -49,7 +49,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Words are maximal runs of characters other than ASCII blanks. Null and empty texts measure 0 everywhere. Lines count
     if they have a word. A word counts as repeated if one of the 3-word windows it is in is found twice or more in the text; windows are
-    compared by 64-bit hashes within one text. Repeats come from a sort of (hash, position) inside the row: no row leaves its
+    compared by 64-bit hashes within one text. Repeated rows and null ids are rows like any other, an empty table gives none, and other
+    columns are left out, so their names can't clash. Repeats come from a sort of (hash, position) inside the row: no row leaves its
     task, however long a text is, and time is n log n in its words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,28 +87,41 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 
 
 def ablations(book: DataFrame, policy: str) -> DataFrame:
-    """One row per rule of the policy: documents that fail it, that only it drops, and that stay if it is left out.
+    """One row per rule of the policy: documents that fail it, that only it drops, that stay if it is left out, and the bits of the
+    policy's rules that fail with it in some (with_some) or in every (with_all) document that fails it.
 
-    One pass: documents are first counted by the failure bits within the policy (at most 2^rules rows), then each rule reads
-    those counts. An empty ledger gives zeros.
+    The ledger is first counted by its failure bits within the policy, at most 2^rules rows; each of these stands once for every
+    rule, and bit operations and bitwise aggregates do the rest. Repeated rows count each; an empty ledger gives zeros.
     """
     whole = mask(policy)
     counts = book.groupBy(F.col("failures").bitwiseAND(F.lit(whole)).alias("bits")).agg(F.count("*").alias("n"))
-    sums = [F.sum(F.when(F.col("bits").bitwiseAND(F.lit(bit(r))) != 0, F.col("n")).otherwise(0)).alias(f"fail_{r}") for r in POLICIES[policy]]
-    sums += [F.sum(F.when(F.col("bits") == bit(r), F.col("n")).otherwise(0)).alias(f"only_{r}") for r in POLICIES[policy]]
-    one = counts.agg(F.sum(F.when(F.col("bits") == 0, F.col("n")).otherwise(0)).alias("kept"), *sums)
-    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.coalesce(f"fail_{r}", F.lit(0)).alias("n_fail"), F.coalesce(f"only_{r}", F.lit(0)).alias("n_only"), (F.coalesce("kept", F.lit(0)) + F.coalesce(f"only_{r}", F.lit(0))).alias("kept_without")) for r in POLICIES[policy]))
-    return one.select(F.inline(rows))
+    # a row without documents for every rule, so that rules that nothing fails are in the result
+    counts = counts.unionByName(book.sparkSession.range(1).select(F.lit(0).alias("bits"), F.lit(0).cast("long").alias("n")))
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(bit(r)).alias("bit")) for r in POLICIES[policy])))
+    each = counts.select("bits", "n", rules.alias("r")).select("bits", "n", "r.rule", "r.bit", F.col("bits").bitwiseAND(F.col("r.bit")).alias("hit"), F.col("bits").bitwiseXOR(F.col("r.bit")).alias("other"))
+    fails = F.when(F.col("hit") != 0, F.col("other"))
+    return each.groupBy("rule").agg(
+        F.sum(F.when(F.col("hit") != 0, F.col("n")).otherwise(0)).alias("n_fail"),
+        F.sum(F.when(F.col("other") == 0, F.col("n")).otherwise(0)).alias("n_only"),
+        F.sum(F.when((F.col("bits") == 0) | (F.col("other") == 0), F.col("n")).otherwise(0)).alias("kept_without"),
+        F.coalesce(F.bit_or(fails), F.lit(0)).cast("long").alias("with_some"),
+        F.coalesce(F.bit_and(fails), F.lit(0)).cast("long").alias("with_all"),
+    )
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Whole documents table under policy strict-1, whose mask holds the two base rules."""
-    book = apply_policy(ledger(table(spark, sf_dir, "documents")), "strict-1")
+    """Whole documents table: the ledger is stored once, then read under policy strict-1, whose mask holds the two base rules."""
+    book = apply_policy(stored(ledger(table(spark, sf_dir, "documents")), "ledger"), "strict-1")
     base = sum(bit(r) for r in BASE)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failures").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "kept", F.col("failures").cast("long").alias("failures"), F.lit("strict-1").alias("policy"))
 
 
-OP5_SQL = r"""
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """The ablation report of strict-1 over the whole documents table."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), "strict-1")
+
+
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -125,7 +139,18 @@ f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END)::BIGINT AS failures FROM m)
+"""
+
+OP5_SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed,
        failures = 0 AS kept, failures, 'strict-1' AS policy
 FROM f
 """
+
+_RULE_ROWS = ", ".join(f"('{r}', {bit(r)})" for r in POLICIES["strict-1"])
+ABLATION_SQL = f"""{_LEDGER_SQL}
+SELECT rule, count(*) FILTER (WHERE failures & b <> 0) AS n_fail, count(*) FILTER (WHERE failures = b) AS n_only, count(*) FILTER (WHERE failures IN (0, b)) AS kept_without,
+       coalesce(bit_or(failures - b) FILTER (WHERE failures & b <> 0), 0)::BIGINT AS with_some, coalesce(bit_and(failures - b) FILTER (WHERE failures & b <> 0), 0)::BIGINT AS with_all
+FROM (VALUES {_RULE_ROWS}) AS r (rule, b) LEFT JOIN f ON true
+GROUP BY rule
+"""

@@ -7,7 +7,7 @@ from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .lm_scoring import op4_lm_scoring
 from .oracles import OP2_SQL, OP8_SQL
-from .quality_rules import OP5_SQL, op5_quality_rules
+from .quality_rules import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash
 from .suffix_dedup import op2_suffix_dedup
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "quality_ablations": ABLATION_SQL,
 }

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -161,3 +162,39 @@ def jaccard_groups(rows, size=5):
         if d is not None:
             least[p].append(d)
     return [(d, min(least[p], default=None)) for (d, _), p in zip(rows, part, strict=True)]
+
+
+def languages(rows, letter):
+    """By document id: held out, predicted language, cosine. ``letter`` gives a code point's fixed vector; everything else is done here
+    one n-gram at a time."""
+    vectors = {}
+
+    def gram(g):
+        if g not in vectors:
+            vectors[g] = np.roll(letter(ord(g[0])).astype(int), 2) * np.roll(letter(ord(g[1])).astype(int), 1) * letter(ord(g[2])).astype(int)
+        return vectors[g]
+
+    def bundle(text):
+        spaced = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")) + " "
+        spaced = re.sub(" +", " ", spaced)
+        out = np.zeros(len(letter(97)), int)
+        for g, n in collections.Counter(spaced[i : i + 3] for i in range(len(spaced) - 2)).items():
+            out += n * gram(g)
+        return out
+
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    bundles = {d: bundle(t) for d, t, _ in rows}
+    prototypes = {}
+    for d, t, lang in rows:
+        if not held[d] and t is not None and lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + bundles[d]
+    out = {}
+    for d, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[d] = held[d], "und", 0.0
+            continue
+        v = bundles[d]
+        cos = {k: round(float(v @ p) / float(np.linalg.norm(v) * np.linalg.norm(p)), 12) for k, p in prototypes.items()}
+        best = min(cos, key=lambda k: (-cos[k], k))
+        out[d] = held[d], best, min(1.0, max(0.0, cos[best]))
+    return out

@@ -1,5 +1,7 @@
 """The ten operators on small tables with all the awkward cases, against plain versions; and on the test tables."""
 
+import functools
+import operator
 import random
 import re
 
@@ -195,6 +197,9 @@ def test_op5_policies_and_ablations(docs, empty):
         b = quality_rules.bit(rule)
         only = sum(r["failures"] == b for r in book)
         assert (report[rule]["n_fail"], report[rule]["n_only"], report[rule]["kept_without"]) == (sum(bool(r["failures"] & b) for r in book), only, kept + only)
+        others = [r["failures"] - b for r in book if r["failures"] & b]
+        assert report[rule]["with_some"] == functools.reduce(operator.or_, others, 0)
+        assert report[rule]["with_all"] == (functools.reduce(operator.and_, others) if others else 0)
     assert all(r["n_fail"] == 0 for r in quality_rules.ablations(quality_rules.ledger(empty), "base-1").collect())
 
 
@@ -253,6 +258,26 @@ def test_op7_binding_is_the_definition():
     assert (space.bundle(codes, counts) == sum(n * space.gram(int(x)).astype(int) for x, n in zip(codes, counts, strict=True))).all()
 
 
+def test_op7_query_matches_plain_prototypes(spark):
+    """Every row of the query against prototypes and cosines built one letter at a time from the definition."""
+    table = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = brute.languages(table, language_id.Space().letter)
+    got = {r["doc_id"]: r for r in language_id.op7_language_id(spark, SF).collect()}
+    assert set(got) == set(want)
+    for d, (held, lang, score) in want.items():
+        assert (got[d]["held_out"], got[d]["lang_pred"]) == (held, lang), d
+        assert got[d]["score"] == pytest.approx(score, abs=1e-9), d
+
+
+def test_op7_stage_keeps_columns_and_takes_any_name(spark, empty):
+    rows_ = [(i, prose(30, "abcde" if i % 2 else "stuvw"), "xx" if i % 2 else "yy", i, "t") for i in range(40)] + [(50, None, "xx", 50, "t"), (51, "12", None, 51, "t"), (52, "", "yy", 52, "t")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, score_found int, TEXT_READ string")
+    out = language_id.stage(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == rows_[:40]
+    assert language_id.stage(spark, empty, SF).count() == 0
+
+
 def test_op7_held_out_accuracy(spark):
     got = language_id.op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out AND n_chars > 100").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Forms of formulas.
 BLOCK = r"(?s)[$][$].+?[$][$]"
+BRACKETS = r"(?s)\\{1,2}\[(.+?)\\{1,2}\]"
+PARENTHESES = r"\\{1,2}\(([^\n\r\x{2028}\x{2029}]+?)\\{1,2}\)"
 INLINE = r"[$][^ \t\n$](?:[^$\n]*[^ \t\n$])?[$]"
 
 
@@ -26,6 +28,13 @@ def formulas(docs: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "line", "is_block", "formula").unionByName(inline)
 
 
+def delimited(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, is_block, formula) of formulas between backslashed brackets, over several lines, and parentheses, within one; the
+    backslash may stand twice."""
+    found = [docs.select("doc_id", F.lit(block).alias("is_block"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("formula")) for block, pattern in ((True, BRACKETS), (False, PARENTHESES))]
+    return found[0].unionByName(found[1])
+
+
 def paginate(docs: DataFrame, height: int = 40, width: int = 80) -> DataFrame:
     """Rows (doc_id, page, first_line, last_line) of a fold over a document's lines: a line takes as many rows as its characters need,
     a heading doesn't end a page, and what doesn't fit starts the next one."""

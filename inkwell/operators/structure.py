@@ -25,6 +25,9 @@ BOX_OPEN = rf"^([{WS}]*)(\[ \]|☐|□|✗|✘)([{WS}]+|\z)"
 QUOTE = r"(?i)^(注意|提示|警告|重要|备注|风险|安全|示例|说明|摘要|note|tip|warning|caution|important|example)[:：][ \t]*"
 REFERENCE = r"^(\[[0-9]+\])[ \t]*"
 CAPS = r"^[A-Z][A-Z0-9 \t&,'.-]{2,59}\z"
+#: Lines of a table drawn with borders.
+GRID_BORDER = rf"^[{WS}]*[+][-=]{{2,}}[+]([-=]{{2,}}[+])+[{WS}]*\z"
+GRID_CONTENT = rf"^[{WS}]*[|].*[|][{WS}]*\z"
 #: Heading prefixes in order: pattern, level, type.
 PREFIXES = [
     ("^第[一二三四五六七八九十百千万0-9]+[章节篇部分]", 2, "chap"),
@@ -132,6 +135,21 @@ def table_inference(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.concat(F.lit("| "), F.array_join("cols", " | "), F.lit(" |")).alias("text"), F.when(F.col("first"), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("cols")))).alias("separator"))
 
 
+def grid_tables(docs: DataFrame) -> DataFrame:
+    """Tables drawn with borders: the pipe rows they become, short ones filled up, and the separator behind the first. A run of grid lines
+    is a table if it has two rows or more and a border."""
+    rows = with_fences(lines(docs), "ticks")
+    rows = rows.withColumn("border", ~F.col("in_fence") & F.col("line").rlike(GRID_BORDER)).withColumn("content", ~F.col("in_fence") & F.col("line").rlike(GRID_CONTENT))
+    rows = rows.withColumn("run", island(F.col("border") | F.col("content"))).where("border OR content")
+    inner = F.regexp_replace(F.regexp_replace(trim(F.col("line")), "^[|]", ""), r"[|]\z", "")
+    rows = rows.withColumn("cells", F.when(F.col("content"), F.transform(F.split(inner, "[|]", -1), trim)))
+    w = Window.partitionBy("doc_id", "run")
+    rows = rows.withColumn("n", F.count_if("content").over(w)).withColumn("whole", F.count("*").over(w)).withColumn("width", F.max(F.size("cells")).over(w)).withColumn("first", F.min(F.when(F.col("content"), F.col("line_no"))).over(w))
+    filled = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    rows = rows.where("content AND n >= 2 AND n < whole")
+    return rows.select("doc_id", "line_no", F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |")).alias("text"), F.when(F.col("line_no") == F.col("first"), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("width")))).alias("separator"))
+
+
 def separator_injection(docs: DataFrame) -> DataFrame:
     """Runs of two or more pipe rows outside fences without a separator: the one to put behind the first."""
     rows = with_fences(lines(docs), "ticks").withColumn("row", ~F.col("in_fence") & F.col("line").rlike(TABLE_ROW))

@@ -68,8 +68,12 @@ PROFILES_SQL = """profiles AS (
 
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved documents: id, user_id, title, is_draft, total, created_at."""
-    o = read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), (F.col("o_orderstatus") == "O").alias("is_draft"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
+    return histories_of(read(spark, sf_dir, "orders"))
+
+
+def histories_of(orders: DataFrame) -> DataFrame:
+    """The same of any orders, a stream of them too."""
+    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("title"), (F.col("o_orderstatus") == "O").alias("is_draft"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
 
 
 HISTORIES_SQL = """histories AS (
@@ -83,3 +87,21 @@ def login_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGINS_SQL = "login_logs AS (SELECT event_id AS id, user_id, event_id % 25 AS ip, event_type <> 'error' AS success, ts AS created_at FROM events)"
+
+
+def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first words are put into a table drawn with borders, by their number with or without all of its parts: doc_id, text."""
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    cell = F.translate(F.substring("text", 1, 12), "\n|", "  ")
+    border, bars = F.lit("+-----+====+\n"), F.concat(F.lit("| k | "), cell, F.lit(" |\n"))
+    text = F.concat(
+        F.lit("before\n"), F.when(k == 3, "```\n").otherwise(""), F.when(k == 2, "").otherwise(border), bars, F.when(k == 1, "").otherwise(F.concat(F.lit(" | only one |\n|"), cell, F.lit("|x|y|  \n"))),
+        F.when(k == 2, "").otherwise(border), F.when(k == 3, "```\n").otherwise(""), F.col("text"),
+    )
+    return d.select("doc_id", text.alias("text"))
+
+
+GRID_SQL = """gridded AS (
+  SELECT doc_id, 'before' || chr(10) || CASE WHEN k = 3 THEN '```' || chr(10) ELSE '' END || CASE WHEN k = 2 THEN '' ELSE b END || '| k | ' || c || ' |' || chr(10)
+         || CASE WHEN k = 1 THEN '' ELSE ' | only one |' || chr(10) || '|' || c || '|x|y|  ' || chr(10) END || CASE WHEN k = 2 THEN '' ELSE b END || CASE WHEN k = 3 THEN '```' || chr(10) ELSE '' END || text AS text
+  FROM (SELECT doc_id, text, doc_id % 4 AS k, translate(substr(text, 1, 12), chr(10) || '|', '  ') AS c, '+-----+====+' || chr(10) AS b FROM documents))"""

@@ -3,8 +3,11 @@ available and leaves the result in a table, so a batch query can be held against
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import scratch
 
@@ -15,20 +18,47 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over all that is there (trigger availableNow) and reads its result back from the shared folder."""
+def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs the stream over all that is there (trigger availableNow) and reads its result back from the shared folder.
+
+    In update mode a batch writes only the rows that it changed; of rows with equal ``keys`` the latest batch's holds."""
     spark = stream.sparkSession
     path = scratch(spark, "stream")
+    if mode != "complete":  # so that there is a result where the stream has no batch
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/result/batch=-1")
 
     def sink(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure replaces its own folder; complete mode replaces the whole result
         target = f"{path}/result" if mode == "complete" else f"{path}/result/batch={number}"
         batch.write.mode("overwrite").parquet(target)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{path}/result")
-    return out
+    _drain(stream, mode, sink, path)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{path}/result").select(*stream.columns)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/result")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("newest")).select(*keys, "newest.*")
+
+
+def run_merged(stream: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Keeps a table up to date: after each batch it is merge(table and batch together), written under the batch's number, so a batch
+    that is run again starts from the same table."""
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+    newest = {-1: f"{path}/table/-1"}
+    spark.createDataFrame([], stream.schema).write.parquet(newest[-1])
+
+    def sink(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(stream.schema).parquet(newest[number - 1])
+        newest[number] = f"{path}/table/{number}"
+        merge(before.unionByName(batch)).select(*stream.columns).write.mode("overwrite").parquet(newest[number])
+
+    _drain(stream, "append", sink, path)
+    return spark.read.schema(stream.schema).parquet(newest[max(newest)])
+
+
+def _drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], path: str) -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def usage_daily(events: DataFrame, late: str = "2 days") -> DataFrame:

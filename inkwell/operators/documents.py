@@ -96,7 +96,7 @@ def source_warnings(docs: DataFrame) -> DataFrame:
 def captions(docs: DataFrame) -> DataFrame:
     """Caption lines with their kind, text and number within the document and kind."""
     found = F.coalesce(*(F.when(F.col("line").rlike(p), F.struct(F.regexp_extract("line", p, 1).alias("word"), F.regexp_extract("line", p, 2).alias("text"))) for p in CAPTION_BOTH))
-    rows = lines(docs).withColumn("c", found).where("c IS NOT NULL")
+    rows = lines(docs, state=False).withColumn("c", found).where("c IS NOT NULL")
     rows = rows.select("doc_id", "line_no", F.when(F.col("c.word").rlike("(?i)^(图|fig)"), "fig").otherwise("tbl").alias("kind"), trim(F.col("c.text")).alias("text"))
     return rows.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("line_no")))
 

@@ -20,8 +20,14 @@ def so_far() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no from 1, line); a trailing newline gives a last empty line."""
+def lines(docs: DataFrame, state: bool = True) -> DataFrame:
+    """Rows (doc_id, line_no from 1, line); a trailing newline gives a last empty line.
+
+    Where lines depend on others (``state``) the documents are dealt by doc_id while each is still one row, so that the windows over a
+    document's lines and putting them together again need no further exchange."""
+    docs = docs.select("doc_id", "text")
+    if state:
+        docs = docs.repartition("doc_id")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import snippets as P
 from ..operators import wordlayout as W
 from ..operators.lines import island, lines, with_fences
 from ..operators.structure import TABLE_ROW
@@ -52,7 +53,23 @@ def cjk_emphasis(spark, sf):
     return d.select("doc_id", W.hold_emphasis(text).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (font_keys, table_borders, assembly_order, page_lines, cjk_emphasis)}
+CODE = ["$ ls -l\n", "import math\nx = math.pi\n\n", "config = {\n  k: [1, 2]\n}\n", "git add it\ngit commit it\n", "git is a tool\n\n", "```\nimport os\ny = 1\n```\n", "console.log(1)\nz()\n# end\n"]
+
+
+def code_snippets(spark, sf):
+    """Documents with a piece of code, by their number, before their text."""
+    piece = F.get(F.array(*map(F.lit, CODE)), (F.col("doc_id") % len(CODE)).cast("int"))
+    return P.code_snippets(S.read(spark, sf, "documents").select("doc_id", F.concat(F.lit("Start\n"), piece, "text").alias("text")))
+
+
+def table_grid(spark, sf):
+    """An order as a table: up to three items a row, spans by their quantity and line number."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    items = S.read(spark, sf, "lineitem")
+    return P.table_grid(items.select(F.col("l_orderkey").alias("table"), F.floor((n - 1) / 3).cast("int").alias("row"), n.alias("cell"), (q % 3).alias("colspan"), ((q + n) % 4).cast("int").alias("rowspan")))
+
+
+QUERIES = {f.__name__: f for f in (font_keys, table_borders, assembly_order, page_lines, cjk_emphasis, code_snippets, table_grid)}
 
 
 def _listed(items) -> str:

@@ -79,7 +79,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     Returns one row per input row: the id column, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids (array of int)
     and decoded. A null text counts as empty and gives the end id alone. Repeated rows each give a row; a null id stays
-    null. Other columns of the input, whatever their names, are not read. An empty table gives no rows.
+    null. Texts of any length are encoded whole. Other columns of the input, whatever their names, are not read. An empty table
+    gives no rows.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if keep:
@@ -108,7 +109,9 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ids and digests of every document that is left."""
+    """Pipeline stage: id, token ids and digests of every document that is left; the last stage, so other columns are not carried on.
+
+    Null, empty and very long texts, repeated rows, null ids and empty tables are as encode_documents says."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")

@@ -32,7 +32,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     ``rules``: host, path, verdict (allow or block). A rule fits its host and all subdomains if the path starts with the
     rule's path; the longest rule (host and path together) wins, at equal length the later text, and block over allow
     where one rule is listed with both verdicts. Repeated rules count once; rules with a null in any column are left out. URLs without
-    a rule get ``default``. Null ids and repeated rows each keep their row; other columns are not read.
+    a rule get ``default``. Null URLs have an empty host and path. Null ids and repeated rows each keep their row; URLs of any length are
+    judged whole; other columns, whatever their names, are not read. An empty table of URLs gives no rows, one of rules the default.
     """
     rules = rules.select("host", "path", "verdict").dropna().distinct()
     size = rules.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.length("path"))), 1, PATH_LENGTHS + 1).alias("lengths")).first()

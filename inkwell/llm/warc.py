@@ -109,7 +109,10 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
 
 def read_records(index: DataFrame, root: str, bodies: bool = False) -> DataFrame:
     """Reads the records of the index rows given (all or a selection): id, payload_bytes, payload_digest, record_type,
-    refers_to; with ``bodies`` also body (null for revisits). The digest of every block read is computed again and compared."""
+    refers_to; with ``bodies`` also body (null for revisits). The digest of every block read is computed again and compared.
+
+    Null ids come back null; repeated index rows give repeated records; records of any length are read whole; an empty index gives no
+    rows. Only the index's own columns are read."""
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
         run: list[tuple[str, int, int]] = []

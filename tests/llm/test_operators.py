@@ -337,6 +337,21 @@ def test_op9_matches_plain_rules(spark, broadcast, lengths, monkeypatch):
     assert {r["verdict"] for r in url_filter.judge(df, table.limit(0)).collect()} == {"allow"}
 
 
+def test_op9_empty_tables_nulls_and_long_urls(spark):
+    urls = spark.createDataFrame([(1, None), (None, "http://A.com/x"), (2, "http://b.com/" + "x" * 100_000), (2, "nothing")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    got = rows(url_filter.judge(urls, rules.limit(0)), "page_id", "host", "rule", "verdict")
+    assert got == expect([(1, "", None, "allow"), (None, "a.com", None, "allow"), (2, "b.com", None, "allow"), (2, "", None, "allow")])
+    assert rows(url_filter.judge(urls, rules), "page_id", "verdict") == expect([(1, "allow"), (None, "block"), (2, "block"), (2, "allow")])
+    assert url_filter.judge(urls.limit(0), rules).count() == 0
+
+
+def test_op3_empty_index(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    index = warc.write_archives(pages, f"file://{tmp_path}")
+    assert index.count() == 0 and warc.read_records(index, f"file://{tmp_path}").count() == 0
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab", max_size=14), st.text("ab", max_size=14), st.integers(1, 3))
 def test_op10_distance(a, b, k):

@@ -36,3 +36,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id)
 """
+
+
+def crc32(text: str) -> str:
+    """crc32 of a short ASCII text, unsigned: eight steps for each character."""
+    step = "list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, b: xor(c >> 8, {step})))::BIGINT"
+
+
+#: A run of period q has equal windows of six words at i and i + q for every i of an unbroken stretch; the least of several periods counts.
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, {crc32("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+s AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM e),
+v AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN h % 10 <> 0 THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM s),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 5)) AS i FROM v)),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+t AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 6 + q AS length FROM k GROUP BY doc_id, q, island),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS q FROM t WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS x FROM r GROUP BY 1),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+o AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM v),
+z AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS x FROM o ANTI JOIN z USING (doc_id, i) GROUP BY 1)
+SELECT v.doc_id, coalesce(b.n, 0) AS n_runs, f.start, f.length, f.q AS period, 1000 * f.length // f.q AS exponent_milli,
+       sha256(coalesce(b.x, '')) AS runs_sha256, sha256(coalesce(c.x, '')) AS collapsed_sha256
+FROM v LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -66,3 +66,40 @@ SELECT v.doc_id, coalesce(b.n, 0) AS n_runs, f.start, f.length, f.q AS period, 1
        sha256(coalesce(b.x, '')) AS runs_sha256, sha256(coalesce(c.x, '')) AS collapsed_sha256
 FROM v LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+_ASSIGN = (
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*"
+_JWT = r"eyJ[A-Za-z0-9_-]{17,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+_PROVIDER = r"(?:gh[opsu]_|github_pat_|xox[abps]-|sk-|AIza|glpat-)[A-Za-z0-9_-]{20,}"
+_LOGIN = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[^\x00-\x20:/@]{6,64}@"
+_ANY = f"{_ASSIGN}|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}|{_PEM}|{_JWT}|{_PROVIDER}|{_LOGIN}|[A-Za-z0-9+/_=-]{{20,}}"
+
+
+def _places(source: str, pattern: str, search: str) -> str:
+    """Rows (r, source, start, f): the matches of a pattern in every text and their places."""
+    return f"""SELECT r, '{search}' AS search, sum(length(f) + length(y)) OVER (PARTITION BY r ORDER BY i) - length(f) AS start, f FROM (
+    SELECT r, unnest(f) AS f, unnest(y[: len(f)]) AS y, unnest(range(len(f))) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS y FROM {source}))"""
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_places("d", p, s) for p, s in ((_ASSIGN, "assign"), ("AKIA[A-Z0-9]+", "access"), ("[0-9a-f]+", "hex"), (_ANY, "any")))}),
+k AS (SELECT *, CASE WHEN search <> 'any' THEN search
+    WHEN regexp_full_match(f, '{_ASSIGN}') OR regexp_full_match(f, 'AKIA[A-Z0-9]{{16,}}') OR regexp_full_match(f, '[0-9a-f]{{24,}}') THEN 'none'
+    WHEN regexp_full_match(f, '{_PEM}') THEN 'pem' WHEN regexp_full_match(f, '{_JWT}') THEN 'jwt'
+    WHEN regexp_full_match(f, '{_PROVIDER}') THEN 'provider' WHEN regexp_full_match(f, '{_LOGIN}') THEN 'login' ELSE 'opaque' END AS kind FROM m),
+s AS (SELECT r, start, start + length(f) AS stop, kind, list_position(['assign', 'access', 'hex', 'pem', 'jwt', 'provider', 'login', 'opaque'], kind) AS rank,
+    CASE kind WHEN 'assign' THEN regexp_extract(f, '{_ASSIGN}', 2) ELSE f END AS secret FROM k WHERE kind <> 'none'),
+c AS (SELECT s.*, d.source, d.lang FROM s JOIN d USING (r) WHERE CASE kind WHEN 'assign' THEN length(secret) >= 6 WHEN 'access' THEN length(secret) >= 20 WHEN 'hex' THEN length(secret) >= 24
+    WHEN 'opaque' THEN len(regexp_extract_all(secret, '[A-Z]')) >= 2 AND len(regexp_extract_all(secret, '[a-z]')) >= 2 AND len(regexp_extract_all(secret, '[0-9]')) >= 2 AND len(list_distinct(string_split(secret, ''))) >= 12
+    ELSE true END),
+o AS (SELECT secret, count(*) AS owners FROM (SELECT DISTINCT secret, source FROM c) GROUP BY 1),
+j AS (SELECT c.*, owners <= 2 AS live, kind || ':' || start || ':' || stop AS told FROM c JOIN o USING (secret) WHERE rank <= 3 OR owners <= 2),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS h, count(*) FILTER (WHERE live) AS l,
+    string_agg(told, ',' ORDER BY start, rank) AS x, string_agg(told, ',' ORDER BY start, rank) FILTER (WHERE rank <= 3) AS y FROM j GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(y, '')) AS base_sha256, coalesce(x, '') AS spans, coalesce(l, 0) AS n_live
+FROM d LEFT JOIN g USING (r)
+"""

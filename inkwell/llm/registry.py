@@ -6,9 +6,10 @@ from .decontaminate import op8_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .lm_scoring import op4_lm_scoring
-from .oracles import OP2_SQL, OP8_SQL, OP11_SQL
+from .oracles import OP2_SQL, OP8_SQL, OP11_SQL, OP12_SQL
 from .periodic_runs import op11_periodic_runs
 from .quality_rules import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablations
+from .secret_scan import op12_secret_scan
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash
 from .suffix_dedup import op2_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
     "quality_ablations": quality_ablations,
 }
 
@@ -37,5 +39,6 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_secret_scan": OP12_SQL,
     "quality_ablations": ABLATION_SQL,
 }

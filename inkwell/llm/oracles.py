@@ -103,3 +103,24 @@ g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (W
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(y, '')) AS base_sha256, coalesce(x, '') AS spans, coalesce(l, 0) AS n_live
 FROM d LEFT JOIN g USING (r)
 """
+
+#: Features of every text; each distinct one's crc32 byte by byte over the table of 256 remainders.
+OP13_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+    SELECT doc_id, false AS target, {_WORDS} AS w FROM documents UNION ALL SELECT NULL, true, {_WORDS} FROM benchmark),
+i AS (SELECT w.*, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS MATERIALIZED (SELECT doc_id, target, array_to_string(w[i : i + k - 1], ' ') AS f, count(*) AS n FROM i GROUP BY ALL),
+t AS MATERIALIZED (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS t FROM (SELECT unnest(range(256))::UBIGINT AS i)),
+h AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+r(f, h, p, c) AS (SELECT f, h, 1, 4294967295::UBIGINT FROM h
+    UNION ALL SELECT f, h, p + 2, xor(c >> 8, t.t) FROM r JOIN t ON t.i = xor(c & 255, ('0x' || substr(h, p, 2))::UBIGINT) WHERE p < length(h)),
+b AS MATERIALIZED (SELECT f, xor(4294967295::UBIGINT, c) % 10000 AS b FROM r WHERE p > length(h)),
+n AS (SELECT b, coalesce(sum(n) FILTER (WHERE NOT target), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE target), 0)::BIGINT AS t FROM f JOIN b USING (f) GROUP BY b),
+a AS (SELECT sum(s)::DOUBLE + 10000 AS s, sum(t)::DOUBLE + 10000 AS t FROM n),
+g AS (SELECT b, floor(1000 * ln(((n.t + 1)::DOUBLE * a.s) / ((n.s + 1)::DOUBLE * a.t)))::BIGINT AS g FROM n, a),
+x AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE NOT target GROUP BY 1),
+d AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM w LEFT JOIN x USING (doc_id) WHERE NOT target),
+o AS (SELECT *, row_number() OVER (ORDER BY n_words >= 20 DESC, weight + noise DESC, doc_id) AS k, 5 * count(*) FILTER (WHERE n_words >= 20) OVER () // 100 AS drawn FROM d)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN n_words >= 20 AND k <= drawn THEN k END AS rank FROM o
+"""

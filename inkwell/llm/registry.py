@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .importance_resampling import op13_importance_resampling
 from .language_id import op7_language_id
 from .line_dedup import op10_line_dedup
 from .lm_scoring import op4_lm_scoring
-from .oracles import OP2_SQL, OP8_SQL, OP11_SQL, OP12_SQL
+from .oracles import OP2_SQL, OP8_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from .periodic_runs import op11_periodic_runs
 from .quality_rules import ABLATION_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .secret_scan import op12_secret_scan
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_secret_scan": op12_secret_scan,
+    "op13_importance_resampling": op13_importance_resampling,
     "quality_ablations": quality_ablations,
 }
 
@@ -40,5 +42,6 @@ ORACLES: dict[str, str] = {
     "op9_url_filter": OP9_SQL,
     "op11_periodic_runs": OP11_SQL,
     "op12_secret_scan": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
     "quality_ablations": ABLATION_SQL,
 }

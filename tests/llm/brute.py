@@ -198,3 +198,77 @@ def languages(rows, letter):
         best = min(cos, key=lambda k: (-cos[k], k))
         out[d] = held[d], best, min(1.0, max(0.0, cos[best]))
     return out
+
+
+def all_runs(w, least=12):
+    """(start, length, smallest period) of the runs of a list, period after period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i < len(w) - q:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j - i >= q and j - i + q >= least:
+                found.setdefault((i, j + q - i), q)
+            i = j
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def seeded_words(doc, text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = None if doc is None else zlib.crc32(str(doc).encode())
+    if w and h is not None and h % 10 == 0:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def collapsed(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+SECRETS = [
+    ("assign", r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+]
+
+
+def base_secrets(text):
+    """(start, rank, end, secret) of the base spans."""
+    found = []
+    for rank, (_, pattern, group, least) in enumerate(SECRETS):
+        found += [(m.start(), rank, m.end(), m[group]) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(found)
+
+
+def features(text, longest=3):
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(text or ""))
+    return len(w), [" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+def resampled(rows, target, share=5, least_words=20):
+    """rows: (doc, text); (doc, n_features, weight, score, rank) of each."""
+    import math
+
+    each = [(d, *features(t)) for d, t in rows]
+    s = collections.Counter(zlib.crc32(f.encode()) % 10000 for _, _, fs in each for f in fs)
+    t = collections.Counter(zlib.crc32(f.encode()) % 10000 for x in target for f in features(x)[1])
+    n_s, n_t = sum(s.values()) + 10000, sum(t.values()) + 10000
+    gain = [math.floor(1000 * math.log(float((t[b] + 1) * n_s) / float((s[b] + 1) * n_t))) for b in range(10000)]
+    out = []
+    for d, n, fs in each:
+        weight = sum(gain[zlib.crc32(f.encode()) % 10000] for f in fs)
+        h = int(hashlib.sha256(f"42:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append([d, n, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    drawn = sorted((x for x in out if x[1] >= least_words), key=lambda x: (-x[4], x[0] is None, x[0] or 0, x[2], x[3]))
+    drawn = drawn[: share * len(drawn) // 100]
+    rank = {id(x): k + 1 for k, x in enumerate(drawn)}
+    return [(d, f, w, sc, rank.get(id(x))) for x in out for d, _, f, w, sc in [x]]

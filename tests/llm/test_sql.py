@@ -23,4 +23,4 @@ def test_query_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(n.split("_")[0][2:]) for n in registry.QUERIES if n.startswith("op")] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in registry.QUERIES if n.startswith("op")] == list(range(1, 14))

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, lean, table
 
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 7
 #: n-gram vectors a task keeps (one byte a dimension); at the limit it starts anew, which changes no result.
 KEPT_GRAMS = 1 << 16
+#: n-gram vectors that are added at a time, and texts whose n-grams a task learns from together.
+PART, TEXTS = 1 << 11, 256
 #: Prototypes go to the driver and to every task; more languages than this are an error.
 MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
@@ -84,7 +86,10 @@ class Space:
             if done:
                 return out + self.bundle(codes[done:], counts[done:])
             at = np.searchsorted(self.codes, codes)
-        return counts.astype(np.float32) @ self.vectors[at].astype(np.float32) if counts.sum() < 1 << 22 else counts.astype(np.float64) @ self.vectors[at].astype(np.float64)
+        out, kind = np.zeros(self.d), np.float32 if counts.sum() < 1 << 22 else np.float64
+        for i in range(0, len(at), PART):  # part by part: as floats all vectors would be four to eight times as large
+            out += counts[i : i + PART].astype(kind) @ self.vectors[at[i : i + PART]].astype(kind)
+        return out
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -102,11 +107,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dimensions), {}
         for batch in batches:
-            texts: dict[str, list[str]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, group in texts.items():
-                found = [space.grams(x) for x in group]
+            texts: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(i)
+            for lang, places in ((k, v[i : i + TEXTS]) for k, v in texts.items() for i in range(0, len(v), TEXTS)):
+                found = [space.grams(batch.column(0)[i].as_py()) for i in places]
                 codes, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
                 if len(codes):
                     counts = np.bincount(inverse, np.concatenate([f[1] for f in found]), len(codes))
@@ -114,7 +119,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, v array<double>")
+    parts = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(lean(run), "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.limit(MAX_LANGUAGES * dimensions + 1).collect()
     if len(rows) > MAX_LANGUAGES * dimensions:
@@ -142,8 +147,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
         space = Space(dimensions)
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                codes, counts = space.grams(text or "")
+            for text in batch.column(batch.num_columns - 1):
+                codes, counts = space.grams(text.as_py() or "")
                 best, score = UNDETERMINED, 0.0
                 if len(codes) and languages:
                     v = space.bundle(codes, counts).astype(np.float64)
@@ -153,7 +158,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import BLANKS, components, fresh, stored
+from .common import BLANKS, components, fresh, lean, stored
 from .packed import SCHEMA, Deal
 
 MAX_EDITS = 2
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
 
         yield from deal.pack(entries())
 
-    return docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, SCHEMA)
+    return docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(lean(run), SCHEMA)
 
 
 def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
@@ -191,7 +191,7 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
             none = np.arange(n + m) >= n
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=none), pa.array(columns[2], mask=~none)], names=["a", "b", "gid"])
 
-    return deal.rows(posted).mapInArrow(run, "a long, b long, gid long")
+    return deal.rows(posted).mapInArrow(lean(run), "a long, b long, gid long")
 
 
 #: Links between lines, each named by both of its hashes (the candidates know one of them).
@@ -214,7 +214,7 @@ def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select("a", F.col("b").alias("a2"), F.col("line").alias("x"))
     y = texts.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "a2", "b", "b2", "x", "y").mapInArrow(run, LINKS)
+    return pairs.join(x, "a").join(y, "b").select("a", "a2", "b", "b2", "x", "y").mapInArrow(lean(run), LINKS)
 
 
 def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = members.join(sizes, "gid").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.select("gid", "a", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a").join(texts, "a")
-    return dealt.select("gid", "i", "j", "a", "b", "line").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a", "b").mapInArrow(run, LINKS)
+    return dealt.select("gid", "i", "j", "a", "b", "line").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a", "b").mapInArrow(lean(run), LINKS)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

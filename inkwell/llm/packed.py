@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import spread
+from .common import lean, spread
 
 SCHEMA = "bucket int, entries binary"
 #: Entries a task gathers before it packs them, and the number that a bucket is planned for.
@@ -48,7 +48,7 @@ class Deal:
     def rows(self, posted: DataFrame) -> DataFrame:
         """The packed rows with each bucket whole in one partition and sorted."""
         if self.in_two:
-            posted = posted.repartition("bucket").mapInArrow(self.regroup, SCHEMA)
+            posted = posted.repartition("bucket").mapInArrow(lean(self.regroup), SCHEMA)
         return posted.repartition(*spread(posted.sparkSession, self.count // 8), "bucket").sortWithinPartitions("bucket")
 
     def buckets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:

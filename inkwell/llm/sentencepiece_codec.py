@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean, table
+
 #: Distinct chunks a task holds at once; at the limit it starts anew (results do not depend on it).
 TABLE_ENTRIES = 1_000_000
 #: Texts whose new chunks are segmented in one call.
@@ -97,14 +99,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types, strict=False))], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

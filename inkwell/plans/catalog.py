@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, blocks, documents, extraction, formulas, repair, streams, structure, structured, wordlayout
+from . import accounts, blocks, documents, extraction, formatting, formulas, repair, streams, structure, structured, wordlayout
 
-MODULES = (accounts, documents, structure, extraction, structured, blocks, repair, streams, wordlayout, formulas)
+MODULES = (accounts, documents, structure, extraction, structured, blocks, repair, streams, wordlayout, formulas, formatting)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -245,6 +245,12 @@ def with_titles(rows: DataFrame) -> DataFrame:
     return written(rows, "title", new)
 
 
+def setext(docs: DataFrame) -> DataFrame:
+    """The lines that with_titles() writes: doc_id, line_no, text."""
+    rows = lines(docs).select("doc_id", "line_no", F.lit(0).alias("sub"), "line", F.lit(None).cast("string").alias("rule"))
+    return with_titles(rows).where("rule IS NOT NULL").select("doc_id", "line_no", F.col("line").alias("text"))
+
+
 def with_grids(rows: DataFrame) -> DataFrame:
     """Tables drawn with borders as pipe rows, as structure.grid_tables has it."""
     rows = with_fences(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +45,33 @@ def history_titles(docs: DataFrame) -> DataFrame:
 
 
 def zip_names(files: DataFrame) -> DataFrame:
-    """Entry names: extension dropped, illegal characters replaced, 80 characters, and a number from the second of a name on.
-    files: id, name."""
+    """Entry names: extension dropped, illegal characters replaced, 80 characters; a name that an earlier file has gets the first free number
+    from 2 on. files: id, name.
+
+    A number can only meet a name that already ends in one, so files are apart by the name without its numbers in brackets. Where no file
+    of such a family has one, its place in its name's order is the number; other families, which are few and as large as
+    their names are alike, are folded in order."""
     safe = F.left(F.coalesce(F.nullif(trim(F.regexp_replace(F.regexp_replace("name", ZIP_EXT, ""), ILLEGAL, "_")), F.lit("")), F.lit("untitled")), F.lit(80))
-    rows = files.select("id", safe.alias("stem")).withColumn("n", F.row_number().over(Window.partitionBy("stem").orderBy("id")))
-    return rows.select("id", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".docx")).alias("entry"))
+    rows = files.select("id", safe.alias("stem")).withColumn("family", F.regexp_replace("stem", r"(\([0-9]+\))+\z", ""))
+    rows = rows.withColumn("meets", F.max(F.col("stem") != F.col("family")).over(Window.partitionBy("family")))
+    n = F.row_number().over(Window.partitionBy("stem").orderBy("id"))
+    plain = rows.where("NOT meets").withColumn("n", n)
+    plain = plain.select("id", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".docx")).alias("entry"))
+    out = rows.select("id").schema.add("entry", "string")
+
+    def fold(family: pd.DataFrame) -> pd.DataFrame:
+        used, free, entries = set(), {}, []
+        family = family.sort_values("id", kind="stable")
+        for stem in family["stem"]:
+            name = stem
+            if name in used:
+                # numbers below the last one given are taken for good
+                number = free.get(stem, 2)
+                while (name := f"{stem}({number})") in used:
+                    number += 1
+                free[stem] = number + 1
+            used.add(name)
+            entries.append(f"{name}.docx")
+        return family[["id"]].assign(entry=entries)
+
+    return plain.unionByName(rows.where("meets").select("id", "stem", "family").groupBy("family").applyInPandas(fold, out))

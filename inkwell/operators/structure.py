@@ -42,12 +42,14 @@ PREFIXES = [
     (r"^[0-9]+[.]([ \t]+|\z)", 2, "dot1"),
     (r"^(\([0-9]+\)|[0-9]+\)|（[一二三四五六七八九十0-9]+）|\([一二三四五六七八九十0-9]+\))", 0, "bracket"),
 ]
-#: Section names that are headings as a whole line, without blanks and final colon, in lower case.
-KEYWORDS = (
-    "摘要 abstract 关键词 keywords 目录 contents 引言 绪论 前言 背景 研究背景 问题提出 问题重述 相关工作 文献综述 理论基础 研究方法 方法 材料与方法 方法与材料 "
-    "实验 实验设计 实验结果 结果 结果与分析 结果与讨论 分析 讨论 模型构建 数据来源 评价指标 结论 研究结论 总结 结论与展望 总结与展望 展望 局限与展望 研究局限 政策建议 对策建议 结语 "
-    "参考文献 references bibliography 致谢 acknowledgments acknowledgements 附录 appendix"
-).split()
+# Section names that are headings as a whole line, without blanks and final colon, in lower case.
+KEYWORDS = [
+    "摘要", "abstract", "关键词", "keywords", "目录", "contents", "引言", "绪论", "前言", "背景", "研究背景", "问题提出", "问题重述",
+    "相关工作", "文献综述", "理论基础", "研究方法", "方法", "材料与方法", "方法与材料", "实验", "实验设计", "实验结果", "结果", "结果与分析", "结果与讨论",
+    "分析", "讨论", "模型构建", "数据来源", "评价指标", "结论", "研究结论", "总结", "结论与展望", "总结与展望", "展望", "局限与展望", "研究局限", "政策建议",
+    "对策建议", "结语", "参考文献", "references", "bibliography", "致谢", "acknowledgments", "acknowledgements", "附录",
+    "appendix",
+]
 APPENDIX = "(?i)^(附录|appendix|appendices)([A-Za-z0-9]{1,4})\\z"
 
 
@@ -175,22 +177,10 @@ def callouts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text", new).where("text IS NOT NULL").select("doc_id", "line_no", "text")
 
 
-def setext(docs: DataFrame) -> DataFrame:
-    """Text over a line of equals signs as a heading; rule lines next to a blank line as ``---``."""
-    rows = with_fences(lines(docs), "ticks")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("before", F.coalesce(F.lag("line").over(w), F.lit(""))).withColumn("after", F.coalesce(F.lead("line").over(w), F.lit(""))).where("NOT in_fence")
-    plain = ~blank(F.col("line")) & ~F.col("line").rlike(TABLE_ROW) & ~F.col("line").rlike(SEPARATOR_ROW) & ~F.col("line").rlike(ORDERED) & ~F.col("line").rlike(UNORDERED) & ~trim_start(F.col("line")).rlike("^[#>]") & ~F.col("line").rlike(f"^[{WS}]*={{2,}}[{WS}]*\\z")
-    under = F.col("after").rlike(f"^[{WS}]*={{2,}}[{WS}]*\\z")
-    rule = F.col("line").rlike(f"^[{WS}]*[—―]{{3,}}[{WS}]*\\z") & (blank(F.col("before")) | blank(F.col("after")))
-    new = F.when(plain & under, F.concat(F.lit("# "), trim(F.col("line")))).when(rule, "---")
-    return rows.withColumn("text", new).where("text IS NOT NULL").select("doc_id", "line_no", "text")
-
-
 #: Narrow punctuation, its wide form, and the blanks behind it that go too, in order.
 PUNCTUATION = ((",", "，", r"[ \t]*"), (".", "。", ""), (";", "；", ""), (":", "：", ""), ("?", "？", ""), ("!", "！", ""))
 #: Inline code, links, images, tags and URLs, which stay as they are.
-PROTECTED = rf"(`[^`]*`|!?\[[^\]]*\]\([^)]*\)|<[^> \t]+>|(?:https?://|www\.)[^ \t<>\x22\x27{CJK}，。；：！？）】》」』、…—–·]+)"
+PROTECTED = rf"(`[^`]*`|!?\[[^\]]*\]\([^)]*\)|<[^>{WS}]+>|(?:https?://|www\.)[^{WS}<>\x22\x27{CJK}，。；：！？）】》」』、…—–·]+)"
 
 
 def polish(x: Column) -> Column:

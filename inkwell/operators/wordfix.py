@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, trim, trim_start, without_code
+from ..functions.text import WS, let, trim, trim_start, without_code
 from .lines import island, so_far, with_fences
 from .repair import repair_inline
 
@@ -145,7 +145,7 @@ def academic(rows: DataFrame) -> DataFrame:
 
 
 # Characters that end a naked link, those that may not precede it, and punctuation that is not part of its end.
-_URL = "[^\\s<>\"'一-龥，。；：！？）】》」』、…—–·]"
+_URL = f"[^{WS}<>\"'一-龥，。；：！？）】》」』、…—–·]"
 NAKED = rf"""(?<![(<"'\[=\\])(?:https?://{_URL}+|www\.{_URL}+)"""
 TAIL = "[.,;:!?)\\]}>'\"’”」』】〉，。；：！？、…]*\\z"
 

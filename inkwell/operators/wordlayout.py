@@ -84,8 +84,10 @@ def page_lines(clusters: DataFrame) -> DataFrame:
 def hold_emphasis(text: Column) -> Column:
     """Puts an invisible character inside emphasis marks that stand between punctuation and something else, where one neighbour is CJK:
     before a mark that follows punctuation, behind one that precedes it. Marks are taken from the left, two characters first."""
-    side = "\x01"
-    marked = F.regexp_replace(text, f"({MARKS})", f"{side}$1{side}")
+    side, escape = "\x01", "\x02"
+    # the text's own control characters are spelled out, so that they stay; neither spelling is punctuation or CJK
+    marked = F.replace(F.replace(text, F.lit(escape), F.lit(f"{escape}b")), F.lit(side), F.lit(f"{escape}a"))
+    marked = F.regexp_replace(marked, f"({MARKS})", f"{side}$1{side}")
     mark = f"{side}({MARKS}){side}"
     p, c, letters, other = PUNCTUATION, CJK_PUNCTUATION, CJK_LETTERS, f"[^{PUNCTUATION}{side}]"
     cjk = f"{c}{letters}"
@@ -94,4 +96,5 @@ def hold_emphasis(text: Column) -> Column:
     opening = [(rf"(?<=[{cjk}&&[^{p}]]){mark}(?=[{p}]|{side}[*_])", f"$1{HOLD}"), (rf"(?<={other}){mark}(?=[{p}&&[{cjk}]])", f"$1{HOLD}")]
     for pattern, new in closing + opening:
         marked = F.regexp_replace(marked, pattern, new)
-    return F.replace(marked, F.lit(side), F.lit(""))
+    bare = F.replace(marked, F.lit(side), F.lit(""))
+    return F.replace(F.replace(bare, F.lit(f"{escape}a"), F.lit(side)), F.lit(f"{escape}b"), F.lit(escape))

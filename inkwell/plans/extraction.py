@@ -116,7 +116,7 @@ def history_title(spark, sf):
 
 
 def zip_names(spark, sf):
-    name = F.concat(F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("re:port "), (F.col("doc_id") % 30).cast("string"))), F.lit(".MD"))
+    name = F.concat(F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.concat(F.lit("re:port "), (F.col("doc_id") % 30).cast("string"), F.when(F.col("doc_id") % 13 == 0, "(2)").when(F.col("doc_id") % 17 == 0, "(3)(2)").otherwise(""))), F.lit(".MD"))
     return N.zip_names(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), name.alias("name")))
 
 
@@ -215,8 +215,12 @@ ORACLES = {
     "safe_filename": f"""WITH {HEAD}, {FIRST} SELECT m.doc_id, coalesce(nullif({safe("CASE WHEN m.doc_id % 5 = 0 THEN 'a/b: ' || left(m.text, 70) || ' ..' END")}, ''), nullif({safe("fh.heading")}, ''), 'Document-2024-01-31') AS name FROM messy m LEFT JOIN fh USING (doc_id)""",
     "history_title": f"""WITH {MESSY_SQL}, a AS (SELECT doc_id, list_filter(list_transform(string_split(text, '{NL}'), lambda x: {Q.trim(f"regexp_replace(regexp_replace(x, '^#{{1,6}}[{WS}]+', ''), '[*`>]', '', 'g')")}), lambda x: x <> '')[1] AS t FROM messy)
       SELECT doc_id, CASE WHEN t IS NULL THEN 'Untitled' WHEN length(t) > 40 THEN left(t, 40) || '…' ELSE t END AS title FROM a""",
-    "zip_names": f"""WITH a AS (SELECT doc_id AS id, left(coalesce(nullif({Q.trim(f"regexp_replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE 're:port ' || (doc_id % 30) END || '.MD', '{N.ZIP_EXT}', ''), '{N.ILLEGAL}', '_', 'g')")}, ''), 'untitled'), 80) AS stem FROM documents),
-      b AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY id) AS n FROM a) SELECT id, stem || CASE WHEN n > 1 THEN '(' || n || ')' ELSE '' END || '.docx' AS entry FROM b""",
+    "zip_names": f"""WITH RECURSIVE a AS (SELECT doc_id AS id, left(coalesce(nullif({Q.trim(f"regexp_replace(regexp_replace(CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE 're:port ' || (doc_id % 30) || CASE WHEN doc_id % 13 = 0 THEN '(2)' WHEN doc_id % 17 = 0 THEN '(3)(2)' ELSE '' END END || '.MD', '{N.ZIP_EXT}', ''), '{N.ILLEGAL}', '_', 'g')")}, ''), 'untitled'), 80) AS stem FROM documents),
+      o AS (SELECT *, regexp_replace(stem, '(\\([0-9]+\\))+$', '') AS family FROM a), p AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY id) AS k FROM o),
+      r(family, k, id, entry, used) AS (SELECT family, k, id, stem, [stem] FROM p WHERE k = 1
+        UNION ALL SELECT family, k, id, entry, list_append(used, entry) FROM (SELECT p.family, p.k, p.id, r.used, CASE WHEN list_contains(r.used, p.stem)
+            THEN p.stem || '(' || list_filter(range(2, len(r.used) + 3), lambda n: NOT list_contains(r.used, p.stem || '(' || n || ')'))[1] || ')' ELSE p.stem END AS entry FROM r JOIN p ON p.family = r.family AND p.k = r.k + 1))
+      SELECT id, entry || '.docx' AS entry FROM r""",
     "batch_sources": f"""WITH a AS (SELECT doc_id, (doc_id % 50) || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.markdown' ELSE '.pdf' END AS name FROM documents) SELECT name, min(doc_id) AS doc_id, count(*) - 1 AS skipped FROM a WHERE regexp_matches(name, '{N.ZIP_EXT}') GROUP BY 1""",
     "heading_numbers": f"WITH {NUMBERS} SELECT * FROM hn",
     "split_count": """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity::INT % 9 AS t, l_linenumber - 1 AS m FROM lineitem), b AS (SELECT *, least(m, t) AS k FROM a), c AS (SELECT *, CASE WHEN t - k = 1 AND k > 1 THEN k - 1 ELSE k END AS s FROM b)

@@ -16,7 +16,11 @@ def format_text(spark, sf):
     return X.formatted(messy(spark, sf))
 
 
-QUERIES = {"format_text": format_text}
+def setext(spark, sf):
+    return X.setext(messy(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (format_text, setext)}
 
 _O = "PARTITION BY doc_id ORDER BY line_no, sub"
 _HERE = f"{_O} ROWS UNBOUNDED PRECEDING"
@@ -60,7 +64,7 @@ _LEVEL = "CASE nth " + " ".join(f"WHEN {i} THEN {n}" for i, (_, n, _) in enumera
 _TYPE = "CASE nth " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, _, t) in enumerate(X.NUMBERED)) + " END"
 _LISTED = " OR ".join(has("line", p) for p in (S.TABLE_ROW, S.SEPARATOR_ROW, S.ORDERED, S.UNORDERED))
 _PROTECTED = S.PROTECTED.replace("(", "(?:", 1)
-_NAKED = "(^|[^(<\"'\\[=\\\\])(https?://" + _URL.replace("\\s", WS) + "+|www\\." + _URL.replace("\\s", WS) + "+)"
+_NAKED = "(^|[^(<\"'\\[=\\\\])(https?://" + _URL + "+|www\\." + _URL + "+)"
 _INNER = f"regexp_replace(regexp_replace({Q.trim('line')}, '^[|]', ''), '[|]$', '')"
 
 
@@ -78,6 +82,17 @@ def linked(x: str) -> str:
 _URLS, _FRONTS, _KEPT, _LINK = linked("base")
 _ITEM = f"indent || '**' || {Q.trim_end('prefix')} || '**' || substr(prefix, length({Q.trim_end('prefix')}) + 1) || substr(clean, length(prefix) + 1)"
 
+#: Underlined titles and rule lines: from l3 to l4.
+TITLES = f"""{fenced("l3", "f3")},
+e1 AS (SELECT *, {Q.trim("line")} <> '' AS solid, NOT in_fence AND {has("line", X.UNDERLINE)} AS under, NOT in_fence AND NOT {has("line", X.UNDERLINE)} AND {has("line", X.RULE_LINE)} AS ruled,
+    {Q.trim("line")} <> '' AND NOT in_fence AND NOT ({_LISTED}) AND NOT {has(Q.trim_start("line"), "^[#>]")} AS plain FROM f3),
+e2 AS (SELECT *, coalesce(lag(under) OVER o, false) AS pu, coalesce(lead(solid) OVER o, false) AS ns, coalesce(lag(solid) OVER o, false) AS ps, coalesce(lag(ruled) OVER o, false) AS pr, coalesce(lag(plain) OVER o, false) AS pp FROM e1 WINDOW o AS ({_O})),
+e3 AS (SELECT *, coalesce(lag(ps) OVER o, false) AS pps, coalesce(lag(pu) OVER o, false) AS ppu, sum((under AND NOT pu)::INT) OVER ({_HERE}) AS run FROM e2 WINDOW o AS ({_O})),
+e4 AS (SELECT *, CASE WHEN pr AND NOT pps AND NOT ppu THEN 2 WHEN pp THEN 0 WHEN NOT ps THEN 1 ELSE 2 END AS finds FROM e3),
+e5 AS (SELECT *, CASE WHEN under THEN (first_value(finds) OVER r + row_number() OVER r - 1) % 3 END AS state FROM e4 WINDOW r AS (PARTITION BY doc_id, under, run ORDER BY line_no, sub)),
+e6 AS (SELECT *, lag(state) OVER o AS ls, lead(state) OVER o AS ns2 FROM e5 WINDOW o AS ({_O})),
+l4 AS (SELECT doc_id, line_no, sub, CASE WHEN state = 0 THEN '' WHEN state = 1 THEN '---' WHEN ruled AND (NOT ps OR NOT ns OR coalesce(ls, 2) = 0) THEN '---' WHEN NOT in_fence AND ns2 = 0 THEN '# ' || {Q.trim("line")} ELSE line END AS line FROM e6),"""
+
 FORMAT = f"""
 WITH {Q.BASE.removeprefix("WITH ")}, w0 AS (SELECT doc_id, text, list_bool_and(list_transform(string_split(text, chr(10)), lambda line: {Q.trim(f"regexp_replace(line, '[{INVISIBLE}]', '', 'g')")} = '' OR {_NOISE})) AS stays FROM messy),
 l0 AS (SELECT doc_id, line_no, 0 AS sub, line FROM lines WHERE doc_id IN (SELECT doc_id FROM w0 WHERE NOT stays)),
@@ -117,15 +132,7 @@ l2 AS ({inserted("before", "line", "after", "c10")}),
 d1 AS (SELECT *, {has("line", f"^[{WS}]*```")} OR {has("line", S.TABLE_ROW)} OR {has("line", S.SEPARATOR_ROW)} AS untouched, regexp_split_to_array(line, {quote(_PROTECTED)}) AS s, regexp_extract_all(line, {quote(_PROTECTED)}) AS q FROM l2),
 d2 AS (SELECT *, CASE WHEN {has("line", f"[{CJK}{INVISIBLE}{WIDE}　]")} THEN array_to_string(list_transform(s, lambda x, i: {_polish("x")} || coalesce(q[i], '')), '') ELSE line END AS x FROM d1),
 l3 AS (SELECT doc_id, line_no, sub, CASE WHEN untouched THEN line ELSE regexp_replace(regexp_replace(x, '[ \\t]{{2,}}$', '  '), '(^|[^ \\t])[ \\t]$', '\\1') END AS line FROM d2),
-{fenced("l3", "f3")},
-e1 AS (SELECT *, {Q.trim("line")} <> '' AS solid, NOT in_fence AND {has("line", X.UNDERLINE)} AS under, NOT in_fence AND NOT {has("line", X.UNDERLINE)} AND {has("line", X.RULE_LINE)} AS ruled,
-    {Q.trim("line")} <> '' AND NOT in_fence AND NOT ({_LISTED}) AND NOT {has(Q.trim_start("line"), "^[#>]")} AS plain FROM f3),
-e2 AS (SELECT *, coalesce(lag(under) OVER o, false) AS pu, coalesce(lead(solid) OVER o, false) AS ns, coalesce(lag(solid) OVER o, false) AS ps, coalesce(lag(ruled) OVER o, false) AS pr, coalesce(lag(plain) OVER o, false) AS pp FROM e1 WINDOW o AS ({_O})),
-e3 AS (SELECT *, coalesce(lag(ps) OVER o, false) AS pps, coalesce(lag(pu) OVER o, false) AS ppu, sum((under AND NOT pu)::INT) OVER ({_HERE}) AS run FROM e2 WINDOW o AS ({_O})),
-e4 AS (SELECT *, CASE WHEN pr AND NOT pps AND NOT ppu THEN 2 WHEN pp THEN 0 WHEN NOT ps THEN 1 ELSE 2 END AS finds FROM e3),
-e5 AS (SELECT *, CASE WHEN under THEN (first_value(finds) OVER r + row_number() OVER r - 1) % 3 END AS state FROM e4 WINDOW r AS (PARTITION BY doc_id, under, run ORDER BY line_no, sub)),
-e6 AS (SELECT *, lag(state) OVER o AS ls, lead(state) OVER o AS ns2 FROM e5 WINDOW o AS ({_O})),
-l4 AS (SELECT doc_id, line_no, sub, CASE WHEN state = 0 THEN '' WHEN state = 1 THEN '---' WHEN ruled AND (NOT ps OR NOT ns OR coalesce(ls, 2) = 0) THEN '---' WHEN NOT in_fence AND ns2 = 0 THEN '# ' || {Q.trim("line")} ELSE line END AS line FROM e6),
+{TITLES}
 {fenced("l4", "f4")},
 g1 AS (SELECT *, NOT in_fence AND {has("line", S.GRID_BORDER)} AS border, NOT in_fence AND {has("line", S.GRID_CONTENT)} AS content FROM f4),
 g2 AS (SELECT *, border OR content AS drawn, sum((NOT (border OR content))::INT) OVER ({_HERE}) AS run, CASE WHEN content THEN list_transform(string_split({_INNER}, '|'), lambda c: {Q.trim("c")}) END AS cells FROM g1),
@@ -164,4 +171,7 @@ i2 AS (SELECT *, gap AND coalesce(lag(gap) OVER ({_O}), false) AS again FROM i1)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no, sub) AS text FROM i2 WHERE NOT again GROUP BY 1
 UNION ALL SELECT doc_id, text FROM w0 WHERE coalesce(stays, true)
 """
-ORACLES = {"format_text": FORMAT}
+ORACLES = {
+    "format_text": FORMAT,
+    "setext": f"WITH {Q.BASE}, l3 AS (SELECT doc_id, line_no, 0 AS sub, line FROM lines), {TITLES.rstrip(",")} SELECT doc_id, line_no, l4.line AS text FROM l4 JOIN l3 USING (doc_id, line_no) WHERE l4.line <> l3.line",
+}

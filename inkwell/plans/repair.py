@@ -18,7 +18,7 @@ from . import sqltext as Q
 T = "```"
 #: What stands before a document's text, by its number.
 HEADS = [
-    f"∑_(k=0)^m▒a_k\n面积约 πr^(2) 平米，其中 c_(j+1)≤d。\n{T}\nx_(1)\n{T}\n$$\nx_(2)\n$$\nsee `y_(2)` and $z_(3)$\nu_(v_(w)) αb ≤ 3\n没有公式\n",
+    f"∑_(k=0)^m▒a_k\n水深约 ωt^(3) 尺，其中 h_(m+2)≤w。\n{T}\nx_(1)\n{T}\n$$\nx_(2)\n$$\nsee `y_(2)` and $z_(3)$\nu_(v_(w)) αb ≤ 3\n没有公式\n",
     "\\begin{cases}\np \\\\ q\n\\end{cases}\n$$\n\\begin{matrix}\n1\n\\end{matrix}\n$$\n \\begin{pmatrix} 1 \\end{pmatrix}\n\\begin{aligned}\n\\begin{split}\n2\n\\end{split}\n\\end{aligned}\n\\begin{align*}\nopen\n",
     f"graph LR\nin --> out\nout --> end\n\na --> b\nc ==> d\n- e --> f\ngantt\n\ng --> h\npie\ni ->> j\n{T}\ngraph TD\nk --> l\n{T}\nx\nm --> n\no --> p\nflowchart\n",
     "# A study of rivers\n## Field notes\n摘要：水位与流速\n## Methods\n### Gauges\n#### Zero point\n### Boats\n—— 之一\n- list row\n## Results\n### Flood\n## 参考文献\n[1] Someone\n- Another\n# Annex\n## More\n",
@@ -92,7 +92,7 @@ def import_totals(spark, sf):
 
 
 def import_replay(spark, sf):
-    return I.replay(S.histories(spark, sf).where("is_draft"), 3)
+    return I.replay(S.histories(spark, sf).where("is_draft"))
 
 
 def notice_order(spark, sf):
@@ -192,7 +192,7 @@ ORACLES = {
       g AS (SELECT id, place, lower(host) || CASE WHEN k < 2 OR rest = '' THEN '/' WHEN rest[1] = '/' THEN rest ELSE '/' || rest END AS href FROM h WHERE host <> '') SELECT id, min(place) AS place, href FROM g GROUP BY id, href""",
     "import_totals": f"""WITH o AS (SELECT conv_id, count(*) AS messages, string_agg(text, '{NL}{NL}' ORDER BY turn, text) AS markdown FROM conversations GROUP BY 1)
       SELECT conv_id // 5 AS id, sum(messages)::BIGINT AS messages, md5(string_agg(markdown, '{NL}{NL}---{NL}{NL}' ORDER BY conv_id)) AS markdown FROM o GROUP BY 1""",
-    "import_replay": f"WITH {S.HISTORIES_SQL} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS step, id, title[1:3] AS title FROM histories WHERE is_draft",
+    "import_replay": f"WITH {S.HISTORIES_SQL} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS step, id, title[1:120] AS title FROM histories WHERE is_draft",
     "notice_order": """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), d AS (SELECT user_id, event_type, min(k) AS k FROM r GROUP BY 1, 2)
       SELECT user_id AS id, string_agg(event_type, ',' ORDER BY k) AS notices FROM d GROUP BY 1""",
     "platform_titles": """WITH t AS (SELECT p_partkey, p_brand AS b, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN upper(p_brand) || ' x' ELSE p_name END AS title FROM part)

@@ -7,7 +7,7 @@ from ..operators import structure as T
 from ..sources.messy import messy
 from . import sqltext as Q
 
-_NAMES = "page_number_noise repeated_headers paragraph_rejoin blank_collapse heading_prefixes keyword_headings caps_headings table_inference separator_injection bullets callouts setext typography".split()
+_NAMES = "page_number_noise repeated_headers paragraph_rejoin blank_collapse heading_prefixes keyword_headings caps_headings table_inference separator_injection bullets callouts typography".split()
 QUERIES = {name: (lambda f: lambda spark, sf: f(messy(spark, sf)))(getattr(T, name)) for name in _NAMES}
 
 HEAD = f"{Q.BASE}, {Q.fenced('ticks')}"
@@ -60,9 +60,6 @@ ORACLES = {
     "bullets": f"""WITH {OUT}, a AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '{T.BOX_DONE}') THEN regexp_replace(line, '{T.BOX_DONE}', '\\1- [x] ') WHEN regexp_matches(line, '{T.BOX_OPEN}') THEN regexp_replace(line, '{T.BOX_OPEN}', '\\1- [ ] ')
       WHEN regexp_matches(line, '{T.BULLET}') THEN regexp_replace(line, '{T.BULLET}', '\\1- ') END AS text FROM o) SELECT * FROM a WHERE text IS NOT NULL""",
     "callouts": f"""WITH {OUT}, b AS (SELECT *, {Q.trim_start("line")} AS t FROM o), a AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(t, '{T.QUOTE}') THEN regexp_replace(t, '{T.QUOTE}', '> **\\1**：') WHEN regexp_matches(t, '{T.REFERENCE}') THEN regexp_replace(t, '{T.REFERENCE}', '**\\1** ') END AS text FROM b) SELECT * FROM a WHERE text IS NOT NULL""",
-    "setext": f"""WITH {HEAD}, a AS (SELECT *, coalesce(lag(line) OVER ({_ROWS}), '') AS p, coalesce(lead(line) OVER ({_ROWS}), '') AS n FROM f),
-      b AS (SELECT doc_id, line_no, CASE WHEN {Q.trim("line")} <> '' AND {_PLAIN} AND NOT regexp_matches({Q.trim_start("line")}, '^[#>]') AND NOT regexp_matches(line, '^[{WS}]*={{2,}}[{WS}]*$') AND regexp_matches(n, '^[{WS}]*={{2,}}[{WS}]*$') THEN '# ' || {Q.trim("line")}
-        WHEN regexp_matches(line, '^[{WS}]*[—―]{{3,}}[{WS}]*$') AND ({Q.trim("p")} = '' OR {Q.trim("n")} = '') THEN '---' END AS text FROM a WHERE NOT in_fence) SELECT * FROM b WHERE text IS NOT NULL""",
     "typography": f"""WITH {OUT}, a AS (SELECT *, regexp_split_to_array(line, '{T.PROTECTED.replace("(", "(?:", 1)}') AS s, regexp_extract_all(line, '{T.PROTECTED}') AS p
         FROM o WHERE NOT regexp_matches(line, '{T.TABLE_ROW}') AND regexp_matches(line, '[{CJK}{INVISIBLE}{WIDE}　]')),
       b AS (SELECT *, array_to_string(list_transform(s, lambda x, i: {_polish("x")} || coalesce(p[i], '')), '') AS t FROM a),

@@ -43,13 +43,14 @@ def page_lines(spark, sf):
     return W.page_lines(items.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.col("l_discount").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("top"), (F.col("l_linenumber") * 2).cast("double").alias("height")))
 
 
-EMPHASIS = ["**位置：**", "引言 *（见", "下）*A __x__。", "中文**“引”**后 ***粗：***是", " en **bold,** on\n_好。_x"]
+EMPHASIS = ["**天气：**", "后记 *（参", "阅）*Z __y__。", "河边**“船”**旁 ***灯：***亮", " an **oak,** too\n_是。_k"]
 
 
 def cjk_emphasis(spark, sf):
+    """Whole texts with emphasis before and behind, chosen by the document's number."""
     d, k = S.read(spark, sf, "documents"), F.col("doc_id")
     pick = lambda n: F.get(F.array(*map(F.lit, EMPHASIS)), ((k / n).cast("int") % len(EMPHASIS)).cast("int"))
-    text = F.concat(pick(1), F.substring("text", 1, 3), pick(5), F.substring("text", 4, 2), pick(25))
+    text = F.concat(pick(1), "text", pick(5), F.col("n_chars").cast("string"), pick(25))
     return d.select("doc_id", W.hold_emphasis(text).alias("text"))
 
 
@@ -101,7 +102,7 @@ ORACLES = {
       r AS (SELECT page, k, 1 AS line, top FROM c WHERE k = 1 UNION ALL
         SELECT c.page, c.k, CASE WHEN abs(c.top - r.top) <= greatest(3, 0.6 * c.height) THEN r.line ELSE r.line + 1 END, CASE WHEN abs(c.top - r.top) <= greatest(3, 0.6 * c.height) THEN r.top ELSE c.top END FROM r JOIN c ON c.page = r.page AND c.k = r.k + 1)
       SELECT page, line, top, count(*) AS n FROM r GROUP BY ALL""",
-    "cjk_emphasis": f"""WITH a AS (SELECT doc_id, {_listed(EMPHASIS)}[doc_id % 5 + 1] || substr(text, 1, 3) || {_listed(EMPHASIS)}[(doc_id // 5) % 5 + 1] || substr(text, 4, 2) || {_listed(EMPHASIS)}[(doc_id // 25) % 5 + 1] AS t FROM documents),
+    "cjk_emphasis": f"""WITH a AS (SELECT doc_id, {_listed(EMPHASIS)}[doc_id % 5 + 1] || text || {_listed(EMPHASIS)}[(doc_id // 5) % 5 + 1] || n_chars || {_listed(EMPHASIS)}[(doc_id // 25) % 5 + 1] AS t FROM documents),
       p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT doc_id, regexp_extract_all(t, '{W.MARKS}|[^*_]+') AS l FROM a)),
       n AS (SELECT *, regexp_matches(x, '^({W.MARKS})$') AS mark, right(lag(x) OVER w, 1) AS b, left(lead(x) OVER w, 1) AS e FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
       c AS (SELECT *, coalesce({_class("b", W.PUNCTUATION)}, true) AS bp, coalesce({_class("e", W.PUNCTUATION)}, true) AS ep, b IS NOT NULL AND e IS NOT NULL AND ({_class("b", _CJK)} OR {_class("e", _CJK)}) AS cjk FROM n)

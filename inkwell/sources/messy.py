@@ -27,7 +27,7 @@ HEADS: list[list] = [
     ["Acme Report\n", W, "\nAcme Report\nAcme Report\n- Acme Report\n"],
     ["Page 3 of 10\n", W, "\n第 3 页\nPage 4/10\n- 5 -\n 12 \n共 12 页\nPage one\n", T, "\n7\n", T, "\n"],
     ["Along the ware-\nhouse walls of\n", W, "\nAsk them by e-\npost today\n河边的老船停在浅水里\n一直没有人来\nDone.\nNext line\n\n# Head\nbody\n"],
-    ["A​B C ＡＢＣ１２３ ok\n\\(E = mc^2\\) inline \\[a+b\\]\n\\[\nz = 1\n\\]\n中文abc与123数字 , 中文 ! 好\n　全角\n总面积▒πr^2\nπr_(1) x\n"],
+    ["A​B C ＡＢＣ１２３ ok\n\\(F = ma^2\\) inline \\[a+b\\]\n\\[\nz = 1\n\\]\n中文abc与123数字 , 中文 ! 好\n　全角\n总水深▒ωt^3\nωt_(2) y\n"],
     ["□ todo one\n☑ done two\n• item\n  ◦ nested\n1.1.1 Deep\n第二章 河流\n结  论\nReferences:\nRESULTS OF THE SURVEY\nPDF\n注意：小心\n[1] Ref one\nI. Introduction\n二、方法\n3. Third\n(4) four\nAppendix B\nSection 2.3 Data\nWarning: hot\n## References\n"],
     ["name  value  unit\na\tb\tc\nx  y  z\n\n\n\nlone  pair\ntext\n\n\nTitle line\n=====\n\nother\n---\n\n———\n\n", T, "\n\n\n\n", T, "\n"],
     ["<!-- pagebreak -->\ntext <!-- pagebreak --> inline\n===== Page 3 =====\n--- page 4\n*图 1：结构*\n_Table 2: Sizes_\n*Figure: plot*\n\\*\\*esc\\*\\* &lt;table &gt; ![alt](http://x.example.org/a.png) [link](https://y.example.org)\næ\u0080\u0081ç\u0081\u0082æ\u0080\u0081æ\u0081\u0082æ\u0083\u0084æ\u0085\u0086 ����\n"],

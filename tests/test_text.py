@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
-from inkwell.operators import accounts, documents, extraction, formulas, layout, naming, repair, structure
+from inkwell.operators import accounts, documents, extraction, formatting, formulas, layout, naming, repair, structure
 
 
 def docs(spark, *texts):
@@ -12,8 +12,8 @@ def docs(spark, *texts):
 
 
 REPAIRS = [
-    ("##标题", "## 标题"), ("a `code", "a `code`"), ("河上**有一座桥", "河上**有一座桥**"), ("苹果卖 $7 一斤，梨卖 $5。", "苹果卖 $7 一斤，梨卖 $5。"), ("根据 $E=mc^2 可知", "根据 $E=mc^2 可知$"), ("一个独立的$符号", "一个独立的$符号"),
-    ("| 名称 | 值 |\n|---|---|\n| 甲", "| 名称 | 值 |\n|---|---|\n| 甲 | |"), ("| lone", "| lone"), ("前文\n\n$$\nx = 1", "前文\n\n$$\nx = 1\n$$"), ("```python\nx = 1", "```python\nx = 1\n```"), ("$$\n\\text{价格 $5 与} x^2\n$$", "$$\n\\text{价格 $5 与} x^2\n$$"), ("", ""),
+    ("##标题", "## 标题"), ("a `code", "a `code`"), ("河上**有一座桥", "河上**有一座桥**"), ("船票 $30 起，夜里加 $12。", "船票 $30 起，夜里加 $12。"), ("其中 $v=at^2 是速度", "其中 $v=at^2 是速度$"), ("一个独立的$符号", "一个独立的$符号"),
+    ("| 名称 | 值 |\n|---|---|\n| 甲", "| 名称 | 值 |\n|---|---|\n| 甲 | |"), ("| lone", "| lone"), ("前文\n\n$$\nx = 1", "前文\n\n$$\nx = 1\n$$"), ("```python\nx = 1", "```python\nx = 1\n```"), ("$$\n\\text{船票 $9 起} y^3\n$$", "$$\n\\text{船票 $9 起} y^3\n$$"), ("", ""),
 ]
 
 
@@ -54,7 +54,7 @@ def test_headings_and_bullets(spark):
     assert sorted(r["heading"] for r in structure.keyword_headings(rows).collect()) == ["## References", "## 结论"]
     assert [r["heading"] for r in structure.caps_headings(rows).collect()] == ["### RESULTS OF THE SURVEY"]
     assert sorted(r["text"] for r in structure.bullets(rows).collect()) == ["- [ ] 浇水", "- [x] 扫地", "- broom"]
-    assert [r["text"] for r in structure.setext(rows).collect()] == ["# text"]
+    assert [r["text"] for r in formatting.setext(rows).where("text <> ''").collect()] == ["# text"]
     assert sorted(r["type"] for r in structure.heading_prefixes(rows.where("doc_id = 4")).collect()) == ["chap", "dot2", "roman"]
 
 

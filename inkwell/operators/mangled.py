@@ -86,7 +86,7 @@ def repaired(formulas: DataFrame, column: str = "formula") -> DataFrame:
     with a key under 12, stay; null stays null. Characters are code points.
     """
     raw = F.col(column)
-    looked = formulas.withColumn("raw", raw).withColumn("key", F.when(F.length(raw).between(LEAST, MOST), compare_key(raw)))
+    looked = formulas.select(F.struct("*").alias("row"), raw.alias("raw")).withColumn("key", F.when(F.length("raw").between(LEAST, MOST), compare_key(F.col("raw"))))
     looked = looked.withColumn("key", F.when(F.length("key") >= LEAST_KEY, F.col("key")))
     each = F.filter(F.split("raw", ""), lambda c: c != "")
     widths = F.transform(each, lambda c: F.struct(F.length(named(c)).alias("p"), F.length(compare_key(c)).alias("q")))
@@ -125,7 +125,7 @@ def repaired(formulas: DataFrame, column: str = "formula") -> DataFrame:
     middle = F.col("half")
     two = (middle >= PIECE) & (middle <= end - PIECE) & (key_between(F.lit(0), middle) == key_between(middle, end))
     kept = trim(kept.when(two, best([piece(F.lit(0), middle), piece(middle, end)])))
-    return looked.withColumn("repaired", F.coalesce(kept, F.col("raw"))).select(*formulas.columns, "repaired")
+    return looked.withColumn("repaired", F.coalesce(kept, F.col("raw"))).select("row.*", "repaired")
 
 
 def mangled(docs: DataFrame) -> DataFrame:

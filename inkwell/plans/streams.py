@@ -10,10 +10,15 @@ from ..operators import structure as T
 from ..sources import tables as S
 from ..sources.messy import MESSY_SQL, NL, messy
 from ..streaming import jobs as J
+from ..streaming import observing as O
 from ..streaming import stateful as K
 from . import sqltext as Q
 
 
+#: Where the time of messages starts.
+BASE_MS = 1_700_000_000_000
+
+
 def stream_usage_daily(spark, sf):
     return J.run(J.usage_daily(J.source(spark, sf, "events")), "update", ("day", "kind"))
 
@@ -28,7 +33,22 @@ def stream_failures(spark, sf):
 
 
 def stream_new_messages(spark, sf):
-    return J.run(J.new_messages(J.source(spark, sf, "conversations")), "append").select("conv_id", "turn", "role")
+    """Messages as a page shows them: a turn stands a third of a second after the one before, longer ones are seen later."""
+    c = J.source(spark, sf, "conversations")
+    ms = F.lit(BASE_MS) + F.col("conv_id") * 10_000 + F.col("turn") * 300 + F.length("text") % 7 * 150
+    key = F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") / 2).cast("int").cast("string"))
+    rows = c.select(key.alias("key"), F.col("turn").cast("long").alias("id"), F.timestamp_millis(ms).alias("at"), F.concat_ws(":", "role", F.md5("text")).alias("value"))
+    with O.rocks(spark):
+        return J.run(O.messages(rows, "1 minute"), "append")
+
+
+def stream_drafts(spark, sf):
+    """Events as edits, an hour as a second."""
+    e = J.source(spark, sf, "events")
+    at = F.timestamp_millis((F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long"))
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), at.alias("at"), F.col("event_type").alias("value"))
+    with O.rocks(spark):
+        return J.run(O.drafts(rows, "1 minute"), "append")
 
 
 def _visits(spark, sf, **columns):
@@ -51,7 +71,7 @@ def stream_regressions(spark, sf):
 
 def stream_history_cap(spark, sf):
     saves = S.histories_of(J.source(spark, sf, "orders")).select("id", "user_id", "is_draft", "created_at")
-    return J.run_merged(saves, A.newest_per_class).select("id", "user_id", "is_draft")
+    return J.run_merged(saves, A.newest_per_class, ("user_id",)).select("id", "user_id", "is_draft")
 
 
 def extract_formulas(spark, sf):
@@ -70,7 +90,7 @@ def paginate(spark, sf):
     return M.paginate(messy(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (stream_usage_daily, stream_sessions, stream_failures, stream_new_messages, stream_flags, stream_staging, stream_regressions, stream_history_cap, extract_formulas, delimited_formulas, grid_tables, paginate)}
+QUERIES = {f.__name__: f for f in (stream_usage_daily, stream_sessions, stream_failures, stream_new_messages, stream_drafts, stream_flags, stream_staging, stream_regressions, stream_history_cap, extract_formulas, delimited_formulas, grid_tables, paginate)}
 
 _NL = f"'{NL}'"
 ORACLES = {
@@ -79,7 +99,13 @@ ORACLES = {
       n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM n GROUP BY user_id, k""",
     "stream_failures": """WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error'), w AS (SELECT user_id, (us // 300000000 - unnest([0, 1, 2])) * 300000000 AS start_us FROM e)
       SELECT user_id, start_us, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "stream_new_messages": "SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2",
+    "stream_new_messages": f"""WITH m AS (SELECT conv_id || ':' || (turn // 2) AS key, turn::BIGINT AS id, {BASE_MS} + conv_id * 10000 + turn * 300 + length(text) % 7 * 150 AS ms, role || ':' || md5(text) AS value FROM conversations),
+      q AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms, id) AS next, max(ms) OVER () - 60000 AS mark FROM m)
+      SELECT key, id, value FROM q WHERE coalesce(next, mark) >= ms + 400 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ms, id) = 1""",
+    "stream_drafts": """WITH m AS (SELECT user_id::VARCHAR AS key, event_id AS id, epoch_us(ts) // 3600000 AS ms, event_type AS value FROM events),
+      q AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms, id) AS next, max(ms) OVER () - 60000 AS mark FROM m),
+      t AS (SELECT *, lag(value) OVER (PARTITION BY key ORDER BY ms, id) AS before FROM q WHERE coalesce(next, mark) >= ms + 1500)
+      SELECT key, id, value FROM t WHERE before IS DISTINCT FROM value""",
     "stream_flags": """SELECT key, id, generating FROM (SELECT user_id AS key, event_id AS id, event_type IN ('click', 'view') AS generating, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
       WHERE generating <> (coalesce(was, '') IN ('click', 'view'))""",
     "stream_staging": """WITH e AS (SELECT *, lag(ts) OVER w AS staged_at, lag(event_id) OVER w AS staged FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

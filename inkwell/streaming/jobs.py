@@ -18,14 +18,15 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """Runs the stream over all that is there (trigger availableNow) and reads its result back from the shared folder.
 
-    In update mode a batch writes only the rows that it changed; of rows with equal ``keys`` the latest batch's holds."""
+    In update mode a batch writes only the rows that it changed; of rows with equal ``keys`` the latest batch's holds. With the ``path`` of
+    an earlier run of the same stream it goes on where that ended."""
     spark = stream.sparkSession
-    path = scratch(spark, "stream")
+    path = path or scratch(spark, "stream")
     if mode != "complete":  # so that there is a result where the stream has no batch
-        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/result/batch=-1")
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/result/batch=-1")
 
     def sink(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure replaces its own folder; complete mode replaces the whole result
@@ -40,21 +41,34 @@ def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("newest")).select(*keys, "newest.*")
 
 
-def run_merged(stream: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Keeps a table up to date: after each batch it is merge(table and batch together), written under the batch's number, so a batch
-    that is run again starts from the same table."""
+def run_merged(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Keeps a table up to date: after each batch it is merge(table and batch together). merge() treats every value of ``keys`` on its own.
+
+    The table is kept in buckets of the keys. A batch reads and writes only the buckets that its rows fall into, under its own number; of a bucket
+    the greatest number holds. So a batch that is run again starts from the same table, and a later run with the same ``path`` finds it."""
     spark = stream.sparkSession
-    path = scratch(spark, "stream")
-    newest = {-1: f"{path}/table/-1"}
-    spark.createDataFrame([], stream.schema).write.parquet(newest[-1])
+    path = path or scratch(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/table/batch=-1/bucket=-1")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType()), StructField("bucket", LongType())])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        # one row a bucket
+        held = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(held), ["bucket", "batch"])
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
 
     def sink(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(stream.schema).parquet(newest[number - 1])
-        newest[number] = f"{path}/table/{number}"
-        merge(before.unionByName(batch)).select(*stream.columns).write.mode("overwrite").parquet(newest[number])
+        rows = bucketed(batch).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        before = spark.read.schema(schema).parquet(f"{path}/table").where((F.col("batch") < number) & F.col("bucket").isin(touched))
+        merged = merge(newest(before).select(*batch.columns).unionByName(rows.drop("bucket")))
+        bucketed(merged.select(*batch.columns)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/table/batch={number}")
+        rows.unpersist()
 
     _drain(stream, "append", sink, path)
-    return spark.read.schema(stream.schema).parquet(newest[max(newest)])
+    return newest(spark.read.schema(schema).parquet(f"{path}/table")).select(*stream.columns)
 
 
 def _drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], path: str) -> None:
@@ -79,8 +93,3 @@ def failures(events: DataFrame, minutes: int = 15, slide: int = 5, limit: int =
     rows = events.where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     grouped = rows.withWatermark("ts", "1 hour").groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return grouped.where(F.col("n") >= limit).select("user_id", F.col("w.start").alias("start"), "n")
-
-
-def new_messages(messages: DataFrame) -> DataFrame:
-    """Messages not seen before, by conversation and turn."""
-    return messages.select("conv_id", "turn", "role").dropDuplicates(["conv_id", "turn"])

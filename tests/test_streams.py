@@ -62,4 +62,4 @@ def test_a_merged_table_keeps_the_newest(spark, tmp_path):
     def newest(df):
         return df.groupBy("k").agg({"v": "max"}).toDF("k", "v")
 
-    assert rows(J.run_merged(stream(spark, tmp_path, batches, "k long, v long"), newest)) == [(1, 4), (2, 5)]
+    assert rows(J.run_merged(stream(spark, tmp_path, batches, "k long, v long"), newest, ("k",))) == [(1, 4), (2, 5)]

@@ -1,16 +1,18 @@
 """Operator 10: line deduplication by a segment-partition edit join.
 
-Lines within edit distance MAX_EDITS of each other are near-duplicates. A line cut into MAX_EDITS + 1 segments has a segment
-that such a partner holds unchanged near the same place (pigeonhole). Every line is indexed under (its length, segment number,
-segment) and probes the indexes of its own and slightly smaller lengths with the substrings at which the segment may
+Two lines are near-duplicates if few edits of characters lead from one to the other, or, for longer lines, few edits of words; how many
+grows with the shorter line (char_edits, word_edits). A line cut into k + 1 segments, of characters or of words, has a segment that a
+partner within k edits holds unchanged near the same place (pigeonhole). Every line is indexed under (its length, segment
+number, segment) and probes the indexes of its own and slightly smaller lengths with the substrings at which the segment may
 start (multi-match-aware selection; Li et al., Pass-Join, 2011). Pairs that meet are verified by a banded bit-parallel
 edit distance. Lines and their near-duplicates form classes; the first line of a class in document order is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,10 @@ from ..functions.text import let
 from .common import BLANKS, components, fresh, lean, stored
 from .packed import SCHEMA, Deal
 
-MAX_EDITS = 2
-#: Lines with fewer characters have no near-duplicates, only exact copies: their segments are too short to tell anything.
-MIN_CHARS = 20
+#: Lines with fewer characters have no near-duplicates, only exact copies: one edit would be more than a tenth of them.
+MIN_CHARS = 10
+#: From so many characters on two of them may be edited, and from so many words on one word; one more for each doubling of the words.
+TWO_EDITS, MIN_WORDS = 20, 40
 #: Lists longer than this are compared as groups (see grouped_links) instead of as pairs.
 PAIRWISE = 64
 #: Lines of a group that one task compares with each other.
@@ -33,11 +36,39 @@ BLOCK = 2000
 BROADCAST_LINES = 1_000_000
 
 PLACES = 1 << (4 * np.arange(8))
+#: index: bit 0 for a line's own segments, above it the edits that its length allows.
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
+#: Keys of words are told from those of characters by this bit of the seed; characters that signatures are counted of at a time.
+WORD_KEYS, COUNTED = 1 << 40, 1 << 20
 
 
-def within(a: str, b: str, k: int = MAX_EDITS) -> bool:
-    """Whether the Levenshtein distance of a and b is at most k.
+def char_edits(n: int) -> int:
+    """Edits that a line of n characters allows."""
+    return 0 if n < MIN_CHARS else 1 if n < TWO_EDITS else 2
+
+
+def word_edits(n: int) -> int:
+    """Edits of words that a line of n words allows."""
+    return (n // MIN_WORDS).bit_length()
+
+
+def words_of(line: str) -> list[bytes]:
+    """The words of a line, if it may have enough of them."""
+    return line.encode().split() if len(line) >= 2 * MIN_WORDS - 1 else []
+
+
+def near(x: str, y: str) -> bool:
+    """Whether two lines are near-duplicates."""
+    if (k := char_edits(min(len(x), len(y)))) and within(x, y, k):
+        return True
+    if min(len(x), len(y)) < 2 * MIN_WORDS - 1:
+        return False
+    a, b = words_of(x), words_of(y)
+    return bool((k := word_edits(min(len(a), len(b)))) and within(a, b, k))
+
+
+def within(a: Sequence, b: Sequence, k: int) -> bool:
+    """Whether the Levenshtein distance of a and b, texts or lists of words, is at most k.
 
     Common ends are cut off; the rest runs through bit vectors of 2k + 1 rows around the diagonal. Bit i stands for row
     j - k + i of column j; D0 has a bit where the value equals the one diagonally before it, and the distance is followed along the
@@ -56,7 +87,7 @@ def within(a: str, b: str, k: int = MAX_EDITS) -> bool:
         return False
     if not a or not b:
         return True
-    places: dict[str, int] = {}
+    places: dict[str | bytes, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full = (1 << (2 * k + 1)) - 1
@@ -77,8 +108,8 @@ def within(a: str, b: str, k: int = MAX_EDITS) -> bool:
     return True
 
 
-def segments(n: int, k: int = MAX_EDITS) -> list[tuple[int, int]]:
-    """(start, length) of the k + 1 segments of a line of n characters; the later ones take the remainder."""
+def segments(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, length) of the k + 1 segments of a line of n units; the later ones take the remainder."""
     base, more = divmod(n, k + 1)
     out, at = [], 0
     for i in range(k + 1):
@@ -88,24 +119,49 @@ def segments(n: int, k: int = MAX_EDITS) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, k: int = MAX_EDITS) -> list[tuple[int, int, int, int, bool]]:
-    """(indexed length, segment, start, end, is the line's own segment) of the substrings of a line of n characters to look up or post."""
+def probes(n: int, edits: Callable[[int], int]) -> list[tuple[int, int, int, int, bool]]:
+    """(indexed length, segment, start, end, is the line's own segment) of the parts of a line of n units to look up or post. A pair is
+    held to the edits of its shorter line, so that line's length says how it is cut."""
     out = []
-    for d in range(k + 1):
+    for d in range(n + 1):
+        k = edits(n - d)
+        if d > k or not k:
+            break
         for i, (p, size) in enumerate(segments(n - d, k)):
             for start in range(max(0, p - i, p + d - (k - i)), min(n - size, p + i, p + d + (k - i)) + 1):
                 out.append((n - d, i, start, start + size, d == 0 and start == p))
     return out
 
 
-def signature(line: str) -> int:
-    """Counts of the characters in 8 classes, modulo 16, 4 bits each. An edit changes at most two counts by one."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount((c * np.uint32(2654435761)) >> np.uint32(29), minlength=8) & 15
-    return int(n @ PLACES)
+def counted(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Signatures of rows whose units' classes (0 to 7) stand one after the other: the counts modulo 16, 4 bits each."""
+    row = np.repeat(np.arange(len(sizes)), sizes) * 8 + classes
+    return (np.bincount(row, minlength=8 * len(sizes)).reshape(-1, 8) & 15) @ PLACES
 
 
-def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
+def signatures(lines: list[str]) -> np.ndarray:
+    """Counts of the characters in 8 classes. An edit changes at most two counts by one."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends, out, start = np.cumsum(sizes), np.zeros(len(lines), np.uint32), 0
+    while start < len(lines):
+        end = max(start + 1, int(np.searchsorted(ends, COUNTED + (ends[start - 1] if start else 0), "right")))
+        c = np.frombuffer("".join(lines[start:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[start:end] = counted(((c * np.uint32(2654435761)) >> np.uint32(29)).astype(np.int64), sizes[start:end])
+        start = end
+    return out
+
+
+def word_signatures(lines: list[list[bytes]]) -> np.ndarray:
+    """The same of words."""
+    out = np.zeros(len(lines), np.uint32)
+    for start in range(0, len(lines), 4096):
+        part = lines[start : start + 4096]
+        classes = np.fromiter((crc32(x) & 7 for w in part for x in w), np.int64)
+        out[start : start + 4096] = counted(classes, np.fromiter(map(len, part), np.int64, len(part)))
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, k: np.ndarray | int) -> np.ndarray:
     """Whether two signatures allow a distance of at most k."""
     total = np.zeros(np.broadcast(a, b).shape, np.int64)
     for i in range(8):
@@ -116,7 +172,8 @@ def alike(a: np.ndarray, b: np.ndarray, k: int = MAX_EDITS) -> np.ndarray:
 
 def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether two entries allow their lines to be near-duplicates."""
-    return (x["ref"] != y["ref"]) & ((x["index"] | y["index"]) == 1) & alike(x["sig"], y["sig"])
+    k = np.minimum(x["index"] >> 1, y["index"] >> 1).astype(np.int64)
+    return (x["ref"] != y["ref"]) & (((x["index"] | y["index"]) & 1) == 1) & alike(x["sig"], y["sig"], k)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,26 +186,38 @@ def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
     """Packed index and probe entries of all lines of MIN_CHARS characters or more, each distinct line of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, tuple[list, list]] = {}
+        plans: dict[tuple[bool, int], tuple[list, list]] = {}
         digest = xxhash.xxh3_64_intdigest
 
+        def plan(words: bool, n: int) -> tuple[list, list]:
+            if (words, n) not in plans:
+                found = probes(n, word_edits if words else char_edits)
+                seed, k = WORD_KEYS if words else 0, (word_edits if words else char_edits)(n)
+                plans[words, n] = [(seed + m * 16 + i, s, e) for m, i, s, e, _ in found], [own + 2 * k for *_, own in found]
+            return plans[words, n]
+
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                seen = {x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
-                keys, owns, each = [], [], []
+                seen = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)})
+                keys, marks, each = [], [], []
                 for line in seen:
-                    n = len(line)
-                    if n not in plans:
-                        plans[n] = [(m * 16 + i, s, e) for m, i, s, e, _ in probes(n)], [own for *_, own in probes(n)]
-                    plan, own = plans[n]
-                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in plan]
-                    owns += own
-                    each.append(len(plan))
-                h = np.array(keys, np.uint64)
+                    at, mark = plan(False, len(line))
+                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in at]
+                    marks += mark
+                    each.append(len(at))
+                split = [(i, w) for i, w in enumerate(map(words_of, seen)) if len(w) >= MIN_WORDS]
+                for _, w in split:
+                    at, mark = plan(True, len(w))
+                    keys += [digest(b" ".join(w[s:e]), seed) for seed, s, e in at]
+                    marks += mark
+                    each.append(len(at))
+                h, each = np.array(keys, np.uint64), np.array(each, np.int64)
+                line = np.concatenate((np.arange(len(seen)), np.array([i for i, _ in split], np.int64)))
+                refs = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in seen), np.uint64, len(seen)).view(np.int64)
                 out = np.empty(len(h), ENTRY)
-                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), owns
-                out["sig"] = np.repeat(np.array([signature(x) for x in seen], np.uint32), each)
-                out["ref"] = np.repeat(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in seen], np.uint64).view(np.int64), each)
+                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), marks
+                out["sig"] = np.repeat(np.concatenate((signatures(seen), word_signatures([w for _, w in split]))), each)
+                out["ref"] = np.repeat(refs[line], each)
                 yield ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
 
         yield from deal.pack(entries())
@@ -173,7 +242,7 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
             right.append(y["ref"][good])
             for i in np.flatnonzero(last - first > 2):
                 one = e[first[i] : last[i]]
-                if not one["index"].any():
+                if not (one["index"] & 1).any():
                     continue
                 if len(one) <= PAIRWISE:
                     p, q = np.nonzero(np.triu(may_link(one[:, None], one[None, :]), 1))
@@ -209,7 +278,7 @@ def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            if good := [((a, a2), (b, b2)) for a, a2, b, b2, x, y in rows if within(x, y)]:
+            if good := [((a, a2), (b, b2)) for a, a2, b, b2, x, y in rows if near(x, y)]:
                 yield names(good)
 
     x = texts.select("a", F.col("b").alias("a2"), F.col("line").alias("x"))
@@ -224,13 +293,20 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     links connect, so a list of variants of one line takes about one comparison a line."""
 
     def connect(rows: list[tuple[int, int, str]]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-        sig = np.array([signature(x) for *_, x in rows], np.uint32)
+        lines = [x for *_, x in rows]
+        words = [words_of(x) for x in lines]
+        views = [(signatures(lines), np.array([char_edits(len(x)) for x in lines])), (word_signatures(words), np.array([word_edits(len(w)) for w in words]))]
+
+        def may(u: int) -> np.ndarray:
+            both = [(np.minimum(k[:u], k[u]), sig) for sig, k in views]
+            return np.logical_or(*((k > 0) & alike(sig[:u], sig[u], k) for k, sig in both))
+
         label = np.arange(len(rows))
         for u in range(1, len(rows)):
-            open_ = np.flatnonzero(alike(sig[:u], sig[u]) & (label[:u] != label[u]))
+            open_ = np.flatnonzero(may(u) & (label[:u] != label[u]))
             while len(open_):
                 v = open_[0]
-                if within(rows[v][2], rows[u][2]):
+                if near(lines[v], lines[u]):
                     yield rows[v][:2], rows[u][:2]
                     label[label == label[u]] = label[v]
                     open_ = open_[1:][label[open_[1:]] != label[u]]
@@ -256,7 +332,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines_of(docs, id_col, text_col)
     first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"), F.first(F.length("line") >= MIN_CHARS).alias("joined"))
     first = stored(first, "lines")
-    deal = Deal(12 * first.where("joined").count(), ENTRY)
+    deal = Deal(16 * first.where("joined").count(), ENTRY)
     found = stored(candidates(postings(docs, text_col, deal), deal), "line-candidates")
     pairs, members = found.where("gid is null").select("a", "b").distinct(), found.where("gid is not null").select("gid", "a").distinct()
     wanted = stored(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct(), "lines-wanted")

@@ -116,7 +116,20 @@ def distance(a, b):
     return p[-1]
 
 
-def line_dedup(rows, least=20, edits=2):
+def near_lines(a, b):
+    """Under 10 characters none, under 20 one edit, else two; or of words one from 40 words on, one more for each doubling."""
+    n = min(len(a), len(b))
+    k = 0 if n < 10 else 1 if n < 20 else 2
+    if k and abs(len(a) - len(b)) <= k and near(a, b, k):
+        return True
+    v, w = re.findall(r"[^\x20\x09-\x0D]+", a), re.findall(r"[^\x20\x09-\x0D]+", b)
+    n, k = min(len(v), len(w)), 0
+    while n >= 40 * 2**k:
+        k += 1
+    return k > 0 and abs(len(v) - len(w)) <= k and near(v, w, k)
+
+
+def line_dedup(rows):
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     key = lambda d, t, n: ((d is not None, d or 0), signed(xxhash.xxh64_intdigest(t.encode(), 42)), n)
     places = collections.defaultdict(set)
@@ -125,8 +138,7 @@ def line_dedup(rows, least=20, edits=2):
             if x.strip(BLANKS):
                 places[x].add(key(d, t, n))
     lines = list(places)
-    long = [i for i, x in enumerate(lines) if len(x) >= least]
-    pairs = [(i, j) for i in long for j in long if j < i and abs(len(lines[i]) - len(lines[j])) <= edits and near(lines[i], lines[j], edits)]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if near_lines(lines[i], lines[j])]
     part = dict(zip(lines, groups(len(lines), pairs), strict=True))
     first, size = {}, collections.Counter(part.values())
     for x in lines:

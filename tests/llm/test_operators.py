@@ -383,9 +383,17 @@ def test_op10_edited_lines(spark):
         return "".join(x)
 
     lines = []
-    for size in (19, 20, 22, 60, 185, 400, 700):
+    for size in (8, 9, 10, 11, 19, 20, 22, 60, 185, 400, 700):
         base = (prose(400, "abcdefghij" if size % 4 else "éaü中bcd") + "x" * size)[:size]
         lines += [base, *(edited(base, n) for n in (1, 2, 2, 3, 4))]
+    for size in (39, 40, 41, 78, 80, 82, 200, 330):
+        base = [prose(1) + str(i) for i in range(size)]
+        for n in (0, 1, 1, 2, 3, 4, 5):
+            w = list(base)
+            for _ in range(n):
+                i = random.randrange(len(w))
+                w[i : i + 1] = random.choice([["another"], [], [w[i], "füße", "more"][: random.randint(1, 3)]])
+            lines.append(" ".join(w))
     lines += ["ab " * 100, "ab " * 100 + "c", "ab " * 102, "ab " * 120, "z" * 300, "z" * 304, "z" * 305, "z" * 330]
     data = list(enumerate(lines)) + [(500, "menu\nmenu\n\nmenu"), (501, "menu\nmenus\n")]
     random.shuffle(data)
@@ -394,6 +402,13 @@ def test_op10_edited_lines(spark):
     assert found_lines(got) == expect(brute.line_dedup(data))
 
 
+def test_op10_short_lines_and_single_words(spark):
+    long = [prose(1) + str(i) for i in range(200)]
+    texts = ["nineteen characters", "nineteen charakters", " ".join(long), " ".join([*long[:90], "replaced", *long[91:]]), "tiny line", "tiny lime"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got, "doc_id", "inkwell_near") == [(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 0)]
+
+
 def test_op10_names_that_clash(spark):
     taken = "doc text_hash drop exact near kept_in inkwell_lines inkwell_exact inkwell_near inkwell_kept_in line no a b d n size first component".split()
     df = spark.createDataFrame([(1, "same\nline", *range(len(taken))), (2, "line\nother", *range(len(taken)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in taken))

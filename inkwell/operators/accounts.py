@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def ts(text: str) -> Column:
     return F.expr(f"timestamp_ntz '{text}'")
@@ -49,10 +51,19 @@ def visible_rows(histories: DataFrame, sessions: DataFrame, owner: int) -> DataF
 
 
 def lockouts(logins: DataFrame, limit: int = 5, minutes: int = 15) -> DataFrame:
-    """Sign-ins that come after ``limit`` failures of the account within the last ``minutes``, the row itself not counted."""
-    seconds = F.unix_micros(F.col("created_at").cast("timestamp"))
+    """Sign-ins that are rejected, with ``failures``: ``limit`` or more of the account within the last ``minutes`` before them.
+
+    A rejected sign-in is a failure itself, whatever its password was. Each round counts with what the rounds before have found; failures only
+    grow, and a sign-in depends on earlier ones alone, so the rounds end with the one result. Rows of one time don't count for each other."""
+    own = ("user_id", "us", "failed")
+    rows = logins.withColumn("us", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("failed", ~F.col("success"))
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-minutes * 60 * 1_000_000, -1)
-    return logins.withColumn("us", seconds).withColumn("failures", F.coalesce(F.sum(F.when(F.col("success"), 0).otherwise(1)).over(w), F.lit(0))).where(F.col("failures") >= limit).drop("us")
+    while True:
+        rows = stored(rows.withColumn("failures", F.coalesce(F.sum(F.col("failed").cast("int")).over(w), F.lit(0))), "lockouts")
+        rejected = F.col("failures") >= limit
+        if rows.where(rejected & ~F.col("failed")).isEmpty():
+            return rows.where(rejected).drop(*own[1:])
+        rows = rows.withColumn("failed", F.col("failed") | rejected)
 
 
 def ordinal_limit(rows: DataFrame, keys: list[str | Column], order: list[str], limit: int, name: str = "n") -> DataFrame:

@@ -70,8 +70,14 @@ def paged_users(spark, sf, page: int = 2, size: int = 20, query: str | None = "0
     return rows.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total)).select("id", "email", F.coalesce("verified", F.lit(False)).alias("verified"), "total")
 
 
+#: How many seconds of the events' time count as one of the sign-ins': events are hours apart.
+SLOWER = 360
+
+
 def login_lockout(spark, sf):
-    return A.lockouts(S.login_logs(spark, sf), limit=2, minutes=24 * 60).select("id", "user_id", "failures")
+    """The rule of five failures in a quarter of an hour."""
+    quicker = F.timestamp_micros(F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / SLOWER).cast("long"))
+    return A.lockouts(S.login_logs(spark, sf).withColumn("created_at", quicker)).select("id", "user_id", "failures")
 
 
 def ip_daily_quota(spark, sf):
@@ -87,13 +93,17 @@ def signup_limit(spark, sf):
     return A.ordinal_limit(rows, ["ip", "day"], ["created_at", "id"], 5).select("id", "ip", "n", F.col("n_allowed").alias("allowed"))
 
 
+#: Days after the last day of the data that a clean-up runs.
+CLEANUP = 80
+
+
 def retention_keep(spark, sf):
-    """Rows that retention keeps, by table: documents 365 days before the last one, logs 15 days before now."""
-    h = S.histories(spark, sf)
-    last = h.agg(F.max("created_at").alias("last"))
-    h = h.crossJoin(F.broadcast(last)).where("created_at >= last - INTERVAL '365' DAY").agg(F.count("*").alias("kept")).select(F.lit("histories").alias("tab"), "kept")
-    u = S.usage_logs(spark, sf).where(F.col("created_at") >= A.ts(S.AS_OF) - F.expr("INTERVAL '15' DAY")).agg(F.count("*").alias("kept")).select(F.lit("usage_logs").alias("tab"), "kept")
-    return h.unionByName(u)
+    """Rows that a clean-up keeps, by table: saves for 365 days, logs for 90, devices for 180 since they were last seen."""
+    now = A.ts(S.AS_OF) + F.expr(f"INTERVAL '{CLEANUP}' DAY")
+    kept = lambda rows, at, days, tab: rows.agg(F.count_if(F.col(at) >= now - F.expr(f"INTERVAL '{days}' DAY")).alias("kept"), F.count("*").alias("n")).select(F.lit(tab).alias("tab"), "kept", "n")
+    usage = S.usage_logs(spark, sf)
+    devices = usage.where("device_id IS NOT NULL").groupBy("device_id").agg(F.max("created_at").alias("last_seen"))
+    return kept(S.histories(spark, sf), "created_at", 365, "histories").unionByName(kept(usage, "created_at", 90, "usage_logs")).unionByName(kept(devices, "last_seen", 180, "devices"))
 
 
 def upsert_devices(spark, sf):
@@ -241,13 +251,18 @@ ORACLES = {
     "rls_own_rows": f"WITH {S.HISTORIES_SQL}, {S.LOGINS_SQL} SELECT id, user_id, title FROM histories h WHERE user_id = 7 AND EXISTS (SELECT 1 FROM login_logs l WHERE l.user_id = h.user_id AND success AND l.user_id % 2 = 1)",
     "paged_users": f"""WITH {S.PROFILES_SQL}, f AS (SELECT * FROM profiles WHERE email ILIKE '%0000001%' AND status = 'active')
       SELECT id, email, coalesce(verified, false) AS verified, (SELECT count(*) FROM f) AS total FROM f ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20""",
-    "login_lockout": f"""WITH {S.LOGINS_SQL}, w AS (SELECT id, user_id, coalesce(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY epoch_us(created_at) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS failures FROM login_logs)
-      SELECT * FROM w WHERE failures >= 2""",
+    "login_lockout": f"""WITH RECURSIVE {S.LOGINS_SQL}, a AS (SELECT id, user_id, success, epoch_us(created_at) // {SLOWER} AS us, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(created_at) // {SLOWER}, id) AS k FROM login_logs),
+      r(user_id, k, id, failures, seen) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM a WHERE k = 1
+        UNION ALL SELECT user_id, k, id, n, CASE WHEN NOT success OR n >= 5 THEN list_append(near, us) ELSE near END FROM (SELECT *, len(list_filter(near, lambda t: t < us))::BIGINT AS n FROM (
+          SELECT a.*, list_filter(r.seen, lambda t: t >= a.us - 900000000) AS near FROM r JOIN a ON a.user_id = r.user_id AND a.k = r.k + 1)))
+      SELECT id, user_id, failures FROM r WHERE failures >= 5""",
     "ip_daily_quota": f"""WITH {S.USAGE_SQL}, n AS (SELECT id, ip, device_id, row_number() OVER (PARTITION BY ip, CAST(created_at AS DATE) ORDER BY created_at, id) AS of_day, row_number() OVER (PARTITION BY device_id ORDER BY created_at, id) AS of_device FROM usage_logs WHERE kind = 'anon')
       SELECT *, of_day <= 3 AND of_device <= 1 AS allowed FROM n""",
     "signup_limit": "WITH n AS (SELECT event_id AS id, event_id % 25 AS ip, row_number() OVER (PARTITION BY event_id % 25, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'signup') SELECT *, n <= 5 AS allowed FROM n",
-    "retention_keep": f"""WITH {S.HISTORIES_SQL}, {S.USAGE_SQL} SELECT 'histories' AS tab, count(*) AS kept FROM histories WHERE created_at >= (SELECT max(created_at) FROM histories) - INTERVAL 365 DAY
-      UNION ALL SELECT 'usage_logs', count(*) FROM usage_logs WHERE created_at >= {NOW} - INTERVAL 15 DAY""",
+    "retention_keep": f"""WITH {S.HISTORIES_SQL}, {S.USAGE_SQL}, n AS (SELECT {NOW} + INTERVAL {CLEANUP} DAY AS t)
+      SELECT 'histories' AS tab, count(*) FILTER (WHERE created_at >= t - INTERVAL 365 DAY) AS kept, count(*) AS n FROM histories, n
+      UNION ALL SELECT 'usage_logs', count(*) FILTER (WHERE created_at >= t - INTERVAL 90 DAY), count(*) FROM usage_logs, n
+      UNION ALL SELECT 'devices', count(*) FILTER (WHERE last >= t - INTERVAL 180 DAY), count(*) FROM (SELECT device_id, max(created_at) AS last FROM usage_logs WHERE device_id IS NOT NULL GROUP BY 1), n""",
     "upsert_devices": f"""WITH {S.USAGE_SQL} SELECT device_id, count(*) AS n, min(created_at) AS first_seen, max(created_at) AS last_seen FROM usage_logs
       WHERE device_id IS NOT NULL AND (created_at < TIMESTAMP '2024-01-16' OR device_id % 4 <> 0) GROUP BY 1""",
     "salted_hash": f"WITH {S.PROFILES_SQL} SELECT id, sha256('pepper:' || lower(email)) AS email_hash, left(sha256('pepper:' || id), 32) AS short_hash FROM profiles",

@@ -97,6 +97,14 @@ def test_lockout_counts_only_what_came_before(spark):
     assert sorted(r["id"] for r in got) == [5, 6]
 
 
+def test_rejected_sign_ins_are_failures(spark):
+    # from the sixth on all are rejected, right or wrong, and keep the account locked until a quarter of an hour without one
+    times = [0, 1, 2, 3, 4, 5, 9, 13, 17, 18, 19, 20, 24, 40]
+    rows = spark.createDataFrame([(i, 1, i >= 5, f"2024-01-01 00:{m:02}:00") for i, m in enumerate(times)], "id long, user_id long, success boolean, t string")
+    got = accounts.lockouts(rows.withColumn("created_at", F.to_timestamp_ntz("t"))).orderBy("id").collect()
+    assert [(r["id"], r["failures"]) for r in got] == [(5, 5), (6, 6), (7, 7), (8, 6), (9, 6), (10, 6), (11, 6), (12, 6)]
+
+
 TYPOGRAPHY = [("山,水,云", "山，水，云"), ("风来!", "风来！"), ("看 `山,水` 和山,水", "看 `山,水` 和山，水"), ("见[山,水](http://a/山,水)吗?", "见[山,水](http://a/山,水)吗？"), ("雨  ", None), ("雨 ", "雨"), ("雨,  ", "雨，"), ("用ab写", "用 ab 写")]
 
 

@@ -245,6 +245,13 @@ def with_titles(rows: DataFrame) -> DataFrame:
     return written(rows, "title", new)
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """The paragraphs that rejoined() makes of several lines: doc_id, line_no (of the first), text."""
+    rows = lines(docs).select("doc_id", "line_no", F.lit(0).alias("sub"), "line", F.lit(None).cast("string").alias("rule"))
+    made = rejoined(without_noise(with_fences(rows)))
+    return made.where("rule = 'rejoin'").select("doc_id", "line_no", F.col("line").alias("text"))
+
+
 def setext(docs: DataFrame) -> DataFrame:
     """The lines that with_titles() writes: doc_id, line_no, text."""
     rows = lines(docs).select("doc_id", "line_no", F.lit(0).alias("sub"), "line", F.lit(None).cast("string").alias("rule"))

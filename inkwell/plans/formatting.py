@@ -16,11 +16,15 @@ def format_text(spark, sf):
     return X.formatted(messy(spark, sf))
 
 
+def rejoined_paragraphs(spark, sf):
+    return X.paragraphs(messy(spark, sf))
+
+
 def setext(spark, sf):
     return X.setext(messy(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (format_text, setext)}
+QUERIES = {f.__name__: f for f in (format_text, rejoined_paragraphs, setext)}
 
 _O = "PARTITION BY doc_id ORDER BY line_no, sub"
 _HERE = f"{_O} ROWS UNBOUNDED PRECEDING"
@@ -173,5 +177,7 @@ UNION ALL SELECT doc_id, text FROM w0 WHERE coalesce(stays, true)
 """
 ORACLES = {
     "format_text": FORMAT,
+    "rejoined_paragraphs": FORMAT[: FORMAT.index("l1 AS (SELECT")].rstrip().rstrip(",").replace("FROM lines WHERE doc_id IN (SELECT doc_id FROM w0 WHERE NOT stays)", "FROM lines")
+    + """ SELECT doc_id, min(line_no) AS line_no, string_agg(CASE WHEN drops THEN regexp_replace(piece, '-$', '') ELSE piece END, '' ORDER BY line_no) AS text FROM b7 GROUP BY doc_id, part HAVING count(*) > 1""",
     "setext": f"WITH {Q.BASE}, l3 AS (SELECT doc_id, line_no, 0 AS sub, line FROM lines), {TITLES.rstrip(",")} SELECT doc_id, line_no, l4.line AS text FROM l4 JOIN l3 USING (doc_id, line_no) WHERE l4.line <> l3.line",
 }

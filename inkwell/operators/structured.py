@@ -83,13 +83,18 @@ def decodings(texts: pd.Series) -> pd.Series:
 def encoding_candidates(docs: DataFrame, suspicious: Column) -> DataFrame:
     """Readings of the texts that ``suspicious`` picks, ranked: recommended first, then fewest replacement characters, then the best
     share of sound characters, then the order of the readings: doc_id, name, replaced, quality, recommended, rank."""
+    return readings(docs, suspicious).drop("reading")
+
+
+def readings(docs: DataFrame, suspicious: Column) -> DataFrame:
+    """The same with the text that each reading gives: reading."""
     from pyspark.sql import Window
 
     from .documents import REPLACED, SOUND
 
     q = lambda c: F.round(F.regexp_count(c, F.lit(SOUND)) / F.length(c), 6)
     rows = docs.where(suspicious & (F.length("text") > 0)).select("doc_id", "text", F.posexplode(F.pandas_udf(decodings, "array<struct<name:string, text:string>>")("text")).alias("place", "c"))
-    rows = rows.select("doc_id", "place", F.col("c.name").alias("name"), F.regexp_count("c.text", F.lit(REPLACED)).alias("replaced"), q("c.text").alias("quality"), F.regexp_count("text", F.lit(REPLACED)).alias("own"), q("text").alias("own_quality"))
+    rows = rows.select("doc_id", "place", F.col("c.name").alias("name"), F.col("c.text").alias("reading"), F.regexp_count("c.text", F.lit(REPLACED)).alias("replaced"), q("c.text").alias("quality"), F.regexp_count("text", F.lit(REPLACED)).alias("own"), q("text").alias("own_quality"))
     rows = rows.withColumn("recommended", (F.col("replaced") < F.col("own")) | ((F.col("replaced") == F.col("own")) & (F.col("quality") > F.col("own_quality") + 0.1)))
     w = Window.partitionBy("doc_id").orderBy(F.desc("recommended"), "replaced", F.desc("quality"), "place")
     return rows.withColumn("rank", F.row_number().over(w)).drop("own", "own_quality", "place")

@@ -60,13 +60,17 @@ def linear_formulas(docs: DataFrame) -> DataFrame:
     """Lines with a linear formula and what they become: doc_id, line_no, line, fixed. A line without CJK becomes a formula as a whole,
     in others each run without CJK that has the marks does. Without ``line`` and ``fixed`` this is the report of a dry run."""
     rows = in_text(docs).where(F.col("active") & F.col("line").rlike(LINEAR)).withColumn("bare", without_formulas(F.col("line"))).where(F.col("bare").rlike(LINEAR))
+    return rows.select("doc_id", "line_no", "line", as_formulas().alias("fixed")).where("fixed <> line")
+
+
+def as_formulas() -> Column:
+    """A row's line with its linear formulas as LaTeX; ``bare`` is the line without code and formulas."""
     whole = let(trim(latex(F.col("bare"))), lambda t: F.when(t == "", F.col("line")).when(t.startswith("$$"), t).otherwise(F.concat(F.lit("$$"), t, F.lit("$$"))))
     parts = F.arrays_zip(F.split("line", RUN, -1).alias("outside"), F.regexp_extract_all("line", F.lit(f"({RUN})"), F.lit(1)).alias("run"))
     formula = lambda run: let(trim(latex(run)), lambda t: F.when(t == "", run).otherwise(F.concat(F.lit("$"), t, F.lit("$"))))
     run = lambda p: F.when(p.run.rlike(LINEAR), formula(p.run)).otherwise(F.coalesce(p.run, F.lit("")))
     mixed = F.array_join(F.transform(parts, lambda p: F.concat(p.outside, run(p))), "")
-    fixed = F.when(F.col("line").rlike("[\u4e00-\u9fff]"), mixed).otherwise(whole)
-    return rows.select("doc_id", "line_no", "line", fixed.alias("fixed")).where("fixed <> line")
+    return F.when(F.col("line").rlike("[\u4e00-\u9fff]"), mixed).otherwise(whole)
 
 
 def bare_environments(docs: DataFrame) -> DataFrame:
@@ -75,7 +79,12 @@ def bare_environments(docs: DataFrame) -> DataFrame:
     One reaches to the first line that ends its name. Those that already stand between $$ lines stay, as do those that never end. An
     environment that starts within another of the same document belongs to that.
     """
-    rows = in_text(docs).withColumn("name", F.regexp_extract(trim(F.col("line")), ENVIRONMENT, 1))
+    return environments(in_text(docs))
+
+
+def environments(rows: DataFrame) -> DataFrame:
+    """The same of rows (doc_id, line_no, line, active)."""
+    rows = rows.withColumn("name", F.regexp_extract(trim(F.col("line")), ENVIRONMENT, 1))
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     rows = rows.select("doc_id", "line_no", "line", "active", "name", trim(F.lag("line").over(doc)).alias("before"), trim(F.lead("line").over(doc)).alias("after"))
     ends = rows.select("doc_id", "line_no", "after", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\\end\{([a-zA-Z*]+)\}"), F.lit(1)))).alias("name"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import accounts, blocks, documents, exports, extraction, formatting, formulas, pagination, repair, streams, structure, structured, wordlayout
+from . import accounts, blocks, documents, exports, extraction, formatting, formulas, pagination, repair, streams, structure, structured, wordfixing, wordlayout
 
-MODULES = (accounts, documents, structure, extraction, structured, blocks, repair, streams, wordlayout, formulas, formatting, pagination, exports)
+MODULES = (accounts, documents, structure, extraction, structured, blocks, repair, streams, wordlayout, formulas, formatting, pagination, exports, wordfixing)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

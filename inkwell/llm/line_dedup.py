@@ -1,7 +1,7 @@
 """Operator 10: line deduplication by a segment-partition edit join.
 
-Two lines are near-duplicates if few edits of characters lead from one to the other, or, for longer lines, few edits of words; how many
-grows with the shorter line (char_edits, word_edits). A line cut into k + 1 segments, of characters or of words, has a segment that a
+Two lines are near-duplicates if few edits lead from one to the other: of characters, where the shorter one has few words, or of words. How
+many grows with the shorter line and is a tenth of it at most (char_edits, word_edits). A line cut into k + 1 segments, of characters or of words, has a segment that a
 partner within k edits holds unchanged near the same place (pigeonhole). Every line is indexed under (its length, segment
 number, segment) and probes the indexes of its own and slightly smaller lengths with the substrings at which the segment may
 start (multi-match-aware selection; Li et al., Pass-Join, 2011). Pairs that meet are verified by a banded bit-parallel
@@ -27,7 +27,9 @@ from .packed import SCHEMA, Deal
 #: Lines with fewer characters have no near-duplicates, only exact copies: one edit would be more than a tenth of them.
 MIN_CHARS = 10
 #: From so many characters on two of them may be edited, and from so many words on one word; one more for each doubling of the words.
-TWO_EDITS, MIN_WORDS = 20, 40
+TWO_EDITS, MIN_WORDS = 20, 10
+#: Lines with so many words are compared by words only: two words may be edited, so two characters in most cases.
+ONLY_WORDS = 20
 #: Lists longer than this are compared as groups (see grouped_links) instead of as pairs.
 PAIRWISE = 64
 #: Lines of a group that one task compares with each other.
@@ -40,6 +42,8 @@ PLACES = 1 << (4 * np.arange(8))
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
 #: Keys of words are told from those of characters by this bit of the seed; characters that signatures are counted of at a time.
 WORD_KEYS, COUNTED = 1 << 40, 1 << 20
+#: Texts whose lines are posted at a time.
+TEXTS = 512
 
 
 def char_edits(n: int) -> int:
@@ -59,11 +63,9 @@ def words_of(line: str) -> list[bytes]:
 
 def near(x: str, y: str) -> bool:
     """Whether two lines are near-duplicates."""
-    if (k := char_edits(min(len(x), len(y)))) and within(x, y, k):
-        return True
-    if min(len(x), len(y)) < 2 * MIN_WORDS - 1:
-        return False
     a, b = words_of(x), words_of(y)
+    if min(len(a), len(b)) < ONLY_WORDS and (k := char_edits(min(len(x), len(y)))) and within(x, y, k):
+        return True
     return bool((k := word_edits(min(len(a), len(b)))) and within(a, b, k))
 
 
@@ -196,28 +198,40 @@ def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
                 plans[words, n] = [(seed + m * 16 + i, s, e) for m, i, s, e, _ in found], [own + 2 * k for *_, own in found]
             return plans[words, n]
 
+        def lines(batch: pa.RecordBatch) -> Iterator[list[str]]:
+            """The batch's distinct lines, some texts' at a time."""
+            posted: set[int] = set()
+            for start in range(0, batch.num_rows, TEXTS):
+                new = {x for t in batch.column(0)[start : start + TEXTS].to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
+                named = {xxhash.xxh64_intdigest(x.encode(), 42): x for x in new}
+                yield [x for h, x in named.items() if h not in posted]
+                posted.update(named)
+
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                seen = list({x for t in batch.column(0).to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)})
+            for seen in (x for batch in batches for x in lines(batch)):
                 keys, marks, each = [], [], []
-                for line in seen:
+                split = list(map(words_of, seen))
+                # two edits change the number of words by two at most
+                short = [i for i, w in enumerate(split) if len(w) < ONLY_WORDS + 2]
+                long = [i for i, w in enumerate(split) if len(w) >= MIN_WORDS]
+                for i in short:
+                    line = seen[i]
                     at, mark = plan(False, len(line))
                     keys += [digest(line[s:e].encode(), seed) for seed, s, e in at]
                     marks += mark
                     each.append(len(at))
-                split = [(i, w) for i, w in enumerate(map(words_of, seen)) if len(w) >= MIN_WORDS]
-                for _, w in split:
+                for i in long:
+                    w = split[i]
                     at, mark = plan(True, len(w))
                     keys += [digest(b" ".join(w[s:e]), seed) for seed, s, e in at]
                     marks += mark
                     each.append(len(at))
-                h, each = np.array(keys, np.uint64), np.array(each, np.int64)
-                line = np.concatenate((np.arange(len(seen)), np.array([i for i, _ in split], np.int64)))
+                h = np.array(keys, np.uint64)
                 refs = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in seen), np.uint64, len(seen)).view(np.int64)
                 out = np.empty(len(h), ENTRY)
                 out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), marks
-                out["sig"] = np.repeat(np.concatenate((signatures(seen), word_signatures([w for _, w in split]))), each)
-                out["ref"] = np.repeat(refs[line], each)
+                out["sig"] = np.repeat(np.concatenate((signatures([seen[i] for i in short]), word_signatures([split[i] for i in long]))), each)
+                out["ref"] = np.repeat(refs[np.array(short + long, np.int64)], each)
                 yield ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
 
         yield from deal.pack(entries())
@@ -295,11 +309,15 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     def connect(rows: list[tuple[int, int, str]]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
         lines = [x for *_, x in rows]
         words = [words_of(x) for x in lines]
-        views = [(signatures(lines), np.array([char_edits(len(x)) for x in lines])), (word_signatures(words), np.array([word_edits(len(w)) for w in words]))]
+        sizes = np.array(list(map(len, words)))
+        chars, k_chars = signatures(lines), np.array([char_edits(len(x)) for x in lines])
+        bags, k_words = word_signatures(words), np.array([word_edits(n) for n in sizes])
 
         def may(u: int) -> np.ndarray:
-            both = [(np.minimum(k[:u], k[u]), sig) for sig, k in views]
-            return np.logical_or(*((k > 0) & alike(sig[:u], sig[u], k) for k, sig in both))
+            """Which of the lines before u may be near it."""
+            k = np.minimum(k_chars[:u], k_chars[u]) * (np.minimum(sizes[:u], sizes[u]) < ONLY_WORDS)
+            m = np.minimum(k_words[:u], k_words[u])
+            return ((k > 0) & alike(chars[:u], chars[u], k)) | ((m > 0) & alike(bags[:u], bags[u], m) & (np.abs(sizes[:u] - sizes[u]) <= m))
 
         label = np.arange(len(rows))
         for u in range(1, len(rows)):
@@ -332,7 +350,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines_of(docs, id_col, text_col)
     first = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "text_hash", "no")).alias("first"), F.count("*").alias("n"), F.first(F.length("line") >= MIN_CHARS).alias("joined"))
     first = stored(first, "lines")
-    deal = Deal(16 * first.where("joined").count(), ENTRY)
+    deal = Deal(24 * first.where("joined").count(), ENTRY)
     found = stored(candidates(postings(docs, text_col, deal), deal), "line-candidates")
     pairs, members = found.where("gid is null").select("a", "b").distinct(), found.where("gid is not null").select("gid", "a").distinct()
     wanted = stored(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct(), "lines-wanted")

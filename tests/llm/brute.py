@@ -117,14 +117,14 @@ def distance(a, b):
 
 
 def near_lines(a, b):
-    """Under 10 characters none, under 20 one edit, else two; or of words one from 40 words on, one more for each doubling."""
+    """With under 20 words: one edit from 10 characters on, two from 20. Of words: one from 10 words on, one more for each doubling."""
+    v, w = re.findall(r"[^\x20\x09-\x0D]+", a), re.findall(r"[^\x20\x09-\x0D]+", b)
     n = min(len(a), len(b))
     k = 0 if n < 10 else 1 if n < 20 else 2
-    if k and abs(len(a) - len(b)) <= k and near(a, b, k):
+    if min(len(v), len(w)) < 20 and k and abs(len(a) - len(b)) <= k and near(a, b, k):
         return True
-    v, w = re.findall(r"[^\x20\x09-\x0D]+", a), re.findall(r"[^\x20\x09-\x0D]+", b)
     n, k = min(len(v), len(w)), 0
-    while n >= 40 * 2**k:
+    while n >= 10 * 2**k:
         k += 1
     return k > 0 and abs(len(v) - len(w)) <= k and near(v, w, k)
 

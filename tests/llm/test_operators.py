@@ -386,7 +386,7 @@ def test_op10_edited_lines(spark):
     for size in (8, 9, 10, 11, 19, 20, 22, 60, 185, 400, 700):
         base = (prose(400, "abcdefghij" if size % 4 else "éaü中bcd") + "x" * size)[:size]
         lines += [base, *(edited(base, n) for n in (1, 2, 2, 3, 4))]
-    for size in (39, 40, 41, 78, 80, 82, 200, 330):
+    for size in (9, 10, 18, 19, 20, 21, 22, 23, 39, 41, 80, 200, 330):
         base = [prose(1) + str(i) for i in range(size)]
         for n in (0, 1, 1, 2, 3, 4, 5):
             w = list(base)

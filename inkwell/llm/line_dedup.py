@@ -311,7 +311,7 @@ def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         words = [words_of(x) for x in lines]
         sizes = np.array(list(map(len, words)))
         chars, k_chars = signatures(lines), np.array([char_edits(len(x)) for x in lines])
-        bags, k_words = word_signatures(words), np.array([word_edits(n) for n in sizes])
+        bags, k_words = word_signatures(words), np.array([word_edits(len(w)) for w in words])
 
         def may(u: int) -> np.ndarray:
             """Which of the lines before u may be near it."""

@@ -420,11 +420,15 @@ def test_op10_groups_of_variants(spark, tmp_path):
     """Hundreds of variants of one line, which go through the grouped comparison, dealt into several blocks."""
     from pyspark.sql import functions as F
 
-    base = prose(10)
+    base, words = prose(16), [prose(1) + str(i) for i in range(60)]
     variants = [base[:i] + c + base[i + 1 :] for i in range(0, len(base), 2) for c in "#@%"]
-    data = list(enumerate(variants + [prose(8) for _ in range(30)]))
+    # of words: the first half stays, so these meet in one list, and they are apart by up to four words
+    longer = [" ".join([*words[:40], f"{i}x", *words[41:50], *(["more"] if i % 3 else []), f"{i % 5}y", *words[51 + i % 2 :]]) for i in range(100)]
+    data = list(enumerate(variants + longer + [prose(8) for _ in range(30)]))
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert len(variants) > line_dedup.PAIRWISE
+    deal = line_dedup.Deal(1000, line_dedup.ENTRY)
+    lists = line_dedup.candidates(line_dedup.postings(df, "text", deal), deal).where("gid IS NOT NULL").groupBy("gid").count().collect()
+    assert len([r for r in lists if r["count"] > line_dedup.PAIRWISE]) >= 2
     block, line_dedup.BLOCK = line_dedup.BLOCK, 20
     try:
         got = line_dedup.dedup_lines(df).withColumn("sha", F.sha2("text", 256))

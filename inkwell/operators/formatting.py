@@ -162,8 +162,9 @@ def rejoined(rows: DataFrame) -> DataFrame:
     return relation(parts.withColumn("sub", F.lit(0)).withColumn("rule", F.when(F.col("n") > 1, "rejoin").otherwise(F.col("rule"))))
 
 
-def with_code(rows: DataFrame) -> DataFrame:
-    """Fences around JSON, code and shell lines.
+def code_blocks(rows: DataFrame) -> DataFrame:
+    """Adds k, the line's number, and block: end and lang of the block of JSON, code or shell lines that starts with the line; ends: whether one
+    ends with it.
 
     Each line that could start a block gets the end its block would have. A block that starts inside a chosen one isn't looked at, so
     overlapping candidates form clusters, and each cluster is folded on its own."""
@@ -204,9 +205,13 @@ def with_code(rows: DataFrame) -> DataFrame:
     step = lambda acc, b: F.when(b.k > acc.to, F.struct(b.end.alias("to"), F.concat(acc.kept, F.array(b)).alias("kept"))).otherwise(acc)
     chosen = F.aggregate(F.array_sort("blocks"), first, step, lambda acc: acc.kept)
     rows = rows.withColumn("chosen", F.when(F.size("blocks") > 0, chosen))
-    starts = F.get(F.filter("chosen", lambda b: b.k == F.col("k")), F.lit(0))
-    ends = F.exists("chosen", lambda b: b.end == F.col("k"))
-    return inserted(rows, "code", F.concat(F.lit("```"), starts.lang), F.when(ends, "```"))
+    own = F.get(F.filter("chosen", lambda b: b.k == F.col("k")), F.lit(0))
+    return rows.withColumn("block", own).withColumn("ends", F.exists("chosen", lambda b: b.end == F.col("k")))
+
+
+def with_code(rows: DataFrame) -> DataFrame:
+    """Fences around blocks of code."""
+    return inserted(code_blocks(rows), "code", F.concat(F.lit("```"), "block.lang"), F.when(F.col("ends"), "```"))
 
 
 def with_typography(rows: DataFrame) -> DataFrame:

@@ -2,79 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, trim
-from .lines import MARKERS
-from .structure import SEPARATOR_ROW, TABLE_ROW
-
-# Beginnings of code and of shell commands, lines that end a run, the reach of blocks and runs.
-STARTER = r"^(def\s+[a-zA-Z_]|import\s+[a-zA-Z]|from\s+[a-zA-Z_.]+\s+import\s|class\s+[a-zA-Z]|function\s+[a-zA-Z]|console[.](log|error|warn|info|debug|table)\s*\(|print\s*\()"
-SHELL = r"^([$]\s+\S|(npm|npx|yarn|pnpm|pip3?|python3?|node|git|docker|kubectl|curl|wget|sudo|apt(-get)?|brew|cargo)\s+[a-zA-Z])"
-STOP, SENTENCE = r"^[#>\-*\d]", f"[{CJK}].*[。！？；]\\z"
-BLOCK_LINES, RUN_LINES, MAX_SPAN = 50, 20, 200
-
-
-def _balanced(lines: list, start: int) -> int | None:
-    """The line on which the bracket that line ``start`` opens is closed, if that is a later one within reach."""
-    opener, closer = "{}" if "{" in lines[start].line else "[]"
-    depth = 0
-    for i, x in enumerate(lines[start : start + BLOCK_LINES], start):
-        depth += x.line.count(opener) - x.line.count(closer)
-        if i > start and depth <= 0:
-            return i
-    return None
-
+from .formatting import code_blocks
+from .lines import lines
 
-def _run(lines: list, start: int, goes_on) -> int:
-    end = start
-    while end + 1 < min(start + RUN_LINES, len(lines)) and goes_on(lines[end + 1]):
-        end += 1
-    return end
-
-
-def _snippets(lines: list) -> Iterator[tuple[int, int, str]]:
-    """First line, last line and language of each piece of code."""
-    at = 0
-    while at < len(lines):
-        x, end, language = lines[at], None, None
-        if not (x.fenced or x.table):
-            if x.line.endswith(("{", "[")) and (end := _balanced(lines, at)) is not None:
-                language = "json"
-            elif x.starter and (end := _run(lines, at, lambda y: not (y.fenced or y.stop or y.sentence or y.line[:1] in ("", "|")))) > at:
-                language = "js" if x.line.startswith("console.") else "python"
-            elif x.shell and ((end := _run(lines, at, lambda y: y.shell and not (y.fenced or y.table or y.stop))) > at or x.line.startswith("$")):
-                language = "bash"
-        if language:
-            yield at + 1, end + 1, language
-            at = end
-        at += 1
+#: Most rows or columns that a cell spans.
+MAX_SPAN = 200
 
 
 def code_snippets(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, first_line, last_line, language) of code outside fences: balanced JSON, runs that begin like code, shell commands (one
-    with a prompt, or two and more). What each line is like is judged by Spark; one walk over a document's lines finds the runs.
-    Fences are those of the text as it is. A null text has no rows."""
-    marker = lambda x: x.rlike(MARKERS["ticks"])
-    flags = lambda x: F.struct(
-        trim(x).alias("line"), marker(x).alias("marker"), (x.rlike(TABLE_ROW) | x.rlike(SEPARATOR_ROW)).alias("table"), trim(x).rlike(STARTER).alias("starter"), trim(x).rlike(SHELL).alias("shell"), trim(x).rlike(STOP).alias("stop"), trim(x).rlike(SENTENCE).alias("sentence")
-    )
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n", -1), flags).alias("lines"))
-
-    def walk(batches):
-        for pdf in batches:
-            found = []
-            for doc, lines in zip(pdf["doc_id"], pdf["lines"], strict=True):
-                frame = pd.DataFrame(list(lines))
-                frame["fenced"] = frame["marker"] | (frame["marker"].cumsum() % 2 == 1)
-                found += [(doc, *s) for s in _snippets(list(frame.itertuples(index=False)))]
-            yield pd.DataFrame(found, columns=["doc_id", "first_line", "last_line", "language"])
-
-    return rows.mapInPandas(walk, "doc_id long, first_line int, last_line int, language string")
+    with a prompt, or two and more), as formatting.code_blocks() finds them. Fences are those of the text as it is. A null text has no rows."""
+    rows = lines(docs).select("doc_id", "line_no", F.lit(0).alias("sub"), "line", F.lit(None).cast("string").alias("rule"))
+    found = code_blocks(rows).where("block IS NOT NULL")
+    return found.select("doc_id", F.col("line_no").alias("first_line"), F.col("block.end").alias("last_line"), F.col("block.lang").alias("language"))
 
 
 def table_grid(cells: DataFrame) -> DataFrame:

@@ -8,10 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.text import let, trim
 
 # Beginnings of font families by kind, and families of formula faces.
-SERIF = "simsun,nsimsun,宋体,songti,stsong,fangsong,仿宋,kaiti,楷体,kaiti sc,stkaiti,noto serif,songti sc,georgia,cambria,serif,kai,song".split(",")
-SANS = "simhei,黑体,heiti,stheiti,heiti sc,microsoft yahei,微软雅黑,yahei,dengxian,等线,pingfang,arial,calibri,helvetica,sans-serif,system-ui,ui-sans-serif".split(",")
-MONO = "consolas,jetbrains mono,sfmono,sf mono,menlo,monaco,courier,monospace,source code,fira code,roboto mono,cascadia".split(",")
-FORMULA = {"main": "Main", "math": "Math", "size1": "Size1", "size2": "Size2", "size3": "Size3", "size4": "Size4", "ams": "AMS", "sansserif": "Sans", "caligraphic": "Caligraphic", "script": "Script", "fraktur": "Fraktur", "typewriter": "Typewriter"}
+SERIF = [
+    "simsun", "nsimsun", "宋体", "songti", "stsong", "fangsong", "仿宋", "kaiti", "楷体", "kaiti sc", "stkaiti",
+    "noto serif", "songti sc", "georgia", "cambria", "serif", "kai", "song",
+]
+SANS = [
+    "simhei", "黑体", "heiti", "stheiti", "heiti sc", "microsoft yahei", "微软雅黑", "yahei", "dengxian", "等线", "pingfang",
+    "arial", "calibri", "helvetica", "sans-serif", "system-ui", "ui-sans-serif",
+]
+MONO = [
+    "consolas", "jetbrains mono", "sfmono", "sf mono", "menlo", "monaco", "courier", "monospace", "source code",
+    "fira code", "roboto mono", "cascadia",
+]
+FORMULA = {
+    "katex_main": "Main",
+    "katex_math": "Math",
+    "katex_size1": "Size1",
+    "katex_size2": "Size2",
+    "katex_size3": "Size3",
+    "katex_size4": "Size4",
+    "katex_ams": "AMS",
+    "katex_sansserif": "Sans",
+    "katex_caligraphic": "Caligraphic",
+    "katex_script": "Script",
+    "katex_fraktur": "Fraktur",
+    "katex_typewriter": "Typewriter",
+}
 BOLD_FORMULA = ("Sans", "Caligraphic")
 # Width and colour of cell borders: style, position, top, bottom, sides, colour of the bottom.
 BORDERS = [
@@ -32,7 +54,7 @@ def font_key(families: Column, bold: Column, italic: Column) -> Column:
     sans family; unknown lists get the sans face."""
     names = F.transform(F.split(families, ","), lambda x: F.lower(trim(F.regexp_replace(x, "[\"']", ""))))
     starts = lambda x, of: F.exists(F.array(*map(F.lit, of)), lambda p: x.startswith(p))
-    formula = F.create_map(*(F.lit(v) for pair in FORMULA.items() for v in (f"katex_{pair[0]}", pair[1])))
+    formula = F.create_map(*(F.lit(v) for pair in FORMULA.items() for v in pair))
     kind = lambda x: F.when(formula[x].isNotNull(), formula[x]).when(starts(x, SERIF), "serif").when(starts(x, SANS), "sans").when(starts(x, MONO), "mono")
     kinds = F.filter(F.transform(names, kind), lambda x: x.isNotNull())
 

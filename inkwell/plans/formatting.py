@@ -175,6 +175,9 @@ i2 AS (SELECT *, gap AND coalesce(lag(gap) OVER ({_O}), false) AS again FROM i1)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no, sub) AS text FROM i2 WHERE NOT again GROUP BY 1
 UNION ALL SELECT doc_id, text FROM w0 WHERE coalesce(stays, true)
 """
+#: Blocks of code in the lines l1: the lines with the block that each could start (c7), and the starts and ends that stand (c8).
+CODE_SQL = FORMAT[FORMAT.index("f1_m AS") : FORMAT.index("c9 AS")].rstrip().rstrip(",")
+
 ORACLES = {
     "format_text": FORMAT,
     "rejoined_paragraphs": FORMAT[: FORMAT.index("l1 AS (SELECT")].rstrip().rstrip(",").replace("FROM lines WHERE doc_id IN (SELECT doc_id FROM w0 WHERE NOT stays)", "FROM lines")

@@ -14,6 +14,7 @@ from ..sources.messy import messy
 from .accounts import values
 from .blocks import ORACLES as BLOCKS
 from .structure import HEAD
+from .formatting import CODE_SQL
 
 FAMILIES = ["Georgia", "'Microsoft YaHei'", "Unknown Face", "KaTeX_Math", '"Fira Code"', " sans-serif ", "KaTeX_Size1", "KaTeX_Main", "Songti SC", "KaTeX_SansSerif"]
 
@@ -83,8 +84,11 @@ def _class(x: str, pattern: str) -> str:
 
 _CJK = W.CJK_PUNCTUATION + W.CJK_LETTERS
 ORACLES = {
+    "code_snippets": f"""WITH d AS (SELECT doc_id, string_split('Start' || chr(10) || {_listed(CODE)}[doc_id % {len(CODE)} + 1] || text, chr(10)) AS l FROM documents),
+      l1 AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, 0 AS sub, unnest(l) AS line FROM d), {CODE_SQL}
+      SELECT doc_id, k AS first_line, e AS last_line, lang AS language FROM c7 SEMI JOIN (SELECT doc_id, unnest(range(2, len(x) + 1, 2)) AS i, x[i] AS k FROM c8) USING (doc_id, k)""",
     "font_keys": f"""WITH a AS (SELECT p_partkey AS k, unnest([1, 2, 3]) AS i, unnest([1, 10, 100]) AS n FROM part), b AS (SELECT k, i, lower(trim(replace(replace({_listed(FAMILIES)}[(k // n) % {len(FAMILIES)} + 1], '"', ''), '''', ''))) AS f FROM a),
-      m AS (SELECT * FROM {values([(f"katex_{a}", b) for a, b in W.FORMULA.items()], "name, base")}),
+      m AS (SELECT * FROM {values(list(W.FORMULA.items()), "name, base")}),
       c AS (SELECT k, i, CASE WHEN m.base IS NOT NULL THEN m.base WHEN len(list_filter({_listed(W.SERIF)}, lambda p: starts_with(f, p))) > 0 THEN 'serif' WHEN len(list_filter({_listed(W.SANS)}, lambda p: starts_with(f, p))) > 0 THEN 'sans'
         WHEN len(list_filter({_listed(W.MONO)}, lambda p: starts_with(f, p))) > 0 THEN 'mono' END AS kind FROM b LEFT JOIN m ON m.name = b.f),
       d AS (SELECT k, coalesce(min_by(kind, i) FILTER (WHERE kind NOT IN ('serif', 'sans')), min_by(kind, i) FILTER (WHERE kind IS NOT NULL), 'sans') AS kind, k % 2 = 0 AS bold, k % 3 = 0 AS italic FROM c GROUP BY k)

@@ -135,7 +135,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     gives the last two other names, for inputs that have such columns.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Of equal cosines the first language
-    by name wins. Only the text is looked at. Repeated rows, null ids and very long texts are rows like any other.
+    by name wins. Only the text is looked at. Repeated rows, null ids and very long texts are rows like any other; columns that ``keep`` doesn't
+    name are left out, whatever their names, and an empty table gives none.
     """
     languages = list(prototypes)
     matrix = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in languages]) if languages else np.empty((0, DIMENSIONS))

@@ -381,7 +381,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A line (between newlines) that has a word goes unless it is the first of its class, by document id, then text hash, then line
     number; a null id comes first. Blank lines stay; lines below MIN_CHARS characters go as exact copies only. Rows with the same id and
     text are one document: all of them keep or lose the same lines. A null text stays null and has 0 lines; a text that loses all its
-    lines becomes empty. Texts and lines of any length are read whole; an empty table gives an empty result.
+    lines becomes empty. Texts and lines of any length are read whole; an empty table gives an empty result. Ids are whole numbers.
     """
     classes = stored(line_classes(docs, id_col, text_col), "line-classes").select("a", "b", F.struct("doc", "text_hash", "no").alias("kept"), "near")
     places = lines_of(docs, id_col, text_col).drop("line").join(classes, ["a", "b"]).where(F.struct("doc", "text_hash", "no") != F.col("kept"))

@@ -256,7 +256,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
 
     An id goes if any of its rows is in a group with a smaller id; rows with equal ids stay or go together. Rows without an id go
-    where their group has an id, and stay otherwise. Columns stay as they are, whatever their names; an empty table stays empty.
+    where their group has an id, and stay otherwise. Null, empty and blank texts are one group; texts of any length are read whole. Columns
+    stay as they are, whatever their names; an empty table stays empty. Ids are whole numbers.
     """
     groups = near_copies(docs.select("doc_id", "text"))
     (name,) = fresh(docs, "gone")

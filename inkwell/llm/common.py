@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows that Python gets at a time, where the session has Spark's own number: documents are long, and a batch is held several times.
+ARROW_ROWS, ARROW_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(ARROW_CONF) == "10000":
+        spark.conf.set(ARROW_CONF, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, small_batches, stored, table
 
 WINDOW = 13
 #: A segment is closed at this many tokens (a longer document has one of its own).
@@ -226,6 +226,7 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go. Rows with equal ids (or none) go if one of them is contaminated. Null texts are clean;
     columns stay as they are, whatever their names; an empty table stays empty."""
+    small_batches(spark)
     found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     (name,) = fresh(docs, "gone")
     gone = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, table
+from .common import fresh, lean, small_batches, table
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -177,6 +177,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts go; repeated rows and null ids are judged like any other; an empty table stays empty. Other columns
     come through unchanged, whatever their names."""
+    small_batches(spark)
     prototypes = learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
     columns = docs.columns
     text, lang, score = fresh(docs, "text_read", "lang_found", "score_found")

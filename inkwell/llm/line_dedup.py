@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import BLANKS, components, fresh, lean, stored
+from .common import BLANKS, components, fresh, lean, small_batches, stored
 from .packed import SCHEMA, Deal
 
 #: Lines with fewer characters have no near-duplicates, only exact copies: one edit would be more than a tenth of them.
@@ -414,6 +414,7 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without repeated lines; n_chars, where there is one, follows the text. Rows and columns, with
     whatever names, stay as dedup_lines says; an empty table stays empty."""
+    small_batches(spark)
     out = dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

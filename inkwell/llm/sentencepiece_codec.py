@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, table
+from .common import lean, small_batches, table
 
 #: Distinct chunks a task holds at once; at the limit it starts anew (results do not depend on it).
 TABLE_ENTRIES = 1_000_000
@@ -112,6 +112,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: id, token ids and digests of every document that is left; the last stage, so other columns are not carried on.
 
     Null, empty and very long texts, repeated rows, null ids and empty tables are as encode_documents says."""
+    small_batches(spark)
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True).drop("decoded")

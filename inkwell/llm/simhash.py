@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, spread, stored, table
+from .common import components, fresh, small_batches, spread, stored, table
 from .near_copies import near_copies
 
 SHINGLE = 3
@@ -259,6 +259,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     where their group has an id, and stay otherwise. Null, empty and blank texts are one group; texts of any length are read whole. Columns
     stay as they are, whatever their names; an empty table stays empty. Ids are whole numbers.
     """
+    small_batches(spark)
     groups = near_copies(docs.select("doc_id", "text"))
     (name,) = fresh(docs, "gone")
     gone = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .lines import lines
 
 #: Most rows or columns that a cell spans.
 MAX_SPAN = 200
+GRID = pa.schema([("table", pa.int64()), ("row", pa.int32()), ("place", pa.int32()), ("col", pa.int32()), ("width", pa.int32()), ("kind", pa.string())])
 
 
 def code_snippets(docs: DataFrame) -> DataFrame:
@@ -24,25 +27,49 @@ def code_snippets(docs: DataFrame) -> DataFrame:
 def table_grid(cells: DataFrame) -> DataFrame:
     """Rows (table, row, place, col, width, kind) of tables: each cell with the grid column it starts at, and a ``continue`` for each
     column that a cell of an earlier row reaches down into. cells: table, row, cell, colspan, rowspan; spans are held to 1 to 200, and a wide
-    cell takes over the columns it covers. Cells with equal numbers are taken by their spans. One table is folded at a time, row by row."""
+    cell takes over the columns it covers. Cells with equal numbers are taken by their spans; cells without a row are left out. Tables are
+    dealt by number and folded in order, many to a batch of rows; what reaches down is all that is kept of a table."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, col, place = None, 0, 0  # here: table and row
+        left: dict[int, int] = {}  # rows that are still to be filled below, by column
+
+        def below(out: list) -> None:
+            # what reaches into the row behind its last cell
+            for c in sorted(k for k, n in left.items() if k >= col and n > 0):
+                left[c] -= 1
+                out.append((*here, place + len(out) - start, c, 1, "continue"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, left = [], {}  # left: rows that are still to be filled below, by column
-        for row, group in pdf.sort_values(["row", "cell", "colspan", "rowspan"]).groupby("row"):
-            col, placed = 0, []
-            for x in group.itertuples(index=False):
+        for batch in batches:
+            out: list = []
+            start = 0  # of the row's entries in out
+            for table, row, colspan, rowspan in zip(*(batch.column(c).to_pylist() for c in ("table", "row", "colspan", "rowspan")), strict=True):
+                if here != (table, row):
+                    if here:
+                        below(out)
+                        if here[0] != table:
+                            left = {}
+                    here, col, place, start = (table, row), 0, 0, len(out)
                 while left.get(col, 0) > 0:
-                    placed.append((col, 1, "continue"))
+                    out.append((table, row, place + len(out) - start, col, 1, "continue"))
                     left[col] -= 1
                     col += 1
-                placed.append((col, x.colspan, "cell"))
-                left |= {c: x.rowspan - 1 for c in range(col, col + x.colspan)}
-                col += x.colspan
-            for c in sorted(k for k, n in left.items() if k >= col and n > 0):
-                placed.append((c, 1, "continue"))
-                left[c] -= 1
-            out += [(pdf["table"].iloc[0], row, i, *p) for i, p in enumerate(placed)]
-        return pd.DataFrame(out, columns=["table", "row", "place", "col", "width", "kind"])
+                out.append((table, row, place + len(out) - start, col, colspan, "cell"))
+                left.update(dict.fromkeys(range(col, col + colspan), rowspan - 1))
+                col += colspan
+            place += len(out) - start
+            yield _batch(out)
+        if here:
+            out, start = [], 0
+            below(out)
+            yield _batch(out)
+
+    span = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)), F.lit(MAX_SPAN)).cast("int").alias(c)
+    rows = cells.where("row IS NOT NULL").select(F.col("table").cast("long"), F.col("row").cast("int"), "cell", span("colspan"), span("rowspan"))
+    dealt = rows.repartition("table").sortWithinPartitions("table", "row", F.col("cell").asc_nulls_last(), "colspan", "rowspan")
+    return dealt.mapInArrow(fold, "table long, row int, place int, col int, width int, kind string")
+
 
-    span = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)), F.lit(MAX_SPAN)).alias(c)
-    return cells.select("table", "row", "cell", span("colspan"), span("rowspan")).groupBy("table").applyInPandas(fold, "table long, row int, place int, col int, width int, kind string")
+def _batch(out: list) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * len(GRID)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, GRID.types, strict=True)], schema=GRID)

@@ -62,3 +62,23 @@ def test_spans_query_against_a_plain_grid(spark):
             below = after
             want += [(key, row, i, *p) for i, p in enumerate(placed)]
     assert sorted(map(tuple, wordlayout.table_grid(spark, SF).collect())) == sorted(want)
+
+
+def test_spans_of_many_tables(spark):
+    """Tables share a task and its batches; a table of many rows goes on in the next one; cells without a row are left out."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cells = [(t, r, c, 1, 2) for t in range(40) for r in range(0, 10, 2) for c in (0, 1)] + [(7, None, 0, 1, 1), (None, 1, None, 2, 1), (None, 1, 0, 1, 1)]
+        got = snippets.table_grid(spark.createDataFrame(cells, "table long, row int, cell int, colspan int, rowspan int"))
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # one call of Python for each table
+        rows = sorted((tuple(x) for x in got.collect()), key=str)
+        assert [x for x in rows if x[0] is None] == [(None, 1, 0, 0, 1, "cell"), (None, 1, 1, 1, 2, "cell")]
+        for t in range(40):
+            assert [x[1:] for x in rows if x[0] == t] == [x[1:] for x in rows if x[0] == 0]
+        plain = {r: sorted(x[2:] for x in rows if x[0] == 0 and x[1] == r) for r in range(0, 10, 2)}
+        assert plain[0] == [(0, 0, 1, "cell"), (1, 1, 1, "cell")]
+        assert plain[2] == [(0, 0, 1, "continue"), (1, 1, 1, "continue"), (2, 2, 1, "cell"), (3, 3, 1, "cell")]
+        assert plain[4] == [(0, 0, 1, "cell"), (1, 1, 1, "cell"), (2, 2, 1, "continue"), (3, 3, 1, "continue")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

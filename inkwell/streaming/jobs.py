@@ -13,9 +13,10 @@ from ..sources.tables import scratch
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir as a stream of files."""
+    """A table of sf_dir, one file or a folder of files, as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # as a pattern the path may name a file; a plain one must be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def run(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), path: str | None = None) -> DataFrame:

@@ -63,3 +63,10 @@ def test_a_merged_table_keeps_the_newest(spark, tmp_path):
         return df.groupBy("k").agg({"v": "max"}).toDF("k", "v")
 
     assert rows(J.run_merged(stream(spark, tmp_path, batches, "k long, v long"), newest, ("k",))) == [(1, 4), (2, 5)]
+
+
+def test_a_table_in_a_folder_of_files_is_a_stream(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(5).toPandas().to_parquet(f"{tmp_path}/one.parquet")
+    for name, n in (("many", 10), ("one", 5)):
+        assert rows(J.run(J.source(spark, str(tmp_path), name), "append")) == [(i,) for i in range(n)]

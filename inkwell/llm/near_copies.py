@@ -6,11 +6,14 @@ posted under these shingles, those that are common in a sample of the documents
 decides about the cost only. Pairs that meet pass two filters that lose none (the shingles left behind the one they meet under; the
 parities of the shingles' counts in as many classes as a set has shingles or more, which differ in no more classes than shingles) and
 are verified by their sets.
+
+Links that another method finds (the pipeline's stage: SimHash) are verified by the sets first; pairs of the join that these connect
+already are not compared again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -53,6 +56,14 @@ def name_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
 
 
+def simhash_of(s: np.ndarray) -> int:
+    """SimHash fingerprint of a set, as a signed long: a bit is set if over half of the shingles' hashes have it; the empty set's is zero."""
+    ones = np.zeros(64, np.int64)
+    for part in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[part : part + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
 def classes(size: int) -> int:
     return min(max(LEAST_SKETCH, 1 << max(0, size - 1).bit_length()), MOST_SKETCH)
 
@@ -86,14 +97,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def named_sets(texts: DataFrame) -> DataFrame:
-    """Rows (id, name, n, sketch): each document's set by hash, size and sketch."""
+    """Rows (id, name, n, sketch, fp): each document's set by hash, size, sketch and SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, classes(len(s))).tobytes() for s in sets], pa.binary())], names=["id", "name", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, classes(len(s))).tobytes() for s in sets], pa.binary()), pa.array([simhash_of(s) for s in sets], pa.int64())], names=["id", "name", "n", "sketch", "fp"])
 
-    return texts.mapInArrow(lean(run), "id long, name long, n long, sketch binary")
+    return texts.mapInArrow(lean(run), "id long, name long, n long, sketch binary, fp long")
 
 
 def common_shingles(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +231,15 @@ def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
+def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the links don't connect yet."""
+    found = components(links)
+    found = stored(found.unionByName(found.select(F.col("component").alias("node"), "component")).distinct(), "simhash-parts")
+    x, y = found.select(F.col("node").alias("a"), F.col("component").alias("x")), found.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    open_ = pairs.join(x, "a", "left").join(y, "b", "left").where(F.col("x").isNull() | F.col("y").isNull() | (F.col("x") != F.col("y")))
+    return open_.select("a", "b")
+
+
 def grouped_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect the sets of long lists as all their links would; members: (gid, a). Dealt like the lists of operator 10."""
 
@@ -253,25 +273,41 @@ def grouped_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.select("gid", "i", "j", "a", "s").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a").mapInArrow(lean(run), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_sets(nodes: DataFrame, links: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of sets that connect what links() connects: sets of equal fingerprints with the first of them, and the first ones of
+    linked fingerprints."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("name").alias("first")), "fingerprint-firsts")
+    same = nodes.join(firsts, "fp").where(F.col("name") != F.col("first")).select(F.col("first").alias("a"), F.col("name").alias("b"))
+    x, y = firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), firsts.select(F.col("fp").alias("y"), F.col("first").alias("b"))
+    across = links(firsts.select("fp"), firsts.count()).toDF("x", "y").join(x, "x").join(y, "y").select("a", "b")
+    return same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """One row per document: id, component_id: the smallest id reachable over pairs whose sets of 5-word shingles have a Jaccard
     similarity of 0.8 or more.
 
     Null, empty and blank texts have the empty set and are copies of each other. A null id gets its group's smallest id, null if
     it has none. Repeated rows keep their rows. Texts of any length are read whole; other columns are left out, whatever their names; an empty
-    table gives none. Ids are whole numbers. Sets are told apart, and verified, by 64-bit hashes.
+    table gives none. Ids are whole numbers. Sets are told apart, and verified, by 64-bit hashes. ``links`` (distinct fingerprints in a
+    column fp, and how many; edges (a, b)) finds links of SimHash fingerprints, which the sets then verify; the join adds what it misses.
     """
     texts = encoded(docs, id_col, text_col)
     marked = stored(named_sets(texts), "shingle-sets")
-    nodes = stored(marked.groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-nodes")
+    nodes = stored(marked.groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "shingle-nodes")
     n_texts, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     deal = Deal(total // 5 + n_texts, ENTRY)
     found = stored(candidates(postings(texts, *common_shingles(texts, n_texts), deal), deal), "copy-candidates")
     pairs, members = found.where("gid is null").select("a", "b").distinct(), found.where("gid is not null").select("gid", "a").distinct()
     pairs = stored(likely(pairs, nodes), "copy-pairs")
-    wanted = stored(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct(), "sets-wanted")
+    near = stored(likely(linked_sets(nodes, links), nodes), "simhash-pairs") if links else pairs.limit(0)
+    wanted = pairs.union(near)
+    wanted = stored(wanted.select("a").union(wanted.select("b")).union(members.select("a")).distinct(), "sets-wanted")
     sets = stored(sets_of(texts, wanted), "sets")
-    parts = components(pair_links(pairs, sets).union(grouped_links(members, sets)))
+    if links:
+        near = stored(pair_links(near, sets), "simhash-links")
+        pairs = unlinked(pairs, near)
+    parts = components(near.union(pair_links(pairs, sets)).union(grouped_links(members, sets)))
     parts = stored(parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct(), "copy-parts")
     named = nodes.join(parts, F.col("name") == F.col("node"), "left").select("name", F.coalesce("component", "name").alias("component"), "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -255,12 +255,14 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
 
+    SimHash fingerprints of the 5-word shingles are linked by operator 6's index at MAX_BITS bits or fewer and verified by their sets; near
+    copies that differ in more bits come from an exact join (near_copies).
     An id goes if any of its rows is in a group with a smaller id; rows with equal ids stay or go together. Rows without an id go
     where their group has an id, and stay otherwise. Null, empty and blank texts are one group; texts of any length are read whole. Columns
     stay as they are, whatever their names; an empty table stays empty. Ids are whole numbers.
     """
     small_batches(spark)
-    groups = near_copies(docs.select("doc_id", "text"))
+    groups = near_copies(docs.select("doc_id", "text"), links=links)
     (name,) = fresh(docs, "gone")
     gone = groups.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import near_copies, simhash
 from inkwell.llm.common import table
@@ -73,3 +74,19 @@ def test_sketches_lose_no_pair():
             b = np.unique(np.concatenate([a[int(len(a) * share) :], rng.integers(0, 1 << 63, int(len(a) * share), dtype=np.uint64)]))
             apart = near_copies.classes_apart(*(near_copies.sketch(s, near_copies.classes(len(s))).tobytes() for s in (a, b[: int(len(b) * 0.99) + 1])))
             assert apart <= len(np.setxor1d(a, b[: int(len(b) * 0.99) + 1]))
+
+
+def test_the_stage_links_by_simhash_and_verifies(spark, monkeypatch):
+    """Without the join's pairs, what the fingerprints link is left: near copies in few bits go, and sets that only share bits stay."""
+    base = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join([*base[:-1], "third"])), (4, "one two"), (5, None), (6, " ")]
+    rows += [(10 + i, " ".join(f"x{i}y{k}" for k in range(40))) for i in range(20)]
+    bits = [(near_copies.simhash_of(np.unique(near_copies.shingles(t.encode()))) ^ near_copies.simhash_of(near_copies.shingles(rows[0][1].encode()))) & (1 << 64) - 1 for _, t in rows[1:3]]
+    assert all(b.bit_count() <= simhash.MAX_BITS for b in bits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nothing = spark.createDataFrame([], "a long, b long, gid long")
+    monkeypatch.setattr(near_copies, "candidates", lambda posted, deal: nothing)
+    assert {r["doc_id"] for r in simhash.stage(spark, docs, SF).collect()} == {1, 4, 5, *range(10, 30)}
+    every = lambda distinct, n: distinct.select(F.col("fp").alias("a")).crossJoin(distinct.select(F.col("fp").alias("b"))).where("a < b")
+    monkeypatch.setattr(simhash, "links", every)  # links of all fingerprints are cut down to near copies
+    assert {r["doc_id"] for r in simhash.stage(spark, docs, SF).collect()} == {1, 4, 5, *range(10, 30)}

@@ -1,24 +1,24 @@
 """Page breaks of documents made of blocks: text, headings, figures with captions, tables with a repeated header, forced breaks.
 
-Whatever stands on earlier pages, a page's content follows from the piece it starts with. So "the piece that the page after this one
-starts with" is a function of a piece, which is told for every piece on its own from the few that fit on a page. The
-pages of a document are what this function reaches from its first piece; it is composed with itself (next, next but one, four pages on, ...)
-by joins, so a document of n pages takes about log n rounds, and none is a single fold.
+A piece tells by numbers what must fit for it to be placed behind others. Pieces are dealt by document and placed in order; of the pages so
+far only the one that is being filled is kept, so the work grows with the pieces and a task's memory does not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..sources.tables import stored
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Most of the distance between two blocks.
 GAP = 120
+PAGES = pa.schema([(name, pa.int64()) for name in ("doc_id", "page", "first_block", "first_part", "last_block", "last_part", "n_parts")])
 
 
 def pieces(blocks: DataFrame) -> DataFrame:
-    """Rows (doc_id, u, block, idx, n, kind, h, need, gap, header): lines, rows, and whole blocks in order, u from 0.
+    """Rows (doc_id, block, idx, n, kind, h, need, gap, header, moved): lines, rows, and whole blocks.
 
     ``need`` is what must fit for the piece to be placed behind others: a heading needs the start of the next block, a figure its caption, a
     text's first line the second one and its last line but one the last."""
@@ -32,9 +32,16 @@ def pieces(blocks: DataFrame) -> DataFrame:
     # a table's header is a piece of its own before its rows
     sizes = F.when((F.col("kind") == "table") & (F.col("header") > 0), F.concat(F.array(F.col("header")), F.col("sizes"))).otherwise(F.col("sizes"))
     rows = rows.withColumn("parts", F.when(F.col("kind") == "break", F.array(F.lit(0))).otherwise(sizes))
-    rows = rows.select("doc_id", "ord", "kind", "gap", "header", "next_start", "next_kind", F.size("parts").alias("n"), "parts", F.posexplode("parts").alias("idx", "h"))
-    after = F.coalesce(F.get("parts", F.col("idx") + 1), F.lit(0))
-    text = F.when(F.col("idx") == 0, F.col("h") + after + F.when(F.col("n") == 3, F.element_at("parts", -1)).otherwise(0)).when(F.col("idx") == F.col("n") - 2, F.col("h") + after).otherwise(F.col("h"))
+    # the kind of the block whose piece stands before
+    before = F.last(F.when(F.size("parts") > 0, F.col("kind")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before)
+    # each part with the one after it, so that no row carries the whole list
+    rows = rows.withColumn("n", F.size("parts")).withColumn("last", F.when(F.col("n") == 3, F.get("parts", F.lit(2))).otherwise(0))
+    zipped = F.arrays_zip(F.col("parts").alias("h"), F.slice("parts", F.lit(2), F.greatest(F.col("n"), F.lit(0))).alias("after"))
+    rows = rows.select("doc_id", "ord", "kind", "gap", "header", "next_start", "next_kind", "before", "n", "last", F.posexplode(zipped).alias("idx", "part"))
+    rows = rows.withColumn("h", F.col("part.h")).withColumn("after", F.coalesce("part.after", F.lit(0))).drop("part")
+    after = F.col("after")
+    text = F.when(F.col("idx") == 0, F.col("h") + after + F.col("last")).when(F.col("idx") == F.col("n") - 2, F.col("h") + after).otherwise(F.col("h"))
     need = (
         F.when(F.col("kind") == "text", text)
         .when(F.col("kind") == "heading", F.col("h") + F.col("next_start"))
@@ -43,47 +50,55 @@ def pieces(blocks: DataFrame) -> DataFrame:
         .otherwise(F.col("h"))
     )
     gap = F.when((F.col("idx") == 0) & (F.col("kind") != "break"), F.greatest(F.lit(0), F.least("gap", F.lit(GAP)))).otherwise(0)
-    u = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "idx")) - 1
-    rows = rows.withColumn("need", need).withColumn("space", gap)
+    rows = rows.withColumn("need", need).withColumn("before", F.when(F.col("idx") == 0, F.col("before")).otherwise(F.col("kind")))
     # no distance behind a forced break, nor between a figure and its caption
-    before = F.lag("kind").over(Window.partitionBy("doc_id").orderBy("ord", "idx"))
-    pair = (F.col("kind") == "caption") & (before == "figure")
-    rows = rows.withColumn("space", F.when(F.coalesce((before == "break") | pair, F.lit(False)), 0).otherwise(F.col("space")))
+    pair = (F.col("kind") == "caption") & (F.col("before") == "figure")
+    rows = rows.withColumn("space", F.when(F.coalesce((F.col("before") == "break") | pair, F.lit(False)), 0).otherwise(gap))
     # a text that a page starts with because it didn't fit behind others is placed line by line, like the rest of one that a page cuts
-    rows = rows.withColumn("moved", F.coalesce(before != "break", F.lit(False)))
-    return rows.select("doc_id", u.cast("long").alias("u"), F.col("ord").alias("block"), "idx", "n", "kind", "h", "need", F.col("space").alias("gap"), "header", "moved")
-
-
-def page_ends(parts: DataFrame, height: int) -> DataFrame:
-    """Adds ``next``: the piece that the next page starts with if a page starts with this one."""
-    ahead = F.collect_list(F.struct("u", "block", "idx", "kind", "h", "need", "gap", "header")).over(Window.partitionBy("doc_id").orderBy("u").rowsBetween(0, 2 * height + 1))
-    rows = parts.withColumn("ahead", ahead)
-
-    def place(acc: Column, x: Column) -> Column:
-        first = x.u == F.col("u")
-        # a page that goes on with a table starts with its header again
-        again = F.when(first & (x.kind == "table") & (x.idx > 0), x.header).otherwise(0)
-        used = acc.used + again
-        used = used + F.when((used > 0) & (used + x.gap <= height), x.gap).otherwise(0)
-        need = F.when((x.kind == "text") & (x.block == F.col("block")) & ((F.col("idx") > 0) | F.col("moved")), x.h).otherwise(x.need)
-        fits = ~acc.full & (first | (used == 0) | (used + need <= height))
-        return F.struct(F.when(fits, used + x.h).otherwise(acc.used).alias("used"), (acc.n + F.when(fits, 1).otherwise(0)).alias("n"), (~fits | (x.kind == "break")).alias("full"))
-
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-    return rows.withColumn("next", F.col("u") + F.aggregate("ahead", start, place, lambda acc: acc.n))
-
-
-def page_starts(parts: DataFrame) -> DataFrame:
-    """Rows (doc_id, u): the pieces that pages start with, by composing ``next``. parts: doc_id, u, next."""
-    last = parts.groupBy("doc_id").agg(F.max("u").alias("last"))
-    jump = stored(parts.join(last, "doc_id").where("next <= last").select("doc_id", "u", "next"), "pages-jump")
-    found = stored(parts.where("u = 0").select("doc_id", "u"), "pages")
-    while not jump.isEmpty():
-        # found holds the first 2^k pages' starts, jump leads 2^k pages on
-        found = stored(found.unionByName(found.join(jump, ["doc_id", "u"]).select("doc_id", F.col("next").alias("u"))).distinct(), "pages")
-        on = jump.select("doc_id", F.col("u").alias("next"), F.col("next").alias("then"))
-        jump = stored(jump.join(on, ["doc_id", "next"]).select("doc_id", "u", F.col("then").alias("next")), "pages-jump")
-    return found
+    rows = rows.withColumn("moved", F.coalesce(F.col("before") != "break", F.lit(False)))
+    return rows.select("doc_id", F.col("ord").alias("block"), "idx", "n", "kind", "h", "need", F.col("space").alias("gap"), "header", "moved")
+
+
+def placed(parts: DataFrame, height: int) -> DataFrame:
+    """The pages of pieces() as pages() gives them; a document's pieces are in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = page = used = leading = cut = first = last = None
+        n, full, seen = 0, False, False  # n: pieces of the page so far; seen: whether the document had one that is no break
+        names = ("doc_id", "block", "idx", "kind", "h", "need", "gap", "header", "moved")
+        for batch in batches:
+            out = []
+            for d, block, idx, kind, h, need, gap, header, moved in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                new = page is None or d != doc
+                if not new:
+                    at = used + gap if used > 0 and used + gap <= height else used
+                    fits = not full and (at == 0 or at + (h if kind == "text" and block == cut else need) <= height)
+                if new or not fits:
+                    if n:
+                        out.append((doc, page - leading, *first, *last, n))
+                    doc, page, leading, n = (d, 1, 0, 0) if new else (d, page + 1, leading, 0)
+                    # a page that goes on with a table starts with its header again
+                    at = header if kind == "table" and idx > 0 else 0
+                    # the rest of a text that a page cuts, or that did not fit behind others, is placed line by line
+                    cut = block if idx > 0 or moved else None
+                    seen = seen and not new
+                used, full = at + h, kind == "break"
+                if full:
+                    leading += not seen  # a break alone is an empty page, but for those that the document starts with
+                else:
+                    seen, last = True, (block, idx)
+                    first = first if n else last
+                    n += 1
+            yield _pages(out)
+        if n:
+            yield _pages([(doc, page - leading, *first, *last, n)])
+
+    return parts.sortWithinPartitions("doc_id", "block", "idx").mapInArrow(run, "doc_id long, page long, first_block long, first_part long, last_block long, last_part long, n_parts long")
+
+
+def _pages(out: list) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * len(PAGES)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=PAGES)
 
 
 def pages(blocks: DataFrame, height: int) -> DataFrame:
@@ -94,11 +109,4 @@ def pages(blocks: DataFrame, height: int) -> DataFrame:
     numbers of 1 or more. Distances between blocks are at most GAP, count if they fit, and never at a page's top. A piece that is higher than
     a page has a page of its own; a header doesn't wait for its first row. Between two forced breaks lies an empty page, which has no row here;
     breaks that start a document make none."""
-    parts = stored(page_ends(pieces(blocks), height).select("doc_id", "u", "block", "idx", "kind", "next"), "pages-parts")
-    starts = page_starts(parts.select("doc_id", "u", "next")).withColumn("starts", F.lit(True))
-    w = Window.partitionBy("doc_id").orderBy("u")
-    rows = parts.join(starts, ["doc_id", "u"], "left").withColumn("page", F.count("starts").over(w))
-    # a break alone is an empty page, but for those that the document starts with
-    rows = rows.withColumn("leading", F.min(F.when(F.col("kind") != "break", F.col("u"))).over(Window.partitionBy("doc_id")))
-    rows = rows.where("kind <> 'break'").groupBy("doc_id", "page", "leading").agg(F.min(F.struct("u", "block", "idx")).alias("a"), F.max(F.struct("u", "block", "idx")).alias("z"), F.count("*").alias("n"))
-    return rows.select("doc_id", (F.col("page") - F.col("leading")).alias("page"), F.col("a.block").alias("first_block"), F.col("a.idx").cast("long").alias("first_part"), F.col("z.block").alias("last_block"), F.col("z.idx").cast("long").alias("last_part"), F.col("n").alias("n_parts"))
+    return placed(pieces(blocks.repartition("doc_id")), height)

@@ -146,3 +146,23 @@ def test_cases(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, ord long, kind string, gap int, sizes array<int>, header int")
     assert pagination.pages(df, 10).collect() == []
+
+
+def test_pieces_are_placed_in_one_go(spark):
+    """Two long documents in batches of a few pieces; a page looks neither at all pieces ahead nor up pages by joins."""
+    rows = [(d, k, "break" if k % 50 == 0 and d else "text", 1, [1] * (k % 7 + 1), 0) for d in range(2) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, ord long, kind string, gap int, sizes array<int>, header int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = pagination.pages(docs, 10)
+        plan = made._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "Join" not in plan
+        found = {}
+        for r in made.collect():
+            found[r["doc_id"], r["page"]] = tuple(r)[2:]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for d in range(2):
+        want = plain([tuple(r[1:]) for r in rows if r[0] == d], 10)
+        assert {p: x for (k, p), x in found.items() if k == d} == {p: (*v[0], *v[-1], len(v)) for p, v in want.items()}

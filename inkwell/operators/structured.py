@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .extraction import role
 
 SHARE = "data struct<biz_code:int, biz_msg:string, biz_data:struct<title:string, messages:array<struct<role:string, fragments:array<struct<type:string, content:string>>>>>>"
 SCRIPTS = r"(?is)<script[^>]*(?:application/json|ld\+json)[^>]*>(.*?)</script>"
+#: Texts whose readings a task holds at once.
+PART = 64
 #: Document settings with their default and, for numbers, their range.
 SETTINGS = {"font_size": (12, 8, 32), "line_spacing": (360, 240, 720), "toc_levels": (3, 1, 3)}
 CHOICES = {"paper": ("a4", ("a4", "letter")), "orientation": ("portrait", ("portrait", "landscape"))}
@@ -65,19 +68,26 @@ def navigation_junk(texts: DataFrame) -> DataFrame:
     return texts.where(F.length("text") < 1200).where((F.size(lines) >= 4) & (linkish / F.size(lines) > 0.6)).select("id")
 
 
-def decodings(texts: pd.Series) -> pd.Series:
-    """Other readings of a text whose characters are misread bytes, different from it and from each other."""
+def decodings(text: str) -> list[tuple[str, str]]:
+    """Other readings (name, text) of a text whose characters are misread bytes, different from it and from each other."""
+    data, found = bytes(ord(c) & 0xFF for c in text), {}
+    for name, codec in (("utf8", "utf-8"), ("gbk", "gb18030"), ("big5", "big5")):
+        found.setdefault(data.decode(codec, "replace"), name)
+    again = data.decode("utf-8", "replace")
+    found.setdefault(bytes(ord(c) & 0xFF for c in again).decode("utf-8", "replace"), "double-utf8")
+    found.pop(text, None)
+    return [(n, t) for t, n in found.items()]
 
-    def read(text: str) -> list[dict]:
-        data, found = bytes(ord(c) & 0xFF for c in text), {}
-        for name, codec in (("utf8", "utf-8"), ("gbk", "gb18030"), ("big5", "big5")):
-            found.setdefault(data.decode(codec, "replace"), name)
-        again = data.decode("utf-8", "replace")
-        found.setdefault(bytes(ord(c) & 0xFF for c in again).decode("utf-8", "replace"), "double-utf8")
-        found.pop(text, None)
-        return [{"name": n, "text": t} for t, n in found.items()]
 
-    return texts.map(lambda t: read(t) if isinstance(t, str) else [])
+def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, place, name, reading) of (doc_id, text), PART texts at a time, so that a task holds the readings of a few only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            part = batch.slice(at, PART)
+            rows = [(i, p, *r) for i, text in enumerate(part.column(1).to_pylist()) for p, r in enumerate(decodings(text))]
+            own = part.take(pa.array([r[0] for r in rows], pa.int64()))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=["doc_id", "text", "place", "name", "reading"])
 
 
 def encoding_candidates(docs: DataFrame, suspicious: Column) -> DataFrame:
@@ -93,8 +103,9 @@ def readings(docs: DataFrame, suspicious: Column) -> DataFrame:
     from .documents import REPLACED, SOUND
 
     q = lambda c: F.round(F.regexp_count(c, F.lit(SOUND)) / F.length(c), 6)
-    rows = docs.where(suspicious & (F.length("text") > 0)).select("doc_id", "text", F.posexplode(F.pandas_udf(decodings, "array<struct<name:string, text:string>>")("text")).alias("place", "c"))
-    rows = rows.select("doc_id", "place", F.col("c.name").alias("name"), F.col("c.text").alias("reading"), F.regexp_count("c.text", F.lit(REPLACED)).alias("replaced"), q("c.text").alias("quality"), F.regexp_count("text", F.lit(REPLACED)).alias("own"), q("text").alias("own_quality"))
+    rows = docs.where(suspicious & (F.length("text") > 0)).select("doc_id", "text")
+    rows = rows.mapInArrow(decoded, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, place int, name string, reading string")
+    rows = rows.select("doc_id", "place", "name", "reading", F.regexp_count("reading", F.lit(REPLACED)).alias("replaced"), q("reading").alias("quality"), F.regexp_count("text", F.lit(REPLACED)).alias("own"), q("text").alias("own_quality"))
     rows = rows.withColumn("recommended", (F.col("replaced") < F.col("own")) | ((F.col("replaced") == F.col("own")) & (F.col("quality") > F.col("own_quality") + 0.1)))
     w = Window.partitionBy("doc_id").orderBy(F.desc("recommended"), "replaced", F.desc("quality"), "place")
     return rows.withColumn("rank", F.row_number().over(w)).drop("own", "own_quality", "place")

@@ -26,3 +26,19 @@ def test_misread_text_is_recovered(spark):
 def test_hash_vectors(spark):
     df = spark.createDataFrame([("",), ("a",), ("foobar",)], "x string")
     assert [r[0] for r in df.select(structured.fnv1a(F.col("x"))).collect()] == ["811c9dc5", "e40c292c", "bf9cf968"]
+
+
+def test_readings_are_made_a_few_texts_at_a_time(spark):
+    """A batch of many texts isn't decoded as a whole; null, plain and misread texts, and ids of any type, as before."""
+    import pyarrow as pa
+
+    from inkwell.operators import structured as S
+
+    texts = ["plain", "æ\u0080\u0081", ""] * 100
+    out = list(S.decoded([pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])]))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= 4 * S.PART
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(i, t, p, *r) for i, t in enumerate(texts) for p, r in enumerate(S.decodings(t))] and len(got) >= 100
+    docs = spark.createDataFrame([("a", None), ("b", "plain"), ("c", "æ\u0080\u0081")], "doc_id string, text string")
+    rows = S.encoding_candidates(docs, F.lit(True)).collect()
+    assert {r["doc_id"] for r in rows} == {"c"} and [r["name"] for r in rows if r["rank"] == 1] == ["utf8"]

@@ -109,13 +109,15 @@ def hold_emphasis(text: Column) -> Column:
     side, escape = "\x01", "\x02"
     # the text's own control characters are spelled out, so that they stay; neither spelling is punctuation or CJK
     marked = F.replace(F.replace(text, F.lit(escape), F.lit(f"{escape}b")), F.lit(side), F.lit(f"{escape}a"))
-    marked = F.regexp_replace(marked, f"({MARKS})", f"{side}$1{side}")
-    mark = f"{side}({MARKS}){side}"
-    p, c, letters, other = PUNCTUATION, CJK_PUNCTUATION, CJK_LETTERS, f"[^{PUNCTUATION}{side}]"
+    # as MARKS has it, and what stands before a mark behind its side: both begin with a character, which is soon not found
+    marked = F.regexp_replace(marked, r"([*_](?:(?<=[*])[*]|(?<=_)_)?)", f"{side}$1{side}")
+    other = f"[^{PUNCTUATION}{side}]"
+    p, c, letters = PUNCTUATION, CJK_PUNCTUATION, CJK_LETTERS
     cjk = f"{c}{letters}"
+    mark = lambda *before: f"{side}(?<={'|'.join(b + side for b in before)})({MARKS}){side}"
     # a mark's own characters are punctuation: beside another mark stands its side, then the mark
-    closing = [(rf"(?<=[{p}&&[{cjk}]]){mark}(?={other})", f"{HOLD}$1"), (rf"(?<=[{p}]|[*_]{side}){mark}(?=[{cjk}&&[^{p}]])", f"{HOLD}$1")]
-    opening = [(rf"(?<=[{cjk}&&[^{p}]]){mark}(?=[{p}]|{side}[*_])", f"$1{HOLD}"), (rf"(?<={other}){mark}(?=[{p}&&[{cjk}]])", f"$1{HOLD}")]
+    closing = [(mark(f"[{p}&&[{cjk}]]") + f"(?={other})", f"{HOLD}$1"), (mark(f"[{p}]", f"[*_]{side}") + f"(?=[{cjk}&&[^{p}]])", f"{HOLD}$1")]
+    opening = [(mark(f"[{cjk}&&[^{p}]]") + rf"(?=[{p}]|{side}[*_])", f"$1{HOLD}"), (mark(other) + f"(?=[{p}&&[{cjk}]])", f"$1{HOLD}")]
     for pattern, new in closing + opening:
         marked = F.regexp_replace(marked, pattern, new)
     bare = F.replace(marked, F.lit(side), F.lit(""))

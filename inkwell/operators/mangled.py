@@ -40,8 +40,8 @@ COMMAND, SCRIPT = r"\\[a-zA-Z]+", "[_^]"
 
 
 def named(x: Column) -> Column:
-    """Characters under the names of their commands."""
-    return reduce(lambda c, item: F.replace(c, F.lit(item[0]), F.lit(item[1])), NAMES.items(), x)
+    """Characters under the names of their commands; none of these characters is ASCII."""
+    return F.when(x.rlike("[^\\x00-\\x7f]"), reduce(lambda c, item: F.replace(c, F.lit(item[0]), F.lit(item[1])), NAMES.items(), x)).otherwise(x)
 
 
 def compare_key(x: Column) -> Column:
@@ -54,6 +54,14 @@ def latex_score(x: Column) -> Column:
     return F.when(x.rlike(COMMAND), 2).otherwise(0) + F.when(x.rlike(SCRIPT), 2).otherwise(0)
 
 
+def widths(c: Column) -> Column:
+    """How long one character is as named(), p, and as compare_key(), q. It is looked up: replacing all names, one after the
+    other, in each character of a formula was most of the work."""
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    size = F.when(c > "\x7f", F.length(F.try_element_at(names, c)))
+    return F.struct(F.coalesce(size, F.lit(1)).alias("p"), F.coalesce(size, F.when(c.rlike(LAYOUT), 0).otherwise(1)).alias("q"))
+
+
 def sums(widths: Column) -> Column:
     """0 and the running sums of an array."""
     return F.aggregate(widths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
@@ -89,8 +97,7 @@ def repaired(formulas: DataFrame, column: str = "formula") -> DataFrame:
     looked = formulas.select(F.struct("*").alias("row"), raw.alias("raw")).withColumn("key", F.when(F.length("raw").between(LEAST, MOST), compare_key(F.col("raw"))))
     looked = looked.withColumn("key", F.when(F.length("key") >= LEAST_KEY, F.col("key")))
     each = F.filter(F.split("raw", ""), lambda c: c != "")
-    widths = F.transform(each, lambda c: F.struct(F.length(named(c)).alias("p"), F.length(compare_key(c)).alias("q")))
-    looked = looked.withColumn("w", F.when(F.col("key").isNotNull(), widths))
+    looked = looked.withColumn("w", F.when(F.col("key").isNotNull(), F.transform(each, widths)))
     looked = looked.withColumn("p", sums(F.transform("w", lambda x: x.p))).withColumn("q", sums(F.transform("w", lambda x: x.q))).withColumn("n", F.size("w"))
 
     total = F.element_at("p", -1)

@@ -91,3 +91,11 @@ def test_against_all_cuts(spark, given_):
 
 def test_long_formula_of_one_character(spark):
     assert repair(spark, ["ab" * 600, "y" * 1200]) == [plain("ab" * 600), plain("y" * 1200)]
+
+
+def test_lengths_of_characters_are_looked_up(spark):
+    from pyspark.sql import functions as F
+
+    each = [*M.NAMES, *"aZ9+_^{}\\ \t", "\u00a0", "\u3000", "\U0001d465", "é", "一"]
+    rows = spark.createDataFrame([(c,) for c in each], "c string").select("c", M.widths(F.col("c")).alias("w")).collect()
+    assert {r.c: tuple(r.w) for r in rows} == {c: (len(mapped(c)), len(key(c))) for c in each}

@@ -84,18 +84,29 @@ def bare_environments(docs: DataFrame) -> DataFrame:
 
 def environments(rows: DataFrame) -> DataFrame:
     """The same of rows (doc_id, line_no, line, active)."""
-    rows = rows.withColumn("name", F.regexp_extract(trim(F.col("line")), ENVIRONMENT, 1))
+    found = marked_environments(rows.select("doc_id", "line_no", "line", "active")).where("last_line IS NOT NULL")
+    return found.select("doc_id", F.col("line_no").alias("first_line"), "last_line", "name")
+
+
+def marked_environments(rows: DataFrame) -> DataFrame:
+    """Adds name and last_line to rows (doc_id, line_no, line, active): of the bare environment that starts with a line, else null.
+
+    Everything is windows over a document's lines in their order, so the rows are neither read again nor joined nor exchanged. Only
+    lines that start an environment keep the list of the document's ends, for one step."""
     doc = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.select("doc_id", "line_no", "line", "active", "name", trim(F.lag("line").over(doc)).alias("before"), trim(F.lead("line").over(doc)).alias("after"))
-    ends = rows.select("doc_id", "line_no", "after", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\\end\{([a-zA-Z*]+)\}"), F.lit(1)))).alias("name"))
-    starts = rows.where("active AND name <> ''").select("doc_id", "line_no", "name", "before", F.lit(None).cast("string").alias("after"), F.lit(True).alias("starts"))
-    both = starts.unionByName(ends.select("doc_id", "line_no", "name", F.lit(None).cast("string").alias("before"), "after", F.lit(False).alias("starts")))
-    here = Window.partitionBy("doc_id", "name").orderBy("line_no", F.desc("starts")).rowsBetween(0, Window.unboundedFollowing)
-    ending = F.first(F.when(~F.col("starts"), F.struct("line_no", "after")), ignorenulls=True).over(here)
-    found = both.withColumn("end", ending).where("starts AND end IS NOT NULL").where(~((F.coalesce("before", F.lit("")) == "$$") & (F.coalesce("end.after", F.lit("")) == "$$")))
-    reach = F.max("end.line_no").over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("reach", reach).where("reach IS NULL OR reach < line_no")
-    return found.select("doc_id", F.col("line_no").alias("first_line"), F.col("end.line_no").alias("last_line"), "name")
+    rows = rows.withColumn("before", F.lag("line").over(doc)).withColumn("after", F.lead("line").over(doc))
+    name = F.when(F.col("active") & F.col("line").contains("\\begin{"), F.regexp_extract(trim(F.col("line")), ENVIRONMENT, 1))
+    closed = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\\end\{([a-zA-Z*]+)\}"), F.lit(1)))
+    own = F.transform(closed, lambda x: F.struct(F.col("line_no"), x.alias("name"), (F.coalesce(trim(F.col("after")), F.lit("")) == "$$").alias("closed")))
+    rows = rows.withColumn("name", F.when(name != "", name)).withColumn("ends", F.when(F.col("line").contains("\\end{"), own))
+    rows = rows.withColumn("ends", F.collect_list("ends").over(Window.partitionBy("doc_id")))
+    first = F.array_min(F.filter(F.flatten("ends"), lambda e: (e.line_no >= F.col("line_no")) & (e["name"] == F.col("name"))))
+    rows = rows.withColumn("end", F.when(F.col("name").isNotNull(), first)).drop("ends")
+    closed = (F.coalesce(trim(F.col("before")), F.lit("")) == "$$") & F.col("end.closed")
+    rows = rows.withColumn("last_line", F.when(~closed, F.col("end.line_no")))
+    reach = F.max("last_line").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last_line", F.when(F.coalesce(reach < F.col("line_no"), F.lit(True)), F.col("last_line")))
+    return rows.drop("before", "after", "end")
 
 
 def diagrams(rows: DataFrame) -> DataFrame:

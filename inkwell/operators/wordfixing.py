@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import INVISIBLE, NBSP, WIDE, clean, count, trim, trim_start, without_code
 from .documents import convert_delimiters
-from .formatting import in_order, to_here
+from .formatting import in_order, of_document, to_here
 from .lines import MARKERS, lines
 from .structured import readings
-from .wordfix import ARROW, DIAGRAM, LINEAR, NO_DIAGRAM, as_formulas, environments, without_formulas
+from .wordfix import ARROW, DIAGRAM, LINEAR, NO_DIAGRAM, as_formulas, marked_environments, without_formulas
 
 #: Lines that a report names for each kind of fix.
 EXAMPLES = 3
@@ -67,11 +67,10 @@ def with_linear(rows: DataFrame) -> DataFrame:
 
 def with_environments(rows: DataFrame) -> DataFrame:
     """Formula delimiters around bare environments. No rule before this one puts lines in, so line_no tells the lines apart."""
-    found = environments(with_context(rows).select("doc_id", "line_no", "line", "active"))
-    starts = found.select("doc_id", F.col("first_line").alias("line_no"), F.lit("$$").alias("opens"))
-    ends = found.select("doc_id", F.col("last_line").alias("line_no"), F.lit("$$").alias("closes"))
-    rows = rows.join(starts, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
-    return around(rows, "bare environment", F.col("opens"), F.col("closes"))
+    rows = marked_environments(with_context(rows))
+    rows = rows.withColumn("lasts", F.collect_list("last_line").over(of_document()))
+    rows = rows.withColumn("opens", F.when(F.col("last_line").isNotNull(), "$$")).withColumn("closes", F.when(F.array_contains("lasts", F.col("line_no")), "$$"))
+    return around(rows.drop("lasts"), "bare environment", F.col("opens"), F.col("closes"))
 
 
 def with_diagrams(rows: DataFrame) -> DataFrame:

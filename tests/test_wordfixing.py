@@ -37,3 +37,13 @@ def test_misread_texts_are_decoded_first(spark):
     rows = spark.createDataFrame([(1, misread), (2, "fine \\(h\\)"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.reading) for r in wordfixing.deep_fixed(rows, F.col("text").rlike("[à-ÿ][\u0080-¿]")).collect()}
     assert got == {1: ("水位 $h$ 很高，船都走了", "utf8"), 2: ("fine $h$", None), 3: (None, None)}
+
+
+def test_environments_are_marked_without_reading_the_rows_again(spark):
+    text = "\\begin{align}\n\\begin{cases}\n\\end{cases}\n\\end{align}\n$$\n\\begin{array}\n\\end{array}\n$$\n\\begin{gathered}\\end{gathered}\n\\begin{split}"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = wordfixing.with_environments(wordfixing.lines(docs).select("doc_id", "line_no", F.lit(0).alias("sub"), "line", F.array().cast("array<string>").alias("fixes")))
+    got = [r.line for r in rows.orderBy("line_no", "sub").collect()]
+    assert got == ["$$", *text.split("\n")[:4], "$$", *text.split("\n")[4:8], "$$", text.split("\n")[8], "$$", text.split("\n")[9]]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan

@@ -29,7 +29,7 @@ def pieces(x: Column, size: Column | int) -> Column:
 
 def containments(values: DataFrame) -> DataFrame:
     """Rows (doc_id, inner, outer): texts of a document of which one lies in the other, different ones. values: doc_id, key; distinct."""
-    posted = values.select("doc_id", F.col("key").alias("outer"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: pieces(F.col("key"), n)))).alias("piece")).where(F.length("piece") <= F.length("outer")).distinct()
+    posted = values.select("doc_id", F.col("key").alias("outer"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: pieces(F.col("key"), n))))).alias("piece"))
     posted = posted.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "piece")))
     # a text's own pieces of its size, the rarest of them
     own = posted.where(F.length("piece") == F.least(F.length("outer"), F.lit(PIECE))).groupBy("doc_id", F.col("outer").alias("inner")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
@@ -47,7 +47,8 @@ def matched(wanted: DataFrame, pool: DataFrame) -> DataFrame:
     queues = b.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("queue"))
     values = a.select("doc_id", "key").union(queues.select("doc_id", "key")).distinct()
     near = containments(values)
-    near = near.select("doc_id", F.col("inner").alias("key"), F.col("outer").alias("other")).union(near.select("doc_id", F.col("outer"), F.col("inner")))
+    way = lambda key, other: F.struct(F.col(key).alias("key"), F.col(other).alias("other"))
+    near = near.select("doc_id", F.inline(F.array(way("inner", "outer"), way("outer", "inner"))))
     own = a.select("doc_id", "key").distinct()
     choices = own.select("doc_id", "key", F.col("key").alias("other")).union(near.join(own, ["doc_id", "key"], "left_semi"))
     choices = choices.join(queues.select("doc_id", F.col("key").alias("other")), ["doc_id", "other"], "left_semi")

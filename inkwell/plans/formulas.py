@@ -11,7 +11,7 @@ from ..operators import mangled as M
 from ..operators import matching as C
 from ..operators import spans as H
 from ..sources.messy import quote
-from ..sources.tables import read
+from ..sources.tables import read, stored
 from . import sqltext as Q
 
 #: Lines with formulas before each text, by the document's number; two texts give their words to formulas.
@@ -19,14 +19,15 @@ FORMULAS = ["$a+b$ and $a + b$, $a+b+c$\n$$\nx_1 = \\foo{2}\n$$\n", "$q$ $qq$ $q
 
 
 def formula_lines(spark, sf):
-    """Formulas of the texts, in their order: doc_id, ord, formula, line."""
+    """Formulas of the texts, in their order: doc_id, ord, formula, line. They are stored, because matching reads them many times, which would cut
+    all texts again each time."""
     d = read(spark, sf, "documents")
     head = F.get(F.array(*map(F.lit, FORMULAS)), (F.col("doc_id") % len(FORMULAS)).cast("int"))
     word = F.regexp_replace(F.substring("text", 1, 12), "[^a-zA-Z]", "")
     own = F.concat(F.lit("$"), word, F.lit("=1$ $"), F.substring(word, 1, 4), F.lit("x$\n"))
     found = P.formulas(d.select("doc_id", F.concat(head, own, "text").alias("text")))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "formula", "is_block"))
-    return found.select("doc_id", place.alias("ord"), "formula", F.col("line").cast("long").alias("line"))
+    return stored(found.select("doc_id", place.alias("ord"), "formula", F.col("line").cast("long").alias("line")), "formula-lines")
 
 
 def degraded(pool):

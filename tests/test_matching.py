@@ -85,3 +85,10 @@ HOISTED = [
 @pytest.mark.parametrize(("html", "want"), HOISTED)
 def test_hoisted_tables(spark, html, want):
     assert spark.range(1).select(spans.hoist_tables(F.lit(html)).alias("h")).first().h == want
+
+
+def test_matching_reads_stored_formulas_instead_of_the_texts(spark):
+    from inkwell.plans import formulas
+
+    files = [f.rsplit("/testdata/", 1)[-1] for f in formulas.export_quality(spark, "/root/testdata/sf0.001").inputFiles()]
+    assert files and not [f for f in files if "documents" in f]

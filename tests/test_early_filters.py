@@ -30,3 +30,13 @@ def test_blanks_are_cut_off_without_a_pattern(spark):
     for made, pattern in pairs:
         assert rows.where(~made.eqNullSafe(F.regexp_replace(x, pattern, ""))).count() == 0
         assert "regexp" not in plan(rows.select(made))
+
+
+def test_table_rows_are_mended_without_the_other_lines(spark):
+    texts = ["| a | b |\n|---|---|\n| c\nprose\n| d\n| e | f\n\n  | g `x | h |\n | i\n", "$`c`$\n| a $ | b_1\n| c\n$$\n~~~\n| d | e |\n| f\n~~~\n##x\n| lone", "text\n|\n||\n| x | y |\n"]
+    rows = docs(spark, *texts)
+    whole = R.repair_tables(R.repair_inline(rows)).where("last_pipe OR missing_cells")
+    found = R.repaired_rows(rows)
+    keys = ("doc_id", "line_no", "table_fixed", "last_pipe", "missing_cells")
+    assert sorted(found.select(*keys).collect()) == sorted(whole.select(*keys).collect()) != []
+    assert "Filter" in below_windows(found).split("Generate")[0]

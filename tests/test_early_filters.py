@@ -32,6 +32,31 @@ def test_blanks_are_cut_off_without_a_pattern(spark):
         assert "regexp" not in plan(rows.select(made))
 
 
+def test_short_texts_have_no_running_headers(spark):
+    body = "\n".join(f"line {chr(97 + i)}" for i in range(26))
+    texts = ["Acme\n" * 3 + body + "\nend", "Acme\n" * 3 + body]
+    found = S.repeated_headers(docs(spark, *texts))
+    assert sorted((r.doc_id, r.line_no, r.t) for r in found.collect()) == [(0, 1, "Acme"), (0, 2, "Acme"), (0, 3, "Acme")]
+    assert "split(text" in below_windows(found).split("RepartitionByExpression")[1].split("Relation")[0]
+
+
+def test_keyword_headings_window_over_candidates(spark):
+    wide = " ".join("References") + " " * 200 + ":"
+    found = S.keyword_headings(docs(spark, f"a line of prose\n{wide}\n```\nReferences\n```\nacknowledgements :\nAppendix  AB12:\nacknowledgementsx:"))
+    assert sorted((r.line_no, r.heading) for r in found.collect()) == [(2, "## References"), (6, "## acknowledgements"), (7, "## Appendix AB12")]
+    assert "Filter" in below_windows(found).split("Generate")[0]
+
+
+@pytest.mark.parametrize("text", ["河边 ，好", "好,河", "好 . ", "a河", "（ 河", "河 ", "好:`x`河", "ＡＢ", "好　", "x​y", "河 a", "河\t\t", "è  ", "河!\n```\n河a\n```\n河a", "| 河a", "河"])
+def test_typography_skips_only_lines_that_stay(spark, text):
+    rows = docs(spark, text)
+    whole = L.with_fences(L.lines(rows), "ticks").where("NOT in_fence").where(~F.col("line").rlike(S.TABLE_ROW) & F.col("line").rlike(f"[{X.CJK}{X.INVISIBLE}{X.WIDE}　]"))
+    whole = whole.select("doc_id", "line_no", S.polished(F.col("line")).alias("text"), "line").where("text <> line").drop("line")
+    found = S.typography(rows)
+    assert sorted(found.collect()) == sorted(whole.collect())
+    assert "Filter" in below_windows(found).split("Generate")[0]
+
+
 def test_table_rows_are_mended_without_the_other_lines(spark):
     texts = ["| a | b |\n|---|---|\n| c\nprose\n| d\n| e | f\n\n  | g `x | h |\n | i\n", "$`c`$\n| a $ | b_1\n| c\n$$\n~~~\n| d | e |\n| f\n~~~\n##x\n| lone", "text\n|\n||\n| x | y |\n"]
     rows = docs(spark, *texts)

@@ -50,8 +50,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Words are maximal runs of characters other than ASCII blanks. Null and empty texts measure 0 everywhere. Lines count
     if they have a word. A word counts as repeated if one of the 3-word windows it is in is found twice or more in the text; windows are
     compared by 64-bit hashes within one text. Repeated rows and null ids are rows like any other, an empty table gives none, and other
-    columns are left out, so their names can't clash. Repeats come from a sort of (hash, position) inside the row: no row leaves its
-    task, however long a text is, and time is n log n in its words.
+    columns are left out, so their names can't clash. Repeats come from a sort of (hash, position) inside the row, where two windows have
+    one hash: no row leaves its task, however long a text is, and time is n log n in its words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Each select below holds what later ones use more than once
@@ -65,14 +65,17 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     third = F.slice("h", 3, F.greatest(F.size("h") - 2, F.lit(0)))
     window = F.zip_with(F.zip_with(F.slice("h", 1, F.size(third)), F.slice("h", 2, F.size(third)), lambda a, b: F.xxhash64(a, b)), third, lambda a, b: F.xxhash64(a, b))
-    sort = counted.select("*", F.array_sort(F.transform(window, lambda x, i: F.struct(x.alias("x"), i.alias("i")))).alias("s")).drop("h")
+    hashed = counted.select("*", window.alias("v")).drop("h")
+    # sort_array compares in generated code, array_sort by a function that is interpreted; without repeats there is nothing to sort
+    repeats = F.size(F.array_distinct("v")) < F.size("v")
+    sort = hashed.select("*", F.when(repeats, F.sort_array(F.transform("v", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s")).drop("v")
     n = F.size("s")
     # neighbours in the sorted array: before[k] = s[k-1], after[k] = s[k+1]; a window is repeated if one of them has its hash
     marked = F.zip_with(F.zip_with("s", F.slice("s", 2, n), lambda a, b: F.struct(a.x.alias("x"), a.i.alias("i"), F.coalesce(a.x == b.x, F.lit(False)).alias("next"))), F.concat(F.array(F.lit(None).cast("bigint")), F.transform(F.slice("s", 1, F.greatest(n - 1, F.lit(0))), lambda a: a.x)), lambda a, b: F.struct(a.i.alias("i"), (a.next | F.coalesce(a.x == b, F.lit(False))).alias("hit")))
     places = F.array_sort(F.transform(F.filter(marked, lambda a: F.coalesce(a.hit, F.lit(False))), lambda a: a.i))
     found = sort.select("*", places.alias("p")).drop("s")
     covered = F.zip_with("p", F.slice("p", 2, F.size("p")), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
-    return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_repeat_words"))
+    return found.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators import formatting as G
 from inkwell.operators import lines as L
 from inkwell.operators import repair as R
 from inkwell.operators import structure as S
@@ -65,3 +66,20 @@ def test_table_rows_are_mended_without_the_other_lines(spark):
     keys = ("doc_id", "line_no", "table_fixed", "last_pipe", "missing_cells")
     assert sorted(found.select(*keys).collect()) == sorted(whole.select(*keys).collect()) != []
     assert "Filter" in below_windows(found).split("Generate")[0]
+
+
+def test_documents_are_dealt_into_parts_that_do_not_grow(spark, monkeypatch):
+    rows = docs(spark, *(f"one{i}\ntwo\nthree." for i in range(60)))
+    few = sorted(G.paragraphs(rows).collect())
+    monkeypatch.setattr(L, "DOCS_A_TASK", 2)
+    assert "doc_id" in plan(L.dealt(rows)) and L.dealt(rows).rdd.getNumPartitions() == 30
+    assert sorted(G.paragraphs(rows).collect()) == few != []
+
+
+def test_lines_of_a_text_are_not_searched_for_what_stands_at_their_end(spark):
+    rows = spark.createDataFrame([(x,) for x in ("", "a", "ab-", "x ab-", "xabc-", "河。", "a。b", "𝒳!", "…", None)], "x string")
+    x = F.col("x")
+    for n, pattern in ((1, G.SENTENCE_END), (1, G.DIRECT_END), (2, r"[a-zA-Z]-\z"), (4, r"[a-zA-Z]{3}-\z")):
+        assert rows.where(~X.ends(x, n, pattern).eqNullSafe(x.rlike(pattern))).count() == 0
+    joined = plan(G.paragraphs(docs(spark, "a\nb")))
+    assert "right(" in joined.lower() or "substring" in joined.lower()

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,14 @@ BROADCAST_LINES = 1_000_000
 PLACES = 1 << (4 * np.arange(8))
 #: index: bit 0 for a line's own segments, above it the edits that its length allows.
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u4"), ("ref", "<i8"), ("index", "u1")])
-#: Keys of words are told from those of characters by this bit of the seed; characters that signatures are counted of at a time.
+#: Keys of words are told from those of characters by this bit of the seed; characters of lines that are posted at a time.
 WORD_KEYS, COUNTED = 1 << 40, 1 << 20
+#: Base of the hashes of runs of units, odd, so that it has an inverse modulo 2^64; values of bytes; bytes between words.
+BASE = 0x9E3779B97F4A7C15
+BYTES = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([i])) for i in range(256)), ">u8").astype(np.uint64)
+BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+#: Bits of a sketch.
+SKETCH = 512
 #: Texts whose lines are posted at a time.
 TEXTS = 512
 
@@ -141,26 +146,83 @@ def counted(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (np.bincount(row, minlength=8 * len(sizes)).reshape(-1, 8) & 15) @ PLACES
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """Counts of the characters in 8 classes. An edit changes at most two counts by one."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes whose bits all depend on all bits (the end of MurmurHash3)."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Powers:
+    """Powers of an odd number modulo 2^64."""
+
+    def __init__(self, base: int):
+        self.base, self.fine = base, self.upto(base, 1024)
+        self.coarse = self.fine[:1]
+
+    @staticmethod
+    def upto(base: int, n: int) -> np.ndarray:
+        return np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])
+
+    def reach(self, n: int) -> np.ndarray:
+        """The powers of base^1024 that powers below n take."""
+        if len(self.coarse) << 10 < n:
+            self.coarse = self.upto(pow(self.base, 1024, 1 << 64), -(-n >> 10) + 1)
+        return self.coarse
+
+    def first(self, n: int) -> np.ndarray:
+        return np.multiply.outer(self.reach(n)[: (n >> 10) + 1], self.fine).ravel()[:n]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return self.reach(int(i.max(initial=0)) + 1)[i >> 10] * self.fine[i & 1023]
+
+
+UP, DOWN = Powers(BASE), Powers(pow(BASE, -1, 1 << 64))
+
+
+def run_sums(units: np.ndarray) -> np.ndarray:
+    """Sums of units times powers of BASE, from which run_hashes takes those of runs."""
+    return np.r_[np.uint64(0), np.cumsum(units * UP.first(len(units)))]
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the units from start to end, the same wherever these stand. Equal hashes of different units make candidates only."""
+    return (sums[end] - sums[start]) * DOWN.at(start)
+
+
+def characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' characters, one line after the other, and how many each has."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    ends, out, start = np.cumsum(sizes), np.zeros(len(lines), np.uint32), 0
-    while start < len(lines):
-        end = max(start + 1, int(np.searchsorted(ends, COUNTED + (ends[start - 1] if start else 0), "right")))
-        c = np.frombuffer("".join(lines[start:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[start:end] = counted(((c * np.uint32(2654435761)) >> np.uint32(29)).astype(np.int64), sizes[start:end])
-        start = end
-    return out
+    return mixed(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint64(1)), sizes
 
 
-def word_signatures(lines: list[list[bytes]]) -> np.ndarray:
-    """The same of words."""
-    out = np.zeros(len(lines), np.uint32)
-    for start in range(0, len(lines), 4096):
-        part = lines[start : start + 4096]
-        classes = np.fromiter((crc32(x) & 7 for w in part for x in w), np.int64)
-        out[start : start + 4096] = counted(classes, np.fromiter(map(len, part), np.int64, len(part)))
-    return out
+def word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the words of words_of; also those of lines too short to have enough of them. No line has a newline in it."""
+    data = np.frombuffer(("\n" + "\n".join(lines) + "\n").encode(), np.uint8)
+    blank = BLANK[data]
+    ends = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = ends[::2], ends[1::2]
+    line = np.searchsorted(np.flatnonzero(data == 10), start) - 1
+    return mixed(run_hashes(run_sums(BYTES[data]), start, end)), np.bincount(line, minlength=len(lines))
+
+
+def signatures(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Counts of the units in 8 classes. An edit changes at most two counts by one."""
+    return counted((units >> np.uint64(61)).astype(np.int64), sizes).astype(np.uint32)
+
+
+def sketches(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SKETCH bits a line: whether the number of units that hash to a bit is odd. A unit put in or taken out changes one bit."""
+    bit = (units >> np.uint64(32)).astype(np.int64) % SKETCH
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * SKETCH + bit, minlength=SKETCH * len(sizes)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1).view(np.uint64)
+
+
+def pairs_of(units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the neighbouring units in each line, and how many each has."""
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    inside = line[1:] == line[:-1]
+    return mixed(units[:-1] * np.uint64(BASE) + units[1:])[inside], np.maximum(sizes - 1, 0)
 
 
 def alike(a: np.ndarray, b: np.ndarray, k: np.ndarray | int) -> np.ndarray:
@@ -181,58 +243,69 @@ def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (doc, text_hash, no, line, a, b): lines that have a word, with two 64-bit hashes."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    return rows.where(F.btrim("line", F.lit(BLANKS)) != "").select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    # most lines begin with a word, which is seen without a trimmed copy
+    return rows.where((F.ascii("line") > 32) | (F.btrim("line", F.lit(BLANKS)) != "")).select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
 def postings(docs: DataFrame, text_col: str, deal: Deal) -> DataFrame:
     """Packed index and probe entries of all lines of MIN_CHARS characters or more, each distinct line of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[tuple[bool, int], tuple[list, list]] = {}
-        digest = xxhash.xxh3_64_intdigest
+        plans: dict[tuple[bool, int], np.ndarray] = {}
 
-        def plan(words: bool, n: int) -> tuple[list, list]:
+        def plan(words: bool, n: int) -> np.ndarray:
+            """Seed, start, end and mark of the parts of a line of n units, in rows."""
             if (words, n) not in plans:
-                found = probes(n, word_edits if words else char_edits)
-                seed, k = WORD_KEYS if words else 0, (word_edits if words else char_edits)(n)
-                plans[words, n] = [(seed + m * 16 + i, s, e) for m, i, s, e, _ in found], [own + 2 * k for *_, own in found]
+                edits = word_edits if words else char_edits
+                found = [((WORD_KEYS if words else 0) + m * 16 + i, s, e, own + 2 * edits(n)) for m, i, s, e, own in probes(n, edits)]
+                plans[words, n] = np.array(found, np.int64).reshape(-1, 4).T
             return plans[words, n]
 
-        def lines(batch: pa.RecordBatch) -> Iterator[list[str]]:
-            """The batch's distinct lines, some texts' at a time."""
+        def lines(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[int]]]:
+            """The batch's distinct lines and their hashes, some texts' and about COUNTED characters at a time."""
             posted: set[int] = set()
             for start in range(0, batch.num_rows, TEXTS):
                 new = {x for t in batch.column(0)[start : start + TEXTS].to_pylist() for x in t.split("\n") if len(x) >= MIN_CHARS and x.strip(BLANKS)}
-                named = {xxhash.xxh64_intdigest(x.encode(), 42): x for x in new}
-                yield [x for h, x in named.items() if h not in posted]
-                posted.update(named)
+                out, hashes, size = [], [], 0
+                for x in new:
+                    if (h := xxhash.xxh64_intdigest(x.encode(), 42)) in posted:
+                        continue
+                    posted.add(h)
+                    if out and size + len(x) > COUNTED:
+                        yield out, hashes
+                        out, hashes, size = [], [], 0
+                    out.append(x)
+                    hashes.append(h)
+                    size += len(x)
+                if out:
+                    yield out, hashes
+
+        def parts(words: bool, units: np.ndarray, sizes: np.ndarray, chosen: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Buckets and entries of the chosen lines; units and sizes are those of all lines."""
+            start, own = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
+            lengths, which = np.unique(own, return_inverse=True)
+            table = [plan(words, int(n)) for n in lengths]
+            count = np.array([x.shape[1] for x in table], np.int64)
+            each = count[which]
+            row = np.repeat((np.cumsum(count) - count)[which] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            seed, s, e, mark = (np.concatenate(x)[row] for x in zip(*table, strict=True))
+            at = np.repeat(start, each)
+            h = mixed(run_hashes(run_sums(units), at + s, at + e) + mixed(seed.astype(np.uint64)))
+            out = np.empty(len(h), ENTRY)
+            out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), mark
+            out["sig"], out["ref"] = np.repeat(signatures(units, sizes)[chosen], each), np.repeat(refs[chosen], each)
+            return ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
 
         def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for seen in (x for batch in batches for x in lines(batch)):
-                keys, marks, each = [], [], []
-                split = list(map(words_of, seen))
+            for seen, hashes in (x for batch in batches for x in lines(batch)):
+                refs = np.array(hashes, np.uint64).view(np.int64)
+                units, sizes = word_hashes(seen)
                 # two edits change the number of words by two at most
-                short = [i for i, w in enumerate(split) if len(w) < ONLY_WORDS + 2]
-                long = [i for i, w in enumerate(split) if len(w) >= MIN_WORDS]
-                for i in short:
-                    line = seen[i]
-                    at, mark = plan(False, len(line))
-                    keys += [digest(line[s:e].encode(), seed) for seed, s, e in at]
-                    marks += mark
-                    each.append(len(at))
-                for i in long:
-                    w = split[i]
-                    at, mark = plan(True, len(w))
-                    keys += [digest(b" ".join(w[s:e]), seed) for seed, s, e in at]
-                    marks += mark
-                    each.append(len(at))
-                h = np.array(keys, np.uint64)
-                refs = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in seen), np.uint64, len(seen)).view(np.int64)
-                out = np.empty(len(h), ENTRY)
-                out["key"], out["index"] = h & np.uint64(0xFFFFFFFF), marks
-                out["sig"] = np.repeat(np.concatenate((signatures([seen[i] for i in short]), word_signatures([split[i] for i in long]))), each)
-                out["ref"] = np.repeat(refs[np.array(short + long, np.int64)], each)
-                yield ((h >> np.uint64(32)) % np.uint64(deal.count)).astype(np.int32), out
+                short, long = np.flatnonzero(sizes < ONLY_WORDS + 2), np.flatnonzero(sizes >= MIN_WORDS)
+                if len(long):
+                    yield parts(True, units, sizes, long, refs)
+                if len(short):
+                    yield parts(False, *characters([seen[i] for i in short]), np.arange(len(short)), refs[short])
 
         yield from deal.pack(entries())
 
@@ -245,9 +318,15 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, e in deal.buckets(batches):
-            e = e[np.argsort(e["key"], kind="stable")]
-            first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
+            # most keys occur once; of the others, lists of one line or without a line's own segment link nothing
+            order = np.sort(e["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(e), dtype=np.uint64))
+            same = (order[1:] ^ order[:-1]) >> np.uint64(32) == 0
+            e = e[(order[np.r_[same, False] | np.r_[False, same]] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            first = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]][: len(e)])
             last = np.r_[first[1:], len(e)]
+            if len(e):
+                many = (np.minimum.reduceat(e["ref"], first) != np.maximum.reduceat(e["ref"], first)) & (np.bitwise_or.reduceat(e["index"], first) & 1 == 1)
+                first, last = first[many], last[many]
             left, right, group, member = [], [], [], []
             two = first[last - first == 2]
             x, y = e[two], e[two + 1]
@@ -256,13 +335,12 @@ def candidates(posted: DataFrame, deal: Deal) -> DataFrame:
             right.append(y["ref"][good])
             for i in np.flatnonzero(last - first > 2):
                 one = e[first[i] : last[i]]
-                if not (one["index"] & 1).any():
-                    continue
                 if len(one) <= PAIRWISE:
                     p, q = np.nonzero(np.triu(may_link(one[:, None], one[None, :]), 1))
                     left.append(one["ref"][p])
                     right.append(one["ref"][q])
-                elif len(refs := np.unique(one["ref"])) > 1:
+                else:
+                    refs = np.unique(one["ref"])
                     # lists of the same lines, as those of a class of variants, are one
                     name = xxhash.xxh64_intdigest(refs.tobytes()) >> 1
                     group.append(np.full(len(refs), name, np.int64))
@@ -300,48 +378,67 @@ def pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "a2", "b", "b2", "x", "y").mapInArrow(lean(run), LINKS)
 
 
+def class_links(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Numbers of lines: the first one of each class that the lines' own links make, with each other one of it.
+
+    Sketches rule out nearly all pairs that are too far apart, and pairs that earlier ones connect are skipped, so it takes about one
+    comparison of texts a line however many classes there are."""
+    units, sizes = word_hashes(lines)
+    bags, k_words = sketches(units, sizes), np.array([word_edits(n) for n in sizes.tolist()])
+    k_chars = np.array([char_edits(len(x)) for x in lines])
+    by_chars = (k_chars > 0) & (sizes < ONLY_WORDS)
+    if by_chars.any():
+        chars = sketches(*pairs_of(*characters(lines)))
+    label = np.arange(len(lines))
+
+    def apart(seen: np.ndarray, u: int) -> np.ndarray:
+        return np.bitwise_count(seen[:u] ^ seen[u]).sum(axis=1, dtype=np.int64)
+
+    for u in range(1, len(lines)):
+        # an edit changes two bits of the words' sketch, and four of that of neighbouring characters
+        far = apart(bags, u)
+        k = np.minimum(k_words[:u], k_words[u])
+        may = (k > 0) & (far <= 2 * k)
+        if by_chars[u] or by_chars[:u].any():
+            k = np.minimum(k_chars[:u], k_chars[u])
+            may |= (k > 0) & (by_chars[:u] | by_chars[u]) & (apart(chars, u) <= 4 * k)
+        open_ = np.flatnonzero(may & (label[:u] != label[u]))
+        # the likeliest first: a link makes all of its class needless
+        open_ = open_[np.argsort(far[open_], kind="stable")]
+        while len(open_):
+            v = open_[0]
+            if near(lines[v], lines[u]):
+                label[label == label[u]] = label[v]
+                open_ = open_[1:][label[open_[1:]] != label[u]]
+            else:
+                open_ = open_[1:]
+    first = np.full(len(lines), len(lines))
+    np.minimum.at(first, label, np.arange(len(lines)))
+    for u, v in enumerate(first[label].tolist()):
+        if v != u:
+            yield v, u
+
+
 def grouped_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that connect the lines of long lists as all their links would; members: (gid, a).
 
-    A list is dealt into blocks of about BLOCK lines, and a task compares one pair of blocks. It skips pairs that its earlier
-    links connect, so a list of variants of one line takes about one comparison a line."""
-
-    def connect(rows: list[tuple[int, int, str]]) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
-        lines = [x for *_, x in rows]
-        words = [words_of(x) for x in lines]
-        sizes = np.array(list(map(len, words)))
-        chars, k_chars = signatures(lines), np.array([char_edits(len(x)) for x in lines])
-        bags, k_words = word_signatures(words), np.array([word_edits(len(w)) for w in words])
-
-        def may(u: int) -> np.ndarray:
-            """Which of the lines before u may be near it."""
-            k = np.minimum(k_chars[:u], k_chars[u]) * (np.minimum(sizes[:u], sizes[u]) < ONLY_WORDS)
-            m = np.minimum(k_words[:u], k_words[u])
-            return ((k > 0) & alike(chars[:u], chars[u], k)) | ((m > 0) & alike(bags[:u], bags[u], m) & (np.abs(sizes[:u] - sizes[u]) <= m))
-
-        label = np.arange(len(rows))
-        for u in range(1, len(rows)):
-            open_ = np.flatnonzero(may(u) & (label[:u] != label[u]))
-            while len(open_):
-                v = open_[0]
-                if near(lines[v], lines[u]):
-                    yield rows[v][:2], rows[u][:2]
-                    label[label == label[u]] = label[v]
-                    open_ = open_[1:][label[open_[1:]] != label[u]]
-                else:
-                    open_ = open_[1:]
+    A list is dealt into blocks of about BLOCK lines, and a task compares one pair of blocks. Its classes hang on their first lines, so
+    that lists which share a class give the same links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True))
         for _, group in groupby(rows, key=lambda r: r[:3]):
-            if found := list(connect([r[3:] for r in group])):
+            held = [r[3:] for r in group]
+            if found := [(held[v][:2], held[u][:2]) for v, u in class_links([x for *_, x in held])]:
                 yield names(found)
 
     sizes = members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "gid").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.select("gid", "a", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a").join(texts, "a")
-    return dealt.select("gid", "i", "j", "a", "b", "line").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a", "b").mapInArrow(lean(run), LINKS)
+    # a number of parts that is given is kept: the lists' cost is more than their bytes tell
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select("gid", "i", "j", "a", "b", "line").repartition(parts, "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "a", "b").mapInArrow(lean(run), LINKS)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,7 +496,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return let(F.split(text, "\n", -1), lambda parts: F.array_join(F.transform(kept(parts), lambda i: F.get(parts, i)), "\n"))
 
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left(F.col(text_col)))
-    n_lines = F.coalesce(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     counts = [n_lines, F.coalesce(exact, F.lit(0)), F.coalesce(near, F.lit(0)), F.coalesce(kept_in, F.array().cast("array<bigint>"))]
     return met.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *(x.alias(n) for n, x in zip(fresh(docs, *ADDED), counts, strict=True)))
 

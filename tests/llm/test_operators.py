@@ -416,6 +416,39 @@ def test_op10_names_that_clash(spark):
     assert got[2]["text"] == "other" and got[2]["inkwell_exact_"] == 1 and got[2]["inkwell_exact"] == taken.index("inkwell_exact")
 
 
+def test_op10_long_lists_compare_few_texts(monkeypatch):
+    """Lines of a long list in many classes: most differ in a few words more than may be edited. Their classes are those of all
+    pairs, with about one comparison of texts a line."""
+    words = [prose(1) + str(i) for i in range(90)]
+    changed = lambda at: " ".join(f"{w}x{at[i]}" if i in at else w for i, w in enumerate(words))
+    lines = [changed({5 * j: random.randrange(40) for j in range(1, 9)}) for _ in range(90)]
+    lines += [x.replace(words[0], "first") for x in lines[:30]] + [prose(4) + " " + "y" * n for n in range(12)] + ["short line of words", "short lime of word"]
+    random.shuffle(lines)
+    calls, near = [], line_dedup.near
+    monkeypatch.setattr(line_dedup, "near", lambda x, y: calls.append(x) or near(x, y))
+    links = list(line_dedup.class_links(lines))
+    want = [(i, j) for i in range(len(lines)) for j in range(i) if brute.near_lines(lines[i], lines[j])]
+    numbered = lambda part: [part.index(x) for x in part]
+    assert len(want) >= 30 and numbered(list(brute.groups(len(lines), links))) == numbered(list(brute.groups(len(lines), want)))
+    assert len(links) <= len(calls) <= 2 * len(lines)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab é\t", max_size=60), min_size=1, max_size=6))
+def test_op10_hashes_of_runs(lines):
+    """Words are those of words_of, and runs of the same units have the same hash wherever they stand; others have another."""
+    units, sizes = line_dedup.word_hashes(lines)
+    split = [x.encode().split() for x in lines]
+    assert sizes.tolist() == list(map(len, split))
+    flat = [w for x in split for w in x]
+    sums, seen = line_dedup.run_sums(units), {}
+    for i in range(len(flat)):
+        for j in range(i + 1, len(flat) + 1):
+            h = int(line_dedup.run_hashes(sums, np.array([i]), np.array([j]))[0])
+            assert seen.setdefault(h, flat[i:j]) == flat[i:j]
+    assert len(seen) == len({tuple(x) for x in seen.values()})
+
+
 def test_op10_groups_of_variants(spark, tmp_path):
     """Hundreds of variants of one line, which go through the grouped comparison, dealt into several blocks."""
     from pyspark.sql import functions as F

@@ -99,3 +99,13 @@ def test_lengths_of_characters_are_looked_up(spark):
     each = [*M.NAMES, *"aZ9+_^{}\\ \t", "\u00a0", "\u3000", "\U0001d465", "é", "一"]
     rows = spark.createDataFrame([(c,) for c in each], "c string").select("c", M.widths(F.col("c")).alias("w")).collect()
     assert {r.c: tuple(r.w) for r in rows} == {c: (len(mapped(c)), len(key(c))) for c in each}
+
+
+def test_names_and_second_cuts_are_not_tried_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("κ≤−x",)], "formula string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.select(M.named(F.col("formula")).alias("m")).first().m == "kappaleq-x"
+    assert plan(rows.select(M.named(F.col("formula")))).count("replace(") == 0
+    assert "array_position" not in plan(M.repaired(rows))

@@ -125,3 +125,30 @@ def test_links_end_at_wide_blanks(spark):
 @pytest.mark.parametrize(("text", "want"), [("a\x01b", "a\x01b"), ("\x01**船：**\x02\x01b", "\x01**船：​**\x02\x01b"), ("\x02a\x02b", "\x02a\x02b")])
 def test_control_characters_stay(spark, text, want):
     assert spark.range(1).select(wordlayout.hold_emphasis(F.lit(text)).alias("t")).first().t == want
+
+
+def test_windows_share_their_sorts(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    nodes = [line.lstrip(" :+-*()0123456789").split(" ")[0] for line in formatting.formatted(docs)._jdf.queryExecution().sparkPlan().toString().split("\n")]
+    assert nodes.count("Window") <= 30
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = formatting.formatted(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Sort [") <= 13
+
+
+def test_prose_matches_no_pattern(spark):
+    from inkwell.operators import structure as S
+
+    heads = ["Import x", "import os", "from a import b", "Def f", "def f", "class A", "function f", "print (", "console.log (", "$ ls", "npm i", "pip3 install", "apt-get update", "Section 2", "subsection 1", "Chapter 3", "part 4", "IV. x", "xi. x", "Note: x", "Tip：x", "EXAMPLE: y"]
+    heads += ["page 7", "Page  9 of 10", "- a", "1. a", "1) a", "| a |", "|---|", "-----", "=====", "+--+--+", "[1] a", "[a]: b", "[x] a", "> q", "# t", "```", "{", "<b", "结论", "Über", "Øl", "plain text", "a", "Partly", "the quick", "** b **"]
+    rows = [(pad + head + tail,) for pad in ("", " ", "\t　") for head in heads for tail in (" word" * 30, "", "-" * 120, " " * 120 + "7")]
+    line, trimmed = F.col("line"), formatting.trim_start(F.col("line"))
+    patterns = [S.PAGE_NUMBER, S.PAGE_NUMBER_CJK, S.TABLE_ROW, S.SEPARATOR_ROW, S.ORDERED, S.UNORDERED, S.BULLET, S.BOX_DONE, S.BOX_OPEN, S.GRID_BORDER, S.GRID_CONTENT, formatting.DEFINITION, formatting.UNDERLINE, formatting.RULE_LINE, formatting.MARKERS["ticks"]]
+    starts = [*formatting.STARTERS, formatting.SHELL, formatting.DOLLAR, formatting.PYTHON, formatting.CONSOLE, formatting.QUOTE, formatting.REFERENCE, formatting.BOLD_PREFIX, "^(#|```|> )", "^[#>]", *(p for p, _, _ in formatting.NUMBERED)]
+    special = [line.rlike(p) for p in patterns] + [trimmed.rlike(p) for p in starts] + [formatting.keyword(trimmed).isNotNull(), formatting.capitals(trimmed)]
+    got = spark.createDataFrame(rows, "line string").select("line", formatting.prose(line).alias("prose"), F.array(*special).alias("special")).collect()
+    assert [r.line for r in got if r.prose and any(r.special)] == []
+    assert sum(r.prose for r in got) >= 20

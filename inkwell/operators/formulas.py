@@ -15,17 +15,25 @@ INLINE = r"[$][^ \t\n$](?:[^$\n]*[^ \t\n$])?[$]"
 
 
 def formulas(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line, is_block, formula): blocks first found, inline ones only outside blocks, each with its line."""
+    """Rows (doc_id, line, is_block, formula): blocks first found, inline ones only outside blocks, each with its line.
+
+    Formulas are taken out of a part, with the line counted from the part's start, before the parts' line breaks are summed up: so of
+    a text only its formulas are exchanged."""
     breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
     parts = docs.select("doc_id", F.posexplode(F.arrays_zip(F.split("text", BLOCK, -1).alias("part"), F.regexp_extract_all("text", F.lit(f"({BLOCK})"), F.lit(1)).alias("block"))).alias("k", "z"))
     parts = parts.select("doc_id", "k", F.col("z.part").alias("part"), F.col("z.block").alias("block"))
+    none = F.array().cast("array<struct<at:int,is_block:boolean,formula:string>>")
+    inner = lambda x, edge: x.substr(F.lit(edge + 1), F.length(x) - 2 * edge)
+    found = lambda at, block, formula: F.struct(at.alias("at"), F.lit(block).alias("is_block"), formula.alias("formula"))
+    of_line = lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(f"({INLINE})"), F.lit(1)), lambda m: found(i, False, inner(m, 1)))
+    inline = F.flatten(F.transform(F.split("part", "\n", -1), lambda x, i: F.when(x.contains("$"), of_line(x, i)).otherwise(none)))
+    own = F.when(F.col("block").isNotNull(), F.array(found(breaks(F.col("part")), True, inner(F.col("block"), 2)))).otherwise(none)
+    n_breaks = breaks(F.col("part")) + F.coalesce(breaks(F.col("block")), F.lit(0))
+    parts = parts.select("doc_id", "k", n_breaks.alias("breaks"), F.concat(F.when(F.col("part").contains("$"), inline).otherwise(none), own).alias("found"))
     before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", 1 + F.coalesce(F.sum(breaks(F.col("part")) + F.coalesce(breaks(F.col("block")), F.lit(0))).over(before), F.lit(0)))
-    blocks = parts.where("block IS NOT NULL").select("doc_id", (F.col("start") + breaks(F.col("part"))).alias("line"), F.lit(True).alias("is_block"), F.expr("substring(block, 3, length(block) - 4)").alias("formula"))
-    inline = parts.where(F.col("part").contains("$")).select("doc_id", "start", F.posexplode(F.split("part", "\n", -1)).alias("i", "x"))
-    inline = inline.select("doc_id", (F.col("start") + F.col("i")).alias("line"), F.lit(False).alias("is_block"), F.explode(F.regexp_extract_all("x", F.lit(f"({INLINE})"), F.lit(1))).alias("m"))
-    inline = inline.select("doc_id", "line", "is_block", F.expr("substring(m, 2, length(m) - 2)").alias("formula"))
-    return blocks.select("doc_id", "line", "is_block", "formula").unionByName(inline)
+    parts = parts.withColumn("start", 1 + F.coalesce(F.sum("breaks").over(before), F.lit(0)))
+    rows = parts.select("doc_id", "start", F.explode("found").alias("x"))
+    return rows.select("doc_id", (F.col("start") + F.col("x.at")).alias("line"), "x.is_block", "x.formula")
 
 
 def delimited(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from ..functions.text import WS, let
 
 #: Characters of a piece; shorter texts are their own piece.
 PIECE = 3
+#: Candidates that a task takes where pieces are made of them.
+ROWS_A_TASK = 10_000
 
 
 def key(x: Column) -> Column:
@@ -28,13 +30,19 @@ def pieces(x: Column, size: Column | int) -> Column:
 
 
 def containments(values: DataFrame) -> DataFrame:
-    """Rows (doc_id, inner, outer): texts of a document of which one lies in the other, different ones. values: doc_id, key; distinct."""
-    posted = values.select("doc_id", F.col("key").alias("outer"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(PIECE)), lambda n: pieces(F.col("key"), n))))).alias("piece"))
-    posted = posted.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "piece")))
+    """Rows (doc_id, inner, outer): texts of a document of which one lies in the other, different ones. values: doc_id, key; distinct, and
+    dealt by doc_id, so that the pieces, of which there are many times as many as texts, are not exchanged."""
+    over = lambda *by: Window.partitionBy("doc_id", *by)
+    # pieces as short as the shortest texts only where there are such texts
+    values = values.withColumn("sizes", F.collect_set(F.least(F.length("key"), F.lit(PIECE))).over(over()))
+    posted = values.select("doc_id", F.col("key").alias("outer"), F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda n: pieces(F.col("key"), n))))).alias("piece"))
+    posted = posted.withColumn("n", F.count("*").over(over("piece")))
     # a text's own pieces of its size, the rarest of them
-    own = posted.where(F.length("piece") == F.least(F.length("outer"), F.lit(PIECE))).groupBy("doc_id", F.col("outer").alias("inner")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    met = own.join(posted.drop("n"), ["doc_id", "piece"]).where((F.length("inner") < F.length("outer")) & F.col("outer").contains(F.col("inner")))
-    return met.select("doc_id", "inner", "outer")
+    own = F.length("piece") == F.least(F.length("outer"), F.lit(PIECE))
+    posted = posted.withColumn("rarest", F.min(F.when(own, F.struct("n", "piece"))).over(over("outer"))).where("n > 1")
+    inners = F.collect_list(F.when(F.col("rarest.piece") == F.col("piece"), F.col("outer"))).over(over("piece"))
+    met = posted.withColumn("inners", inners).withColumn("inners", F.filter("inners", lambda x: (F.length(x) < F.length("outer")) & F.col("outer").contains(x)))
+    return met.select("doc_id", F.explode("inners").alias("inner"), "outer")
 
 
 def matched(wanted: DataFrame, pool: DataFrame) -> DataFrame:
@@ -45,8 +53,9 @@ def matched(wanted: DataFrame, pool: DataFrame) -> DataFrame:
     a = wanted.select("doc_id", "ord", "formula", key(F.col("formula")).alias("key")).where("key <> ''")
     b = pool.select("doc_id", "ord", "line", key(F.col("formula")).alias("key")).where("key <> ''")
     queues = b.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("queue"))
-    values = a.select("doc_id", "key").union(queues.select("doc_id", "key")).distinct()
-    near = containments(values)
+    values = a.select("doc_id", "key").union(b.select("doc_id", "key"))
+    wanted_parts = max(-(-pool.count() // ROWS_A_TASK), wanted.sparkSession.sparkContext.defaultParallelism)
+    near = containments(values.repartition(wanted_parts, "doc_id").distinct())
     way = lambda key, other: F.struct(F.col(key).alias("key"), F.col(other).alias("other"))
     near = near.select("doc_id", F.inline(F.array(way("inner", "outer"), way("outer", "inner"))))
     own = a.select("doc_id", "key").distinct()

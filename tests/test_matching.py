@@ -92,3 +92,18 @@ def test_matching_reads_stored_formulas_instead_of_the_texts(spark):
 
     files = [f.rsplit("/testdata/", 1)[-1] for f in formulas.export_quality(spark, "/root/testdata/sf0.001").inputFiles()]
     assert files and not [f for f in files if "documents" in f]
+
+
+def test_neither_texts_nor_pieces_are_exchanged(spark):
+    from inkwell.operators import formulas
+
+    exchanges = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Exchange") + df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    docs = spark.createDataFrame([(1, "a $x$\n$$\ny\n$$ $z$\n$$u$$")], "doc_id long, text string")
+    found = formulas.formulas(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, False, "x"), (1, 2, True, "\ny\n"), (1, 4, False, "z"), (1, 5, True, "u")]
+    assert exchanges(formulas.formulas(docs)) == 1
+    values = spark.createDataFrame([(1, k) for k in ("a", "ab", "abc", "xabcx", "bc", "q", "cab")] + [(2, "abcd"), (2, "bcd")], "doc_id long, key string")
+    dealt = values.repartition(2, "doc_id").distinct()
+    assert exchanges(matching.containments(dealt)) == exchanges(dealt)
+    every = {(d, x, y) for d, x in values.collect() for e, y in values.collect() if d == e and x != y and x in y}
+    assert set(map(tuple, matching.containments(dealt).collect())) == every
